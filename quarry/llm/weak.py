@@ -22,7 +22,7 @@ from .session import cut
 
 @dataclass(frozen=True)
 class Voters:
-    """prior: share of the class 1. accuracy: of each rule, the share of its votes that are right."""
+    """prior: assumed share of the class 1. accuracy: of each rule, the share of its votes that are right."""
 
     prior: float
     accuracy: dict[str, float] = field(default_factory=dict)
@@ -36,7 +36,7 @@ class Voters:
 
 
 def fit(votes: DataFrame, start: Voters, rounds: int = 10, strength: float = 20.0, slack: float = 0.05, most: float = 0.98) -> Voters:
-    """Accuracies and prior after so many rounds at most. Each starting value counts as `strength` rows. Without rows: the start."""
+    """Accuracies after so many rounds at most; the prior stays, as rows without votes say nothing of it. Each starting value counts as `strength` rows. Without rows: the start."""
     rules = list(start.accuracy)
     patterns = cut(votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")), "votes")
     now = start
@@ -44,17 +44,14 @@ def fit(votes: DataFrame, start: Voters, rounds: int = 10, strength: float = 20.
         p, n = now.posterior(), F.col("n")
         total = lambda w: F.coalesce(F.sum(n * w), F.lit(0.0))
         sums = patterns.agg(
-            total(F.lit(1.0)).alias("n"),
-            total(p).alias("p"),
             *(total(F.when(F.col(r) > 0, p).when(F.col(r) < 0, 1 - p)).alias(f"right_{r}") for r in rules),
             *(total(F.abs(F.col(r)).cast("double")).alias(f"voted_{r}") for r in rules),
         ).first()
-        prior = (sums["p"] + strength * start.prior) / (sums["n"] + strength)
         accuracy = {}
         for r, a in start.accuracy.items():
             found = (sums[f"right_{r}"] + strength * a) / (sums[f"voted_{r}"] + strength)
             accuracy[r] = min(max(found, a - slack, 0.5), a + slack, most)
-        new = Voters(min(max(prior, 0.05), 0.95), accuracy)
+        new = Voters(start.prior, accuracy)
         moved = max(abs(new.accuracy[r] - now.accuracy[r]) for r in rules)
         now = new
         if moved < 1e-3:
