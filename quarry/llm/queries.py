@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, licenses, quality
+from . import bpe, fingerprints, language, licenses, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_rules": quality.op5_quality_rules,
         "op7_language_id": language.op7_language_id,
         "op9_byte_bpe": bpe.op9_byte_bpe,
+        "op10_substring_dedup": substrings.op10_substring_dedup,
     }
 
 
