@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, language, licenses, quality, substrings
+from . import bpe, fingerprints, jaccard, language, licenses, pii, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_license_scan": licenses.op2_license_scan,
         "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_personal_data": pii.op6_personal_data,
         "op7_language_id": language.op7_language_id,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_substring_dedup": substrings.op10_substring_dedup,
