@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, language, licenses, pii, quality, substrings
+from . import bpe, fingerprints, jaccard, language, licenses, pii, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_license_scan": licenses.op2_license_scan,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_personal_data": pii.op6_personal_data,
