@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, language, licenses, pii, quality, substrings, toxicity
+from . import bpe, fingerprints, jaccard, language, licenses, packing, pii, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_personal_data": pii.op6_personal_data,
         "op7_language_id": language.op7_language_id,
+        "op8_packing": packing.op8_packing,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_substring_dedup": substrings.op10_substring_dedup,
     }
