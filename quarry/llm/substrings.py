@@ -82,7 +82,7 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, where: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textnp.slices(batch):
+            for part in textnp.slices(batch, most=1 << 20):  # some twenty arrays of 8 bytes a byte
                 data, offsets = textnp.flat(part.column(2))
                 row, lo, count, _, a, s = _segments(data, offsets, window, gram)
                 both = [pa.array(a.view(np.int64)), pa.array(s.view(np.int64))]
@@ -211,7 +211,7 @@ def _sorted_kinds(kinds: DataFrame, window: int) -> DataFrame:
         size = 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > (1 << 20) and r[0] != held[-1][0]:  # an anchor's rows stay together
+                if size > (1 << 19) and r[0] != held[-1][0]:  # an anchor's rows stay together
                     yield finish(held)
                     held, size = [], 0
                 held.append(r)
