@@ -179,6 +179,32 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, "node binary, links long, to binary")
 
 
+def candidates(signed: DataFrame, first: int = 4) -> DataFrame:
+    """node, root: groups of texts that share trie nodes. signed: node, keys.
+
+    The first few trees join most of what belongs together. In the other trees only those trie nodes
+    count that hold texts of several groups, so a large group isn't joined again in each tree.
+    """
+    groups = None
+    for own in (F.slice("keys", 1, first), F.slice("keys", first + 1, TREES)):
+        labelled = signed.select("node", F.array_distinct(own).alias("keys"))
+        if groups is None:
+            labelled = labelled.withColumn("label", F.col("node"))
+        else:
+            labelled = labelled.join(sized(groups.withColumnRenamed("root", "label"), 64), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        in_tries = labelled.select("label", F.explode("keys").alias("key"))
+        tries = cut(in_tries.groupBy("key").agg(F.min("label").alias("to"), F.max("label").alias("other")).where("to < other").select("key", "to"), "tries")
+        stars = in_tries.join(sized(tries, 40), "key").where("label != to").select(F.col("label").alias("node"), "to").distinct()
+        found = components(stars, "groups")
+        if groups is None:
+            groups = found
+        else:
+            beyond = found.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+            joined = groups.join(sized(beyond, 64), "root", "left").select("node", F.coalesce("beyond", "root").alias("root"))
+            groups = cut(joined.unionByName(found.join(groups.select("node"), "node", "left_anti")), "groups")
+    return groups
+
+
 def shingle_sets(rows: DataFrame) -> DataFrame:
     """id, node, shingles (sorted distinct 64-bit hashes as bytes). rows: id, node, text."""
 
@@ -203,15 +229,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     signed = cut(signatures(rows, threshold), "signed")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = cut(signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")), "texts")
-    # trie nodes with two texts at least, each joined to its smallest member
-    in_tries = signed.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    tries = cut(in_tries.groupBy("key").agg(F.min("node").alias("to"), F.max("node").alias("other")).where("to < other").select("key", "to"), "tries")
-    stars = in_tries.join(sized(tries, 40), "key").where("node != to").select("node", "to").distinct()
-    groups = components(stars, "groups")
+    groups = candidates(signed)
     # groups in blocks: a bounded number of texts and shingles each
     sizes = groups.join(texts, "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    wanted = cut(groups.join(sizes.select("root", parts.alias("parts")), "root").select(F.col("node").alias("w_node"), "root", "parts"), "wanted")
+    wanted = cut(groups.join(sized(cut(sizes.select("root", parts.alias("parts")), "sizes"), 48), "root").select(F.col("node").alias("w_node"), "root", "parts"), "wanted")
     small = sized(wanted, 64)
     holders = rows.join(small, F.col("node") == F.col("w_node"))
     holders = shingle_sets(holders.select("id", "node", "text")).dropDuplicates(["node"])
@@ -234,7 +256,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     named = texts.join(links, "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # the smallest id of a class, and one text that has it
     least = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("least"))
-    named = named.join(least, "root").select(
+    named = named.join(sized(cut(least, "least"), 80), "root").select(
         "node", F.col("least.id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies", (F.col("least.node") == F.col("node")).alias("keeper"), F.col("id").alias("first_id")
     )
     return signed.select("id", "node"), named
