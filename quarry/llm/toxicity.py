@@ -128,44 +128,51 @@ class Index:
         self.share = all_y / all_n if all_n else 0.0
         n0, y0 = sum(e[1] for e in empty), sum(e[2] for e in empty)
         self.none = (y0 + PRIOR * self.share) / (n0 + PRIOR)
-        blocks = -(-len(entries) // BLOCK)
-        self.top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(blocks)]
-        lists: dict[tuple[int, int], list] = {}
-        for k, e in enumerate(entries):
-            t, c = (np.array(x) for x in zip(*e[0]))
-            w = (1 + np.log(c)) * idf[t]
-            for term, weight in zip(t.tolist(), w / np.sqrt((w * w).sum())):
-                lists.setdefault((term, k // BLOCK), []).append((k % BLOCK, weight))
-        tops: dict[int, list] = {}
-        for (term, b), own in lists.items():
-            at, w = zip(*own)
-            self.postings[b][term] = np.array(at), np.array(w)
-            tops.setdefault(term, []).append((b, max(w)))
-        for term, own in tops.items():
-            b, w = zip(*own)
-            self.top[term] = np.array(b), np.array(w)
+        self.blocks = -(-len(entries) // BLOCK)
+        size = [len(e[0]) for e in entries]
+        entry = np.repeat(np.arange(len(entries)), size)
+        term, count = (np.array([x[k] for e in entries for x in e[0]], np.int64) for k in (0, 1))
+        weight = (1 + np.log(count)) * idf[term]
+        norm = np.sqrt(np.bincount(entry, weight**2, len(entries)))
+        weight = weight / norm[entry]
+        order = np.lexsort((entry, term))
+        term, self.entry, self.weight = term[order], entry[order], weight[order]
+        # of every term the blocks that have it: block, largest weight, and where the block's postings begin
+        block = self.entry // BLOCK
+        head = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.block, self.most = block[head], np.maximum.reduceat(self.weight, head) if len(head) else weight
+        self.begin, self.end = head, np.append(head[1:], len(term))[: len(head)]
+        self.lists = np.searchsorted(term[head], np.arange(len(vocabulary) + 1))
+
+    @staticmethod
+    def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of the ranges [lo, hi), and the place of the range of each."""
+        size = hi - lo
+        return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum()), np.repeat(np.arange(len(lo)), size)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines of the k nearest examples (an entry counts as often as it has examples; ties at the end included)."""
+        """Entries and cosines of the k nearest examples (an entry counts as often as it has examples; ties at the end included).
+
+        Blocks are scored in the order of their bounds, twice as many each time, until the next bound is below the last neighbour.
+        """
         w = (1 + np.log(counts)) * self.idf[terms]
         w = w / np.sqrt((w * w).sum())
-        bound = np.zeros(len(self.postings))
-        for t, x in zip(terms.tolist(), w):
-            if t in self.top:
-                b, most = self.top[t]
-                bound[b] += x * most
+        at, of = self._ranges(self.lists[terms], self.lists[terms + 1])
+        x, block = w[of], self.block[at]
+        bound = np.bincount(block, x * self.most[at], self.blocks)
+        turn = np.argsort(-bound, kind="stable")
+        turn = turn[: np.count_nonzero(bound)]
         entries, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            own = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w):
-                if t in self.postings[b]:
-                    at, y = self.postings[b][t]
-                    own[at] += x * y
-            at = np.flatnonzero(own > 0)
-            entries, cosines = np.append(entries, b * BLOCK + at), np.append(cosines, own[at])
+        done, step = 0, 8
+        while done < len(turn) and bound[turn[done]] >= least - 1e-9:
+            chosen = np.zeros(self.blocks, bool)
+            chosen[turn[done : done + step]] = True
+            done, step = done + step, step * 2
+            own = np.flatnonzero(chosen[block])
+            post, which = self._ranges(self.begin[at[own]], self.end[at[own]])
+            found, place = np.unique(self.entry[post], return_inverse=True)
+            entries = np.append(entries, found)
+            cosines = np.append(cosines, np.bincount(place, self.weight[post] * x[own][which], len(found)))
             order = np.lexsort((entries, -cosines))
             entries, cosines = entries[order], cosines[order]
             reach = np.flatnonzero(np.cumsum(self.n[entries]) >= k)
