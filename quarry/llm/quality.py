@@ -68,7 +68,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("__q", q).drop("__w", "__g", "__s", "__p", "__l")
 
 
-def base_failed(q: Column = F.col("__q")) -> Column:
+def base_failed() -> Column:
+    q = F.col("__q")
     return (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
 
 
