@@ -300,14 +300,17 @@ def fts_stage_score(spark, sf):
     return _stage(spark, sf).select("query_id", "chunk_id", "lookup_path", "score")
 
 
-_BEST = [F.desc("score"), F.col("lookup_path"), F.col("chunk_id")]
+def _best() -> list[Column]:
+    return [F.desc("score"), F.col("lookup_path"), F.col("chunk_id")]
+
+
 _SQL_TOP = f"{_SQL_STAGE}, tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lookup_path, chunk_id) AS rank FROM st)"
 
 
 @query(f"""WITH {_SQL_TOP}, b AS (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank) AS running_tokens FROM tp WHERE rank <= 20)
   SELECT query_id, chunk_id, rank, token_count, CAST(running_tokens AS BIGINT) AS running_tokens FROM b WHERE running_tokens <= 6000""")
 def token_budget(spark, sf):
-    hits = R._ranked(_stage(spark, sf), ["query_id"], _BEST).where("rank <= 20")
+    hits = R._ranked(_stage(spark, sf), ["query_id"], _best()).where("rank <= 20")
     return R.token_budget(hits, 6000, ["query_id"], [F.col("rank")]).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "token_count", "running_tokens")
 
 
@@ -319,14 +322,14 @@ _SQL_WORDS = f"list_filter(list_transform(regexp_split_to_array(trim(query), '\\
   o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM r)
   SELECT query_id, chunk_id, score, rerank_score, new_rank FROM o WHERE new_rank <= 5""")
 def rerank(spark, sf):
-    hits = R._ranked(_stage(spark, sf), ["query_id"], _BEST).where("rank <= 20").withColumn("snippet", F.substring("content", 1, 200))
+    hits = R._ranked(_stage(spark, sf), ["query_id"], _best()).where("rank <= 20").withColumn("snippet", F.substring("content", 1, 200))
     return R.rerank(hits, 5).select("query_id", "chunk_id", "score", "rerank_score", F.col("new_rank").cast("long").alias("new_rank"))
 
 
 @query(f"""WITH {_SQL_TOP} SELECT query_id, '[Memory context]' || chr(10) || string_agg(substr(content, 1, 200), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || '[End memory context]' AS context
   FROM tp WHERE rank <= 6 GROUP BY query_id""")
 def prompt_context(spark, sf):
-    hits = R._ranked(_stage(spark, sf), ["query_id"], _BEST).withColumn("snippet", F.substring("content", 1, 200))
+    hits = R._ranked(_stage(spark, sf), ["query_id"], _best()).withColumn("snippet", F.substring("content", 1, 200))
     return R.prompt_context(hits, 6)
 
 
@@ -334,7 +337,7 @@ def prompt_context(spark, sf):
   sb AS (SELECT query_id, a.parent_path, c.chunk_id, c.lookup_path, greatest(0.3::DOUBLE, 0.75::DOUBLE * anchor) AS score, row_number() OVER (PARTITION BY query_id, a.parent_path ORDER BY c.lookup_path, c.chunk_id) AS r FROM a JOIN chunks c ON c.parent_path = a.parent_path)
   SELECT query_id, chunk_id, lookup_path, round(score + 1e-9, 4) AS score FROM sb WHERE r <= 8""")
 def sibling_expand(spark, sf):
-    heads = R.top(_stage(spark, sf), 5, ["query_id"], _BEST).groupBy("query_id", "parent_path").agg(F.max("score").alias("anchor"))
+    heads = R.top(_stage(spark, sf), 5, ["query_id"], _best()).groupBy("query_id", "parent_path").agg(F.max("score").alias("anchor"))
     near = doc_chunks(spark, sf).select("chunk_id", "lookup_path", "parent_path").join(heads, "parent_path")
     return R.top(near, 8, ["query_id", "parent_path"], [F.col("lookup_path"), F.col("chunk_id")]).select("query_id", "chunk_id", "lookup_path", F.round(F.greatest(F.lit(0.3), 0.75 * F.col("anchor")) + 1e-9, 4).alias("score"))
 
