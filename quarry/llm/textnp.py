@@ -113,9 +113,8 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, n: int) -> tuple[
     """
     counts = np.bincount(row, minlength=n_rows)
     total = np.zeros(len(hashes), np.uint64)
-    for k in range(n):
-        mult = np.uint64(pow(R, k + 1, 1 << 64))
-        total[: len(hashes) - k or None] += hashes[k:] * mult if k else hashes * mult
+    for k in range(min(n, len(hashes))):
+        total[: len(hashes) - k] += hashes[k:] * np.uint64(pow(R, k + 1, 1 << 64))
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
     short = np.flatnonzero((counts > 0) & (counts < n))
     keep = np.zeros(len(hashes), bool)
