@@ -79,9 +79,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, name: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most so many bytes of text (or of one row)."""
-    i = batch.schema.get_field_index(name)
-    col = batch.column(i).cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+    col = batch.column(batch.schema.get_field_index(name))
+    if not len(col):
+        return
+    wide = np.dtype(np.int32 if pa.types.is_string(col.type) else np.int64)
+    offsets = np.frombuffer(col.buffers()[1], wide, len(col) + 1, col.offset * wide.itemsize).astype(np.int64)
     lo = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
