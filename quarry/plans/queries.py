@@ -134,7 +134,7 @@ def sha256_manifest(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"), F.col("n_chars").alias("size"))
 
 
-@query("SELECT doc_id, round(greatest(1, (length(text) + 3) // 4) * 0.000005, 4) AS high, round(greatest(1, (length(text) + 3) // 4) * 0.00000175, 4) AS low FROM documents")
+@query("SELECT doc_id, CAST(round(greatest(1, (length(text) + 3) // 4) * 0.000005, 4) AS DOUBLE) AS high, CAST(round(greatest(1, (length(text) + 3) // 4) * 0.00000175, 4) AS DOUBLE) AS low FROM documents")
 def cost_avoided(spark, sf):
     costs = T.cost_avoided(T.token_count("text"))
     return table(spark, sf, "documents").select("doc_id", costs["claude_opus"].alias("high"), costs["gpt5_latest"].alias("low"))
