@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .session import documents
 
@@ -107,26 +107,94 @@ def chunked(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     return [text[k * size : (k + 1) * size + overlap if k + 1 < n else None] for k in range(n)]
 
 
-def encode(docs: DataFrame, text_col: str = "text", *, keep: tuple[str, ...] = ("doc_id",), ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The kept columns, ids (array of ints) and decoded (binary: the bytes of the ids) of every text."""
+def encode(
+    docs: DataFrame, text_col: str = "text", *, keep: tuple[str, ...] = ("doc_id",), ranks_path: str | None = None, pattern: str | None = None, size: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
+    """The kept columns, ids (array of ints) and decoded (binary: the bytes of the ids) of every text.
+
+    Texts of one chunk are encoded where they are read. The chunks of longer texts are dealt out.
+    """
     import public_tokenizers
 
     ranks_path, pattern = ranks_path or tables(), pattern or public_tokenizers.PATTERN
     rows = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("__text"))
+    length = F.length("__text")
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [own.encode(chunked(x)) for x in part.column(len(keep)).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
-                raw = pa.array([own.decode(x) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists, raw], [*keep, "ids", "decoded"])
+                ids = [own.encode([x]) for x in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _lists(ids), pa.array([own.decode(x) for x in ids], pa.binary())], [*keep, "ids", "decoded"])
 
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kept}, ids array<int>, decoded binary")
+    short = rows.where(length <= size + overlap).mapInArrow(run, f"{kept}, ids array<int>, decoded binary")
+    return short.unionByName(_encode_long(rows.where(length > size + overlap), keep, kept, ranks_path, pattern, size, overlap))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32)))
+
+
+def _encode_long(rows: DataFrame, keep: tuple[str, ...], kept: str, ranks_path: str, pattern: str, size: int, overlap: int) -> DataFrame:
+    """The same for texts of several chunks, each a row: cut on its own, stitched with its neighbours, encoded between the stitches."""
+    n = F.ceil((F.length("__text") - overlap) / size).cast("int")
+    chunk = lambda k: F.substr("__text", k * size + 1, F.when(k + 1 < n, size + overlap).otherwise(F.length("__text")))
+    rows = rows.withColumns({"__uid": F.monotonically_increasing_id(), "__n": n})
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = rows.select(*keep, "__uid", "__n", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), chunk)).alias("__k", "__chunk")).repartition(partitions, "__uid", "__k")
+    names = [*keep, "__uid", "__n", "__k", "__chunk"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = codec(ranks_path, pattern).pattern
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 32):
+                part = batch.slice(lo, 32)
+                heads, tails = [], []
+                for text in part.column(len(names) - 1).to_pylist():
+                    ends = np.cumsum([0, *map(len, cuts(find, text))])
+                    heads.append(ends[ends < overlap])
+                    tails.append(ends[(ends >= size) & (ends < ends[-2])] - size)  # the chunk's end may have cut its last piece
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(heads), _lists(tails)], [*names, "__head", "__tail"])
+
+    ends = chunks.mapInArrow(cut, f"{kept}, __uid long, __n int, __k int, __chunk string, __head array<int>, __tail array<int>")
+    order = W.partitionBy("__uid").orderBy("__k")
+    ends = ends.withColumn("__stop", F.array_min(F.array_intersect("__tail", F.lead("__head").over(order)))).drop("__head", "__tail")
+    lost = F.max((F.col("__stop").isNull() & (F.col("__k") + 1 < F.col("__n"))).cast("int")).over(W.partitionBy("__uid"))
+    stitched_ = ends.withColumns({"__begin": F.coalesce(F.lag("__stop").over(order), F.lit(0)), "__lost": lost})
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks_path, pattern)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 32):
+                part = batch.slice(lo, 32)
+                out, whole = [], []
+                for text, stop, begin, missing in zip(*(part.column(len(names) - 1 + k).to_pylist() for k in range(4))):
+                    whole.append(text if missing else None)
+                    pieces = [] if missing else cuts(own.pattern, text)
+                    at = np.cumsum([0, *map(len, pieces)])
+                    last = len(pieces) if stop is None else int(np.searchsorted(at, size + stop))
+                    out.append(np.frombuffer(b"".join(own[p] for p in pieces[int(np.searchsorted(at, begin)) : last]), "<u4"))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names) - 1], pa.array(whole, pa.string()), _lists(out)], [*names, "__ids"])
+
+    parts = stitched_.mapInArrow(between, f"{kept}, __uid long, __n int, __k int, __chunk string, __ids array<int>")
+    sorted_ = F.sort_array(F.collect_list(F.struct("__k", "__ids", "__chunk")))
+    texts = parts.groupBy("__uid").agg(*(F.first(c).alias(c) for c in keep), sorted_.alias("__all"))
+    texts = texts.select(*keep, F.flatten(F.transform("__all", lambda x: x["__ids"])).alias("ids"), F.transform("__all", lambda x: x["__chunk"]).alias("__chunks"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks_path, pattern)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1)
+                ids, chunks = part.column(len(keep))[0].values.to_numpy(), part.column(len(keep) + 1).to_pylist()[0]
+                if chunks[0] is not None:  # no common cut in some overlap: the text as one
+                    ids = own.encode(["".join(c[:-overlap] for c in chunks[:-1]) + chunks[-1]])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _lists([ids]), pa.array([own.decode(ids)], pa.binary())], [*keep, "ids", "decoded"])
+
+    return texts.mapInArrow(finish, f"{kept}, ids array<int>, decoded binary")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,18 @@ def test_chunks_are_stitched_where_cuts_meet():
         assert bpe.stitched(pattern, bpe.chunked(s, 20, 8), 8) == pattern.findall(s)
 
 
+@pytest.mark.parametrize("size, overlap", [(64, 16), (300, 40), (5, 2)])
+def test_chunks_of_long_texts_are_dealt_out(spark, rows, size, overlap):
+    """Also where an overlap has no common cut (a run of letters longer than it)."""
+    import public_tokenizers as P
+
+    codec = bpe.codec(bpe.tables(), P.PATTERN).codec
+    texts = [(i, t) for i, t, *_ in rows if i is not None and len(t or "") < 3000][-40:] + [(1, "x" * 500), (2, "a  \n\n  b " * 60), (2, "a  \n\n  b " * 60)]
+    got = bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), size=size, overlap=overlap).collect()
+    want = [(i, codec.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts]
+    assert sorted((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in got) == sorted(want)
+
+
 def test_pretokens_are_those_of_the_pattern():
     pattern, draw = regex.compile(public_tokenizers.PATTERN), random.Random(2)
     for _ in range(3000):
