@@ -163,16 +163,20 @@ class Index:
         turn = np.argsort(-bound, kind="stable")
         turn = turn[: np.count_nonzero(bound)]
         entries, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        done, step = 0, 8
+        done, step = 0, 16
         while done < len(turn) and bound[turn[done]] >= least - 1e-9:
             chosen = np.zeros(self.blocks, bool)
             chosen[turn[done : done + step]] = True
             done, step = done + step, step * 2
             own = np.flatnonzero(chosen[block])
             post, which = self._ranges(self.begin[at[own]], self.end[at[own]])
-            found, place = np.unique(self.entry[post], return_inverse=True)
-            entries = np.append(entries, found)
-            cosines = np.append(cosines, np.bincount(place, self.weight[post] * x[own][which], len(found)))
+            cosine = np.bincount(self.entry[post], self.weight[post] * x[own][which], len(self.n))
+            found = np.flatnonzero(cosine >= max(least - 1e-9, 1e-12))
+            cosine = cosine[found]
+            if len(found) > k:  # every entry is one example at least, so none beyond the k-th best of this turn can stay
+                own = cosine >= np.partition(cosine, len(found) - k)[len(found) - k] - 1e-9
+                found, cosine = found[own], cosine[own]
+            entries, cosines = np.append(entries, found), np.append(cosines, cosine)
             order = np.lexsort((entries, -cosines))
             entries, cosines = entries[order], cosines[order]
             reach = np.flatnonzero(np.cumsum(self.n[entries]) >= k)
