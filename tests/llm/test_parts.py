@@ -153,3 +153,32 @@ def test_bad_kinds_are_rejected_and_clean_texts_stay(spark):
 def test_shingles_of_short_texts(n):
     h, row = textnp.word_shingles(pa.array([" ".join("abcdef"[:n]), None, ""]))
     assert row.tolist() == [0] * max(1, n - 4)
+
+
+def test_packing_weighs_words_of_most_documents():
+    """Copies that hold over half of a shard find each other."""
+    words = np.array([3, 5, 7])
+    df = np.zeros(1 << packing.BUCKETS, np.int64)
+    df[[3, 5, 7, 9]] = 4, 4, 4, 1
+    shard = packing.Shard([words, np.array([9]), words, words, words], packing.Statistics(5, 2.6, df))
+    shard.unused[0] = False
+    assert shard.neighbours(0).tolist() == [2, 3, 4]
+
+
+def test_packing_deals_likes_together_in_any_layout(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    texts = [" ".join(word() for _ in range(20)) for _ in range(1500)]
+    docs = [(k, t) for k, t in enumerate(texts)] + [(k + 1500, f"{t} {k}") for k, t in enumerate(texts)]
+    shuffled = docs[:]
+    draw.shuffle(shuffled)
+    found = []
+    for rows, n in ((docs, 3), (shuffled, 7)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        found.append(sorted((r["id"], r["start"], r["sequence_id"], r["offset"]) for r in packing.pack(df).collect()))
+    assert found[0] == found[1]
+    group = {r[0]: r[2] >> 32 for r in found[0]}
+    assert len(set(group.values())) > 1
+    assert sum(group[k] == group[k + 1500] for k in range(1500)) > 1450
+    window = {r[0]: r[2] for r in found[0]}
+    assert sum(window[k] == window[k + 1500] for k in range(1500)) > 1350  # row order puts none together
