@@ -1,9 +1,10 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles.
 
-Of every text the hashes of its five-word shingles that fall below a fixed fraction of the
-hash range are retained, so the sketch of a union is the union of the sketches and the
-containment of a short text in a very long one can be told from their sketches alone. A text
-whose shingles all lie above the threshold retains its smallest hash.
+Of every text the hashes of its five-word shingles that fall below a fraction of the hash range are
+retained. The fraction is fixed, but doubled for a short text until LEAST hashes are retained, or all. Sketches are
+compared and merged below the smaller of their limits, which they tell themselves: so the sketch of a union follows
+from the sketches, and short texts are compared with each other by all that they have. The containment of a short text
+in a very long one can be told from their sketches where hashes of the short one lie below the long one's limit.
 
 Defined cases: a null text counts as empty; an empty text (or one of white space only) has the
 empty sketch, whose likeness is 1 to another empty one and 0 to any other; equal texts have
@@ -28,15 +29,33 @@ from .session import documents
 #: The fraction of the hash range below which hashes are retained.
 FRACTION = 1 / 8
 SHINGLE_WORDS = 5
+#: Least hashes of a sketch, unless the text has fewer.
+LEAST = 16
+
+
+def _levels(fraction: float) -> list[np.uint64]:
+    """The limits that a sketch may have, from the fraction doubled up to the whole range."""
+    out = []
+    while fraction < 1:
+        out.append(np.uint64(int(fraction * 2**64) - 1))
+        fraction *= 2
+    return [*out, np.uint64(2**64 - 1)]
+
+
+def limit(sketch: np.ndarray, fraction: float = FRACTION) -> np.uint64:
+    """The limit below which a sorted sketch holds all hashes: the first with LEAST of them, as told by the sketch itself."""
+    levels = _levels(fraction)
+    return next((x for x in levels if np.searchsorted(sketch, x, "right") >= LEAST), levels[-1])
+
+
+def below(sketch: np.ndarray, most: np.uint64) -> np.ndarray:
+    return sketch[: np.searchsorted(sketch, most, "right")]
 
 
 def sketches(column: pa.Array, fraction: float = FRACTION, n: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """The sketch of every text: sorted distinct uint64 hashes."""
     h, row = textnp.word_shingles(column, n)
-    limit = np.uint64(int(fraction * 2**64) - 1)
-    keep = h <= limit
-    has = np.zeros(len(column), bool)
-    has[row[keep]] = True
+    keep = h <= _levels(fraction)[0]
     low_h, low_row = h[keep], row[keep]
     order = np.lexsort((low_h, low_row))
     low_h, low_row = low_h[order], low_row[order]
@@ -45,26 +64,33 @@ def sketches(column: pa.Array, fraction: float = FRACTION, n: int = SHINGLE_WORD
     low_h, low_row = low_h[fresh], low_row[fresh]
     ends = np.searchsorted(low_row, np.arange(len(column) + 1))
     starts = np.searchsorted(row, np.arange(len(column) + 1))
-    return [
-        low_h[ends[i] : ends[i + 1]]
-        if has[i]
-        else h[starts[i] : starts[i + 1]].min(keepdims=True)
-        if starts[i + 1] > starts[i]
-        else low_h[:0]
-        for i in range(len(column))
-    ]
+    out = []
+    for i in range(len(column)):
+        own = low_h[ends[i] : ends[i + 1]]
+        if len(own) < LEAST:
+            own = np.unique(h[starts[i] : starts[i + 1]])
+            own = below(own, limit(own, fraction))
+        out.append(own)
+    return out
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
     """The sketch of two texts' shingles together."""
-    return np.union1d(a, b)
+    most = min(limit(a, fraction), limit(b, fraction))
+    both = np.union1d(below(a, most), below(b, most))
+    return below(both, limit(both, fraction))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated containment of the smaller shingle set in the larger, 0 to 1."""
+def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Estimated containment of the smaller shingle set in the larger, 0 to 1, from the hashes below the limits of both.
+
+    0 also where the smaller has none there: of k shingles that is so for (7/8)^k of texts at a limit of 1/8.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    most = min(limit(a, fraction), limit(b, fraction))
+    a, b = below(a, most), below(b, most)
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, min(len(a), len(b)))
 
 
 def as_text(sketch: np.ndarray) -> str:
@@ -152,8 +178,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]),
                         pa.array([as_text(a[4]) for a, _ in pairs]),
                         pa.array([as_text(x) for x in found]),
-                        pa.array([likeness(a[4], x) for (a, _), x in zip(pairs, found)], pa.float64()),
-                        pa.array([likeness(a[4], b[4]) for a, b in pairs], pa.float64()),
+                        pa.array([likeness(a[4], x, fraction) for (a, _), x in zip(pairs, found)], pa.float64()),
+                        pa.array([likeness(a[4], b[4], fraction) for a, b in pairs], pa.float64()),
                         pa.array([len(a[4]) for a, _ in pairs], pa.int64()),
                     ],
                     ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_retained"],

@@ -182,3 +182,20 @@ def test_packing_deals_likes_together_in_any_layout(spark):
     assert sum(group[k] == group[k + 1500] for k in range(1500)) > 1450
     window = {r[0]: r[2] for r in found[0]}
     assert sum(window[k] == window[k + 1500] for k in range(1500)) > 1350  # row order puts none together
+
+
+def test_sketches_of_short_texts_are_compared_below_both_limits():
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    for k in (5, 6, 9, 14, 24, 60, 300):
+        for _ in range(20):
+            a, b = ([word() for _ in range(k)] for _ in range(2))
+            x, y, both = fingerprints.sketches(pa.array([" ".join(a), " ".join([*a, *b]), " ".join(b)]))
+            sets = [np.unique(textnp.word_shingles(pa.array([" ".join(t)]))[0]) for t in (a, b)]
+            assert np.array_equal(fingerprints.merge(x, both), fingerprints.merge(both, x))
+            union = np.union1d(*sets)
+            assert np.array_equal(fingerprints.merge(x, both), fingerprints.below(union, fingerprints.limit(union)))
+            if k <= 60:
+                assert fingerprints.likeness(x, y) == 1  # contained; the longer text has at most 128 shingles
+    edited = fingerprints.sketches(pa.array(["a b c d e f g h i j k l", "a b c d e f g h i x y z"]))
+    assert fingerprints.likeness(*edited) == 5 / 8
