@@ -29,14 +29,17 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
+SIGNED = r"eyJ[A-Za-z0-9_-]++(?:\.{1,2}[A-Za-z0-9_-]++){1,4}+"
+
 # Loose patterns of further kinds, and the strict ones.
 LOOSE = {
-    "secret": r"(?<![A-Za-z0-9_/+=.-])[A-Za-z0-9_/+=-]{20,512}(?![A-Za-z0-9_/+=-])",
+    # signed tokens of segments with dots; other long tokens, with further segments that are long themselves
+    "secret": r"(?<![A-Za-z0-9_/+=.-])(?:" + SIGNED + r"|[A-Za-z0-9_/+=-]{20,}+(?:\.[A-Za-z0-9_/+=-]{16,}+)*+)",
     "account": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9-])",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?<=[Mm]y name is |contact |Contact |Signed, )\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+",
 }
 STRICT = {
-    "secret": r"^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xox[bap]|glpat)[-_][A-Za-z0-9_-]{16,}|AKIA[0-9A-Z]{16})$",
+    "secret": r"^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xox[bap]|glpat)[-_][A-Za-z0-9_-]{16,}|AKIA[0-9A-Z]{16}|" + SIGNED + ")$",
     "account": r"^(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{12,30}|[0-8][0-9]{2}-[0-9]{2}-[0-9]{4})$",
     "name": r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$",
 }
@@ -129,7 +132,7 @@ def _candidate(x: Column, text: Column, kind: str) -> Column:
     after = F.substr(text, x["end"] + 1, F.lit(1))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0).cast("tinyint")
     mixed = value.rlike("[0-9]") & value.rlike(r"\p{L}")
-    plain = value.rlike(r"^[\p{L}_/+=-]*[0-9]{0,2}$|^[0-9_/+=-]+$")
+    plain = value.rlike(r"^[\p{L}_/+=.-]*[0-9]{0,2}$|^[0-9_/+=.-]+$")
     quoted = before.rlike("[\"'`]$") & after.isin('"', "'", "`")
     side = lambda c: F.when(c.rlike(r"[\"'`]$"), "quote").when(c.rlike("[=:]$"), "sign").when(c.rlike(r"\s$"), "space").when(c == "", "end").otherwise("other")
     return F.struct(

@@ -199,3 +199,16 @@ def test_sketches_of_short_texts_are_compared_below_both_limits():
                 assert fingerprints.likeness(x, y) == 1  # contained; the longer text has at most 128 shingles
     edited = fingerprints.sketches(pa.array(["a b c d e f g h i j k l", "a b c d e f g h i x y z"]))
     assert fingerprints.likeness(*edited) == 5 / 8
+
+
+def test_long_and_dotted_secrets_are_whole(spark):
+    draw = random.Random(10)
+    key = lambda n: "".join(draw.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMN0123456789") for _ in range(n))
+    signed = f"eyJ{key(17)}.eyJ{key(60)}.{key(43)}"
+    long, plain = key(2000), key(40)
+    text = f'token = "{signed}" and secret = "{long}" and token {signed}. Then key = {plain}.'
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.found_spans(docs).first()["__loose"]
+    assert [c["value"] for c in found if c["kind"] == "secret"] == [signed, long, signed, plain]
+    redacted = pii.redact(docs).first()["text"]
+    assert signed not in redacted and signed.split(".")[1] not in redacted
