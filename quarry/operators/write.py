@@ -6,7 +6,10 @@ anti join, what is new is added.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quarry.functions.text import lookup_path, parent_path, slug, token_count
 
@@ -49,18 +52,30 @@ def accepted_saves(saves: DataFrame, seconds: int = DUPLICATE_SECONDS) -> DataFr
     """saves (save_id, ts, content) with `accepted`: content that was accepted less than so many seconds before isn't.
 
     The time counts from the last accepted save, not from the last one: a fold over each content's times in order.
-    A content's saves are grouped by hash and only ids and times are gathered.
+    A save so many seconds after the one before it is always accepted, so a content's times are cut there into pieces that
+    are dealt out. The fold holds the last accepted time only; nothing is gathered.
     """
     hashed = saves.withColumn("hash", F.sha2(F.trim("content"), 256))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    times = hashed.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col("save_id").alias("id")))).alias("all"))
-    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(saves.dtypes)['save_id']}>").alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = acc["last"].isNull() | (x["at"] - acc["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(fresh, x["at"]).otherwise(acc["last"]).alias("last"), F.when(fresh, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"))
-
-    kept = times.select(F.explode(F.aggregate("all", none, step, lambda acc: acc["ids"])).alias("save_id"), F.lit(True).alias("accepted"))
+    w = W.partitionBy("hash").orderBy("at", "save_id")
+    times = hashed.select("hash", at.alias("at"), "save_id")
+    fresh = F.coalesce((F.col("at") - F.lag("at").over(w) >= seconds * 1_000_000).cast("int"), F.lit(1))
+    times = times.withColumn("fresh", fresh).withColumn("piece", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    times = times.select("hash", "piece", "at", "save_id").repartition("hash", "piece").sortWithinPartitions("hash", "piece", "at", "save_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = last = None
+        for batch in batches:
+            keep = []
+            for k, (hash_, piece, time) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if own != (hash_, piece):
+                    own, last = (hash_, piece), None
+                if last is None or time - last >= seconds * 1_000_000:
+                    last = time
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(keep, pa.int64()))], ["save_id"])
+
+    kept = times.mapInArrow(fold, f"save_id {dict(saves.dtypes)['save_id']}").withColumn("accepted", F.lit(True))
     return hashed.join(kept, "save_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -67,3 +68,21 @@ def test_settings(tmp_path):
     s = config.load(str(f), {"QUARRY_ROOTS": "a,b"})
     assert (s.max_tokens_per_query, s.snippet_chars, s.roots, s.db_path) == (1, 40, ["a", "b"], str(tmp_path / "x"))
     assert config.load(str(tmp_path / "none"), {}).include_globs == config.load(None, {}).include_globs
+
+
+def test_saves_of_one_content_are_folded_in_pieces(spark):
+    """Against a loop; and no row holds all times of a content."""
+    draw = random.Random(11)
+    time, rows = 0, []
+    for k in range(3000):
+        time += draw.choice((0, 1, 20, 45, 59, 60, 200))
+        rows.append((k, at(time), draw.choice("aaab")))
+    saves = spark.createDataFrame(rows, "save_id long, ts timestamp, content string").repartition(5)
+    want, last = set(), {}
+    for k, t, c in rows:
+        if c not in last or (t - last[c]).total_seconds() >= 60:
+            last[c] = t
+            want.add(k)
+    df = W.accepted_saves(saves)
+    assert {r["save_id"] for r in df.where("accepted").collect()} == want
+    assert "collect_list" not in df._jdf.queryExecution().toString()
