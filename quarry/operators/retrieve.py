@@ -94,9 +94,15 @@ def with_snippet(hits: DataFrame, words: int = 64, chars: int = SNIPPET_CHARS) -
     w, n = F.col("__w"), F.size("__w")
     hit = F.transform(w, lambda x: F.when(F.exists("terms", lambda t: F.contains(F.lower(x), t)), 1).otherwise(0))
     df = hits.withColumn("__w", F.split("content", r"\s+")).withColumn("__hit", hit)
-    starts = F.sequence(F.lit(0), F.greatest(n - words, F.lit(0)), F.lit(words // 4))
-    scored = F.transform(starts, lambda s: F.struct(F.size(F.filter(F.slice("__hit", s + 1, words), lambda h: h == 1)).alias("n"), (-s).alias("at")))
-    df = df.withColumn("__at", -F.array_max(scored)["at"])
+    starts = F.when(n > words, F.sequence(F.lit(1), n - words)).otherwise(F.array().cast("array<int>"))
+    first = F.aggregate(F.slice("__hit", 1, words), F.lit(0), lambda acc, h: acc + h)
+
+    def step(acc: Column, s: Column) -> Column:  # a start further: the count of its window, the best one so far and where it is
+        count = acc["count"] + F.get("__hit", s + (words - 1)) - F.get("__hit", s - 1)
+        return F.struct(count.alias("count"), F.greatest(acc["most"], count).alias("most"), F.when(count > acc["most"], s).otherwise(acc["at"]).alias("at"))
+
+    zero = F.struct(first.alias("count"), first.alias("most"), F.lit(0).alias("at"))
+    df = df.withColumn("__at", F.aggregate(starts, zero, step, lambda acc: acc["at"]))
     at = F.col("__at")
     cut_ = F.concat(F.when(at > 0, " ... ").otherwise(""), F.array_join(F.slice(w, at + 1, words), " "), F.when(at + words < n, " ... ").otherwise(""))
     found = F.when(n <= words, F.col("content")).otherwise(cut_)
