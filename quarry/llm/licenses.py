@@ -116,14 +116,15 @@ def rules() -> tuple[Rule, ...]:
     """The ordered rules: exact versions before "or later" families, notices, plain families and references."""
     out = []
     for stem, names, keyword, versions in FAMILIES:
+        words = stem.replace("-", " ")  # as normalised texts have it
         for v in versions:
             label = f"{stem}-{v.replace(' ', '.')}"
             later = r"(?: of the licen[sc]e)?(?: or (?:\(?at your option\)? )?any later version| or later)"
             out.append(_rule(f"{label}-later", keyword, rf"{names}(?: as published by the free software foundation)?(?: either)? (?:version |v ?)?{v}{later}", f"{label}-or-later", 0))
             out.append(_rule(label, keyword, rf"{names}(?: as published by the free software foundation)?(?: either)? (?:version |v ?)?{v}", label, 1))
-            out.append(_rule(f"{label}-spdx", "spdx", rf"spdx license identifier {stem} {v}(?: only| or later)?", label, 1))
+            out.append(_rule(f"{label}-spdx", "spdx", rf"spdx license identifier {words} {v}(?: only| or later)?", label, 1))
         out.append(_rule(stem, keyword, names, stem, 4))
-        out.append(_rule(f"{stem}-spdx", "spdx", rf"spdx license identifier {stem}", stem, 3))
+        out.append(_rule(f"{stem}-spdx", "spdx", rf"spdx license identifier {words}", stem, 3))
     for parts, long in CC_PARTS.items():
         label = "cc-" + parts.replace(" ", "-")
         for v in CC_VERSIONS:
@@ -135,7 +136,12 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: r.priority))
 
 
-KEYWORDS_OF_ANY = (b"licen", b"copyright", b"cc", b"public domain", b"permission", b"redistributions", b"reserved", b"proprietary", b"neither", b"developed", b"unencumbered", b"creative", b"spdx", b"under", b"clause", b"bsd")
+@functools.cache
+def _gate() -> tuple[bytes, ...]:
+    """Of the words without which neither a rule nor a base phrase can match, those that hold no other; spaces end no word, so a raw text has them too."""
+    words = {r.keyword for r in rules()} | {max(p.split(), key=len).encode() for p in BASE}
+    assert not any(b" " in k for k in words)
+    return tuple(sorted((k for k in words if not any(o != k and o in k for o in words)), key=len))
 
 
 def suppressed(found: list[tuple[int, int, int, Rule]]) -> list[tuple[int, int, int, Rule]]:
@@ -201,7 +207,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 for i in range(part.num_rows):
                     lo, hi = ends[i], ends[i + 1]
                     text = data[offsets[i] : offsets[i + 1]].tobytes()
-                    if not any(k in text for k in KEYWORDS_OF_ANY):
+                    if not any(k in text for k in _gate()):
                         base.append([])
                         found.append([])
                         continue

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quarry.llm import bpe, fingerprints, jaccard, packing, pii, quality, substrings, textnp, toxicity
+from quarry.llm import bpe, fingerprints, jaccard, licenses, packing, pii, quality, substrings, textnp, toxicity
 from quarry.llm.weak import Voters, fit
 
 
@@ -212,3 +212,12 @@ def test_long_and_dotted_secrets_are_whole(spark):
     assert [c["value"] for c in found if c["kind"] == "secret"] == [signed, long, signed, plain]
     redacted = pii.redact(docs).first()["text"]
     assert signed not in redacted and signed.split(".")[1] not in redacted
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Unauthorized copying of this file", "proprietary"), ("released into the public\ndomain", "public-domain"), ("Public-Domain dedication", "public-domain"),
+    ("to the placed in the public  domain", "public-domain"), ("SPDX-License-Identifier: MS-PL", "ms-pl"), ("SPDX-License-Identifier: MS-RL", "ms-rl"),
+])
+def test_no_gate_hides_a_rule(spark, text, label):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert label in [d["label"] for d in licenses.scan(docs).first()["detections"]]
