@@ -28,8 +28,8 @@ from . import textnp
 from .language import held_out
 from .session import cut, documents
 
-#: Labelled rows that are learned from, terms of the vector space, least documents and z score of a term.
-MOST_EXAMPLES, MOST_TERMS, LEAST_DOCS, LEAST_Z = 20_000, 4096, 4, 4.0
+#: Labelled rows that are learned from, least documents and z score of a term.
+MOST_EXAMPLES, LEAST_DOCS, LEAST_Z = 20_000, 4, 4.0
 NEIGHBOURS = 15
 BLOCK = 64
 #: Weight of the general share among the votes.
@@ -65,7 +65,7 @@ def _examples(docs: DataFrame, labels: DataFrame, label: str, most: int) -> Data
 
 
 def _vocabulary(examples: DataFrame) -> np.ndarray:
-    """Hashes of the terms that go with the label, sorted; at most MOST_TERMS."""
+    """Hashes of the terms that go with the label, sorted; their number is bounded by the examples."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +88,7 @@ def _vocabulary(examples: DataFrame) -> np.ndarray:
     terms = examples.select("text", F.col("y").cast("long").alias("y")).mapInArrow(count, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     share = F.col("n") / n
     z = (F.col("pos") / pos - (F.col("n") - F.col("pos")) / (n - pos)) / F.sqrt(share * (1 - share) * (1 / pos + 1 / (n - pos)))
-    best = terms.where((F.col("n") >= LEAST_DOCS) & (F.col("n") < n)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
+    best = terms.where((F.col("n") >= LEAST_DOCS) & (F.col("n") < n)).where(z >= LEAST_Z)
     return np.sort(np.array([r["term"] for r in best.collect()], np.int64))
 
 

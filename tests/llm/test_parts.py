@@ -221,3 +221,9 @@ def test_long_and_dotted_secrets_are_whole(spark):
 def test_no_gate_hides_a_rule(spark, text, label):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert label in [d["label"] for d in licenses.scan(docs).first()["detections"]]
+
+
+def test_all_words_that_go_with_the_label_are_terms(spark):
+    toxic = " ".join(f"w{k}" for k in range(5000))
+    docs = [(f"{toxic} x{k}", 1) for k in range(10)] + [(f"y{k} fine", 0) for k in range(10)]
+    assert len(toxicity._vocabulary(spark.createDataFrame(docs, "text string, y int"))) == 5000
