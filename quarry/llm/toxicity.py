@@ -1,16 +1,19 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-Learning takes at most MOST_EXAMPLES labelled rows (those of the smallest hash of their id). Their
-terms are tested for going with the label; the terms that do are the vector space, weighted by inverse
-document frequencies over all documents. Examples with the same vector are one entry with its counts.
-Entries stand in blocks; per term the index holds the blocks that have it with the largest weight in
-each, so that blocks are scored in the order of their upper bounds until no block left can reach the
-nearest entries found. The result is the exact one.
+Learning takes at most MOST_EXAMPLES labelled rows (those of the smallest hash of their id). All words of a text
+are in its vector and in its norm: a word weighs the logarithm of its count, its inverse document frequency over all
+documents, and the square of its relevance frequency among the examples (log2(2 + toxic / other examples that have it), 1 for
+words that no example has). Without that last factor the nearest texts are those of the same subject, whatever their label.
+Words are told apart by cells, see `lexicon`.
 
-The score is the distance-weighted share of toxic examples among the nearest, drawn towards the
-general share; a text without any known term gets the share of such texts among the examples.
+Examples with the same vector are one entry with its counts. Entries stand in blocks; per word the index holds the blocks
+that have it with the largest weight in each, so that blocks are scored in the order of their upper bounds until no
+block left can reach the nearest entries found. The result is the exact one.
 
-Defined cases: a null or empty text is one without known terms; ties at the last neighbour are all
+The score is the share of toxic examples among the nearest, weighted by cosine and drawn towards the
+general share; a text without words gets the share of such texts among the examples.
+
+Defined cases: a null or empty text is one without words; ties at the last neighbour are all
 counted; without labelled rows every score is 0; labelled rows whose label is null, or whose id isn't among
 the documents, teach nothing; an id that is labelled twice has its highest label; repeated rows
 are each scored; other columns are ignored; an empty table gives an empty result.
@@ -26,150 +29,85 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp
 from .language import held_out
+from .lexicon import BUCKETS, Statistics, cells, counted, statistics
 from .session import cut, documents
 
-#: Labelled rows that are learned from, least documents and z score of a term.
-MOST_EXAMPLES, LEAST_DOCS, LEAST_Z = 20_000, 4, 4.0
+#: Labelled rows that are learned from.
+MOST_EXAMPLES = 4096
 NEIGHBOURS = 15
 BLOCK = 64
 #: Weight of the general share among the votes.
-PRIOR = 1.0
+PRIOR = 0.1
 TOXIC = 0.3
 
+#: Cells, their counts, number of examples, of toxic ones, smallest id.
+Entry = tuple[tuple[int, ...], tuple[int, ...], int, int, int]
 
-def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and their rows."""
-    data, offsets = textnp.flat(column)
-    data = textnp.LOWER[data]
-    start, end, row = textnp.words(data, offsets, textnp.ALNUM)
-    h = textnp.mix(textnp.span_hashes(textnp.prefix_hashes(data), start, end) + (end - start).astype(np.uint64))
-    return h.view(np.int64), row
-
-
-def _counted(h: np.ndarray, row: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, place in the vocabulary (sorted hashes) and count of each known term of each text, sorted by them."""
-    if not len(vocabulary) or not len(h):
-        return (np.zeros(0, np.int64),) * 3
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    known = vocabulary[at] == h
-    key, n = np.unique(row[known] * len(vocabulary) + at[known], return_counts=True)
-    return key // len(vocabulary), key % len(vocabulary), n
-
-
-def _examples(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """id, text, y of a bounded number of labelled documents, one row per distinct text."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` small rows
-    return rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("id"), F.first("text").alias("text"), F.max("y").alias("y"))
 
-
-def _vocabulary(examples: DataFrame) -> np.ndarray:
-    """Hashes of the terms that go with the label, sorted; their number is bounded by the examples."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textnp.slices(batch):
-                h, row = _terms(part.column(0))
-                y = part.column(1).to_numpy(zero_copy_only=False)
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                fresh = np.ones(len(h), bool)
-                fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, row = h[fresh], row[fresh]
-                edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
-                n, pos = np.diff(np.append(edge, len(h))), np.add.reduceat(y[row], edge) if len(h) else edge
-                yield pa.RecordBatch.from_arrays([pa.array(h[edge]), pa.array(n, pa.int64()), pa.array(pos, pa.int64())], ["term", "n", "pos"])
-
-    total = examples.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
-    n, pos = total["n"], total["pos"]
-    if not pos or pos == n:
-        return np.zeros(0, np.int64)
-    terms = examples.select("text", F.col("y").cast("long").alias("y")).mapInArrow(count, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    share = F.col("n") / n
-    z = (F.col("pos") / pos - (F.col("n") - F.col("pos")) / (n - pos)) / F.sqrt(share * (1 - share) * (1 / pos + 1 / (n - pos)))
-    best = terms.where((F.col("n") >= LEAST_DOCS) & (F.col("n") < n)).where(z >= LEAST_Z)
-    return np.sort(np.array([r["term"] for r in best.collect()], np.int64))
-
-
-def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of all documents and, of each term, of those that have it."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(shared.value), np.int64), 0
-        for batch in batches:
-            for part in textnp.slices(batch):
-                _, at, _ = _counted(*_terms(part.column(0)), shared.value)
-                total += np.bincount(at, minlength=len(total))
-                n += part.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], n))], ["term", "n"])
-
-    out, n = np.zeros(len(vocabulary), np.int64), 0
-    for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r["term"] < 0:
-            n = r["n"]
-        else:
-            out[r["term"]] = r["n"]
-    return n, out
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [lo, hi), and the place of the range of each."""
+    size = hi - lo
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum()), np.repeat(np.arange(len(lo)), size)
 
 
 class Index:
     """Block-max inverted index over the distinct example vectors, for one query at a time."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, entries: list[tuple[tuple, int, int, int]]) -> None:
-        """entries: ((term, count) pairs, number of examples, of toxic ones, smallest id)."""
-        self.vocabulary, self.idf = vocabulary, idf
+    def __init__(self, known: Statistics, entries: list[Entry]) -> None:
         empty = [e for e in entries if not e[0]]
-        entries = sorted(e for e in entries if e[0])
-        self.n, self.y, self.id = (np.array([e[k] for e in entries], np.int64) for k in (1, 2, 3))
-        all_n, all_y = sum(e[1] for e in entries + empty), sum(e[2] for e in entries + empty)
-        self.share = all_y / all_n if all_n else 0.0
-        n0, y0 = sum(e[1] for e in empty), sum(e[2] for e in empty)
+        entries = [e for e in entries if e[0]]
+        size = [len(e[0]) for e in entries]
+        term, count = (np.array([x for e in entries for x in e[k]], np.int64) for k in (0, 1))
+        n, y, ids = (np.array([e[k] for e in entries], np.int64) for k in (2, 3, 4))
+        total, toxic = (int(x.sum()) + sum(e[k] for e in empty) for x, k in ((n, 2), (y, 3)))
+        self.share = toxic / total if total else 0.0
+        n0, y0 = sum(e[2] for e in empty), sum(e[3] for e in empty)
         self.none = (y0 + PRIOR * self.share) / (n0 + PRIOR)
+        of = np.repeat(np.arange(len(entries)), size)
+        rate = (y / np.maximum(n, 1))[of]
+        yes, no = (np.bincount(term, x, 1 << BUCKETS) for x in (rate, 1 - rate))
+        self.scale = (known.idf() * np.log2(2 + yes / np.maximum(no, 1)) ** 2).astype(np.float32)
+        weight = (1 + np.log(count)) * self.scale[term]
+        weight /= np.sqrt(np.bincount(of, weight**2, len(entries)))[of]
+        # entries whose heaviest words are the same stand in one block, so that its bounds are tight
+        heaviest = np.full(len(entries), -1)
+        by_weight = np.lexsort((term, weight, of))
+        heaviest[of[by_weight]] = term[by_weight]
+        place = np.empty(len(entries), np.int64)
+        by = np.lexsort((ids, heaviest, y * 2 < n))
+        place[by] = np.arange(len(entries))
+        self.n, self.y, self.id = n[by], y[by], ids[by]
         self.blocks = -(-len(entries) // BLOCK)
-        size = [len(e[0]) for e in entries]
-        entry = np.repeat(np.arange(len(entries)), size)
-        term, count = (np.array([x[k] for e in entries for x in e[0]], np.int64) for k in (0, 1))
-        weight = (1 + np.log(count)) * idf[term]
-        norm = np.sqrt(np.bincount(entry, weight**2, len(entries)))
-        weight = weight / norm[entry]
+        entry = place[of]
         order = np.lexsort((entry, term))
         term, self.entry, self.weight = term[order], entry[order], weight[order]
-        # of every term the blocks that have it: block, largest weight, and where the block's postings begin
+        # of every word the blocks that have it: block, largest weight, and where the block's postings begin
         block = self.entry // BLOCK
         head = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         self.block, self.most = block[head], np.maximum.reduceat(self.weight, head) if len(head) else weight
         self.begin, self.end = head, np.append(head[1:], len(term))[: len(head)]
-        self.lists = np.searchsorted(term[head], np.arange(len(vocabulary) + 1))
-
-    @staticmethod
-    def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All numbers of the ranges [lo, hi), and the place of the range of each."""
-        size = hi - lo
-        return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum()), np.repeat(np.arange(len(lo)), size)
+        self.lists = np.searchsorted(term[head], np.arange((1 << BUCKETS) + 1)).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines of the k nearest examples (an entry counts as often as it has examples; ties at the end included).
 
         Blocks are scored in the order of their bounds, twice as many each time, until the next bound is below the last neighbour.
         """
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.scale[terms]
         w = w / np.sqrt((w * w).sum())
-        at, of = self._ranges(self.lists[terms], self.lists[terms + 1])
+        at, of = _ranges(self.lists[terms], self.lists[terms + 1])
         x, block = w[of], self.block[at]
         bound = np.bincount(block, x * self.most[at], self.blocks)
         turn = np.argsort(-bound, kind="stable")
         turn = turn[: np.count_nonzero(bound)]
         entries, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        done, step = 0, 16
+        done, step = 0, 4
         while done < len(turn) and bound[turn[done]] >= least - 1e-9:
             chosen = np.zeros(self.blocks, bool)
             chosen[turn[done : done + step]] = True
             done, step = done + step, step * 2
             own = np.flatnonzero(chosen[block])
-            post, which = self._ranges(self.begin[at[own]], self.end[at[own]])
+            post, which = _ranges(self.begin[at[own]], self.end[at[own]])
             cosine = np.bincount(self.entry[post], self.weight[post] * x[own][which], len(self.n))
             found = np.flatnonzero(cosine >= max(least - 1e-9, 1e-12))
             cosine = cosine[found]
@@ -193,29 +131,33 @@ class Index:
         entries, cosines = self.nearest(terms, counts)
         if not len(entries):
             return self.share, []
-        weight = cosines**2 * self.n[entries]
+        weight = cosines * self.n[entries]
         rate = self.y[entries] / self.n[entries]
         return float(((weight * rate).sum() + PRIOR * self.share) / (weight.sum() + PRIOR)), self.id[entries[:3]].tolist()
 
 
+def _examples(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """id, text, y of a bounded number of labelled documents, one row per distinct text."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` small rows
+    return rows.groupBy("text").agg(F.min("doc_id").alias("id"), F.max("y").alias("y"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_EXAMPLES) -> Index:
     """The index, from labelled rows (labels: doc_id and the label) and the frequencies of all docs."""
-    examples = cut(_examples(docs, labels, label, most), "examples")
-    vocabulary = _vocabulary(examples)
-    n, df = _frequencies(docs, vocabulary)
-    idf = np.log((n + 1) / (df + 1)) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textnp.slices(batch):
-                row, at, c = _counted(*_terms(part.column(0)), vocabulary)
+                row, at, c = counted(*cells(part.column(0)))
                 lists = [textnp.list_array(x, row, part.num_rows, pa.int64()) for x in (at, c)]
                 yield pa.RecordBatch.from_arrays([*lists, part.column(1), part.column(2)], ["terms", "counts", "y", "id"])
 
-    rows = examples.select("text", F.col("y").cast("long").alias("y"), F.col("id").cast("long").alias("id"))
+    rows = cut(_examples(docs, labels, label, most), "examples").select("text", F.col("y").cast("long").alias("y"), F.col("id").cast("long").alias("id"))
     same = rows.mapInArrow(vectors, "terms array<bigint>, counts array<bigint>, y long, id long").groupBy("terms", "counts")
     entries = same.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.min("id").alias("id")).collect()  # at most `most`
-    return Index(vocabulary, idf, [(tuple(zip(e["terms"], e["counts"])), e["n"], e["y"], e["id"]) for e in entries])
+    return Index(statistics(docs), [(tuple(e["terms"]), tuple(e["counts"]), e["n"], e["y"], e["id"]) for e in entries])
 
 
 def score(docs: DataFrame, index: Index, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -224,19 +166,12 @@ def score(docs: DataFrame, index: Index, keep: list[str], text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, seen = shared.value, {}
+        index = shared.value
         for batch in batches:
             for part in textnp.slices(batch, "__text"):
-                row, at, c = _counted(*_terms(part.column(len(keep))), index.vocabulary)
+                row, at, c = counted(*cells(part.column(len(keep))))
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
-                out = []
-                for a, b in zip(ends[:-1], ends[1:]):
-                    key = at[a:b].tobytes() + c[a:b].tobytes()
-                    if key not in seen:
-                        if len(seen) > 100_000:
-                            seen.clear()
-                        seen[key] = index.score(at[a:b], c[a:b])
-                    out.append(seen[key])
+                out = [index.score(at[a:b], c[a:b]) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], [*keep, "score", "evidence"])
 
     kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)

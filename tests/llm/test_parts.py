@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quarry.llm import bpe, fingerprints, jaccard, licenses, packing, pii, quality, substrings, textnp, toxicity
+from quarry.llm import bpe, fingerprints, jaccard, lexicon, licenses, packing, pii, quality, substrings, textnp, toxicity
 from quarry.llm.weak import Voters, fit
 
 
@@ -92,26 +92,83 @@ def test_prefixes_are_shortened_to_the_recall():
     assert jaccard.prefix_length(0.5) < d
 
 
-def test_nearest_is_exact():
-    draw = np.random.default_rng(5)
-    idf = draw.random(80) + 0.5
-    vec = lambda: tuple((int(t), int(draw.integers(1, 4))) for t in np.unique(draw.integers(0, 80, draw.integers(1, 8))))
-    entries = {vec(): (int(draw.integers(1, 4)), 1, k) for k in range(700)}
-    index = toxicity.Index(np.arange(80), idf, [(v, *e) for v, e in entries.items()])
-    ordered = sorted(entries)
-    m = np.zeros((len(ordered), 80))
-    for k, v in enumerate(ordered):
-        for t, c in v:
-            m[k, t] = (1 + np.log(c)) * idf[t]
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    for _ in range(100):
-        t, c = (np.array(x) for x in zip(*vec()))
-        q = np.zeros(80)
-        q[t] = (1 + np.log(c)) * idf[t]
-        s = m @ (q / np.linalg.norm(q))
-        order = np.argsort(-s, kind="stable")
-        reach = np.flatnonzero(np.cumsum([entries[ordered[k]][0] for k in order]) >= 15)[0]
-        assert set(index.nearest(t, c)[0].tolist()) == set(np.flatnonzero((s >= s[order[reach]] - 1e-9) & (s > 0)).tolist())
+def _toxicity_by_hand(texts: list[str], examples: dict[str, list[tuple[int, int]]]) -> dict[str, float]:
+    """Scores by plain cosines of whole texts, in dictionaries. examples: of each text its (id, label)."""
+    import math
+    from collections import Counter
+
+    find = lambda t: regex.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t))
+    known = sorted({w for t in {*texts, *examples} for w in find(t)})
+    cell = dict(zip(known, lexicon.cells(pa.array(known, pa.string()))[0].tolist()))  # words of one cell are one
+    words = {t: Counter(cell[w] for w in find(t)) for t in {*texts, *examples}}
+    df = Counter(w for t in texts for w in words[t])
+    rate = {t: sum(y for _, y in of) / len(of) for t, of in examples.items()}
+    yes, no = Counter(), Counter()
+    for t, r in rate.items():
+        for w in words[t]:
+            yes[w], no[w] = yes[w] + r, no[w] + 1 - r
+    scale = {w: math.log((len(texts) + 1) / n) * math.log2(2 + yes[w] / max(no[w], 1)) ** 2 for w, n in df.items()}
+    vector = {}
+    for t, c in words.items():
+        v = {w: (1 + math.log(n)) * scale[w] for w, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vector[t] = {w: x / norm for w, x in v.items()} if v else {}
+    share = sum(y for of in examples.values() for _, y in of) / sum(map(len, examples.values()))
+    out = {}
+    for t in words:
+        if not vector[t]:
+            of = [y for e, of in examples.items() if not vector[e] for _, y in of]
+            out[t] = (sum(of) + toxicity.PRIOR * share) / (len(of) + toxicity.PRIOR)
+            continue
+        near = sorted(((sum(x * vector[e].get(w, 0) for w, x in vector[t].items()), len(of), rate[e]) for e, of in examples.items()), reverse=True)
+        near, n, votes, total, last = [x for x in near if x[0] > 1e-12], 0, toxicity.PRIOR * share, toxicity.PRIOR, 0
+        for s, size, r in near:
+            if n >= toxicity.NEIGHBOURS and s < last - 1e-9:
+                break
+            n, votes, total, last = n + size, votes + s * size * r, total + s * size, s
+        out[t] = votes / total if near else share
+    return out
+
+
+def test_toxicity_is_that_of_whole_texts_cosines(spark, sf):
+    """Every score of the small documents against plain cosines; small blocks, so that bounds have to skip some."""
+    import zlib
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect():
+        labels[r["doc_id"]] = max(r["toxic"], labels.get(r["doc_id"], 0))
+    examples: dict[str, list] = {}
+    for i, t in docs:
+        if i in labels and zlib.crc32(str(i).encode()) % 4 != 2:
+            examples.setdefault(t or "", []).append((i, labels[i]))
+    examples = {t: [(min(i for i, _ in of), max(y for _, y in of))] for t, of in examples.items()}  # a text counts once
+    want = _toxicity_by_hand([t or "" for _, t in docs], examples)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([(i, y) for of in examples.values() for i, y in of], "doc_id long, toxic int")
+    index = toxicity.learn(frame, known)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame, index, ["doc_id"]).collect()}
+    assert max(abs(got[i] - want[t or ""]) for i, t in docs) < 1e-4
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Learned on one fold, told on the other: a few words decide, whatever the rest of the text."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 6)))
+    common = [word() for _ in range(60)]
+    bad = ["vile", "scum", "awful", "trash", "loser", "rotten"]
+    rows = []
+    for k in range(600):
+        text = [draw.choice(common) if draw.random() < 0.5 else word() for _ in range(100)]
+        toxic = k % 5 == 0
+        for _ in range(4 if toxic else 0):
+            text.insert(draw.randrange(len(text)), draw.choice(bad))
+        rows.append((k, " ".join(text), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    index = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i % 4 != 2], "doc_id long, toxic int"))
+    held = {r["doc_id"]: r["score"] >= toxicity.TOXIC for r in toxicity.score(docs, index, ["doc_id"]).collect() if r["doc_id"] % 4 == 2}
+    right = [held[i] == bool(y) for i, _, y in rows if i in held]
+    assert sum(right) >= 0.97 * len(right)
 
 
 def test_sketches_merge_and_contain():
@@ -158,9 +215,9 @@ def test_shingles_of_short_texts(n):
 def test_packing_weighs_words_of_most_documents():
     """Copies that hold over half of a shard find each other."""
     words = np.array([3, 5, 7])
-    df = np.zeros(1 << packing.BUCKETS, np.int64)
+    df = np.zeros(1 << lexicon.BUCKETS, np.int64)
     df[[3, 5, 7, 9]] = 4, 4, 4, 1
-    shard = packing.Shard([words, np.array([9]), words, words, words], packing.Statistics(5, 2.6, df))
+    shard = packing.Shard([words, np.array([9]), words, words, words], lexicon.Statistics(5, 2.6, df))
     shard.unused[0] = False
     assert shard.neighbours(0).tolist() == [2, 3, 4]
 
@@ -221,9 +278,3 @@ def test_long_and_dotted_secrets_are_whole(spark):
 def test_no_gate_hides_a_rule(spark, text, label):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert label in [d["label"] for d in licenses.scan(docs).first()["detections"]]
-
-
-def test_all_words_that_go_with_the_label_are_terms(spark):
-    toxic = " ".join(f"w{k}" for k in range(5000))
-    docs = [(f"{toxic} x{k}", 1) for k in range(10)] + [(f"y{k} fine", 0) for k in range(10)]
-    assert len(toxicity._vocabulary(spark.createDataFrame(docs, "text string, y int"))) == 5000
