@@ -24,12 +24,12 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat lose their bytes; a character that is cut in two goes whole. Every document stays."""
-    removed = substrings.remove_repeats(docs)
-    text = F.col("__kept").cast("string")
-    whole = F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "�", ""))
-    fresh = removed.withColumn("text", F.when(F.col("__spans").isNotNull(), whole).otherwise(F.col("text")))
+    removed, kept, spans = substrings.remove_repeats(docs)
+    text, cut = F.col(kept).cast("string"), F.col(spans).isNotNull()
+    whole = F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
+    fresh = removed.withColumn("text", F.when(cut, whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        fresh = fresh.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        fresh = fresh.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return fresh.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, language, licenses, packing, pii, quality, substrings, toxicity
+from . import bpe, fingerprints, jaccard, language, licenses, packing, pii, quality, sql, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,19 +26,6 @@ def queries() -> dict[str, Query]:
     }
 
 
-#: Exact similarity of all distinct texts by shared shingles, and classes as what links reach.
-NEAR_DUPLICATES = r"""WITH RECURSIVE d AS (SELECT coalesce(text, '') AS txt, min(doc_id) AS rep, count(*) AS n_copies FROM documents GROUP BY 1),
-  w AS (SELECT rep, regexp_extract_all(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM d),
-  s AS (SELECT DISTINCT rep, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
-  z AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
-  p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.rep <> b.rep GROUP BY 1, 2),
-  l AS (SELECT x, y FROM p JOIN z zx ON zx.rep = x JOIN z zy ON zy.rep = y WHERE 5 * shared >= 4 * (zx.n + zy.n - shared)),
-  r AS (SELECT rep AS node, rep AS root FROM d UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node),
-  c AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
-  k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
-  SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies FROM documents JOIN d ON coalesce(text, '') = txt JOIN c ON c.node = rep LEFT JOIN k ON k.x = rep"""
-
-
 def oracle_sql() -> dict[str, str]:
     """Where SQL can tell a query's rows; the other operators hash, tokenise, or vote by learned weights."""
-    return {"op4_ngram_jaccard_join": NEAR_DUPLICATES}
+    return {"op4_ngram_jaccard_join": sql.NEAR_DUPLICATES, "op10_substring_dedup": sql.REPEATED_PASSAGES}

@@ -56,20 +56,57 @@ def test_suffix_sort_and_repeated_windows():
     found = substrings.repeated_windows(data, at, group, 40)
     windows = [bytes(data[p : p + 40]) for p in at]
     assert found.tolist() == [windows.count(w) > 1 for w in windows]
+    halves = at % 2  # windows equal across groups don't count
+    found = substrings.repeated_windows(data, at, halves, 40)
+    assert found.tolist() == [sum(v == w for v, h in zip(windows, halves) if h == g) > 1 for w, g in zip(windows, halves)]
 
 
-def test_a_hash_collision_removes_nothing(monkeypatch):
+def _spans(spark, texts: list[str], **more) -> list:
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r["id"], [tuple(x) for x in r["spans"]]) for r in substrings.repeats(docs, **more).collect())
+
+
+def _passages(n: int = 6) -> list[str]:
+    """A passage in various contexts, and a whole copy."""
+    draw = random.Random(4)
+    text = lambda k: "".join(draw.choice("abcdefghij ") for _ in range(k))
+    passage = text(320)
+    out = [text(300) + passage[k : 320 - k] + text(250) for k in range(n)]
+    return [*out, out[0]]
+
+
+def test_collisions_of_hashes_remove_nothing_else(spark, monkeypatch):
+    """Everything that is hashed by `textnp` collides; only bytes tell texts apart, from the first count to the last span."""
+    texts = _passages()
+    want = _spans(spark, texts)
     monkeypatch.setattr(textnp, "mix", lambda h: np.zeros_like(h))
-    data = np.random.default_rng(4).integers(0, 255, 400).astype(np.uint8)
+    monkeypatch.setattr(substrings, "MOST_KINDS", 10**9)
+    assert _spans(spark, texts) == want
+    # hashes that say of all suffixes that they agree: neighbours' bytes differ, so nothing goes that isn't a whole kind
     at = np.arange(300)
+    data = np.random.default_rng(4).integers(0, 255, 500).astype(np.uint8)
+    monkeypatch.setattr(substrings, "common", lambda prefix, p, q, most: np.full(len(p), most))
     assert not substrings.repeated_windows(data, at, np.zeros(300, np.int64), 100).any()
 
 
-def test_many_kinds_take_the_other_way(spark, rows):
+def test_the_sorted_order_finds_the_repeats(spark, monkeypatch):
+    texts = _passages()
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdefghij ") for _ in range(150)) + texts[k % 3][300:560] for k in range(40)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([np.arange(k * 410, k * 410 + 211) for k in range(40)])
+    group = np.zeros(len(at), np.int64)
+    windows = [bytes(data[p : p + 200]) for p in at]
+    want = [windows.count(w) > 1 for w in windows]
+    assert substrings.repeated_windows(data, at, group, 200).tolist() == want
+    monkeypatch.setattr(substrings, "suffix_sort", lambda data, prefix, at, group, most: np.arange(len(at)))
+    assert substrings.repeated_windows(data, at, group, 200).tolist() != want
+
+
+def test_many_kinds_are_grouped_by_bytes(spark, rows):
     docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
     got = [{(r["id"], str(r["spans"])) for r in substrings.repeats(docs, most_kinds=k).collect()} for k in (20_000, 1)]
-    ids = [{x[0] for x in g} for g in got]
-    assert got[0] == got[1] and ids[0]
+    assert got[0] == got[1] and got[0]
 
 
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
