@@ -12,9 +12,9 @@ NEAR_DUPLICATES = r"""WITH RECURSIVE d AS (SELECT coalesce(text, '') AS txt, min
   k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
   SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies FROM documents JOIN d ON coalesce(text, '') = txt JOIN c ON c.node = rep LEFT JOIN k ON k.x = rep"""
 
-#: All 200-byte windows of all texts as strings; those met twice cover what goes.
+#: All 200-byte windows of all texts, told apart by MD5; those met twice cover what goes.
 REPEATED_PASSAGES = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-  w AS (SELECT k, i, substr(x, 2 * i + 1, 400) AS s FROM (SELECT k, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d)),
+  w AS (SELECT k, i, md5_number(substr(x, 2 * i + 1, 400)) AS s FROM (SELECT k, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d)),
   c AS (SELECT k, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
   g AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 200 THEN 0 ELSE 1 END AS begins FROM c),
   n AS (SELECT k, i, sum(begins) OVER (PARTITION BY k ORDER BY i) AS span FROM g),
