@@ -1,25 +1,26 @@
 """N-gram Jaccard join: a MinHash LSH forest, followed by exact verification.
 
-Every distinct text gets TREES signatures of minimum hashes of its word shingles. Each tree is a prefix trie
-of its signatures: texts meet in a node if they agree in the node's prefix. Prefixes start at
-full depth and are shortened until the recall that the forest promises at the threshold reaches its
-target; the nodes of that depth yield the candidates. Links between candidates are verified on the
-shingle sets themselves.
-
-How it stays linear in hot places: exact copies are one text; nodes are joined to their
-smallest member (no pairs), which gives groups of texts that can be linked at all; the texts of a group
-are compared in blocks of bounded size, by products of incidence matrices, and a block yields
-counts of links and a spanning forest, never pairs. Very large groups are dealt out as pairs
-of blocks.
+Every distinct text gets TREES signatures of DEPTH minimum hashes of its word shingles, of 16 bits each. Each tree is a
+prefix trie of its signatures, as sorted bytes: texts meet in a node if they agree in its prefix. The forest is first read
+at full depth. The similarities met there tell how many of the links each shorter prefix would miss (a link of similarity
+s is missed by all trees with a probability of (1 - s ** depth) ** TREES), and matched prefixes are shortened to the longest
+one that reaches the target recall; then only nodes count that hold texts of several groups.
+
+Texts that meet are compared within the node before they are grouped, by what their signatures say of their similarity: only those
+within six standard errors of the threshold are joined, so texts that merely share boilerplate aren't. Within a node a text
+is compared with those of other groups only, so a node of near copies costs one comparison a text. Nodes yield stars of groups,
+never pairs. The texts of a group are then compared exactly, in blocks of bounded size by products of incidence matrices; a
+block yields counts of links and a spanning forest, never pairs. Very large groups are dealt out as pairs of blocks.
 
 Defined cases: a null text counts as empty; texts without words have no links; a text of one to four words has one
 shingle, of all its words; copies of a text are in one class, and aren't counted as links;
 null ids are allowed (a class that has no other id gets a null); repeated rows are copies;
-other columns are ignored here and kept by `one_of_each`; an empty table gives an empty result.
+other columns, whatever their names, are ignored here and kept by `one_of_each`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,62 +28,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp
-from .session import cut, documents, sized
+from .session import cut, documents, fresh, sized
 
 THRESHOLD = 0.8
 SHINGLE_WORDS = 5
 TREES = 32
-#: Depth of the tries, and the recall at the threshold that prefixes are shortened to reach.
-DEPTH, RECALL = 8, 0.99999
+#: Depth of the tries, and the share of the links that must be expected to meet.
+DEPTH, RECALL = 8, 1 - 1e-6
+#: Bytes of a text's sketch, one of every other minimum hash, by which texts in a node are compared.
+SKETCH = TREES * DEPTH // 2
+#: A node of more rows is joined as a whole, without a look at its texts: the exact comparison decides.
+MOST_NODE = 4096
 #: Texts and shingles of a block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
 
 
-def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix by which two texts of that similarity meet in some tree with that probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def loose(threshold: float) -> int:
+    """Equal bytes of two sketches that links have, but for six standard errors."""
+    return math.floor(SKETCH * threshold - 6 * math.sqrt(SKETCH * threshold * (1 - threshold)))
+
+
+def prefix_length(met: np.ndarray, threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix that is expected to let that share of all links meet.
+
+    met: how often texts met at full depth whose sketches have k equal bytes, by k. A pair of similarity s meets trees * s ** depth
+    times there. Where nothing near the threshold was met, links at the threshold itself are allowed for.
+    """
+    s = np.clip(np.arange(len(met)) / (len(met) - 1), threshold, 1)
+    links = np.where(np.arange(len(met)) >= threshold * (len(met) - 1), met, 0) / (trees * s**depth)
+    links = np.append(links, 1 + 0.001 * links.sum())
+    s = np.append(s, threshold)
+    for d in range(depth, 1, -1):
+        if (links * (1 - s**d) ** trees).sum() <= (1 - recall) * links.sum():
+            return d
+    return 1
 
 
 def _seeds(n: int) -> np.ndarray:
     return textnp.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(textnp.R)) | np.uint64(1)
 
 
-def signatures(rows: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
-    """id, node, size (distinct shingles), keys (one trie node per tree; none for a text without words). rows: id, node, text."""
-    depth = prefix_length(threshold, trees)
-    seeds = _seeds(trees * depth)
+def signatures(rows: DataFrame) -> DataFrame:
+    """id, node, size (distinct shingles), sig (TREES * DEPTH minimum hashes of 2 bytes; null for a text without words). rows: id, node, text."""
+    seeds = _seeds(TREES * DEPTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textnp.slices(batch, most=1 << 20):
                 h, row = textnp.word_shingles(part.column(2), SHINGLE_WORDS)
                 n = part.num_rows
-                size = np.zeros(n, np.int64)
-                keys = np.zeros((0, trees), np.int64)
-                has = np.unique(row)
+                size, sig = np.zeros(n, np.int64), np.full(n, None, object)
                 if len(h):
                     order = np.lexsort((h, row))
-                    fresh = np.ones(len(h), bool)
-                    fresh[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-                    h, row = h[order][fresh], row[order][fresh]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+                    h, row = h[order][new], row[order][new]
                     size = np.bincount(row, minlength=n)
                     edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    key = np.zeros((len(edge), trees), np.uint64)
-                    for t in range(trees):
-                        for d in range(depth):
-                            x = h * seeds[t * depth + d]
-                            x ^= x >> np.uint64(32)
-                            x *= np.uint64(0xD6E8FEB86659FD93)
-                            key[:, t] = textnp.mix(key[:, t] + np.minimum.reduceat(x, edge) + np.uint64(t))
-                    keys = key.view(np.int64)
-                ends = np.zeros(n + 1, np.int64)
-                ends[has + 1] = trees
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), lists], ["id", "node", "size", "keys"])
-
-    return rows.mapInArrow(run, "id long, node binary, size long, keys array<bigint>")
+                    least = np.empty((len(edge), len(seeds)), ">u2")
+                    for k, seed in enumerate(seeds):
+                        least[:, k] = textnp.mix(np.minimum.reduceat(h * seed, edge)) & np.uint64(0xFFFF)
+                    raw = least.tobytes()
+                    sig[row[edge]] = [raw[k : k + 2 * len(seeds)] for k in range(0, len(raw), 2 * len(seeds))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sig.tolist(), pa.binary())], ["id", "node", "size", "sig"])
+
+    return rows.mapInArrow(run, "id long, node binary, size long, sig binary")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -179,30 +189,87 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, "node binary, links long, to binary")
 
 
-def candidates(signed: DataFrame, first: int = 4) -> DataFrame:
-    """node, root: groups of texts that share trie nodes. signed: node, keys.
+def _met_in_nodes(members: DataFrame, least: int) -> DataFrame:
+    """label, to: groups of texts that met in a node and are near by their sketches, to the smallest one there; and met, n: how often
+    texts of so many equal bytes met (label is null). members: key, label, sig; sorted by them."""
+    take = np.arange(SKETCH) * 4 + 1  # the low byte of every other minimum
+
+    def join(rows: list, met: np.ndarray) -> list[tuple[bytes, bytes]]:
+        names = sorted({r[1] for r in rows})
+        place = {x: k for k, x in enumerate(names)}
+        label = np.array([place[r[1]] for r in rows])
+        sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)[:, take]
+        root = np.arange(len(names))
+        for k in range(len(rows) - 1):
+            other = k + 1 + np.flatnonzero(root[label[k + 1 :]] != root[label[k]])
+            if len(other):
+                equal = (sketch[other] == sketch[k]).sum(1)
+                np.add.at(met, equal, 1)
+                near = np.unique(root[label[other[equal >= least]]])
+                if len(near):
+                    near = np.append(near, root[label[k]])
+                    root[np.isin(root, near)] = near.min()
+        return [(names[k], names[r]) for k, r in enumerate(root.tolist()) if r != k]
 
-    The first few trees join most of what belongs together. In the other trees only those trie nodes
-    count that hold texts of several groups, so a large group isn't joined again in each tree.
-    """
-    groups = None
-    for own in (F.slice("keys", 1, first), F.slice("keys", first + 1, TREES)):
-        labelled = signed.select("node", F.array_distinct(own).alias("keys"))
-        if groups is None:
-            labelled = labelled.withColumn("label", F.col("node"))
-        else:
-            labelled = labelled.join(sized(groups.withColumnRenamed("root", "label"), 64), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        in_tries = labelled.select("label", F.explode("keys").alias("key"))
-        tries = cut(in_tries.groupBy("key").agg(F.min("label").alias("to"), F.max("label").alias("other")).where("to < other").select("key", "to"), "tries")
-        stars = in_tries.join(sized(tries, 40), "key").where("label != to").select(F.col("label").alias("node"), "to").distinct()
-        found = components(stars, "groups")
-        if groups is None:
-            groups = found
-        else:
-            beyond = found.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-            joined = groups.join(sized(beyond, 64), "root", "left").select("node", F.coalesce("beyond", "root").alias("root"))
-            groups = cut(joined.unionByName(found.join(groups.select("node"), "node", "left_anti")), "groups")
-    return groups
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        met = np.zeros(SKETCH + 1, np.int64)
+        found: set = set()
+
+        def out(pairs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary()), pa.array([None] * len(pairs), pa.int32()), pa.array([None] * len(pairs), pa.int64())], ["label", "to", "met", "n"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and r[0] != held[-1][0]:
+                    found.update(join(held, met))
+                    held = []
+                    if len(found) > 50_000:
+                        yield out(list(found))
+                        found.clear()
+                held.append(r)
+        if held:
+            found.update(join(held, met))
+        yield out(list(found))
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(at), pa.binary()), pa.array([None] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(met[at])], ["label", "to", "met", "n"])
+
+    return members.mapInArrow(run, "label binary, to binary, met int, n long")
+
+
+def meetings(labelled: DataFrame, depth: int, threshold: float) -> tuple[DataFrame, np.ndarray]:
+    """Edges (node, to) between groups of texts that meet at that depth and are near, and how often texts met, by equal bytes of their sketches. labelled: node, label, sig."""
+    n = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.array(*(F.xxhash64(F.lit(t), F.substring("sig", 2 * DEPTH * t + 1, 2 * depth)) for t in range(TREES)))
+    in_tries = labelled.select(F.explode(keys).alias("key"), F.xxhash64("label").alias("l")).groupBy("key").agg(F.min("l").alias("a"), F.max("l").alias("b"), F.count(F.lit(1)).alias("n"))
+    tries = cut(in_tries.where("a < b").select("key", "n"), "tries")
+    n_tries = tries.count()
+    members = labelled.select(F.explode(keys).alias("key"), "label", "sig").join(sized(tries, 24, n_tries), "key")
+    some = members.where(F.col("n") <= MOST_NODE).select("key", "label", "sig").repartition(n, "key").sortWithinPartitions("key", "label")
+    found = cut(_met_in_nodes(some, loose(threshold)), "met")
+    edges = found.where("label is not null").select(F.col("label").alias("node"), "to")
+    whole = members.where(F.col("n") > MOST_NODE).select("key", "label").distinct()
+    stars = whole.join(whole.groupBy("key").agg(F.min("label").alias("to")), "key").where("label != to").select(F.col("label").alias("node"), "to")
+    met = np.zeros(SKETCH + 1, np.int64)
+    for r in found.where("met is not null").groupBy("met").agg(F.sum("n").alias("n")).collect():  # at most SKETCH + 1 rows
+        met[r["met"]] = r["n"]
+    return edges.unionByName(stars).distinct(), met
+
+
+def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, int]:
+    """node, root: groups of texts that may be linked; and the length that prefixes were shortened to. texts: node, sig."""
+    texts = texts.where("sig is not null")
+    edges, met = meetings(texts.select("node", F.col("node").alias("label"), "sig"), DEPTH, threshold)
+    groups = components(edges, "groups")
+    depth = prefix_length(met, threshold)
+    if depth < DEPTH:
+        known = groups.select(F.col("node").alias("k_node"), "root")
+        labelled = texts.join(sized(known, 64), F.col("node") == F.col("k_node"), "left").select("node", F.coalesce("root", "node").alias("label"), "sig")
+        further = components(meetings(labelled, depth, threshold)[0], "groups")
+        beyond = further.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+        joined = groups.join(sized(beyond, 64), "root", "left").select("node", F.coalesce("beyond", "root").alias("root"))
+        groups = cut(joined.unionByName(further.join(groups.select("node"), "node", "left_anti")), "groups")
+    return groups, depth
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -226,10 +293,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     (of the texts that hold it, the smallest by hash).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("node"), F.col(text_col).alias("text"))
-    signed = cut(signatures(rows, threshold), "signed")
+    signed = cut(signatures(rows), "signed")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = cut(signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")), "texts")
-    groups = candidates(signed)
+    texts = cut(signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.min("sig").alias("sig")), "texts")
+    groups, _ = candidates(texts, threshold)
+    texts = texts.drop("sig")
     # groups in blocks: a bounded number of texts and shingles each
     sizes = groups.join(texts, "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
@@ -265,11 +333,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs of which one stays per class: the one with the smallest id; of repeated rows one."""
     _, texts = classes(docs, id_col, text_col, threshold)
-    keep = cut(texts.where("keeper").select(F.col("node").alias("__node"), F.col("first_id").alias("__first")), "keepers")
+    own_node, first = fresh(docs, "node", "first")
+    keep = cut(texts.where("keeper").select(F.col("node").alias(own_node), F.col("first_id").alias(first)), "keepers")
     node = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    same = (node == F.col("__node")) & F.col(id_col).cast("long").eqNullSafe(F.col("__first"))
-    kept = docs.join(sized(keep, 64), same).drop("__first")
-    return kept.dropDuplicates(["__node"]).drop("__node")
+    same = (node == F.col(own_node)) & F.col(id_col).cast("long").eqNullSafe(F.col(first))
+    kept = docs.join(sized(keep, 64), same).drop(first)
+    return kept.dropDuplicates([own_node]).drop(own_node)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ NEAR_DUPLICATES = r"""WITH RECURSIVE d AS (SELECT coalesce(text, '') AS txt, min
 
 #: All 200-byte windows of all texts, told apart by MD5; those met twice cover what goes.
 REPEATED_PASSAGES = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-  w AS (SELECT k, i, md5_number(substr(x, 2 * i + 1, 400)) AS s FROM (SELECT k, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d)),
+  o AS (SELECT k, c, substr(x, 1000 * c + 1, 1398) AS y FROM (SELECT k, x, unnest(range(0, (len(x) // 2 - 199 + 499) // 500)) AS c FROM d WHERE len(x) >= 400)),
+  w AS (SELECT k, 500 * c + i AS i, md5_number(substr(y, 2 * i + 1, 400)) AS s FROM (SELECT k, c, y, unnest(range(0, least(500, len(y) // 2 - 199))) AS i FROM o)),
   c AS (SELECT k, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
   g AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 200 THEN 0 ELSE 1 END AS begins FROM c),
   n AS (SELECT k, i, sum(begins) OVER (PARTITION BY k ORDER BY i) AS span FROM g),

@@ -124,9 +124,50 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
 
 
 def test_prefixes_are_shortened_to_the_recall():
-    d = jaccard.prefix_length(0.8)
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
-    assert jaccard.prefix_length(0.5) < d
+    met = np.zeros(jaccard.SKETCH + 1, np.int64)
+    met[-1] = 10**6  # all links met are between texts that are nearly equal
+    high = jaccard.prefix_length(met, 0.8)
+    met[int(jaccard.SKETCH * 0.82)] = 10**6
+    low = jaccard.prefix_length(met, 0.8)
+    assert low < high <= jaccard.DEPTH
+    for d in (low, low + 1):  # links of a similarity of 0.82 are what is missed
+        missed = (1 - 0.82**d) ** jaccard.TREES
+        assert (missed < 2 * (1 - jaccard.RECALL)) == (d == low)
+    assert jaccard.prefix_length(met, 0.8, recall=0.9) == jaccard.DEPTH
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_texts_that_share_boilerplate_are_not_grouped(spark, monkeypatch, most):
+    """Texts of Jaccard 0.37 without a link: no group, unless nodes are joined without a look, and never a link; near copies among them are found."""
+    monkeypatch.setattr(jaccard, "MOST_NODE", most)
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    boilerplate = [word() for _ in range(120)]
+    texts = [" ".join(boilerplate + [word() for _ in range(100)]) for _ in range(600 if most > 2 else 60)]
+    texts += [t + " " + word() for t in texts[:5]]
+    rows = spark.createDataFrame([(k, None, t) for k, t in enumerate(texts)], "id long, node binary, text string").withColumn("node", F.unhex(F.md5("text")))
+    groups, _ = jaccard.candidates(jaccard.signatures(rows))
+    if most > 2:
+        assert sorted(r["count"] for r in groups.groupBy("root").count().collect()) == [2] * 5
+    members, found = jaccard.classes(rows.select(F.col("id").alias("doc_id"), "text"))
+    got = {r["id"]: (r["class_id"], r["links"]) for r in members.join(found, "node").collect()}
+    n = len(texts) - 5
+    assert all(got[k] == (k - n if k >= n else k, int(k < 5 or k >= n)) for k in range(len(texts)))
+
+
+@pytest.mark.parametrize("similarity", [0.81, 0.9])
+def test_forest_lets_links_meet(spark, similarity):
+    """Of pairs just above the threshold, and of pairs well above it, all meet."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(300):
+        words = [word() for _ in range(204)]  # 200 shingles, of which the first few differ
+        n = round(200 * (1 - similarity) / (1 + similarity))
+        texts += [" ".join(words), " ".join([word() for _ in range(n)] + words[n:])]
+    members, found = jaccard.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["id"]: (r["class_id"], r["links"]) for r in members.join(found, "node").collect()}
+    assert all(got[k] == (k // 2 * 2, 1) for k in range(600))
 
 
 def _toxicity_by_hand(texts: list[str], examples: dict[str, list[tuple[int, int]]]) -> dict[str, float]:
