@@ -1,8 +1,9 @@
 """Quality rules by weak supervision, in DataFrame operations only.
 
 Each rule votes that a text is good (1) or bad (-1) or abstains (0); expectation-maximisation over
-all documents estimates how accurate each rule is; the posterior probability of good quality
-replaces a filter that all rules must pass.
+all documents estimates how often each rule votes how in good and in bad texts, and how many are good; nothing but the
+start is given. The posterior probability of good quality replaces a filter that all rules must pass: no rule decides
+alone unless its votes are found to go with those of others.
 
 Defined cases: a null text has no words, fails the base rules and isn't kept; so does an empty
 one; rows are judged one by one, repeated rows alike; other columns are kept by `keep_good`,
@@ -14,19 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .session import cut, documents
-from .weak import Voters, fit
+from .weak import Rates, fit_rates
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Least posterior of a document that is kept.
 KEEP = 0.5
-#: Where the estimate starts: most rules vote against a text or abstain, and are seldom wrong; one votes for it, weakly.
-START = Voters(
-    0.9,
-    {
-        "v_symbols": 0.95, "v_repeats": 0.9, "v_lines": 0.85, "v_exclaims": 0.95, "v_capitals": 0.95, "v_word_length": 0.9,
-        "v_sentences": 0.55, "v_letters": 0.95, "v_pipes": 0.95, "v_no_stops": 0.85,
-    },
-)
+#: The rules. What measures much the same makes one rule: symbols and pipes, repeated words and lines, exclamation marks and capitals.
+RULES = ("markup", "letters", "repetition", "shouting", "word_length", "sentences")
+#: Where the estimate starts, alike for all rules: shares of votes (against, none, for) in good texts and in bad ones.
+START = Rates(0.9, {r: ((0.02, 0.18, 0.8), (0.3, 0.3, 0.4)) for r in RULES})
 
 
 def _removed(text: Column, pattern: str) -> Column:
@@ -34,10 +31,12 @@ def _removed(text: Column, pattern: str) -> Column:
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with one struct column `__q` of a text's measures; no shuffle."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """row (all columns of docs, as a struct) and q (a text's measures, as a struct) of every row; no shuffle."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    df = docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
     at = lambda a, i: F.get(a, i)
-    df = docs.withColumn("__w", F.array_remove(F.split(text, WHITE), ""))
+    df = df.withColumn("__w", F.array_remove(F.split(text, WHITE), ""))
     # three consecutive words as one hash; repeats of it are looked for in sorted order
     grams = F.transform("__w", lambda x, i: F.xxhash64(x, at(F.col("__w"), i + 1), at(F.col("__w"), i + 2)))
     df = df.withColumn("__g", F.slice(grams, 1, F.greatest(F.size("__w") - 2, F.lit(0))))
@@ -65,57 +64,53 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _removed(text, r"\|+").cast("long").alias("n_pipes"),
         _removed(text, "[.!?]+").cast("long").alias("n_stops"),
     )
-    return df.withColumn("__q", q).drop("__w", "__g", "__s", "__p", "__l")
+    return df.select("row", q.alias("q"))
 
 
 def base_failed() -> Column:
-    q = F.col("__q")
+    q = F.col("q")
     return (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
 
 
-def votes(df: DataFrame) -> DataFrame:
-    """df with a vote column per rule, from its measures."""
-    q = F.col("__q")
+def votes() -> dict[str, Column]:
+    """The rules' votes on a text's measures: 1 (good), -1 (bad) or 0 (abstains, between the two)."""
+    q = F.col("q")
     per = lambda a, b: q[a] / F.greatest(q[b], F.lit(1))
-    bad = lambda when: F.when(when, -1).otherwise(0)
-    good = lambda when: F.when(when, 1).otherwise(0)
+    vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0).cast("tinyint")
+    symbols, pipes, letters = per("n_symbols", "n_words"), per("n_pipes", "n_words"), per("n_letters", "word_chars")
+    words, lines = per("n_repeat_words", "n_words"), per("n_dup_lines", "n_lines")
+    exclaims, capitals = per("n_exclaims", "n_words"), per("n_capitals", "n_letters")
     length, stops = per("word_chars", "n_words"), per("n_stops", "n_words")
-    rules = {
-        "v_symbols": bad(per("n_symbols", "n_words") > 0.2),
-        "v_repeats": bad(per("n_repeat_words", "n_words") > 0.3),
-        "v_lines": bad(per("n_dup_lines", "n_lines") > 0.3),
-        "v_exclaims": bad(per("n_exclaims", "n_words") > 0.3),
-        "v_capitals": bad(per("n_capitals", "n_letters") > 0.5),
-        "v_word_length": bad((length < 2.5) | (length > 14)),
-        "v_letters": bad(per("n_letters", "word_chars") < 0.7),
-        "v_pipes": bad(per("n_pipes", "n_words") > 0.15),
-        "v_no_stops": bad((q["n_stops"] == 0) & (q["n_words"] >= 50)),
-        "v_sentences": good((stops > 0.02) & (stops < 0.4)),
+    return {
+        "markup": vote((symbols > 0.2) | (pipes > 0.15), (symbols < 0.05) & (pipes < 0.05)),
+        "letters": vote(letters < 0.75, letters > 0.9),
+        "repetition": vote((words > 0.3) | (lines > 0.3), (words < 0.1) & (lines < 0.1)),
+        "shouting": vote((exclaims > 0.3) | (capitals > 0.5), (exclaims < 0.05) & (capitals < 0.2)),
+        "word_length": vote((length < 2.5) | (length > 14), (length > 3.5) & (length < 8)),
+        "sentences": vote((q["n_stops"] == 0) & (q["n_words"] >= 50), (stops > 0.02) & (stops < 0.4)),
     }
-    return df.withColumns({k: v.cast("tinyint") for k, v in rules.items()})
 
 
-def learn(measured: DataFrame) -> Voters:
-    """Rule accuracies over all measured documents with a word."""
-    return fit(votes(measured.where(F.col("__q.n_words") > 0)).select(*START.accuracy), START)
+def learn(measured: DataFrame) -> Rates:
+    """The rules' rates over all measured documents with a word."""
+    return fit_rates(measured.where(F.col("q.n_words") > 0).select(*(v.alias(r) for r, v in votes().items())), START)
 
 
-def score(measured: DataFrame, voters: Voters) -> DataFrame:
-    """measured with `__posterior` and `__kept`."""
-    voted = votes(measured).withColumn("__posterior", voters.posterior())
-    kept = ~base_failed() & (F.col("__posterior") >= KEEP)
-    return voted.withColumn("__kept", kept).drop(*START.accuracy)
+def score(measured: DataFrame, rates: Rates) -> DataFrame:
+    """measured with `quality` (the posterior) and `kept`."""
+    own = votes()
+    scored = measured.withColumn("quality", rates.posterior(own.__getitem__))
+    return scored.withColumn("kept", ~base_failed() & (F.col("quality") >= KEEP))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their columns as they are."""
     measured = cut(measures(docs), "measured")
-    return score(measured, learn(measured)).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return score(measured, learn(measured)).where("kept").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = cut(measures(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "__q"), "measured")
+    measured = measures(documents(spark, sf_dir).select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "q")
+    measured = cut(measured, "measured")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return score(measured, learn(measured)).select(
-        "doc_id", *(f"__q.{n}" for n in names), base_failed().alias("base_failed"), F.col("__kept").alias("kept"), F.col("__posterior").alias("quality")
-    )
+    return score(measured, learn(measured)).select("doc_id", *(f"q.{n}" for n in names), base_failed().alias("base_failed"), "kept", "quality")
