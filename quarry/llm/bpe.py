@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .session import documents
+from .session import cut as cut_, documents
 
 #: Code points of a chunk without its overlap, and of the overlap on its right.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -144,7 +144,8 @@ def _encode_long(rows: DataFrame, keep: tuple[str, ...], kept: str, ranks_path:
     chunk = lambda k: F.substr("__text", k * size + 1, F.when(k + 1 < n, size + overlap).otherwise(F.length("__text")))
     rows = rows.withColumns({"__uid": F.monotonically_increasing_id(), "__n": n})
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = rows.select(*keep, "__uid", "__n", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), chunk)).alias("__k", "__chunk")).repartition(partitions, "__uid", "__k")
+    chunks = rows.select(*keep, "__uid", "__n", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), chunk)).alias("__k", "__chunk"))
+    chunks = cut_(chunks.repartition(partitions, "__uid", "__k"), "chunks")  # written once: numbers of rows mustn't be given anew
     names = [*keep, "__uid", "__n", "__k", "__chunk"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +158,15 @@ def _encode_long(rows: DataFrame, keep: tuple[str, ...], kept: str, ranks_path:
                     ends = np.cumsum([0, *map(len, cuts(find, text))])
                     heads.append(ends[ends < overlap])
                     tails.append(ends[(ends >= size) & (ends < ends[-2])] - size)  # the chunk's end may have cut its last piece
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(heads), _lists(tails)], [*names, "__head", "__tail"])
+                yield pa.RecordBatch.from_arrays([*part.columns[-4:-1], _lists(heads), _lists(tails)], ["__uid", "__n", "__k", "__head", "__tail"])
 
-    ends = chunks.mapInArrow(cut, f"{kept}, __uid long, __n int, __k int, __chunk string, __head array<int>, __tail array<int>")
+    ends = chunks.mapInArrow(cut, "__uid long, __n int, __k int, __head array<int>, __tail array<int>")
     order = W.partitionBy("__uid").orderBy("__k")
     ends = ends.withColumn("__stop", F.array_min(F.array_intersect("__tail", F.lead("__head").over(order)))).drop("__head", "__tail")
     lost = F.max((F.col("__stop").isNull() & (F.col("__k") + 1 < F.col("__n"))).cast("int")).over(W.partitionBy("__uid"))
-    stitched_ = ends.withColumns({"__begin": F.coalesce(F.lag("__stop").over(order), F.lit(0)), "__lost": lost})
+    # a few numbers a chunk meet in a text's window; the chunks themselves are joined to them where they lie
+    stops = ends.select(F.col("__uid").alias("__u"), F.col("__k").alias("__c"), "__stop", F.coalesce(F.lag("__stop").over(order), F.lit(0)).alias("__begin"), lost.alias("__lost"))
+    stitched_ = chunks.join(stops, (F.col("__uid") == F.col("__u")) & (F.col("__k") == F.col("__c"))).select(*names, "__stop", "__begin", "__lost")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)

@@ -397,3 +397,13 @@ def test_long_and_dotted_secrets_are_whole(spark):
 def test_no_gate_hides_a_rule(spark, text, label):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert label in [d["label"] for d in licenses.scan(docs).first()["detections"]]
+
+
+def test_collisions_of_pretokens_are_told_apart(monkeypatch):
+    own = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = ["The quick brown fox", "jumps over the lazy dog, the dog!", ""]
+    want = [own.whole(t).tolist() for t in texts]
+    for mixed in (textnp.mix, lambda h: h & np.uint64(1)):
+        monkeypatch.setattr(textnp, "mix", mixed)
+        ids, ends, _, _ = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
