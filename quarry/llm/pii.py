@@ -16,6 +16,7 @@ whatever their names; an empty table gives an empty result (and untrained labele
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,7 +32,7 @@ BASE = ("email", "ip", "card", "phone")
 
 SIGNED = r"eyJ[A-Za-z0-9_-]++(?:\.{1,2}[A-Za-z0-9_-]++){1,4}+"
 
-# Loose patterns of further kinds, and the strict ones.
+# Loose patterns of further kinds, and the strict ones.
 LOOSE = {
     # signed tokens of segments with dots; other long tokens, with further segments that are long themselves
     "secret": r"(?<![A-Za-z0-9_/+=.-])(?:" + SIGNED + r"|[A-Za-z0-9_/+=-]{20,}+(?:\.[A-Za-z0-9_/+=-]{16,}+)*+)",
@@ -48,30 +49,52 @@ CONTEXT = {
     "account": r"(?i)(?:iban|ssn|social security|account|passport|insurance|tax id)\W{0,6}(?:no|number|nr)?\W{0,4}$",
     "name": r"(?i)(?:name is|contact|signed|dear|regards|sincerely|by|from)\W{0,3}$",
 }
+_COUNTRIES = """AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV
+    LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SD SE SI SK SM ST SV TL TN TR UA VA VG XK"""
+_PREFIXES = "sk pk rk ghp gho ghu ghs ghr github_pat glpat xoxa xoxb xoxp xoxr xoxs AKIA ASIA AIza ya29 eyJ npm_ pypi- SG dop_v1 hf_ sq0 shpat EAAC whsec_ AGE-SECRET-KEY"
+_NAMES = """James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen
+    Christopher Lisa Daniel Nancy Matthew Betty Anthony Margaret Mark Sandra Donald Ashley Steven Kimberly Paul Emily Andrew Donna Joshua Michelle Kenneth
+    Carol Kevin Amanda Brian Dorothy George Melissa Edward Deborah Ronald Stephanie Timothy Rebecca Jason Sharon Jeffrey Laura Ryan Cynthia Jacob Kathleen
+    Anna Maria Jean Pierre Marie Louis Nicolas Camille Julien Sophie Antoine Claire Luc Chantal Hans Peter Klaus Ursula Wolfgang Monika Jürgen Petra Stefan
+    Sabine Heinrich Greta Juan Carlos José Carmen Antonio Isabel Manuel Pilar Francisco Lucía Miguel Elena Javier Dolores Pedro Teresa Luis Rosa Giovanni
+    Giulia Marco Francesca Luca Chiara Paolo Wei Li Ming Yuki Hiroshi Kenji Sakura Ahmed Fatima Mohammed Aisha Omar Leila Ivan Olga Dmitri Natasha Raj Priya
+    Arjun Anita Sven Ingrid Lars Astrid"""
 GAZETTEER = {
-    "secret": r"^(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|eyJ)",
-    "account": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)[0-9]{2}",
-    "name": r"(?:James|Mary|Robert|Patricia|John|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Anna|Maria|Jean|Pierre|Hans|Peter|Juan|Carlos)\b",
+    "secret": rf"^(?:{'|'.join(_PREFIXES.split())})",
+    "account": rf"^(?:{'|'.join(_COUNTRIES.split())})[0-9]{{2}}",
+    "name": rf"(?:{'|'.join(_NAMES.split())})\b",
 }
 #: Labelers' shares of right votes, where the estimate starts.
 START = Voters(0.5, {"v_strict": 0.85, "v_context": 0.9, "v_gazetteer": 0.8, "v_shape": 0.75, "v_frame": 0.7})
 FEATURES = ("kind", *START.accuracy, "f_length", "f_before", "f_after")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A value that is worked out once and used often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Of every place what the ints before it come to (0: nothing), in blocks of the square root of their number, so that nothing is built up element by element."""
+    fold = lambda a: F.aggregate(a, F.lit(0), merge)
+
+    def of(v: Column) -> Column:
+        return _let(F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1)), lambda size: in_blocks(v, size))
+
+    def in_blocks(v: Column, size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.greatest(F.size(v), F.lit(1)) - 1) / size).cast("int")), lambda k: fold(F.slice(v, k * size + 1, size)))
+        before = _let(blocks, lambda b: F.transform(b, lambda _, k: fold(F.slice(b, F.lit(1), k))))
+        return _let(before, lambda b: F.transform(v, lambda _, i: merge(F.get(b, (i / size).cast("int")), fold(F.slice(v, i - i % size + 1, i % size)))))
+
+    return _let(values, of)
+
+
 def spans(text: Column, pattern: str, found: Column) -> Column:
     """array<struct<start, end, value>> of the matches of a pattern, from the matches and what stands between them."""
     between = F.transform(F.split(text, pattern, -1), F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    pairs = F.zip_with(found, between, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    matched = F.filter(pairs, lambda x: x["value"].isNotNull())
-    return F.when(F.size(found) > 0, F.aggregate(matched, zero, add, lambda acc: acc["out"]))
+    steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, g: g + F.length(v))
+    starts = F.zip_with(running(steps, lambda a, x: a + x), F.slice(between, 1, F.size(found)), lambda a, g: a + g)
+    return F.when(F.size(found) > 0, F.zip_with(starts, found, lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value"))))
 
 
 def _digits(value: Column) -> Column:
@@ -95,8 +118,9 @@ NEEDS = {"email": "@", "phone": "+"}
 
 
 def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `__base` (kind -> spans, as a struct) and `__loose` (candidates with votes and features); no shuffle."""
-    df = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    """row (all columns of docs, as a struct), `__base` (kind -> spans, as a struct) and `__loose` (candidates with votes and features, without what they hold); no shuffle."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    df = docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     t = F.col("__t")
     every = lambda p, need: F.when(t.contains(need) if need else F.lit(True), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>"))
     df = df.withColumns({f"__m_{k}": every(p, NEEDS.get(k)) for k, p in PATTERNS.items()} | {f"__m_{k}": every(p, None) for k, p in LOOSE.items()})
@@ -106,7 +130,8 @@ def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
     def passing(k: str) -> Column:
-        return F.filter(F.coalesce(spans(t, PATTERNS[k], F.col(f"__m_{k}")), empty), lambda x: PASSES[k](x["value"])).alias(k)
+        passed = F.filter(F.coalesce(spans(t, PATTERNS[k], F.col(f"__m_{k}")), empty), lambda x: PASSES[k](x["value"]))
+        return F.transform(passed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k)
 
     def candidates(of_kind: Column, k: str) -> Column:
         return F.transform(of_kind, lambda x: _candidate(x, t, k))
@@ -122,7 +147,7 @@ def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("__loose", F.concat(*loose))
     known = F.concat(*(F.col(f"__base.{k}") for k in BASE))
     free = F.filter("__loose", lambda c: ~F.exists(known, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return df.withColumn("__loose", free).drop("__t", *(f"__m_{k}" for k in (*PATTERNS, *LOOSE)))
+    return df.select("row", "__base", free.alias("__loose"))
 
 
 def _candidate(x: Column, text: Column, kind: str) -> Column:
@@ -136,7 +161,7 @@ def _candidate(x: Column, text: Column, kind: str) -> Column:
     quoted = before.rlike("[\"'`]$") & after.isin('"', "'", "`")
     side = lambda c: F.when(c.rlike(r"[\"'`]$"), "quote").when(c.rlike("[=:]$"), "sign").when(c.rlike(r"\s$"), "space").when(c == "", "end").otherwise("other")
     return F.struct(
-        F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), value.alias("value"),
+        F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
         vote(value.rlike(STRICT[kind]), plain if kind == "secret" else F.lit(False)).alias("v_strict"),
         vote(before.rlike(CONTEXT[kind]), F.lit(False)).alias("v_context"),
         vote(value.rlike(GAZETTEER[kind]), F.lit(False)).alias("v_gazetteer"),
@@ -198,28 +223,35 @@ def all_spans(model: Classifier) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with every span replaced by its kind in brackets, and the lengths that follow from it."""
+    """docs with every span replaced by its kind in brackets, and the lengths that follow from it. A span that begins within another goes with it."""
     found = cut(found_spans(docs, text_col), "found")
-    text, done = F.col(text_col), found.withColumn("__all", all_spans(learn(found)))
-    done = done.withColumn("__all", F.array_sort(F.transform("__all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
-
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    fresh = F.aggregate("__all", start, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    done = done.withColumn(text_col, F.when(F.size("__all") > 0, fresh).otherwise(text))
-    if length_col in docs.columns:
-        done = done.withColumn(length_col, F.when(F.size("__all") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return done.select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = F.col(f"row.`{text_col}`")
+    ordered = F.array_sort(F.transform(all_spans(learn(found)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+
+    def rewritten(all_: Column) -> Column:
+        reach = running(F.transform(all_, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+        return _let(reach, lambda r: join(F.filter(F.zip_with(all_, r, lambda x, at: F.struct(x.alias("x"), at.alias("at"))), lambda p: p["x"]["start"] >= p["at"]), F.array_max(F.transform(all_, lambda x: x["end"]))))
+
+    def join(own: Column, last: Column) -> Column:
+        parts = F.transform(own, lambda p: F.concat(F.substr(text, p["at"] + 1, p["x"]["start"] - p["at"]), F.lit("["), F.upper(p["x"]["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), F.substr(text, last + 1, F.length(text)))
+
+    fresh = F.when(F.size("__all") > 0, rewritten(F.col("__all"))).otherwise(text)
+    done = found.select("row", ordered.alias("__all")).select("row", F.size("__all").alias("__n"), fresh.alias("__fresh"))
+    out = []
+    for c in docs.columns:
+        old = F.col(f"row.`{c}`")
+        if c == text_col:
+            old = F.col("__fresh")
+        elif c == length_col:
+            old = F.when(F.col("__n") > 0, F.length("__fresh").cast(docs.schema[c].dataType)).otherwise(old)
+        out.append(old.alias(c))
+    return done.select(*out)
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cut(found_spans(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "found")
+    found = found_spans(documents(spark, sf_dir).select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "__base", "__loose")
+    found = cut(found, "found")
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     every = found.withColumn("__all", all_spans(learn(found)))
     return every.select(
