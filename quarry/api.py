@@ -5,6 +5,7 @@ Results are DataFrames; `envelope` wraps a small one for callers that want a pla
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass, replace
 
@@ -44,9 +45,17 @@ class Engine:
             for r in roots[1:]:
                 files = files.unionByName(r)
             files = files.dropDuplicates(["path"])
+        files = self._hashed(files)
         self.manifest = files.drop("text")
         return self._with(markdown.chunks(files))
 
+    @staticmethod
+    def _hashed(files: DataFrame) -> DataFrame:
+        """files with file_hash and modified, where they came as (path, text) only."""
+        if "file_hash" not in files.columns:
+            files = files.withColumn("file_hash", F.sha2("text", 256))
+        return files if "modified" in files.columns else files.withColumn("modified", F.lit(None).cast("timestamp"))
+
     def _with(self, chunks: DataFrame) -> "Engine":
         old = self.index
         access = old.access if old else self.spark.createDataFrame([], NO_ACCESS)
@@ -55,9 +64,10 @@ class Engine:
         return self
 
     def refresh(self, files: DataFrame) -> "Engine":
-        """Only new and changed files (path, text, file_hash, modified) are parsed; chunks of missing ones go."""
+        """Only new and changed files (path, text, and file_hash and modified if known) are parsed; chunks of missing ones go."""
+        files = self._hashed(files)
         diff = W.manifest_diff(self.manifest, files)
-        changed = diff.where(F.col("change").isin("new", "changed", "touched"))
+        changed = diff.where(F.col("change").isin("new", "changed"))
         fresh = markdown.chunks(files.join(changed, "path", "left_semi"))
         kept = W.delete_missing(self.index.chunks, files)
         self.manifest = files.drop("text")
@@ -66,7 +76,7 @@ class Engine:
     def _one(self, query: str, limit: int, prefix: str | None) -> DataFrame:
         if not query or not query.strip():
             raise EngineError("INVALID_QUERY", "a query needs words")
-        return self.spark.createDataFrame([(1, query, limit, self.settings.max_tokens_per_query, prefix)], QUERY)
+        return self.spark.createDataFrame([(1, T.folded(query), limit, self.settings.max_tokens_per_query, prefix)], QUERY)
 
     def search(self, query: str, limit: int = 5, path_prefix: str | None = None, now: Column | None = None, fallback=None) -> DataFrame:
         """Reranked hits of one query; `fallback(query)` answers where there are none."""
@@ -79,8 +89,7 @@ class Engine:
 
     def lookup(self, query: str, limit: int = 5, path_prefix: str | None = None, now: Column | None = None) -> tuple[str, DataFrame]:
         """("path", chunks) for what looks like a path, else ("search", hits)."""
-        is_path = self.spark.range(1).select(F.lit(query.strip()).rlike(r"(?i)^[a-z0-9_-]+(\.[a-z0-9_-]+)+$")).first()[0]
-        if not is_path:
+        if not re.fullmatch(r"[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+", query.strip()):
             return "search", self.search(query, limit, path_prefix, now)
         wanted = self.spark.createDataFrame([(1, query.strip().lower(), limit, self.settings.max_tokens_per_query)], "query_id long, path string, limit int, max_tokens int")
         return "path", R.path_lookup(self.index, wanted, F.current_timestamp() if now is None else now)
@@ -99,7 +108,9 @@ class Engine:
         return row["context"] if row else ""
 
     def save(self, saves: DataFrame) -> "Engine":
-        """saves: save_id, ts, content, path, heading."""
+        """saves: save_id, ts, content, path, heading. Saves without content are refused."""
+        if not saves.where(F.coalesce(F.trim("content"), F.lit("")) == "").isEmpty():
+            raise EngineError("INVALID_CONTENT", "a save needs content")
         return self._with(W.save(self.index.chunks, saves))
 
     def relate(self, subject: str, predicate: str, obj: str) -> "Engine":

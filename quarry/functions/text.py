@@ -45,6 +45,11 @@ def safe_text(text: str) -> str:
     return unicodedata.normalize("NFKD", text)
 
 
+def folded(text: str) -> str:
+    """A query's plain text without accents, as the full-text index has it."""
+    return "".join(c for c in safe_text(text) if not unicodedata.combining(c))
+
+
 @F.pandas_udf(StringType())
 def nfkd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """safe_text of a column: Spark has no compatibility decomposition of its own."""
@@ -180,5 +185,5 @@ def query_variants(query: Column | str) -> Column:
 
 
 def fts_tokens(text: Column | str) -> Column:
-    """Tokens of the full-text index: letters and digits of the folded text (accents as marks are gone by decomposition)."""
-    return _all(F.lower(_c(text)), r"[\p{L}\p{N}]+")
+    """Tokens of the full-text index: letters and digits of the folded text. Accents, which decomposition leaves as marks, are dropped before words are taken."""
+    return _all(F.regexp_replace(F.lower(_c(text)), r"\p{M}+", ""), r"[\p{L}\p{N}]+")

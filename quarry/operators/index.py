@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.functions.text import LABEL, NAME, depth, fts_tokens, parent_path, predicate_name, safe_term, terms
-from quarry.tables import cut
+from quarry.tables import cut, sized
 
 #: Content terms of a path that count, terms that a path keeps, characters of a fact's object.
 CONTENT_TERMS, PATH_TERMS, OBJECT_CHARS = 120, 140, 280
@@ -103,10 +103,15 @@ def facts(chunks: DataFrame) -> DataFrame:
     )
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf, dl (tokens of the chunk), positions; one row per term and chunk, made within the chunk's row."""
+def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id, tf, dl (tokens of the chunk), positions; one row per term and chunk.
+
+    wanted (term): only postings of these are made, so that other tokens aren't moved.
+    """
     tokens = chunks.select("chunk_id", fts_tokens("content").alias("t"))
     each = tokens.select("chunk_id", F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
+    if wanted is not None:
+        each = each.join(sized(cut(wanted.select("term").distinct(), "wanted"), 64), "term", "left_semi")
     return each.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
@@ -126,10 +131,10 @@ class Index:
 def build(chunks: DataFrame, access: DataFrame, relations: DataFrame) -> Index:
     """access: chunk_id, access_count, last_accessed. relations: subject, predicate, object (paths).
 
-    The index tables are written once in the shared folder; postings sorted by term, so that row groups can be skipped.
+    The index tables are written once in the shared folder; postings in ranges of terms and sorted by them, so that files and row groups can be skipped.
     """
     chunks = cut(chunks, "chunks")
-    by_term = postings(chunks).sortWithinPartitions("term")
+    by_term = postings(chunks).repartitionByRange("term").sortWithinPartitions("term")
     made = {"paths": path_tree(chunks), "terms": term_index(chunks), "facts": facts(chunks), "postings": by_term, "access": access, "relations": relations}
     return Index(chunks, **{k: cut(v, k) for k, v in made.items()})
 
@@ -143,8 +148,7 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(index: Index, wanted: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """wanted (query_id, variant, op, terms) -> query_id, variant, chunk_id, bm25 (higher is better).
 
-    A term with underscores is a phrase of adjacent words. A term that a query names twice counts twice. Only postings of wanted
-    words are read; document frequencies are those of all chunks.
+    A term with underscores is a phrase of adjacent words. A term that a query names twice counts twice. Document frequencies are those of all chunks.
     """
     phrases = wanted.select("query_id", "variant", "op", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("slot", "phrase"))
     phrases = phrases.withColumn("words", F.filter(F.split("phrase", "_"), lambda w: w != "")).where(F.size("words") > 0)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.functions.text import activation, asked_predicates, overlap, query_tokens, query_variants, significant_terms, subject_tokens
 
-from quarry.tables import cut
+from quarry.tables import cut, sized
 
 from .index import Index, bm25
 
@@ -171,17 +171,18 @@ def text_search(index: Index, queries: DataFrame, now: Column) -> DataFrame:
     Stages: facts; full text by variants; terms, if little was found; siblings of the best hits' parents; relations of the best hits.
     What the stages found is small (a bounded number of rows per query) and written between them, as later ones read it several times.
     """
-    q = analysed(queries)
+    q = cut(analysed(queries), "asked")
+    n_asked = q.count()
     chunks = with_activation(index.chunks, index.access, now)
     meta = chunks.select("chunk_id", "lookup_path", "parent_path", "chunk_order", "token_count", "content", "activation")
     ask = q.select("query_id", "limit", "terms", "path_prefix")
     fact = fact_hits(index, q)
     variants = q.select("query_id", F.inline("variants")).select("query_id", F.col("ord").alias("variant"), "op", "terms")
-    ranked = bm25(index, variants).join(meta, "chunk_id").join(F.broadcast(ask), "query_id").where(F.col("path_prefix").isNull() | (F.col("path_prefix") == "") | F.col("lookup_path").startswith(F.col("path_prefix")))
+    ranked = bm25(index, variants).join(meta, "chunk_id").join(sized(ask, 400, n_asked), "query_id").where(F.col("path_prefix").isNull() | (F.col("path_prefix") == "") | F.col("lookup_path").startswith(F.col("path_prefix")))
     order = [F.desc(F.round("bm25", 9)), F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")]
     ranked = top(ranked, F.greatest(F.lit(1), F.least(F.col("limit") * 6, F.lit(400))), ["query_id", "variant"], order)
     full = ranked.select("query_id", "chunk_id", F.col("variant").alias("stage"), fts_score("bm25", "content", "terms", "activation").alias("score"))
-    by_term = index.terms.join(F.broadcast(ask.select("query_id", "limit", F.explode("terms").alias("term"))), "term")
+    by_term = index.terms.join(sized(ask.select("query_id", "limit", F.explode("terms").alias("term")), 64, 8 * n_asked), "term")
     by_term = by_term.join(meta.select("chunk_id", "lookup_path", "chunk_order", "activation"), "lookup_path")
     by_term = top(by_term, F.greatest(F.lit(8), F.col("limit") * 2), ["query_id", "term"], [F.desc("weight"), F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")])
     term_score = F.round(0.3 + F.least(F.lit(0.5), 0.3 * F.col("weight")) + F.least(F.lit(0.5), 0.1 * F.col("activation")), 4)
@@ -197,14 +198,14 @@ def text_search(index: Index, queries: DataFrame, now: Column) -> DataFrame:
     siblings = siblings.groupBy("query_id", "chunk_id").agg(F.round(F.greatest(F.lit(0.3), 0.75 * F.max("anchor")), 4).alias("score"))
     found = cut(_added(found, siblings, 7), "found")
     # relations: chunks one edge away from the best hits, either way
-    anchors = top(found.join(F.broadcast(ask.select("query_id", "limit")), "query_id"), F.greatest(F.lit(1), F.least(F.lit(12), F.col("limit") * 2)), ["query_id"], best)
+    anchors = top(found.join(sized(ask.select("query_id", "limit"), 16, n_asked), "query_id"), F.greatest(F.lit(1), F.least(F.lit(12), F.col("limit") * 2)), ["query_id"], best)
     anchors = anchors.join(meta.select("chunk_id", "lookup_path"), "chunk_id").withColumn("most", F.max("score").over(W.partitionBy("query_id")))
     near = neighbours(index.relations).join(anchors.select("query_id", "most", "lookup_path").distinct(), F.col("src") == F.col("lookup_path")).select("query_id", "most", F.col("dst").alias("lookup_path"), "predicate")
     related = top(meta.select("chunk_id", "lookup_path", "chunk_order").join(near, "lookup_path"), 24, ["query_id"], [F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id"), F.col("predicate")])
     related = cut(related.groupBy("query_id", "chunk_id").agg(F.round(F.greatest(F.lit(0.3), 0.7 * F.max("most")), 4).alias("score"), F.min("predicate").alias("via_relation")), "related")
     found = _added(found, related.drop("via_relation"), 8).join(related.select("query_id", "chunk_id", "via_relation"), ["query_id", "chunk_id"], "left")
     found = found.withColumn("via_relation", F.when(F.col("stage") == 8, F.col("via_relation")))
-    hits = top(found.join(F.broadcast(q.select("query_id", "query", "limit", "max_tokens", "terms")), "query_id"), F.col("limit"), ["query_id"], best)
+    hits = top(found.join(sized(q.select("query_id", "query", "limit", "max_tokens", "terms"), 1_000, n_asked), "query_id"), F.col("limit"), ["query_id"], best)
     hits = hits.join(meta.drop("activation"), "chunk_id")
     hits = token_budget(hits, F.col("max_tokens"), ["query_id"], best)
     hits = with_snippet(_ranked(hits, ["query_id"], best))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quarry.functions import markdown, text as T
 from quarry.operators import index as I, retrieve as R, write as Wr
 from quarry.sources import files as S
+from quarry.tables import sized
 
 NOW = "2024-01-31 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,8 +254,9 @@ def path_lookup_exact(spark, sf):
 
 def _bm25(spark, sf, op: str) -> DataFrame:
     c = doc_chunks(spark, sf)
-    ix = I.Index(c, None, None, None, I.postings(c), None, None)
-    found = I.bm25(ix, benchmark_queries(spark, sf, op))
+    asked = benchmark_queries(spark, sf, op)
+    ix = I.Index(c, None, None, None, I.postings(c, asked.select(F.explode("terms").alias("term"))), None, None)
+    found = I.bm25(ix, asked)
     return found.select("query_id", "chunk_id", F.round("bm25", 4).alias("score"))
 
 
@@ -281,10 +283,11 @@ def bm25_and(spark, sf):
 def _stage(spark, sf) -> DataFrame:
     """Full-text hits of the benchmark queries with their scores: query_id, query, chunk_id, lookup_path, token_count, content, score."""
     c = doc_chunks(spark, sf)
-    ix = I.Index(c, None, None, None, I.postings(c), None, None)
+    asked = benchmark_queries(spark, sf, "or")
+    ix = I.Index(c, None, None, None, I.postings(c, asked.select(F.explode("terms").alias("term"))), None, None)
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.slice(T.significant_terms("text"), 1, 8).alias("terms"))
     act = R.with_activation(c, Wr.access_stats(access_log(spark, sf)), F.lit(NOW).cast("timestamp"))
-    hits = I.bm25(ix, benchmark_queries(spark, sf, "or")).join(act, "chunk_id").join(F.broadcast(q), "query_id")  # the benchmark is a bounded table of items
+    hits = I.bm25(ix, asked).join(act, "chunk_id").join(sized(q, 1_000), "query_id")
     return hits.select("query_id", "query", "chunk_id", "lookup_path", "parent_path", "token_count", "content", R.fts_score(F.round("bm25", 9), "content", "terms", "activation").alias("score"))
 
 
@@ -456,7 +459,7 @@ def chunk_fetch(spark, sf):
     return R.chunk_fetch(cards(spark, sf), table(spark, sf, "orders").select(F.col("o_custkey").alias("chunk_id")).distinct())
 
 
-@query(f"""WITH {SQL_CHUNKS} SELECT parent_path, CAST(sum(length(content)) AS BIGINT) AS raw_bytes, CAST(sum(token_count) AS BIGINT) AS tokens, greatest(0, (CAST(sum(length(content)) AS BIGINT) - 800) // 4) AS tokens_saved FROM chunks GROUP BY parent_path""")
+@query(f"""WITH {SQL_CHUNKS} SELECT parent_path, CAST(sum(strlen(content)) AS BIGINT) AS raw_bytes, CAST(sum(token_count) AS BIGINT) AS tokens, greatest(0, (CAST(sum(strlen(content)) AS BIGINT) - 800) // 4) AS tokens_saved FROM chunks GROUP BY parent_path""")
 def savings_meta(spark, sf):
-    g = doc_chunks(spark, sf).groupBy("parent_path").agg(F.sum(F.length("content")).alias("raw_bytes"), F.sum("token_count").alias("tokens"))
+    g = doc_chunks(spark, sf).groupBy("parent_path").agg(F.sum(F.octet_length("content")).alias("raw_bytes"), F.sum("token_count").alias("tokens"))
     return g.withColumn("tokens_saved", T.tokens_saved("raw_bytes", F.lit(800)))

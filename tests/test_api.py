@@ -60,3 +60,35 @@ def test_saves_relations_and_errors(spark, engine):
 def test_prompt_context(engine):
     text = engine.prompt_context("oak launch date", now=now())
     assert text.startswith("[Memory context]") and "2031-05-06" in text
+
+
+def test_accents_are_folded(spark):
+    """Accented words as a full-text index of SQLite tells them."""
+    import sqlite3
+
+    notes = {"a.md": "# A\n\n## Voc\n\nThe naïveté of the café owner.\n", "b.md": "# B\n\n## Voc\n\nPlain words of the garden.\n"}
+    own = Engine(spark, Settings()).build(spark.createDataFrame(list(notes.items()), "path string, text string"))
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x)")
+    db.executemany("insert into t values (?)", [(x,) for x in notes.values()])
+    for word in ("naivete", "naïveté", "café", "cafe", "garden"):
+        there = len(db.execute("select rowid from t where t match ?", (word,)).fetchall())
+        assert len({r["lookup_path"] for r in own.search(word, 5, now=now()).collect()}) >= there == 1
+    terms = {r["term"] for r in own.index.postings.select("term").distinct().collect()}
+    assert {"naivete", "cafe"} <= terms and not {"nai", "vete"} & terms
+
+
+def test_refresh_parses_what_changed(spark, engine):
+    own = Engine(spark, Settings(), engine.index, engine.manifest)
+    notes = {k: v for k, v in NOTES.items() if "oak" not in k} | {"MEMORY.md": "# Memory\n\n## Facts\n\n- Home network: RedBarn-9\n", "new.md": "# New\n\n## Part\n\nA walrus came by.\n"}
+    own.refresh(spark.createDataFrame(list(notes.items()), "path string, text string"))
+    text = " ".join(r["content"] for r in own.index.chunks.collect())
+    assert "RedBarn-9" in text and "BlueBarn-7G" not in text and "walrus" in text and "billing" not in text and "dana@mill.test" in text
+    assert {r["path"] for r in own.manifest.collect()} == set(notes)
+
+
+def test_blank_saves_are_refused(spark, engine):
+    saves = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "  ", "notes.zoo", None)], "save_id long, ts timestamp, content string, path string, heading string")
+    with pytest.raises(EngineError) as e:
+        Engine(spark, Settings(), engine.index, engine.manifest).save(saves)
+    assert e.value.code == "INVALID_CONTENT"
