@@ -26,8 +26,7 @@ def cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = textnp.flat(column)
     data = textnp.LOWER[data]
     start, end, row = textnp.words(data, offsets, textnp.ALNUM)
-    h = textnp.mix(textnp.span_hashes(textnp.prefix_hashes(data), start, end) + (end - start).astype(np.uint64))
-    return (h >> np.uint64(64 - BUCKETS)).astype(np.int64), row
+    return (textnp.short_hashes(data, start, end) >> np.uint64(64 - BUCKETS)).astype(np.int64), row
 
 
 def counted(word: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

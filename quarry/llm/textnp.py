@@ -66,6 +66,45 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return (prefix[end] - prefix[start]) * ipw[start]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at every place, as one number; zeros after the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def _first(size: np.ndarray) -> np.ndarray:
+    """Masks of the first bytes of eight."""
+    return np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
+
+
+def short_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans that are mostly short: eight bytes at a time, so that the work goes with the number of spans."""
+    size, eight = end - start, eights(data)
+    out = size.astype(np.uint64)
+    at, own, rest = start, slice(None), size
+    while len(at):
+        out[own] = mix(out[own] * np.uint64(R) + (eight[at] & _first(rest)))
+        more = np.flatnonzero(rest > 8)
+        own = more if isinstance(own, slice) else own[more]
+        at, rest = at[more] + 8, rest[more] - 8
+    return out
+
+
+def alike(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct span, and of every span which one it is: by its hash, verified byte by byte."""
+    _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+    size, eight, first = end - start, eights(data), at[inverse]
+    other = (size != size[first]) | ((eight[start] ^ eight[start[first]]) & _first(size) != 0)
+    long = np.flatnonzero(~other & (size > 8))
+    n = size[long]
+    step = np.cumsum(n) - n
+    within = np.arange(n.sum()) - np.repeat(step, n)
+    differs = np.flatnonzero(data[np.repeat(start[long], n) + within] != data[np.repeat(start[first[long]], n) + within])
+    other[long[np.searchsorted(step, differs, "right") - 1]] = True
+    apart = np.flatnonzero(other)  # collisions: spans of their own
+    inverse[apart] = len(at) + np.arange(len(apart))
+    return np.append(at, apart), inverse
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) and the offsets of its rows in them."""
     column = column.cast(pa.large_string()).fill_null("")
