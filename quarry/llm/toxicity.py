@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp
@@ -40,10 +41,6 @@ BLOCK = 64
 PRIOR = 0.1
 TOXIC = 0.3
 
-#: Cells, their counts, number of examples, of toxic ones, smallest id.
-Entry = tuple[tuple[int, ...], tuple[int, ...], int, int, int]
-
-
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges [lo, hi), and the place of the range of each."""
     size = hi - lo
@@ -53,34 +50,31 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Block-max inverted index over the distinct example vectors, for one query at a time."""
 
-    def __init__(self, known: Statistics, entries: list[Entry]) -> None:
-        empty = [e for e in entries if not e[0]]
-        entries = [e for e in entries if e[0]]
-        size = [len(e[0]) for e in entries]
-        term, count = (np.array([x for e in entries for x in e[k]], np.int64) for k in (0, 1))
-        n, y, ids = (np.array([e[k] for e in entries], np.int64) for k in (2, 3, 4))
-        total, toxic = (int(x.sum()) + sum(e[k] for e in empty) for x, k in ((n, 2), (y, 3)))
-        self.share = toxic / total if total else 0.0
-        n0, y0 = sum(e[2] for e in empty), sum(e[3] for e in empty)
-        self.none = (y0 + PRIOR * self.share) / (n0 + PRIOR)
-        of = np.repeat(np.arange(len(entries)), size)
+    def __init__(self, known: Statistics, size: np.ndarray, term: np.ndarray, count: np.ndarray, n: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
+        """Of every entry: its number of cells, number of examples, of toxic ones, smallest id; the cells and counts of all one after the other."""
+        has = size > 0
+        self.share = float(y.sum() / n.sum()) if n.sum() else 0.0
+        self.none = float((y[~has].sum() + PRIOR * self.share) / (n[~has].sum() + PRIOR))
+        size, n, y, ids = (x[has] for x in (size, n, y, ids))
+        entries = len(size)
+        of = np.repeat(np.arange(entries), size)
         rate = (y / np.maximum(n, 1))[of]
         yes, no = (np.bincount(term, x, 1 << BUCKETS) for x in (rate, 1 - rate))
         self.scale = (known.idf() * np.log2(2 + yes / np.maximum(no, 1)) ** 2).astype(np.float32)
         weight = (1 + np.log(count)) * self.scale[term]
-        weight /= np.sqrt(np.bincount(of, weight**2, len(entries)))[of]
+        weight /= np.sqrt(np.bincount(of, weight**2, entries))[of]
         # entries whose heaviest words are the same stand in one block, so that its bounds are tight
-        heaviest = np.full(len(entries), -1)
+        heaviest = np.full(entries, -1)
         by_weight = np.lexsort((term, weight, of))
         heaviest[of[by_weight]] = term[by_weight]
-        place = np.empty(len(entries), np.int64)
+        place = np.empty(entries, np.int64)
         by = np.lexsort((ids, heaviest, y * 2 < n))
-        place[by] = np.arange(len(entries))
+        place[by] = np.arange(entries)
         self.n, self.y, self.id = n[by], y[by], ids[by]
-        self.blocks = -(-len(entries) // BLOCK)
+        self.blocks = -(-entries // BLOCK)
         entry = place[of]
         order = np.lexsort((entry, term))
-        term, self.entry, self.weight = term[order], entry[order], weight[order]
+        term, self.entry, self.weight = term[order], entry[order].astype(np.int32), weight[order].astype(np.float32)
         # of every word the blocks that have it: block, largest weight, and where the block's postings begin
         block = self.entry // BLOCK
         head = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
@@ -156,8 +150,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     rows = cut(_examples(docs, labels, label, most), "examples").select("text", F.col("y").cast("long").alias("y"), F.col("id").cast("long").alias("id"))
     same = rows.mapInArrow(vectors, "terms array<bigint>, counts array<bigint>, y long, id long").groupBy("terms", "counts")
-    entries = same.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.min("id").alias("id")).collect()  # at most `most`
-    return Index(statistics(docs), [(tuple(e["terms"]), tuple(e["counts"]), e["n"], e["y"], e["id"]) for e in entries])
+    got = same.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.min("id").alias("id")).toArrow().combine_chunks()  # at most `most`
+    terms, counts, n, y, ids = (pa.concat_arrays(c.chunks) if c.chunks else pa.array([], c.type) for c in got.columns)
+    size = pa.compute.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    return Index(statistics(docs), size, *(x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (terms.flatten(), counts.flatten(), n, y, ids)))
 
 
 def score(docs: DataFrame, index: Index, keep: list[str], text_col: str = "text") -> DataFrame:
