@@ -95,7 +95,7 @@ class Index:
         turn = np.argsort(-bound, kind="stable")
         turn = turn[: np.count_nonzero(bound)]
         entries, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        done, step = 0, 4
+        done, step = 0, 16
         while done < len(turn) and bound[turn[done]] >= least - 1e-9:
             chosen = np.zeros(self.blocks, bool)
             chosen[turn[done : done + step]] = True
