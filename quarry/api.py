@@ -5,19 +5,24 @@ Results are DataFrames; `envelope` wraps a small one for callers that want a pla
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import time
-from dataclasses import dataclass, replace
+import uuid
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.functions import markdown, text as T
 from quarry.operators import index as I, retrieve as R, write as W
 from quarry.sources import files as S
 from quarry.sources.config import Settings
+from quarry.tables import cut, shared_folder
 
 API_VERSION = "1"
 NO_ACCESS = "chunk_id long, access_count long, last_accessed timestamp"
+NO_FILES = "path string, text string, file_hash string, size_bytes long, modified timestamp"
 NO_RELATIONS = "subject string, predicate string, object string"
 QUERY = "query_id long, query string, limit int, max_tokens int, path_prefix string"
 
@@ -36,18 +41,43 @@ class Engine:
     settings: Settings
     index: I.Index | None = None
     manifest: DataFrame | None = None
+    record: bool = True  # searches, lookups and fetches count as accesses of what they return
+    uid: str = field(default_factory=lambda: uuid.uuid4().hex)
+    logs: dict[str, DataFrame] = field(default_factory=dict)
+
+    def _append(self, name: str, rows: DataFrame) -> DataFrame:
+        """All rows of a log, with these added: a log only grows by files in the shared folder."""
+        path = f"{shared_folder(self.spark)}/{name}-{self.uid}"
+        rows.write.mode("append").parquet(path)
+        self.logs[name] = self.spark.read.schema(rows.schema).parquet(path)
+        return self.logs[name]
+
+    def _audit(self, began: dt.datetime, scope: str, scanned: int, changed: int, added: int, deleted: int) -> None:
+        row = (began, dt.datetime.now(), scope, scanned, changed, added, deleted, "ok")
+        schema = "started_at timestamp, ended_at timestamp, scope string, files_scanned long, files_changed long, chunks_added long, chunks_deleted long, status string"
+        self._append("index_runs", self.spark.createDataFrame([row], schema))
 
     def build(self, files: DataFrame | None = None) -> "Engine":
         """A full index of the settings' roots, or of given files (path, text)."""
         if files is None:
-            roots = [S.scan(self.spark, r, self.settings.include_globs, self.settings.exclude_globs) for r in self.settings.roots]
-            files = roots[0]
-            for r in roots[1:]:
-                files = files.unionByName(r)
-            files = files.dropDuplicates(["path"])
-        files = self._hashed(files)
-        self.manifest = files.drop("text")
-        return self._with(markdown.chunks(files))
+            files = self._scanned()
+        began, files = dt.datetime.now(), self._hashed(files)
+        self.manifest = cut(files.drop("text"), "manifest")
+        self._with(markdown.chunks(files))
+        n = self.manifest.count()
+        self._audit(began, "full", n, n, self.index.chunks.count(), 0)
+        return self
+
+    def _scanned(self) -> DataFrame:
+        """The files of all roots, each once; a root that isn't there has none."""
+        files = self.spark.createDataFrame([], NO_FILES)
+        for root in self.settings.roots:
+            try:
+                files = files.unionByName(S.scan(self.spark, root, self.settings.include_globs, self.settings.exclude_globs))
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        return files.dropDuplicates(["path"])
 
     @staticmethod
     def _hashed(files: DataFrame) -> DataFrame:
@@ -63,15 +93,30 @@ class Engine:
         self.index = I.build(chunks, access, relations)
         return self
 
-    def refresh(self, files: DataFrame) -> "Engine":
-        """Only new and changed files (path, text, and file_hash and modified if known) are parsed; chunks of missing ones go."""
-        files = self._hashed(files)
-        diff = W.manifest_diff(self.manifest, files)
+    def refresh(self, files: DataFrame | None = None) -> "Engine":
+        """Only new and changed files (path, text, and file_hash and modified if known; else those of the roots) are parsed; chunks of missing ones go.
+
+        The index tables are made anew only if chunks came or went.
+        """
+        began, files = dt.datetime.now(), self._hashed(self._scanned() if files is None else files)
+        diff = cut(W.manifest_diff(self.manifest, files), "diff")
+        counts = W.run_counters(diff).first()
         changed = diff.where(F.col("change").isin("new", "changed"))
-        fresh = markdown.chunks(files.join(changed, "path", "left_semi"))
-        kept = W.delete_missing(self.index.chunks, files)
-        self.manifest = files.drop("text")
-        return self._with(W.replace_by_file(kept, fresh, changed))
+        fresh = cut(markdown.chunks(files.join(changed, "path", "left_semi")), "fresh")
+        touched = diff.where(F.col("change").isin("changed", "missing")).select(F.col("path").alias("source_file"))
+        added, deleted = fresh.count(), self.index.chunks.where("source = 'file'").join(touched, "source_file", "left_semi").count()
+        self.manifest = cut(files.drop("text"), "manifest")
+        if added or deleted:
+            self._with(W.replace_by_file(W.delete_missing(self.index.chunks, self.manifest), fresh, changed))
+        self._audit(began, "changed", counts["files_scanned"], counts["files_changed"], added, deleted)
+        return self
+
+    def _seen(self, rows: DataFrame, now: Column | None) -> DataFrame:
+        """The rows, few and written, whose chunks count as accessed."""
+        rows = cut(rows, "answer")
+        if self.record and not rows.isEmpty():
+            self.record_access(rows.select("chunk_id", (F.current_timestamp() if now is None else now).alias("ts")))
+        return rows
 
     def _one(self, query: str, limit: int, prefix: str | None) -> DataFrame:
         if not query or not query.strip():
@@ -79,9 +124,9 @@ class Engine:
         return self.spark.createDataFrame([(1, T.folded(query), limit, self.settings.max_tokens_per_query, prefix)], QUERY)
 
     def search(self, query: str, limit: int = 5, path_prefix: str | None = None, now: Column | None = None, fallback=None) -> DataFrame:
-        """Reranked hits of one query; `fallback(query)` answers where there are none."""
+        """Reranked hits of one query, with their places and reasons; `fallback(query)` answers where there are none."""
         hits = self.search_many(self._one(query, max(limit, 8), path_prefix), now)
-        best = R.rerank(hits, limit)
+        best = self._seen(R.located(R.rerank(hits, limit), self.index.chunks), now)
         return fallback(query) if fallback is not None and best.isEmpty() else best
 
     def search_many(self, queries: DataFrame, now: Column | None = None) -> DataFrame:
@@ -92,7 +137,7 @@ class Engine:
         if not re.fullmatch(r"[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+", query.strip()):
             return "search", self.search(query, limit, path_prefix, now)
         wanted = self.spark.createDataFrame([(1, query.strip().lower(), limit, self.settings.max_tokens_per_query)], "query_id long, path string, limit int, max_tokens int")
-        return "path", R.path_lookup(self.index, wanted, F.current_timestamp() if now is None else now)
+        return "path", self._seen(R.path_lookup(self.index, wanted, F.current_timestamp() if now is None else now), now)
 
     def path_root(self) -> DataFrame:
         return R.path_root(self.index.paths)
@@ -100,18 +145,37 @@ class Engine:
     def path_children(self, parent: str | None, cursor: str | None = None, limit: int = 100) -> DataFrame:
         return R.path_children(self.index.paths, self.spark.createDataFrame([(1, parent, cursor, limit)], "query_id long, parent string, cursor string, limit int"))
 
-    def fetch(self, chunk_id: int) -> DataFrame:
-        return R.chunk_fetch(self.index.chunks, self.spark.createDataFrame([(chunk_id,)], "chunk_id long"))
-
-    def prompt_context(self, query: str, now: Column | None = None) -> str:
+    def fetch(self, chunk_id: int, now: Column | None = None) -> DataFrame:
+        return self._seen(R.chunk_fetch(self.index.chunks, self.spark.createDataFrame([(chunk_id,)], "chunk_id long")), now)
+
+    def get(self, path: str, from_line: int | None = None, n_lines: int | None = None, root: str = ".") -> DataFrame:
+        """A range of lines of a file inside the root."""
+        try:
+            full = S.workspace_path(path, root)
+        except ValueError as e:
+            raise EngineError("INVALID_OPERATION", str(e)) from e
+        file = self.spark.read.text(f"file://{full}", wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text"))
+        return S.line_range(file, self.spark.createDataFrame([(path, from_line, n_lines)], "path string, from_line int, n_lines int"))
+
+    def prompt_context(self, query: str, now: Column | None = None, trigger: str | None = None) -> str:
+        """The context of a prompt; none for a short one, or one that no user gave."""
+        if trigger not in (None, "", "user") or len((query or "").strip()) < 4:
+            return ""
         row = R.prompt_context(self.search(query, 6, now=now).withColumn("rank", F.col("new_rank"))).first()
         return row["context"] if row else ""
 
-    def save(self, saves: DataFrame) -> "Engine":
-        """saves: save_id, ts, content, path, heading. Saves without content are refused."""
+    def save(self, saves: DataFrame, replace: bool = False) -> "Engine":
+        """saves: save_id, ts, content, path, heading. Saves without content are refused; what was saved within 60 seconds before isn't saved again.
+
+        replace: what is on a save's path goes.
+        """
         if not saves.where(F.coalesce(F.trim("content"), F.lit("")) == "").isEmpty():
             raise EngineError("INVALID_CONTENT", "a save needs content")
-        return self._with(W.save(self.index.chunks, saves))
+        earlier = self.logs.get("saved")
+        self._with(W.save(self.index.chunks, saves, replace, earlier))
+        taken = W.accepted_saves(saves, earlier=earlier)
+        self._append("saved", (taken if replace else taken.where("accepted")).select("ts", "hash"))
+        return self
 
     def relate(self, subject: str, predicate: str, obj: str) -> "Engine":
         if not all(x and x.strip() for x in (subject, predicate, obj)):
@@ -122,7 +186,10 @@ class Engine:
 
     def record_access(self, log: DataFrame) -> "Engine":
         """log: chunk_id, ts."""
-        both = self.index.access.unionByName(W.access_stats(log)).groupBy("chunk_id").agg(F.sum("access_count").alias("access_count"), F.max("last_accessed").alias("last_accessed"))
+        rows = log.select("chunk_id", F.lit(1).cast("long").alias("n"), "ts")
+        if "accesses" not in self.logs:
+            rows = rows.unionByName(self.index.access.select("chunk_id", F.col("access_count").alias("n"), F.col("last_accessed").alias("ts")))
+        both = self._append("accesses", rows).groupBy("chunk_id").agg(F.sum("n").alias("access_count"), F.max("ts").alias("last_accessed"))
         self.index = replace(self.index, access=both)
         return self
 
@@ -140,6 +207,26 @@ class Engine:
         return both.withColumn("cost_avoided", T.cost_avoided("tokens_saved"))
 
 
+    def record_savings(self, hits: DataFrame) -> dict:
+        """What an answer saved is added to the total: tokens_saved, total_tokens_saved and the costs of both."""
+        now = self.savings(hits).first()
+        log = self._append("savings", self.spark.createDataFrame([(now["tokens_saved"],)], "tokens_saved long"))
+        total = log.agg(F.sum("tokens_saved").alias("n")).select("n", T.cost_avoided("n").alias("cost")).first()
+        return {"tokens_saved": now["tokens_saved"], "cost_avoided": now["cost_avoided"], "total_tokens_saved": total["n"], "total_cost_avoided": total["cost"]}
+
+
+def savings_line(meta: dict) -> str:
+    """What the savings come to, for people."""
+    costs = ", ".join(f"{k}: ${v:.4f}" for k, v in (meta.get("total_cost_avoided") or {}).items())
+    return f"{meta.get('total_tokens_saved') or 0:,} tokens saved" + (f" ({costs} avoided)" if costs else "")
+
+
+def results(rows: DataFrame, most: int = 500) -> dict:
+    """A small result in the form that a host's own search tool gives; internal columns go."""
+    items = [r.asDict(recursive=True) for r in R.public(rows).limit(most).collect()]
+    return {"results": items, "provider": "quarry", "model": "full-text", "fallback": False, "citations": "off", "mode": "quarry"}
+
+
 def envelope(rows: DataFrame, began: float, most: int = 500) -> dict:
     """A small result as a dictionary; at most so many rows, as pages and searches have."""
     try:

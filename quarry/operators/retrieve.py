@@ -7,6 +7,7 @@ over each index table, and nothing returns to the driver between stages.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from quarry.functions.text import activation, asked_predicates, overlap, query_tokens, query_variants, significant_terms, subject_tokens
 
@@ -17,6 +18,12 @@ from .index import Index, bm25
 SNIPPET_CHARS = 200
 MAX_TOKENS = 1200
 BOILERPLATE = r"(?i)^Profile note \d+:"
+#: First letters of a subject's longest word by which facts are met; a word has two at least.
+MOST_GRAM = 4
+#: Columns that say where a hit's chunk stands; callers that only read don't see them.
+INTERNAL = ("path", "start_line", "end_line", "from", "lines", "parent_path", "source_file", "chunk_order")
+REASONS = ["fact", *["full text"] * 5, "term", "sibling", "relation"]
+PATH_COLUMNS = ("file_path", "source_file", "path")
 
 
 def _ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -109,13 +116,21 @@ def with_snippet(hits: DataFrame, words: int = 64, chars: int = SNIPPET_CHARS) -
     return df.withColumn("snippet", snippet(found, "content", chars)).drop("__w", "__hit", "__at")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """All runs of n characters; a shorter text is its own."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: text.substr(i, F.lit(n)))
+
+
 def fact_hits(index: Index, q: DataFrame) -> DataFrame:
     """Chunks with facts of an asked predicate (if any is asked) and of all subject words (if any)."""
     facts = index.facts.select("chunk_id", F.col("lookup_path").alias("f_path"), "subject", "predicate", F.col("object").alias("f_object"), "weight")
     asked = q.where((F.size("predicates") > 0) | (F.size("subjects") > 0)).select("query_id", "limit", "subjects", F.explode_outer("predicates").alias("wanted"))
     by_name = facts.join(asked.where("wanted is not null"), facts.predicate == F.col("wanted")).drop("wanted")
-    by_subject = facts.crossJoin(F.broadcast(asked.where("wanted is null").drop("wanted")))  # few queries name only a person; the fact table streams by
     low = F.lower(F.concat_ws("\n", F.coalesce("subject", F.lit("")), "f_object"))
+    # queries that name only a person: a fact that holds a word holds its first letters, so that substrings are met by an equality too
+    longest = F.array_max(F.transform("subjects", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    person = asked.where("wanted is null").drop("wanted").withColumn("gram", F.substring(longest, 1, MOST_GRAM))
+    by_subject = facts.withColumn("gram", F.explode(F.array_distinct(F.concat(*(_grams(low, n) for n in range(2, MOST_GRAM + 1)))))).join(sized(person, 200), "gram").drop("gram")
     fits = F.forall("subjects", lambda t: F.contains(low, t))
     found = by_name.unionByName(by_subject).where(fits)
     order = index.chunks.select("chunk_id", "lookup_path", "chunk_order")
@@ -225,6 +240,47 @@ def neighbours(relations: DataFrame) -> DataFrame:
     return out.unionByName(relations.select(F.col("object").alias("src"), F.col("subject").alias("dst"), "predicate"))
 
 
+def located(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits with the place of their chunks (path, start_line, end_line) and the reason for which they were found, by stage."""
+    place = chunks.select("chunk_id", F.col("source_file").alias("path"), "start_line", "end_line")
+    reason = F.get(F.array(*map(F.lit, REASONS)), F.col("stage"))
+    return hits.withColumn("reason", reason).join(place, "chunk_id", "left")
+
+
+def public(rows: DataFrame) -> DataFrame:
+    """rows without the internal columns."""
+    return rows.drop(*INTERNAL)
+
+
+def file_paths(rows: DataFrame) -> DataFrame:
+    """path: every file that the rows name, in columns or nested fields called file_path, source_file or path, each once."""
+
+    def named(fields, at) -> list[Column]:
+        out = []
+        for f in fields:
+            kind, value = f.dataType, at(f.name)
+            if f.name in PATH_COLUMNS and kind == StringType():
+                out.append(F.array(value))
+            elif isinstance(kind, StructType):
+                out += named(kind.fields, lambda n, v=value: v[n])
+            elif isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+                out.append(F.flatten(F.transform(value, of_element(kind.elementType.fields))))
+        return out
+
+    def of_element(fields):
+        return lambda x: F.concat(F.array().cast("array<string>"), *named(fields, lambda n: x[n]))
+
+    found = [F.coalesce(x, F.array().cast("array<string>")) for x in named(rows.schema.fields, lambda n: F.col(f"`{n}`"))]
+    every = F.concat(F.array().cast("array<string>"), *found)
+    return rows.select(F.explode(F.array_distinct(every)).alias("path")).where("path is not null").distinct()
+
+
+def asks(prompt: Column | str, trigger: Column | str) -> Column:
+    """Whether a prompt gets context: a user's (or nobody's) one of four characters at least."""
+    prompt, trigger = (F.col(x) if isinstance(x, str) else x for x in (prompt, trigger))
+    return F.coalesce(trigger, F.lit("")).isin("", "user") & (F.length(F.trim(F.coalesce(prompt, F.lit("")))) >= 4)
+
+
 def rerank(hits: DataFrame, k: Column | int) -> DataFrame:
     """The k best by score + 10 times the share of query words in the snippet and path; the shown score stays."""
     words, hay = query_tokens("query"), F.lower(F.concat_ws(" ", "snippet", "lookup_path"))

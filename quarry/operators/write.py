@@ -48,41 +48,55 @@ def delete_missing(chunks: DataFrame, scanned: DataFrame) -> DataFrame:
     return chunks.where("source <> 'file'").unionByName(chunks.where("source = 'file'").join(there, "source_file", "left_semi").select(*chunks.columns))
 
 
-def accepted_saves(saves: DataFrame, seconds: int = DUPLICATE_SECONDS) -> DataFrame:
+def accepted_saves(saves: DataFrame, seconds: int = DUPLICATE_SECONDS, earlier: DataFrame | None = None) -> DataFrame:
     """saves (save_id, ts, content) with `accepted`: content that was accepted less than so many seconds before isn't.
 
+    earlier (ts, hash): what was accepted before these saves.
+
     The time counts from the last accepted save, not from the last one: a fold over each content's times in order.
     A save so many seconds after the one before it is always accepted, so a content's times are cut there into pieces that
     are dealt out. The fold holds the last accepted time only; nothing is gathered.
     """
     hashed = saves.withColumn("hash", F.sha2(F.trim("content"), 256))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy("hash").orderBy("at", "save_id")
-    times = hashed.select("hash", at.alias("at"), "save_id")
+    w = W.partitionBy("hash").orderBy("at", F.desc("given"), "save_id")
+    times = hashed.select("hash", at.alias("at"), "save_id", F.lit(False).alias("given"))
+    if earlier is not None:
+        times = times.unionByName(earlier.select("hash", at.alias("at"), F.lit(None).cast(saves.schema["save_id"].dataType).alias("save_id"), F.lit(True).alias("given")))
     fresh = F.coalesce((F.col("at") - F.lag("at").over(w) >= seconds * 1_000_000).cast("int"), F.lit(1))
     times = times.withColumn("fresh", fresh).withColumn("piece", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    times = times.select("hash", "piece", "at", "save_id").repartition("hash", "piece").sortWithinPartitions("hash", "piece", "at", "save_id")
+    times = times.select("hash", "piece", "at", "given", "save_id").repartition("hash", "piece").sortWithinPartitions("hash", "piece", "at", F.desc("given"), "save_id")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = last = None
         for batch in batches:
             keep = []
-            for k, (hash_, piece, time) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+            for k, (hash_, piece, time, given) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
                 if own != (hash_, piece):
                     own, last = (hash_, piece), None
-                if last is None or time - last >= seconds * 1_000_000:
+                if given:
+                    last = time
+                elif last is None or time - last >= seconds * 1_000_000:
                     last = time
                     keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(keep, pa.int64()))], ["save_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(keep, pa.int64()))], ["save_id"])
 
     kept = times.mapInArrow(fold, f"save_id {dict(saves.dtypes)['save_id']}").withColumn("accepted", F.lit(True))
     return hashed.join(kept, "save_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
-def save(chunks: DataFrame, saves: DataFrame) -> DataFrame:
-    """Chunks with the accepted saves (save_id, ts, content, path, heading) added: one chunk each, next in order on its path."""
+def save(chunks: DataFrame, saves: DataFrame, replace: bool = False, earlier: DataFrame | None = None) -> DataFrame:
+    """Chunks with the accepted saves (save_id, ts, content, path, heading) added: one chunk each, next in order on its path.
+
+    replace: each save takes the place of all that is on its path, whatever was saved before; of several on a path the last one stays.
+    """
     path = F.when(F.trim("path") != "", lookup_path("path")).otherwise(F.concat(F.lit("agent_writes.session."), slug(F.coalesce("heading", F.lit("Session snapshot")))))
-    new = accepted_saves(saves.where(F.trim("content") != "")).where("accepted").withColumn("lookup_path", path)
+    told = saves.where(F.trim("content") != "")
+    if replace:
+        new = told.withColumn("lookup_path", path).withColumn("back", F.row_number().over(W.partitionBy("lookup_path").orderBy(F.desc("ts"), F.desc("save_id")))).where("back = 1")
+        chunks = chunks.join(new.select("lookup_path"), "lookup_path", "left_anti").select(*chunks.columns)
+    else:
+        new = accepted_saves(told, earlier=earlier).where("accepted").withColumn("lookup_path", path)
     last = chunks.groupBy("lookup_path").agg(F.max("chunk_order").alias("last"))
     order = F.row_number().over(W.partitionBy("lookup_path").orderBy("ts", "save_id"))
     new = new.withColumn("n", order).join(last, "lookup_path", "left").withColumn("chunk_order", (F.coalesce("last", F.lit(-1)) + F.col("n")).cast("int"))
@@ -99,6 +113,13 @@ def relate(edges: DataFrame) -> DataFrame:
     return edges.select(lookup_path("subject").alias("subject"), slug("predicate").alias("predicate"), lookup_path("object").alias("object"))
 
 
+def run_counters(diff: DataFrame) -> DataFrame:
+    """files_scanned, files_changed (new or changed) and files_missing of a manifest's diff, in one row."""
+    n = lambda *kinds: F.coalesce(F.sum(F.col("change").isin(*kinds).cast("long")), F.lit(0))
+    scanned = F.coalesce(F.sum((F.col("change") != "missing").cast("long")), F.lit(0))
+    return diff.agg(scanned.alias("files_scanned"), n("new", "changed").alias("files_changed"), n("missing").alias("files_missing"))
+
+
 def access_stats(log: DataFrame) -> DataFrame:
     """access_count and last_accessed per chunk of a log (chunk_id, ts)."""
     return log.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("access_count"), F.max("ts").alias("last_accessed"))

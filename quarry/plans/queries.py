@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quarry.functions import markdown, text as T
 from quarry.operators import index as I, retrieve as R, write as Wr
 from quarry.sources import files as S
-from quarry.tables import sized
+from quarry.tables import cut, sized
 
 NOW = "2024-01-31 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,3 +463,102 @@ def chunk_fetch(spark, sf):
 def savings_meta(spark, sf):
     g = doc_chunks(spark, sf).groupBy("parent_path").agg(F.sum(F.octet_length("content")).alias("raw_bytes"), F.sum("token_count").alias("tokens"))
     return g.withColumn("tokens_saved", T.tokens_saved("raw_bytes", F.lit(800)))
+
+
+# ---- snippets by windows, tiers, replacing saves, counters, gates
+
+_SQL_SNIPPET = f"""{_SQL_TOP}, hw AS (SELECT tp.*, qt.terms, regexp_split_to_array(content, '\\s+') AS ws FROM tp JOIN qt USING (query_id) WHERE rank <= 20),
+  hh AS (SELECT *, list_transform(ws, lambda v: CASE WHEN len(list_filter(terms, lambda t: contains(lower(v), t))) > 0 THEN 1 ELSE 0 END) AS hit FROM hw),
+  hp AS (SELECT query_id, chunk_id, unnest(hit) AS v, unnest(range(0, len(hit))) AS s FROM hh WHERE len(ws) > 64),
+  hc AS (SELECT query_id, chunk_id, s, sum(v) OVER (PARTITION BY query_id, chunk_id ORDER BY s ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) AS n, count(*) OVER (PARTITION BY query_id, chunk_id) AS m FROM hp),
+  hb AS (SELECT query_id, chunk_id, s AS w0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY n DESC, s) AS r FROM hc WHERE s <= m - 64) WHERE r = 1),
+  hs AS (SELECT hh.*, CASE WHEN len(ws) <= 64 THEN content ELSE (CASE WHEN w0 > 0 THEN ' ... ' ELSE '' END) || array_to_string(list_slice(ws, w0 + 1, w0 + 64), ' ') || (CASE WHEN w0 + 64 < len(ws) THEN ' ... ' ELSE '' END) END AS found
+    FROM hh LEFT JOIN hb USING (query_id, chunk_id)),
+  sn AS (SELECT *, coalesce(nullif(trim(found), ''), substr(content, 1, 200)) AS snippet FROM hs)"""
+
+
+def _windows(spark, sf) -> DataFrame:
+    """The 20 best full-text hits of each benchmark query with the windows of their texts."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.significant_terms("text"), 1, 8).alias("terms"))
+    hits = R._ranked(_stage(spark, sf), ["query_id"], _best()).where("rank <= 20")
+    # written, so that no later filter repeats the making of a window for each word
+    return cut(R.with_snippet(hits.join(sized(asked, 400), "query_id")), "windows")
+
+
+@query(f"WITH {_SQL_SNIPPET} SELECT query_id, chunk_id, rank, snippet FROM sn")
+def snippet_window(spark, sf):
+    return _windows(spark, sf).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "snippet")
+
+
+@query(f"""WITH {_SQL_SNIPPET}, w AS (SELECT *, {_SQL_WORDS} AS qw, lower(snippet || ' ' || lookup_path) AS hay FROM sn),
+  r AS (SELECT *, round(score + 10 * CASE WHEN len(qw) > 0 THEN len(list_filter(qw, lambda t: contains(hay, t)))::DOUBLE / len(qw) ELSE 0 END, 4) AS rerank_score FROM w),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM r)
+  SELECT query_id, chunk_id, score, rerank_score, new_rank FROM o WHERE new_rank <= 5""")
+def rerank_window(spark, sf):
+    """The rerank of a search: query words count where the best window of a text has them."""
+    return R.rerank(_windows(spark, sf), 5).select("query_id", "chunk_id", "score", "rerank_score", F.col("new_rank").cast("long").alias("new_rank"))
+
+
+@query(f"""WITH {_SQL_SNIPPET} SELECT query_id, '[Memory context]' || chr(10) || string_agg(snippet, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || '[End memory context]' AS context
+  FROM sn WHERE rank <= 6 GROUP BY query_id""")
+def context_window(spark, sf):
+    return R.prompt_context(_windows(spark, sf), 6)
+
+
+@query(f"""WITH {SQL_CARDS}, acc AS (SELECT user_id AS chunk_id, count(*) AS n, max(ts) AS last FROM events GROUP BY 1),
+  q AS (SELECT chunk_id AS query_id, CASE chunk_id % 3 WHEN 0 THEN lookup_path WHEN 1 THEN parent_path ELSE regexp_replace(lookup_path, '[^a-z0-9]', '', 'g') END AS path, chunk_id % 3 AS tier FROM cards),
+  m AS (SELECT query_id, tier, c.chunk_id, c.lookup_path, greatest(1, (length(content) + 3) // 4) AS token_count, row_number() OVER (PARTITION BY query_id ORDER BY c.lookup_path) AS r FROM q
+    JOIN cards c ON (tier = 0 AND c.lookup_path = path) OR (tier = 1 AND c.parent_path = path) OR (tier = 2 AND regexp_replace(c.lookup_path, '[^a-z0-9]', '', 'g') = path)),
+  b AS (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY r) AS run FROM m WHERE r <= 20)
+  SELECT query_id, CAST(tier AS INTEGER) AS tier, chunk_id, lookup_path, token_count, round(coalesce(1 / (greatest(0, date_diff('microsecond', last, TIMESTAMP '{NOW}') / 86400000000.0) + 1), 0) + ln(1 + coalesce(n, 0)), 4) AS score
+  FROM b LEFT JOIN acc USING (chunk_id) WHERE run <= 500""")
+def path_lookup_tiers(spark, sf):
+    """Each card asked for by its path, the path above it, or its path's letters, a third each: all tiers in one batch."""
+    c = cards(spark, sf)
+    kind = F.col("chunk_id") % 3
+    path = F.when(kind == 0, F.col("lookup_path")).when(kind == 1, F.col("parent_path")).otherwise(F.regexp_replace("lookup_path", "[^a-z0-9]", ""))
+    wanted = c.select(F.col("chunk_id").alias("query_id"), path.alias("path"), F.lit(20).alias("limit"), F.lit(500).alias("max_tokens"))
+    ix = I.Index(c, I.path_tree(c), I.term_index(c), I.facts(c), None, Wr.access_stats(access_log(spark, sf)), None)
+    return R.path_lookup(ix, wanted, F.lit(NOW).cast("timestamp")).select("query_id", "tier", "chunk_id", "lookup_path", "token_count", "score")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def delete_missing_files(spark, sf):
+    """Chunks of files (documents) that a scan (labels) didn't find."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("source_file"), F.lit("file").alias("source"))
+    kept = Wr.delete_missing(d, table(spark, sf, "labels").select(F.col("doc_id").alias("path")))
+    return d.join(kept.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+  SELECT 'users.user_' || user_id AS lookup_path, 0 AS chunk_order, event_type || ' ' || event_id AS content FROM e WHERE r = 1
+  UNION ALL SELECT 'users.user_' || c_custkey, 0, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
+def save_replace(spark, sf):
+    """Events as replacing saves on their users' paths, over chunks of customers on such paths."""
+    c = table(spark, sf, "customer")
+    path = F.concat(F.lit("users.user_"), "c_custkey")
+    chunks = c.select(
+        F.col("c_custkey").alias("chunk_id"), path.alias("lookup_path"), F.lit("users").alias("parent_path"), F.lit(0).alias("chunk_order"), F.lit("file").alias("source"), F.col("c_name").alias("content"),
+        T.token_count("c_name").alias("token_count"), F.lit("users.md").alias("source_file"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+    )
+    e = table(spark, sf, "events")
+    saves = e.select(F.col("event_id").alias("save_id"), "ts", F.concat_ws(" ", "event_type", "event_id").alias("content"), F.concat(F.lit("users.user_"), "user_id").alias("path"), F.lit(None).cast("string").alias("heading"))
+    return Wr.save(chunks, saves, replace=True).select("lookup_path", "chunk_order", "content")
+
+
+@query("""SELECT count(*) FILTER (doc_id % 5 <> 0) AS files_scanned, count(*) FILTER (doc_id % 5 IN (1, 2)) AS files_changed, count(*) FILTER (doc_id % 5 = 0) AS files_missing FROM documents""")
+def index_run(spark, sf):
+    return Wr.run_counters(Wr.manifest_diff(_manifest(spark, sf, False), _manifest(spark, sf, True)))
+
+
+@query("SELECT DISTINCT 'docs/' || source || '/' || lang || '.md' AS path FROM documents UNION SELECT 'cards/' || c_mktsegment || '.md' FROM customer")
+def file_paths(spark, sf):
+    """Files that rows name, in columns and nested fields."""
+    d = table(spark, sf, "documents").select(F.struct(F.concat(F.lit("docs/"), "source", F.lit("/"), "lang", F.lit(".md")).alias("source_file"), "doc_id").alias("hit"), F.col("doc_id").alias("k"))
+    c = table(spark, sf, "customer").select(F.array(F.struct(F.concat(F.lit("cards/"), "c_mktsegment", F.lit(".md")).alias("file_path"))).alias("hits"), F.col("c_custkey").alias("k"))
+    return R.file_paths(d.join(c, "k", "full_outer"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE coalesce(role, '') IN ('', 'user') AND length(trim(coalesce(text, ''))) >= 4")
+def prompt_gate(spark, sf):
+    return table(spark, sf, "conversations").where(R.asks("text", "role")).select("conv_id", "turn")

@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.api import Engine, EngineError, envelope
+from quarry.api import Engine, EngineError, envelope, results, savings_line
+from quarry.operators import retrieve as R
 from quarry.sources.config import Settings
 
 
@@ -92,3 +93,62 @@ def test_blank_saves_are_refused(spark, engine):
     with pytest.raises(EngineError) as e:
         Engine(spark, Settings(), engine.index, engine.manifest).save(saves)
     assert e.value.code == "INVALID_CONTENT"
+
+
+def test_searches_and_fetches_are_recorded(spark, engine):
+    own = Engine(spark, Settings(), engine.index, engine.manifest)
+    before = {r["chunk_id"]: r["access_count"] for r in own.index.access.collect()}
+    hit = own.search("oak launch date", 1, now=now()).first()
+    assert (hit["path"], hit["reason"] in R.REASONS) == ("memory/projects/oak.md", True)
+    own.fetch(hit["chunk_id"], now=now())
+    own.lookup("memory.projects.oak.milestones", now=now())
+    after = {r["chunk_id"]: r["access_count"] for r in own.index.access.collect()}
+    assert after[hit["chunk_id"]] - before.get(hit["chunk_id"], 0) == 3
+    quiet = Engine(spark, Settings(), engine.index, engine.manifest, record=False)
+    quiet.search("oak launch date", 1, now=now())
+    assert not quiet.logs
+
+
+def test_replacing_and_repeated_saves(spark, engine):
+    schema = "save_id long, ts timestamp, content string, path string, heading string"
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    own = Engine(spark, Settings(), engine.index, engine.manifest)
+    for k, (s, text) in enumerate([(0, "a walrus"), (30, "a walrus"), (60, "a walrus"), (61, "a seal")]):
+        own.save(spark.createDataFrame([(k, at(s), text, "notes.sea", None)], schema))
+    here = lambda: sorted((r["chunk_order"], r["content"]) for r in own.index.chunks.where("lookup_path = 'notes.sea'").collect())
+    assert here() == [(0, "a walrus"), (1, "a walrus"), (2, "a seal")]
+    own.save(spark.createDataFrame([(7, at(62), "a crab", "notes.sea", None), (8, at(63), "a seal", "notes.sea", None)], schema), replace=True)
+    assert here() == [(0, "a seal")]
+
+
+def test_runs_are_audited_and_unchanged_files_cost_nothing(spark):
+    files = spark.createDataFrame(list(NOTES.items()), "path string, text string")
+    own = Engine(spark, Settings()).build(files)
+    index = own.index
+    own.refresh(files)
+    assert own.index is index
+    own.refresh(spark.createDataFrame([(k, v + "\n- More: yes\n") for k, v in NOTES.items() if "oak" not in k], "path string, text string"))
+    runs = own.logs["index_runs"].orderBy("started_at").collect()
+    assert [(r["scope"], r["files_scanned"], r["files_changed"]) for r in runs] == [("full", 3, 3), ("changed", 3, 0), ("changed", 2, 2)]
+    assert [(r["chunks_added"] > 0, r["chunks_deleted"] > 0) for r in runs] == [(True, False), (False, False), (True, True)]
+
+
+def test_get_gates_savings_and_results(spark, engine, tmp_path):
+    (tmp_path / "n.md").write_text("a\nb\nc\n")
+    own = Engine(spark, Settings(), engine.index, engine.manifest)
+    assert own.get("n.md", 2, 1, root=str(tmp_path)).first()["text"] == "b"
+    with pytest.raises(EngineError):
+        own.get("../n.md", root=str(tmp_path))
+    assert own.prompt_context("oak", now=now()) == own.prompt_context("oak launch date", now=now(), trigger="cron") == ""
+    hits = own.search("oak launch date", 2, now=now())
+    first, second = own.record_savings(hits), own.record_savings(hits)
+    assert second["total_tokens_saved"] == first["tokens_saved"] + second["tokens_saved"]
+    assert savings_line({"total_tokens_saved": 42300, "total_cost_avoided": {"x": 0.2115}}) == "42,300 tokens saved (x: $0.2115 avoided)"
+    told = results(hits)
+    assert told["results"] and told["fallback"] is False and not set(R.INTERNAL) & set(told["results"][0])
+
+
+def test_roots_that_are_missing_have_no_files(spark, tmp_path):
+    (tmp_path / "MEMORY.md").write_text("# Memory\n\n## Part\n\n- A walrus: yes\n")
+    own = Engine(spark, Settings(roots=[str(tmp_path / "none"), str(tmp_path)])).build()
+    assert own.manifest.count() == 1 and own.index.chunks.count() == 1

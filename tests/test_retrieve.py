@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 from quarry.operators import retrieve as R
 
@@ -20,3 +21,22 @@ def test_snippet_is_the_best_of_all_windows(spark):
         want = t if len(w) <= 64 else ((" ... " if s else "") + " ".join(w[s : s + 64]) + (" ... " if s + 64 < len(w) else "")).strip()
         assert got[k] == want
     assert "needle" in got[0]
+
+
+def test_facts_by_person_are_those_of_a_loop(spark):
+    people = ["Dana Whit", "Al Bo", "Dan Whitaker", "Bo Al", "Ann Danah", None]
+    facts = [(k, f"p.{k}", people[k % 6], "role" if k % 2 else "email", ("met dana whit", "x", "bo", "")[k % 4], 1.0) for k in range(24)]
+    ix = SimpleNamespace(
+        facts=spark.createDataFrame(facts, "chunk_id int, lookup_path string, subject string, predicate string, object string, weight double"),
+        chunks=spark.createDataFrame([(k, f"p.{k}", 0) for k in range(24)], "chunk_id int, lookup_path string, chunk_order int"),
+    )
+    asked = [(1, 20, [], ["dana", "whit"]), (2, 20, [], ["al", "bo"]), (3, 20, [], ["dan"]), (4, 20, ["email"], ["bo"]), (5, 20, ["email", "role"], []), (6, 20, [], [])]
+    q = spark.createDataFrame(asked, "query_id int, limit int, predicates array<string>, subjects array<string>")
+    got = {(r["query_id"], r["chunk_id"]) for r in R.fact_hits(ix, q).collect()}
+    want = set()
+    for i, _, names, words in asked:
+        for k, _, who, name, what, _ in facts:
+            low = f"{who or ''}\n{what}".lower()
+            if (names or words) and (not names or name in names) and all(w in low for w in words):
+                want.add((i, k))
+    assert got == want
