@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, language, licenses, packing, pii, quality, sql, substrings, toxicity
+from . import bpe, fingerprints, jaccard, language, licenses, manifest, packing, pii, quality, sql, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,10 @@ def queries() -> dict[str, Query]:
         "op8_packing": packing.op8_packing,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_substring_dedup": substrings.op10_substring_dedup,
+        "op13_merkle_manifest": manifest.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can tell a query's rows; the other operators hash, tokenise, or vote by learned weights."""
-    return {"op4_ngram_jaccard_join": sql.NEAR_DUPLICATES, "op10_substring_dedup": sql.REPEATED_PASSAGES}
+    return {"op4_ngram_jaccard_join": sql.NEAR_DUPLICATES, "op10_substring_dedup": sql.REPEATED_PASSAGES, "op13_merkle_manifest": sql.MERKLE}

@@ -24,3 +24,27 @@ REPEATED_PASSAGES = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex
   q AS (SELECT k, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head FROM e JOIN d USING (k) GROUP BY k)
   SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
     sha256(unhex(CASE WHEN q.k IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN q USING (k)"""
+
+#: Levels of the trees by recursion, then every leaf's way up; CRC-32 bit by bit.
+MERKLE = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, *, CAST(doc_id AS VARCHAR) AS s FROM documents),
+  c AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)),
+      lambda x, b: list_reduce(list_prepend(xor(x, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda y, j: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) % 7 = 0 AS bad FROM d),
+  f AS (SELECT k, doc_id, coalesce('=' || lang, '') AS g,
+      coalesce(len(s) || ':' || s, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+      CAST(n_chars AS HUGEINT) AS n, CASE WHEN bad THEN CAST(n_chars AS HUGEINT) + 1 ELSE n_chars END AS m, coalesce(strlen(text) || ':' || text, '-') AS z FROM c),
+  l AS (SELECT k, doc_id, g, sha256(a || coalesce(len(CAST(n AS VARCHAR)) || ':' || n, '-') || z) AS leaf, sha256(a || coalesce(len(CAST(m AS VARCHAR)) || ':' || m, '-') || z) AS shown FROM f),
+  o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+  t AS (SELECT g, 0 AS lvl, pos, n, leaf AS h FROM o
+    UNION ALL SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY g, lvl, n, pos // 2),
+  r AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+  u AS (SELECT 0 AS lvl, pos, n, subroot AS h FROM r
+    UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, n, pos // 2),
+  w AS (SELECT k, g, 0 AS lvl, pos, shown AS acc, '' AS seen FROM o
+    UNION ALL SELECT w.k, w.g, w.lvl + 1, w.pos // 2, sha256(CASE WHEN t.h IS NULL THEN acc WHEN t.pos < w.pos THEN t.h || acc ELSE acc || t.h END), seen || coalesce(t.h, '')
+      FROM w JOIN t AS own ON own.g = w.g AND own.lvl = w.lvl AND own.pos = w.pos AND own.n > 1 LEFT JOIN t ON t.g = w.g AND t.lvl = w.lvl AND t.pos = xor(w.pos, 1)),
+  e AS (SELECT k, r.pos, acc, seen FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY lvl DESC) AS back FROM w) q JOIN r USING (g) WHERE back = 1),
+  v AS (SELECT k, 0 AS lvl, pos, acc, seen FROM e
+    UNION ALL SELECT v.k, v.lvl + 1, v.pos // 2, sha256(CASE WHEN u.h IS NULL THEN acc WHEN u.pos < v.pos THEN u.h || acc ELSE acc || u.h END), seen || coalesce(u.h, '')
+      FROM v JOIN u AS own ON own.lvl = v.lvl AND own.pos = v.pos AND own.n > 1 LEFT JOIN u ON u.lvl = v.lvl AND u.pos = xor(v.pos, 1))
+  SELECT doc_id, leaf, subroot, u.h AS root, sha256(seen) AS proof_sha256, acc AS folded_root, acc = u.h AS verified
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY lvl DESC) AS back FROM v) x JOIN l USING (k) JOIN r USING (g) JOIN u ON u.n = 1 WHERE back = 1"""
