@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,21 +108,23 @@ def chunked(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
 
 
 def encode(
-    docs: DataFrame, text_col: str = "text", *, keep: tuple[str, ...] = ("doc_id",), ranks_path: str | None = None, pattern: str | None = None, size: int = CHUNK, overlap: int = OVERLAP
+    docs: DataFrame, text_col: str = "text", *, keep: tuple[str, ...] = ("doc_id",), ranks_path: str | None = None, pattern: str | None = None, size: int = CHUNK, overlap: int = OVERLAP,
+    coder: Callable[[], Pieces] | None = None,
 ) -> DataFrame:
     """The kept columns, ids (array of ints) and decoded (binary: the bytes of the ids) of every text.
 
     Texts of one chunk are encoded where they are read. The chunks of longer texts are dealt out.
-    """
+    coder: gives a worker's codec, where it isn't the one of the ranks.
+    """
     import public_tokenizers
 
-    ranks_path, pattern = ranks_path or tables(), pattern or public_tokenizers.PATTERN
+    coder = coder or functools.partial(codec, ranks_path or tables(), pattern or public_tokenizers.PATTERN)
     rows = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("__text"))
     length = F.length("__text")
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = coder()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -130,7 +132,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _lists(ids), pa.array([own.decode(x) for x in ids], pa.binary())], [*keep, "ids", "decoded"])
 
     short = rows.where(length <= size + overlap).mapInArrow(run, f"{kept}, ids array<int>, decoded binary")
-    return short.unionByName(_encode_long(rows.where(length > size + overlap), keep, kept, ranks_path, pattern, size, overlap))
+    return short.unionByName(_encode_long(rows.where(length > size + overlap), keep, kept, coder, size, overlap))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -138,7 +140,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32)))
 
 
-def _encode_long(rows: DataFrame, keep: tuple[str, ...], kept: str, ranks_path: str, pattern: str, size: int, overlap: int) -> DataFrame:
+def _encode_long(rows: DataFrame, keep: tuple[str, ...], kept: str, coder: Callable[[], Pieces], size: int, overlap: int) -> DataFrame:
     """The same for texts of several chunks, each a row: cut on its own, stitched with its neighbours, encoded between the stitches."""
     n = F.ceil((F.length("__text") - overlap) / size).cast("int")
     chunk = lambda k: F.substr("__text", k * size + 1, F.when(k + 1 < n, size + overlap).otherwise(F.length("__text")))
@@ -149,7 +151,7 @@ def _encode_long(rows: DataFrame, keep: tuple[str, ...], kept: str, ranks_path:
     names = [*keep, "__uid", "__n", "__k", "__chunk"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = codec(ranks_path, pattern).pattern
+        find = coder().pattern
         for batch in batches:
             for lo in range(0, batch.num_rows, 32):
                 part = batch.slice(lo, 32)
@@ -169,7 +171,7 @@ def _encode_long(rows: DataFrame, keep: tuple[str, ...], kept: str, ranks_path:
     stitched_ = chunks.join(stops, (F.col("__uid") == F.col("__u")) & (F.col("__k") == F.col("__c"))).select(*names, "__stop", "__begin", "__lost")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = coder()
         for batch in batches:
             for lo in range(0, batch.num_rows, 32):
                 part = batch.slice(lo, 32)
@@ -188,7 +190,7 @@ def _encode_long(rows: DataFrame, keep: tuple[str, ...], kept: str, ranks_path:
     texts = texts.select(*keep, F.flatten(F.transform("__all", lambda x: x["__ids"])).alias("ids"), F.transform("__all", lambda x: x["__chunk"]).alias("__chunks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = coder()
         for batch in batches:
             for k in range(batch.num_rows):
                 part = batch.slice(k, 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, language, licenses, manifest, packing, pii, quality, sql, substrings, toxicity
+from . import backtrack, bpe, fingerprints, jaccard, language, licenses, manifest, packing, pii, quality, sql, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_packing": packing.op8_packing,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_substring_dedup": substrings.op10_substring_dedup,
+        "op11_backtracking_bpe": backtrack.op11_backtracking_bpe,
         "op13_merkle_manifest": manifest.op13_merkle_manifest,
     }
 
