@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backtrack, bpe, fingerprints, jaccard, language, licenses, manifest, packing, pii, quality, sql, substrings, toxicity
+from . import alignment, backtrack, bpe, fingerprints, jaccard, language, licenses, manifest, packing, pii, quality, sql, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_substring_dedup": substrings.op10_substring_dedup,
         "op11_backtracking_bpe": backtrack.op11_backtracking_bpe,
+        "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
         "op13_merkle_manifest": manifest.op13_merkle_manifest,
     }
 
