@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quarry.llm import bpe, fingerprints, jaccard, lexicon, licenses, packing, pii, quality, substrings, textnp, toxicity
+from quarry.llm import alignment, backtrack, bpe, fingerprints, jaccard, lexicon, licenses, manifest, packing, pii, quality, substrings, textnp, toxicity
 from quarry.llm.weak import Voters, fit
 
 
@@ -452,3 +452,92 @@ def test_spans_of_long_texts(spark):
     want = regex.sub(pii.IP, "[IP]", regex.sub(pii.EMAIL, "[EMAIL]", text))
     assert got[1].replace("[NAME]", "John Smith") == want and got[2] is None
     assert done.columns == docs.columns
+
+
+def plain_merges(merges, text):
+    """The merges one by one: the least number first, of equal ones the one further left."""
+    parts = list(text)
+    while True:
+        found = [(merges[p], k) for k, p in enumerate(zip(parts, parts[1:])) if p in merges]
+        if not found:
+            return parts
+        _, k = min(found)
+        parts[k : k + 2] = ["".join(parts[k : k + 2])]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_backtracking_gives_the_merges(seed):
+    """Small vocabularies of few letters, in which merges of equal letters, overlaps and dead ends are frequent."""
+    draw = random.Random(seed)
+    tokens, merges = list("abc"), {}
+    while len(merges) < draw.choice((5, 12, 30)):
+        pair = draw.choice(tokens), draw.choice(tokens)
+        # a merge has to be met: the merges so far keep its two parts apart and whole
+        if "".join(pair) not in tokens and plain_merges(merges, "".join(pair)) == list(pair):
+            merges[pair] = len(merges)
+            tokens.append("".join(pair))
+    letters = {b: c for c, b in backtrack.byte_letters().items()}
+    every = [letters[b] for b in range(256)] + ["".join(p) for p in merges]
+    own = backtrack.Merges({t: i for i, t in enumerate(every)}, list(merges), {})
+    for _ in range(400):
+        text = "".join(draw.choice("aab" if draw.random() < 0.5 else "abc") for _ in range(draw.randrange(40)))
+        assert [every[i] for i in own.encode(text)] == plain_merges(merges, text)
+
+
+def test_backtracking_takes_linear_time_and_added_tokens():
+    import time
+
+    from tokenizers import Tokenizer
+
+    own = backtrack.backtracker(backtrack.tables(), public_tokenizers.PATTERN)
+    reader = Tokenizer.from_file(backtrack.tables())
+    for t in ("<|endoftext|>", "a  <|endoftext|>b<|endoftext|>", "!<|endoftext|<|endoftext|>", " <|endoftext|> x's"):
+        ids = own.encode([t])
+        assert ids.tolist() == reader.encode(t, add_special_tokens=False).ids and own.decode(ids) == t.encode()
+    assert own.decode(np.array([own.encode(["é"])[0]], "<u4")) == "é".encode() and own.decode(np.zeros(0, "<u4")) == b""
+    began = time.time()
+    own.merges.encode("e" * 300_000)
+    assert time.time() - began < 20
+
+
+def test_added_tokens_on_chunk_ends(spark):
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(backtrack.tables())
+    texts = [(k, "x" * k + " <|endoftext|> and <|endoftext|>!<|endoftext|" * 12) for k in range(40)] + [(99, None), (100, "")]
+    got = backtrack.encode(spark.createDataFrame(texts, "doc_id long, text string"), size=64, overlap=40).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == [(k, reader.encode(t or "", add_special_tokens=False).ids) for k, t in texts]
+
+
+def test_windows_are_cut_at_verified_anchors_only():
+    own = alignment.aligner(backtrack.tables(), public_tokenizers.PATTERN, bpe.tables("piece_bpe_32k.model"))
+    draw = random.Random(4)
+    for _ in range(300):
+        text = "".join(draw.choice(["a", "the", " ", "  ", "\n", "é", "日", "😀", "'s", "ing", "<s>", "<0x41>", "zz"]) for _ in range(draw.randrange(1, 60)))
+        n_a, n_b, groups, links = own.align(text)
+        told = " " + text
+        if not n_a:
+            continue
+        a, b = own.a.encode([told]).astype(np.int32), own.b.encode(told)
+        assert b.tolist() == own.b.model.encode(text)
+        whole, pairs = own.aligned(a.tolist(), b.tolist())
+        assert whole == groups and pairs == links.tobytes() and (n_a, n_b) == (len(a), len(b))
+    assert own.align("a\u2581b")[0] == 0 and own.align("")[0] == own.align(None)[0] == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 8, 9, 17, 31, 32, 33, 70])
+def test_witnesses_grow_with_the_tree(spark, n):
+    """Blocks of four leaves, so that there are several rounds of roots."""
+    leaves = [manifest.digest(str(k)) for k in range(n)]
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([manifest.digest(*levels[-1][k : k + 2]) for k in range(0, len(levels[-1]), 2)])
+    rows = spark.createDataFrame([(g, k, n, x) for g in ("a", "b") for k, x in enumerate(leaves)], "group string, pos long, n long, digest string")
+    got = manifest.trees(rows, levels=2).withColumn("k", F.col("pos")).collect()
+    assert len(got) == 2 * n
+    for r in got:
+        want, k = [], r["pos"]
+        for nodes in levels[:-1]:
+            want.append((k % 2 == 1 and True, nodes[k ^ 1] if k ^ 1 < len(nodes) else None))
+            k //= 2
+        assert [(s["left"] if s["digest"] else False, s["digest"]) for s in r["siblings"]] == [(left if d else False, d) for left, d in want] and r["root"] == levels[-1][0]

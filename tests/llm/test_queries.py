@@ -221,3 +221,98 @@ def test_substrings(spark, folder, rows):
     got = run(spark, folder, "op10_")
     want = [(i, *x) for (i, *_), x in zip(rows, repeats([t for _, t, *_ in rows]))]
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_backtracking_bpe(spark, folder, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = by_id(run(spark, folder, "op11_"))
+    for i, t, *_ in rows:
+        ids = reader.encode(t or "", add_special_tokens=False).ids
+        for r in found[i]:
+            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(reader.decode(ids, skip_special_tokens=False).encode()))
+    assert sum(map(len, found.values())) == len(rows)
+
+
+def plain_alignment(a_reader, b_reader, text):
+    """Ids of both, and groups as (ids of A, ids of B), by sets of ends."""
+    if not text:
+        return [], [], []
+    from quarry.llm import backtrack
+
+    letters = backtrack.byte_letters()
+    a, b = a_reader.encode(" " + text, add_special_tokens=False).ids, b_reader.encode(text)
+    raw_a = [bytes(letters[c] for c in a_reader.id_to_token(i)) for i in a]
+    raw_b = [bytes([int(b_reader.id_to_piece(i)[3:-1], 16)]) if b_reader.is_byte(i) else b_reader.id_to_piece(i).replace("\u2581", " ").encode() for i in b]
+    if b"".join(raw_a) != (" " + text).encode() or b"".join(raw_b) != (" " + text).encode():
+        return [], [], []
+    ends_a, ends_b = np.cumsum([*map(len, raw_a)]), np.cumsum([*map(len, raw_b)])
+    both = np.intersect1d(ends_a, ends_b)
+    cut_a, cut_b = ([0, *(np.searchsorted(e, both) + 1).tolist()] for e in (ends_a, ends_b))
+    return a, b, [(a[x:y], b[z:w]) for x, y, z, w in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+
+
+def test_tokenizer_alignment(spark, folder, rows):
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_reader, b_reader = Tokenizer.from_file(P.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    a_reader.encode_special_tokens = True
+    want = [(i, *plain_alignment(a_reader, b_reader, t)) for i, t, *_ in rows]
+    count = Counter((x[-1], y[-1]) for *_, groups in want for x, y in groups)
+    most = defaultdict(int)
+    for (_, b), n in count.items():
+        most[b] = max(most[b], n)
+    out = []
+    for i, a, b, groups in want:
+        ns = [(count[x[-1], y[-1]], most[y[-1]]) for x, y in groups]
+        told = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        out.append((i, len(a), len(b), len(groups), len(groups), sum(n == m for n, m in ns), sum(n for n, _ in ns), sha(told.encode()) if a else ""))
+    got = run(spark, folder, "op12_")
+    assert sorted((tuple(r.values()) for r in got), key=str) == sorted(out, key=str)
+    assert any(n_b and best < n for _, _, n_b, n, _, best, *_ in out)
+
+
+def levels_of(leaves):
+    """All levels of a tree, each a list of digests."""
+    out = [leaves]
+    while len(out[-1]) > 1:
+        out.append([sha("".join(out[-1][k : k + 2]).encode()) for k in range(0, len(out[-1]), 2)])
+    return out
+
+
+def way_up(levels, k):
+    """(on the left, digest or None) on each level."""
+    out = []
+    for nodes in levels[:-1]:
+        other = nodes[k ^ 1] if k ^ 1 < len(nodes) else None
+        out.append((k % 2 == 1, other))
+        k //= 2
+    return out
+
+
+def test_merkle_manifest(spark, folder, rows):
+    field = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    leaf = lambda i, t, lang, source, n: sha("".join(map(field, (i, source, lang, n, t))).encode())
+    trees = defaultdict(list)
+    for i, t, lang, source in rows:
+        n = None if t is None else len(t)
+        bad = i is not None and n is not None and zlib.crc32(str(i).encode()) % 7 == 0
+        trees[lang].append(((i is not None, i or 0, leaf(i, t, lang, source, n)), i, leaf(i, t, lang, source, n + bad if n is not None else n)))
+    order = sorted(trees, key=lambda x: b"" if x is None else b"=" + x.encode())
+    grown = {lang: levels_of([k[2] for k, *_ in sorted(trees[lang], key=lambda x: x[0])]) for lang in order}
+    top = levels_of([grown[lang][-1][0] for lang in order])
+    want = []
+    for g, lang in enumerate(order):
+        for k, (key, i, shown) in enumerate(sorted(trees[lang], key=lambda x: x[0])):
+            way = way_up(grown[lang], k) + way_up(top, g)
+            acc = shown
+            for left, other in way:
+                acc = sha((acc if other is None else other + acc if left else acc + other).encode())
+            want.append((i, key[2], grown[lang][-1][0], top[-1][0], sha("".join(o or "" for _, o in way).encode()), acc, acc == top[-1][0]))
+    got = run(spark, folder, "op13_")
+    assert sorted((tuple(r.values()) for r in got), key=str) == sorted(want, key=str)
+    assert {r["verified"] for r in got} == {True, False}
