@@ -6,6 +6,7 @@ source_file, start_line and end_line.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -103,21 +104,75 @@ def facts(chunks: DataFrame) -> DataFrame:
     )
 
 
-def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+#: Chunks that a block's zone has, about; terms of a batch of queries that are pushed to the scan, in groups that a scan takes as equalities.
+ZONE_CHUNKS, PUSHED_TERMS, PUSHED_TOGETHER = 128, 500, 10
+BLOCK = "term string, zone int, n int, most_tf int, least_dl int, chunk_ids array<long>, tfs array<int>, dls array<int>, positions array<array<int>>"
+
+
+def wanted_tokens(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chunk_id, dl (tokens of the chunk) and `found`, its tokens among the wanted terms with their places: written, as each text is cut into tokens once."""
+    terms = [r["term"] for r in wanted.select("term").distinct().limit(PUSHED_TERMS * 20 + 1).collect()]
+    tokens = chunks.select("chunk_id", fts_tokens("content").alias("t")).select("chunk_id", F.size("t").alias("dl"), F.col("t"))
+    placed = F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("at")))
+    if len(terms) <= PUSHED_TERMS * 20:  # beyond, all tokens go on and meet the wanted terms in a join
+        placed = F.filter(placed, lambda x: x["term"].isin(terms))
+    return cut(tokens.select("chunk_id", "dl", placed.alias("found")), "tokens")
+
+
+def postings(chunks: DataFrame, wanted: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
     """term, chunk_id, tf, dl (tokens of the chunk), positions; one row per term and chunk.
 
-    wanted (term): only postings of these are made, so that other tokens aren't moved.
+    wanted (term): only postings of these are made, so that other tokens aren't moved; tokens: those of `wanted_tokens`, if they are there.
     """
-    tokens = chunks.select("chunk_id", fts_tokens("content").alias("t"))
-    each = tokens.select("chunk_id", F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
     if wanted is not None:
+        each = (wanted_tokens(chunks, wanted) if tokens is None else tokens).select("chunk_id", "dl", F.inline("found"))
         each = each.join(sized(cut(wanted.select("term").distinct(), "wanted"), 64), "term", "left_semi")
+    else:
+        each = chunks.select("chunk_id", fts_tokens("content").alias("t")).select("chunk_id", F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
     return each.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
+def reblocked(rows: DataFrame, n_chunks: int) -> DataFrame:
+    """Postings as blocks: one row per term and zone, with the most times and the least length in it, from which its largest impact follows.
+
+    A zone is a group of about ZONE_CHUNKS chunks by the hash of their id, the same for all terms, so that what several terms can
+    come to in a zone is a sum over its blocks; a frequent term has many blocks, none larger than its zone. Blocks lie in ranges of terms and zones, in order.
+    """
+    zone = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n_chunks // ZONE_CHUNKS)))).cast("int")
+    rows = rows.withColumn("zone", zone).repartitionByRange("term", "zone")
+    each = F.sort_array(F.collect_list(F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), "dl", "positions")))
+    blocks = rows.groupBy("term", "zone").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").cast("int").alias("most_tf"), F.min("dl").alias("least_dl"), each.alias("x"))
+    take = lambda c: F.transform("x", lambda e: e[c])
+    blocks = blocks.select("term", "zone", "n", "most_tf", "least_dl", take("chunk_id").alias("chunk_ids"), take("tf").alias("tfs"), take("dl").alias("dls"), take("positions").alias("positions"))
+    return blocks.sortWithinPartitions("term", "zone")
+
+
+def blocked(chunks: DataFrame, n_chunks: int) -> DataFrame:
+    return reblocked(postings(chunks), n_chunks)
+
+
+def unblocked(blocks: DataFrame, *more: str, positions: bool = True) -> DataFrame:
+    """The postings of blocks, and more of their columns: term, chunk_id, tf, dl, positions (if asked for: they are the most bytes)."""
+    columns = [F.col(c).alias(a) for c, a in (("chunk_ids", "chunk_id"), ("tfs", "tf"), ("dls", "dl"), ("positions", "positions")) if positions or c != "positions"]
+    return blocks.select("term", *more, F.inline(F.arrays_zip(*columns)))
+
+
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """term, n: the chunks that have it."""
+    return chunks.select(F.explode(F.array_distinct(fts_tokens("content"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def in_use(rows: DataFrame, dead: DataFrame, key: str, n_dead: int) -> DataFrame:
+    """Rows (key, seq) whose key no later seq put out of use; without a join where none was. dead: key, seq."""
+    if not n_dead:
+        return rows
+    last = dead.groupBy(key).agg(F.max("seq").alias("dead_at"))
+    return rows.join(sized(last, 64, n_dead), key, "left").where(F.col("dead_at").isNull() | (F.col("seq") >= F.col("dead_at"))).select(*rows.columns)
+
+
 @dataclass
 class Index:
-    """All tables that queries need."""
+    """All tables that queries need; blocks, vocab (term, df), sizes (n, avgdl) and dead (chunk_id, seq, with their number) where the index is kept in segments."""
 
     chunks: DataFrame
     paths: DataFrame
@@ -126,17 +181,41 @@ class Index:
     postings: DataFrame
     access: DataFrame
     relations: DataFrame
+    blocks: DataFrame | None = None
+    vocab: DataFrame | None = None
+    sizes: DataFrame | None = None
+    dead: tuple[DataFrame, int] | None = None
+    version: object = None
+
+    def of(self, wanted: DataFrame, columns: list[str]) -> DataFrame:
+        """Blocks of the wanted terms (term): a scan of the files and row groups that have them, if the terms are few."""
+        return self.blocks.where(_any_of(wanted)).select(*columns)
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        return in_use(rows, self.dead[0], "chunk_id", self.dead[1]) if self.dead else rows
+
+
+def _any_of(wanted: DataFrame) -> Column:
+    """A condition on the term that scans can use; all terms pass where too many are wanted for one."""
+    terms = sorted(r["term"] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect())
+    if len(terms) > PUSHED_TERMS:
+        return F.lit(True)
+    groups = [F.col("term").isin(terms[k : k + PUSHED_TOGETHER]) for k in range(0, len(terms), PUSHED_TOGETHER)]
+    return functools.reduce(Column.__or__, groups, F.lit(False))
 
 
 def build(chunks: DataFrame, access: DataFrame, relations: DataFrame) -> Index:
     """access: chunk_id, access_count, last_accessed. relations: subject, predicate, object (paths).
 
-    The index tables are written once in the shared folder; postings in ranges of terms and sorted by them, so that files and row groups can be skipped.
+    The index tables are written once in the shared folder; postings in ranges of terms and sorted by them.
     """
-    chunks = cut(chunks, "chunks")
-    by_term = postings(chunks).repartitionByRange("term").sortWithinPartitions("term")
-    made = {"paths": path_tree(chunks), "terms": term_index(chunks), "facts": facts(chunks), "postings": by_term, "access": access, "relations": relations}
-    return Index(chunks, **{k: cut(v, k) for k, v in made.items()})
+    chunks = cut(chunks.withColumn("dl", F.size(fts_tokens("content"))), "chunks")
+    sizes = cut(chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "sizes")
+    n = sizes.first()["n"]
+    made = {"paths": path_tree(chunks), "terms": term_index(chunks), "facts": facts(chunks), "blocks": blocked(chunks, n).withColumn("seq", F.lit(1).cast("long")), "access": access, "relations": relations}
+    made = {k: cut(v, k) for k, v in made.items()}
+    vocab = made["blocks"].groupBy("term").agg(F.sum("n").alias("df"))
+    return Index(chunks.drop("dl"), postings=unblocked(made["blocks"]), vocab=vocab, sizes=sizes, **made)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -145,25 +224,78 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(raw <= 0, LEAST_IDF).otherwise(raw)
 
 
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term's times in a chunk of so many tokens count: more with the times, less with the length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _asked(wanted: DataFrame) -> DataFrame:
+    """The phrases of the queries, each with its words; without words it is none."""
+    phrases = wanted.select("query_id", "variant", "op", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("slot", "phrase"))
+    return phrases.withColumn("words", F.filter(F.split("phrase", "_"), lambda w: w != "")).where(F.size("words") > 0)
+
+
 def bm25(index: Index, wanted: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """wanted (query_id, variant, op, terms) -> query_id, variant, chunk_id, bm25 (higher is better).
 
     A term with underscores is a phrase of adjacent words. A term that a query names twice counts twice. Document frequencies are those of all chunks.
     """
-    phrases = wanted.select("query_id", "variant", "op", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("slot", "phrase"))
-    phrases = phrases.withColumn("words", F.filter(F.split("phrase", "_"), lambda w: w != "")).where(F.size("words") > 0)
+    phrases = cut(_asked(wanted), "asked")
     distinct = phrases.select("phrase", "words").distinct()
     each = distinct.select("phrase", F.size("words").alias("k"), F.posexplode("words").alias("slot", "term"))
-    found = index.postings.join(each, "term").groupBy("phrase", "chunk_id").agg(
+    rows = index.postings if index.blocks is None else index.alive(unblocked(index.of(each, index.blocks.columns), "seq")).drop("seq")
+    found = rows.join(sized(each, 64), "term")
+    # one word: as it is; several: starts that every word of the phrase has
+    single = found.where("k = 1").select("phrase", "chunk_id", "dl", F.size("positions").alias("tf"))
+    several = found.where("k > 1").groupBy("phrase", "chunk_id").agg(
         F.first("k").alias("k"), F.first("dl").alias("dl"), F.count(F.lit(1)).alias("got"), F.collect_list(F.transform("positions", lambda p: p - F.col("slot"))).alias("starts")
     )
-    # adjacent words: starts that every word of the phrase has
     common = F.aggregate(F.slice("starts", 2, 1_000), F.get("starts", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
-    tf = F.when(F.col("k") == 1, F.size(F.get("starts", F.lit(0)))).otherwise(F.size(common))
-    found = found.where(F.col("got") == F.col("k")).select("phrase", "chunk_id", "dl", tf.alias("tf")).where("tf > 0")
+    several = several.where(F.col("got") == F.col("k")).select("phrase", "chunk_id", "dl", F.size(common).alias("tf")).where("tf > 0")
+    found = cut(single.unionByName(several), "met")  # read twice: counted, and weighed
     if sizes is None:
-        sizes = index.chunks.select(F.size(fts_tokens("content")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        sizes = index.sizes if index.sizes is not None else index.chunks.select(F.size(fts_tokens("content")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sizes))  # one row of totals
-    weighted = found.join(df, "phrase").select("phrase", "chunk_id", (idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("score"))
-    scored = phrases.join(weighted, "phrase").groupBy("query_id", "variant", "op", "n_terms", "chunk_id").agg(F.sum("score").alias("bm25"), F.count(F.lit(1)).alias("got"))
+    n_phrases = phrases.count()
+    weighted = found.join(sized(df, 64, n_phrases), "phrase").select("phrase", "chunk_id", (idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("score"))
+    scored = weighted.join(sized(phrases, 100, n_phrases), "phrase").groupBy("query_id", "variant", "op", "n_terms", "chunk_id").agg(F.sum("score").alias("bm25"), F.count(F.lit(1)).alias("got"))
     return scored.where((F.col("op") == "or") | (F.col("got") == F.col("n_terms"))).select("query_id", "variant", "chunk_id", "bm25")
+
+
+def bm25_top(index: Index, wanted: DataFrame) -> DataFrame:
+    """wanted (query_id, variant, op, terms, k) -> query_id, variant, chunk_id, bm25: all hits from the k-th best on, and maybe some below it.
+
+    Blocks tell the most that each zone can come to for a query. The rarest terms' postings give k chunks' scores in part, so the
+    k-th best is no less than the k-th of these; zones that can't come to that are left out before their blocks are taken apart.
+    Of queries that ask for all terms, zones without one of them are left out. Queries with phrases are scored in full.
+    """
+    plain = wanted.where(~F.exists("terms", lambda t: t.contains("_")))
+    phrased = bm25(index, wanted.where(F.exists("terms", lambda t: t.contains("_"))).drop("k"))
+    by = ["query_id", "variant"]
+    asked = plain.select(*by, "op", "k", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy(*by, "op", "k", "n_terms", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = cut(asked, "asked")
+    n_asked = asked.count()
+    weighed = sized(asked, 100, n_asked).join(index.vocab.where(_any_of(asked)), "term").crossJoin(F.broadcast(index.sizes))
+    weighed = cut(weighed.withColumn("weight", F.col("times") * idf(F.col("n"), F.col("df"))).drop("n"), "weighed")
+    weighed_side = sized(weighed, 120, n_asked)
+    # what each zone can come to; a bound is rounded up, so that no rounding of sums passes it
+    heads = index.of(asked, ["term", "seq", "zone", "most_tf", "least_dl"]).join(weighed_side, "term")
+    bound = F.col("weight") * impact(F.col("most_tf"), F.col("least_dl"), F.col("avgdl")) * (1 + 1e-9)
+    zones = heads.groupBy(*by, "op", "n_terms", "seq", "zone").agg(F.sum(bound).alias("most"), F.sum("times").alias("got"))
+    # a floor for the k-th best: the rarest terms, as many as have k chunks
+    rare = W.partitionBy(*by).orderBy("df", "term")
+    seeds = weighed.where("op = 'or'").withColumn("before", F.coalesce(F.sum("df").over(rare.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < F.col("k"))
+    score = F.col("weight") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    seeds = cut(seeds, "seeds")
+    rows = index.alive(unblocked(index.of(seeds, ["term", "seq", "chunk_ids", "tfs", "dls"]), "seq", positions=False))
+    parts = rows.join(sized(seeds, 120, n_asked), "term").groupBy(*by, "k", "chunk_id").agg(F.sum(score).alias("part"))
+    floor = parts.withColumn("at", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("part")))).where(F.col("at") == F.col("k")).select(*by, (F.col("part") * (1 - 1e-9)).alias("floor"))
+    floor = cut(floor, "floor")
+    open_ = zones.join(sized(floor, 40, n_asked), by, "left").where(F.when(F.col("op") == "or", F.col("floor").isNull() | (F.col("most") >= F.col("floor"))).otherwise(F.col("got") == F.col("n_terms")))
+    open_ = cut(open_.select(*by, "op", "n_terms", "seq", "zone"), "zones")
+    wide = weighed.drop("op", "n_terms").join(sized(open_, 60), by)  # (query, term, zone): the blocks that are taken apart
+    blocks = index.of(asked, ["term", "seq", "zone", "chunk_ids", "tfs", "dls"]).join(sized(cut(wide, "open"), 140), ["term", "seq", "zone"])
+    rows = index.alive(unblocked(blocks, "seq", *by, "op", "n_terms", "times", "weight", "avgdl", positions=False))
+    found = rows.groupBy(*by, "op", "n_terms", "chunk_id").agg(F.sum(score).alias("bm25"), F.sum("times").alias("got"))
+    found = found.where((F.col("op") == "or") | (F.col("got") == F.col("n_terms"))).select(*by, "chunk_id", "bm25")
+    return found.unionByName(phrased)
