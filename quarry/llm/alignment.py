@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from . import backtrack, bpe
 from .session import cut, documents, fresh, sized
 
-#: Windows that a worker remembers, of so many tokens of both sides together at most.
-WINDOWS, WINDOW_TOKENS = 400_000, 64
+#: Windows that a worker remembers (further ones are aligned each time they are met), of so many tokens of both sides together at most.
+WINDOWS, WINDOW_TOKENS = 600_000, 64
 #: What counts as a space for B, and stretches that begin with spaces.
 SPACE = "▁"
 STRETCH = regex.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
@@ -61,19 +63,25 @@ class Pieces(dict):
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.space = np.array([self.model.piece_to_id(SPACE)], np.int32).tobytes()
 
-    def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.model.encode(stretch[1:], num_threads=1), np.int32).tobytes() if len(stretch) > 1 else self.space
-        if len(self) >= bpe.MEMORY:
-            self.clear()
-        if len(stretch) <= 256:
-            self[stretch] = ids
-        return ids
+    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """Those that aren't remembered, encoded in one call; they are remembered while there is room."""
+        new = [x for x in dict.fromkeys(stretches) if x not in self]
+        ids = self.model.encode([x[1:] for x in new], num_threads=1)
+        found = {x: array("i", y).tobytes() if len(x) > 1 else self.space for x, y in zip(new, ids)}
+        if len(self) < bpe.MEMORY:
+            self.update(x for x in found.items() if len(x[0]) <= 256)
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, given with the space before it."""
         if not self.cuts:
             return np.array(self.model.encode(text[1:], num_threads=1), np.int32)
-        return np.frombuffer(b"".join(map(self.__getitem__, STRETCH.findall(text))), np.int32)
+        stretches = STRETCH.findall(text)
+        found = list(map(self.get, stretches))
+        if None in found:
+            new = self.learn(stretches)
+            found = [new[x] if y is None else y for x, y in zip(stretches, found)]
+        return np.frombuffer(b"".join(found), np.int32)
 
 
 class Aligner(dict):
@@ -84,31 +92,25 @@ class Aligner(dict):
         self.b = Pieces(b_path)
         self.a_bytes, self.b_bytes = Bytes(self.a.merges.raw), Bytes(self.b.raw)
         self.a_size, self.b_size = self.a_bytes.size.tolist(), self.b_bytes.size.tolist()
+        self.names = [*map(str, range(max(len(self.a_size), len(self.b_size))))]
 
     def __missing__(self, window: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        a, b = np.frombuffer(window[0], np.int32), np.frombuffer(window[1], np.int32)
-        found = self.aligned(a.tolist(), b.tolist())
-        if len(self) >= WINDOWS:
-            self.clear()
-        if len(a) + len(b) <= WINDOW_TOKENS:
+        found = self.aligned(memoryview(window[0]).cast("i").tolist(), memoryview(window[1]).cast("i").tolist())
+        if len(self) < WINDOWS and len(window[0]) + len(window[1]) <= 4 * WINDOW_TOKENS:
             self[window] = found
         return found
 
     def aligned(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
-        """Both sides end where the other ends next, from group to group."""
-        groups, links, i, j, lo_a, lo_b, at_a, at_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += self.a_size[a[i]]
-                i += 1
-            else:
-                at_b += self.b_size[b[j]]
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, a[lo_a:i]))}|{','.join(map(str, b[lo_b:j]))}")
-                links += [a[i - 1], b[j - 1]]
-                lo_a, lo_b = i, j
-        return ";".join(groups).encode(), np.array(links, np.int32).tobytes()
+        """Both sides begin and end together; what lies between two ends that both have is a group."""
+        told = lambda x: ",".join(map(self.names.__getitem__, x))
+        if len(a) > 1 and len(b) > 1:
+            ends_a, ends_b = list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(self.b_size.__getitem__, b)))
+            both = {*ends_a}.intersection(ends_b)
+            if len(both) > 1:
+                cuts_a, cuts_b = ([0, *(k for k, e in enumerate(ends, 1) if e in both)] for ends in (ends_a, ends_b))
+                groups = [f"{told(a[p:q])}|{told(b[r:s])}" for p, q, r, s in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
+                return ";".join(groups).encode(), array("i", [x for q, s in zip(cuts_a[1:], cuts_b[1:]) for x in (a[q - 1], b[s - 1])]).tobytes()
+        return f"{told(a)}|{told(b)}".encode(), array("i", (a[-1], b[-1])).tobytes()
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         """The ids of both sides between verified anchors: ends that both have, each before a token with a space."""
@@ -118,8 +120,7 @@ class Aligner(dict):
         cuts_a = [0, *((before_a[at_a] + 1) * 4).tolist(), 4 * len(a)]
         cuts_b = [0, *((before_b[at_b] + 1) * 4).tolist(), 4 * len(b)]
         raw_a, raw_b = a.tobytes(), b.tobytes()
-        for k in range(len(cuts_a) - 1):
-            yield raw_a[cuts_a[k] : cuts_a[k + 1]], raw_b[cuts_b[k] : cuts_b[k + 1]]
+        return zip([raw_a[i:j] for i, j in zip(cuts_a, cuts_a[1:])], [raw_b[i:j] for i, j in zip(cuts_b, cuts_b[1:])])
 
     def align(self, text: str | None) -> tuple[int, int, bytes, np.ndarray]:
         """Tokens of A, of B, the text of the groups, and links as rows (a, b)."""
