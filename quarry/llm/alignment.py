@@ -4,7 +4,7 @@ Whitespace-token anchors: a text is encoded in full by both tokenizers. Ends tha
 begins with a space, cut it into windows of token ids; as token ids tell their bytes, a window's alignment is a function of
 its two tuples of ids, and is made once per worker and remembered. A window's groups are bounded by the ends that both share.
 
-A is the byte-level BPE of `backtrack`, over a space and the text; B a sentencepiece model, which puts that space there
+A is the byte-level BPE of `bpe`, by the rank file of its vocabulary, over a space and the text; B a sentencepiece model, which puts that space there
 itself. No piece of B holds a space behind another character (looked at when it is loaded), so that text between such places is encoded by
 itself, once per worker; a model that has such pieces encodes whole texts.
 
@@ -17,23 +17,22 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from . import backtrack, bpe
+from . import bpe
 from .session import cut, documents, fresh, sized
 
-#: Windows that a worker remembers (further ones are aligned each time they are met), of so many tokens of both sides together at most.
-WINDOWS, WINDOW_TOKENS = 600_000, 64
+#: Windows that a worker remembers (half of them since it last began anew, half from before), of so many tokens of both sides together at most.
+WINDOWS, WINDOW_TOKENS = 800_000, 64
 #: What counts as a space for B, and stretches that begin with spaces.
 SPACE = "▁"
-STRETCH = regex.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
+STRETCH = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 LINK = "array<struct<a:int,b:int,n:int>>"
 
 
@@ -62,15 +61,19 @@ class Pieces(dict):
         self.raw = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.space = np.array([self.model.piece_to_id(SPACE)], np.int32).tobytes()
+        self.old: dict[str, bytes] = {}
 
     def learn(self, stretches: list[str]) -> dict[str, bytes]:
-        """Those that aren't remembered, encoded in one call; they are remembered while there is room."""
-        new = [x for x in dict.fromkeys(stretches) if x not in self]
-        ids = self.model.encode([x[1:] for x in new], num_threads=1)
-        found = {x: array("i", y).tobytes() if len(x) > 1 else self.space for x, y in zip(new, ids)}
-        if len(self) < bpe.MEMORY:
-            self.update(x for x in found.items() if len(x[0]) <= 256)
-        return found
+        """Those that aren't remembered lately, encoded in one call if not remembered at all."""
+        known = {x: y for x in stretches if x not in self and (y := self.old.get(x)) is not None}
+        new = [x for x in dict.fromkeys(stretches) if x not in self and x not in known]
+        ids = self.model.encode([x[1:] for x in new], num_threads=1) if new else []
+        known |= {x: array("i", y).tobytes() if len(x) > 1 else self.space for x, y in zip(new, ids)}
+        if len(self) >= bpe.MEMORY // 2:
+            self.old = dict(self)
+            self.clear()
+        self.update(x for x in known.items() if len(x[0]) <= 256)
+        return known
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, given with the space before it."""
@@ -79,7 +82,7 @@ class Pieces(dict):
         stretches = STRETCH.findall(text)
         found = list(map(self.get, stretches))
         if None in found:
-            new = self.learn(stretches)
+            new = self.learn([x for x, y in zip(stretches, found) if y is None])
             found = [new[x] if y is None else y for x, y in zip(stretches, found)]
         return np.frombuffer(b"".join(found), np.int32)
 
@@ -88,29 +91,45 @@ class Aligner(dict):
     """A worker's tokenizers, and alignments of windows: (ids of A, ids of B), as bytes -> (text of the groups, links as pairs of 32-bit integers)."""
 
     def __init__(self, a_path: str, pattern: str, b_path: str) -> None:
-        self.a = backtrack.Backtracker(a_path, pattern, specials=False)
+        self.a = bpe.codec(a_path, pattern)
         self.b = Pieces(b_path)
-        self.a_bytes, self.b_bytes = Bytes(self.a.merges.raw), Bytes(self.b.raw)
+        self.a_bytes, self.b_bytes = Bytes(self.a.raw.tolist()), Bytes(self.b.raw)
         self.a_size, self.b_size = self.a_bytes.size.tolist(), self.b_bytes.size.tolist()
+        self.old: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
         self.names = [*map(str, range(max(len(self.a_size), len(self.b_size))))]
 
     def __missing__(self, window: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        found = self.aligned(memoryview(window[0]).cast("i").tolist(), memoryview(window[1]).cast("i").tolist())
-        if len(self) < WINDOWS and len(window[0]) + len(window[1]) <= 4 * WINDOW_TOKENS:
+        found = self.old.pop(window, None) or self.aligned(memoryview(window[0]).cast("i").tolist(), memoryview(window[1]).cast("i").tolist())
+        if len(self) >= WINDOWS // 2:
+            self.old = dict(self)
+            self.clear()
+        if len(window[0]) + len(window[1]) <= 4 * WINDOW_TOKENS:
             self[window] = found
         return found
 
     def aligned(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
-        """Both sides begin and end together; what lies between two ends that both have is a group."""
-        told = lambda x: ",".join(map(self.names.__getitem__, x))
-        if len(a) > 1 and len(b) > 1:
-            ends_a, ends_b = list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(self.b_size.__getitem__, b)))
-            both = {*ends_a}.intersection(ends_b)
-            if len(both) > 1:
-                cuts_a, cuts_b = ([0, *(k for k, e in enumerate(ends, 1) if e in both)] for ends in (ends_a, ends_b))
-                groups = [f"{told(a[p:q])}|{told(b[r:s])}" for p, q, r, s in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
-                return ";".join(groups).encode(), array("i", [x for q, s in zip(cuts_a[1:], cuts_b[1:]) for x in (a[q - 1], b[s - 1])]).tobytes()
-        return f"{told(a)}|{told(b)}".encode(), array("i", (a[-1], b[-1])).tobytes()
+        """The side that is behind goes on to its next end; where both ends meet, a group is closed. Both sides begin and end together."""
+        names, size_a, size_b = self.names, self.a_size, self.b_size
+        groups, links = [], []
+        i = j = from_a = from_b = 0
+        end_a, end_b, last = size_a[a[0]], size_b[b[0]], len(a) - 1
+        while True:
+            if end_a < end_b:
+                i += 1
+                end_a += size_a[a[i]]
+            elif end_b < end_a:
+                j += 1
+                end_b += size_b[b[j]]
+            else:
+                told_a = names[a[i]] if i == from_a else ",".join([names[x] for x in a[from_a : i + 1]])
+                told_b = names[b[j]] if j == from_b else ",".join([names[x] for x in b[from_b : j + 1]])
+                groups.append(f"{told_a}|{told_b}")
+                links += a[i], b[j]
+                if i == last:
+                    return ";".join(groups).encode(), array("i", links).tobytes()
+                i, j = i + 1, j + 1
+                from_a, from_b = i, j
+                end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         """The ids of both sides between verified anchors: ends that both have, each before a token with a space."""
@@ -147,7 +166,7 @@ def align(docs: DataFrame, text_col: str = "text", *, keep: tuple[str, ...] = ("
     """The kept columns, n_a, n_b, groups (`a1,a2|b1;...`; digest: its SHA-256 where there are tokens), links (each pair of ids of the text with its times)."""
     import public_tokenizers
 
-    own = functools.partial(aligner, a_path or backtrack.tables(), pattern or public_tokenizers.PATTERN, b_path or bpe.tables("piece_bpe_32k.model"))
+    own = functools.partial(aligner, a_path or bpe.tables(), pattern or public_tokenizers.PATTERN, b_path or bpe.tables("piece_bpe_32k.model"))
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     link = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())]))
 

@@ -510,7 +510,7 @@ def test_added_tokens_on_chunk_ends(spark):
 
 
 def test_windows_are_cut_at_verified_anchors_only():
-    own = alignment.aligner(backtrack.tables(), public_tokenizers.PATTERN, bpe.tables("piece_bpe_32k.model"))
+    own = alignment.aligner(bpe.tables(), public_tokenizers.PATTERN, bpe.tables("piece_bpe_32k.model"))
     draw = random.Random(4)
     for _ in range(300):
         text = "".join(draw.choice(["a", "the", " ", "  ", "\n", "é", "日", "😀", "'s", "ing", "<s>", "<0x41>", "zz"]) for _ in range(draw.randrange(1, 60)))
