@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
@@ -50,11 +50,22 @@ def folded(text: str) -> str:
     return "".join(c for c in safe_text(text) if not unicodedata.combining(c))
 
 
-@F.pandas_udf(StringType())
-def nfkd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """safe_text of a column: Spark has no compatibility decomposition of its own."""
-    for t in texts:
-        yield t.map(safe_text, na_action="ignore")
+@F.arrow_udf(StringType())
+def _nfkd(texts: pa.Array) -> pa.Array:
+    for a, b in REPLACED.items():
+        texts = pc.replace_substring(texts, a, b)
+    return pc.utf8_normalize(texts, "NFKD")
+
+
+def nfkd(text: Column | str) -> Column:
+    """safe_text of a column: Spark has no compatibility decomposition of its own. Plain ASCII is its own."""
+    text = _c(text)
+    return F.coalesce(_nfkd(F.when(F.length(text) != F.octet_length(text), text)), text)
+
+
+def folded_text(text: Column | str) -> Column:
+    """A column of queries without accents, as the full-text index has its words."""
+    return F.regexp_replace(nfkd(text), r"\p{M}+", "")
 
 
 def token_count(text: Column | str) -> Column:

@@ -6,14 +6,16 @@ over each index table, and nothing returns to the driver between stages.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from quarry.functions.text import activation, asked_predicates, overlap, query_tokens, query_variants, significant_terms, subject_tokens
+from quarry.functions.text import activation, asked_predicates, folded_text, overlap, query_tokens, query_variants, significant_terms, subject_tokens
 
 from quarry.tables import cut, sized
 
-from .index import Index, bm25
+from .index import Index, bm25, bm25_top
 
 SNIPPET_CHARS = 200
 MAX_TOKENS = 1200
@@ -65,24 +67,28 @@ def path_lookup(index: Index, wanted: DataFrame, now: Column) -> DataFrame:
 
     The tiers are all found, and of each query the first that has rows stays.
     """
-    chunks = index.chunks
+    chunks = index.chunks.select("chunk_id", "lookup_path", "chunk_order", "token_count")  # contents are fetched for the rows that stay
     limit = F.greatest(F.lit(1), F.least(F.lit(200), F.coalesce("limit", F.lit(20))))
-    base = wanted.withColumn("limit", limit)
-    exact = chunks.join(base, chunks.lookup_path == base.path).withColumn("tier", F.lit(0)).withColumn("weight", F.lit(0.0))
-    # below a path: chunks are met at each of their ancestors, so that this is an equality too
+    base = cut(wanted.withColumn("limit", limit), "wanted")
+    n = base.count()
+    side = sized(base, 200, n)
+    exact = chunks.join(side, chunks.lookup_path == side.path).withColumn("tier", F.lit(0)).withColumn("weight", F.lit(0.0))
+    # below a path: paths are met at each of their ancestors, so that this is an equality too
     parts = F.split("lookup_path", r"\.")
-    above = chunks.withColumn("above", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), ".")))).where(F.col("above") != F.col("lookup_path"))
-    below = above.join(base, F.col("above") == base.path).drop("above").withColumn("tier", F.lit(1)).withColumn("weight", F.lit(0.0))
+    paths = index.paths.select("lookup_path") if index.paths is not None else chunks.select("lookup_path").distinct()
+    above = paths.select("lookup_path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("above")).where(F.col("above") != F.col("lookup_path"))
+    below = chunks.join(above.join(side, F.col("above") == side.path).drop("above"), "lookup_path").withColumn("tier", F.lit(1)).withColumn("weight", F.lit(0.0))
     below = top(below, F.greatest(F.lit(50), F.col("limit") * 5), ["query_id"], [F.col("lookup_path"), F.col("chunk_order")])
-    squashed = base.withColumn("term", F.regexp_replace(F.lower("path"), "[^a-z0-9]", ""))
+    squashed = sized(base.withColumn("term", F.regexp_replace(F.lower("path"), "[^a-z0-9]", "")), 200, n)
     by_term = index.terms.join(squashed, "term").select("lookup_path", "weight", *base.columns)
     reverse = chunks.join(by_term, "lookup_path").withColumn("tier", F.lit(2))
     reverse = top(reverse, F.greatest(F.lit(20), F.col("limit") * 3), ["query_id"], [F.desc("weight"), F.col("lookup_path"), F.col("chunk_order")])
     all_ = exact.unionByName(below).unionByName(reverse)
     first = all_.withColumn("first", F.min("tier").over(W.partitionBy("query_id"))).where(F.col("tier") == F.col("first")).drop("first")
     order = [F.desc("weight"), F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")]
-    cut = token_budget(top(first, F.col("limit"), ["query_id"], order), F.coalesce("max_tokens", F.lit(MAX_TOKENS)), ["query_id"], order)
-    return with_activation(cut, index.access, now).select(
+    kept = cut(token_budget(top(first, F.col("limit"), ["query_id"], order), F.coalesce("max_tokens", F.lit(MAX_TOKENS)), ["query_id"], order), "kept")
+    kept = index.chunks.select("chunk_id", "content").join(sized(kept, 300), "chunk_id")
+    return with_activation(kept, index.access, now).select(
         "query_id", "tier", "chunk_id", "lookup_path", "chunk_order", "token_count", F.round("activation", 4).alias("score"), snippet(F.lit(None).cast("string"), "content").alias("snippet")
     )
 
@@ -144,9 +150,10 @@ def fts_score(bm25_: Column | str, content: Column | str, terms: Column | str, a
 
 
 def analysed(queries: DataFrame) -> DataFrame:
-    """queries (query_id, query, limit, max_tokens, path_prefix) with what the stages ask of them."""
+    """queries (query_id, query, limit, max_tokens, path_prefix) with what the stages ask of them; accents are folded, as the index has its words."""
     limit = F.greatest(F.lit(1), F.least(F.lit(200), F.coalesce("limit", F.lit(20))))
     budget = F.greatest(F.lit(1), F.coalesce("max_tokens", F.lit(MAX_TOKENS)))
+    queries = queries.withColumn("query", folded_text("query"))
     return queries.withColumns({"limit": limit, "max_tokens": budget, "path_prefix": F.trim("path_prefix")}).withColumns(
         {"terms": F.slice(significant_terms("query"), 1, 8), "predicates": asked_predicates("query"), "subjects": subject_tokens("query"), "variants": query_variants("query")}
     )
@@ -180,29 +187,61 @@ def fused(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "chunk_id").agg(best.alias("b"), F.min(F.struct("stage", "rank")).alias("seq")).select("query_id", "chunk_id", "b.score", "b.stage", "seq")
 
 
+def _full_text(index: Index, q: DataFrame, variant: int, slim: DataFrame) -> DataFrame:
+    """query_id, chunk_id, bm25 of the hits of one variant that count: the best by bm25 below the query's path prefix, as many as its limit allows."""
+    most = F.greatest(F.lit(1), F.least(F.col("limit") * 6, F.lit(400)))
+    asked = q.select("query_id", "path_prefix", most.alias("k"), F.inline("variants")).where(F.col("ord") == variant)
+    asked = cut(asked.select("query_id", F.col("ord").alias("variant"), "op", "terms", "k", F.coalesce("path_prefix", F.lit("")).alias("prefix")), "variant")
+    everywhere, below = asked.where("prefix = ''").drop("prefix"), asked.where("prefix <> ''").drop("prefix")
+    if index.blocks is None:
+        hits = bm25(index, asked.drop("k", "prefix"))
+    elif below.isEmpty():
+        hits = bm25_top(index, everywhere)
+    else:  # bounds are those of all chunks: below a path all hits are scored
+        hits = bm25_top(index, everywhere).unionByName(bm25(index, below.drop("k")))
+    side = sized(asked.select("query_id", "k", "prefix"), 200)
+    hits = slim.join(hits, "chunk_id").join(side, "query_id").where((F.col("prefix") == "") | F.col("lookup_path").startswith(F.col("prefix")))
+    order = [F.desc(F.round("bm25", 9)), F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")]
+    return top(hits, F.col("k"), ["query_id"], order).select("query_id", "chunk_id", "bm25")
+
+
 def text_search(index: Index, queries: DataFrame, now: Column) -> DataFrame:
     """queries (query_id, query, limit, max_tokens, path_prefix) -> ranked hits within each query's token budget.
 
     Stages: facts; full text by variants; terms, if little was found; siblings of the best hits' parents; relations of the best hits.
+    A variant is asked only for the queries that are still open, so postings are read for these alone; contents are fetched for what ranking left.
     What the stages found is small (a bounded number of rows per query) and written between them, as later ones read it several times.
     """
     q = cut(analysed(queries), "asked")
     n_asked = q.count()
-    chunks = with_activation(index.chunks, index.access, now)
-    meta = chunks.select("chunk_id", "lookup_path", "parent_path", "chunk_order", "token_count", "content", "activation")
+    slim = index.chunks.select("chunk_id", "lookup_path", "chunk_order")
+    meta = index.chunks.select("chunk_id", "lookup_path", "parent_path", "chunk_order", "token_count")
     ask = q.select("query_id", "limit", "terms", "path_prefix")
-    fact = fact_hits(index, q)
-    variants = q.select("query_id", F.inline("variants")).select("query_id", F.col("ord").alias("variant"), "op", "terms")
-    ranked = bm25(index, variants).join(meta, "chunk_id").join(sized(ask, 400, n_asked), "query_id").where(F.col("path_prefix").isNull() | (F.col("path_prefix") == "") | F.col("lookup_path").startswith(F.col("path_prefix")))
-    order = [F.desc(F.round("bm25", 9)), F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")]
-    ranked = top(ranked, F.greatest(F.lit(1), F.least(F.col("limit") * 6, F.lit(400))), ["query_id", "variant"], order)
-    full = ranked.select("query_id", "chunk_id", F.col("variant").alias("stage"), fts_score("bm25", "content", "terms", "activation").alias("score"))
-    by_term = index.terms.join(sized(ask.select("query_id", "limit", F.explode("terms").alias("term")), 64, 8 * n_asked), "term")
-    by_term = by_term.join(meta.select("chunk_id", "lookup_path", "chunk_order", "activation"), "lookup_path")
+    parts = [cut(fact_hits(index, q), "facts")]
+    enough, few = F.greatest(F.lit(8), F.col("limit") * 2), F.greatest(F.lit(2), F.floor(F.col("limit") / 2))
+
+    def still_open(least: Column) -> DataFrame:
+        n = _all(parts).select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"))
+        return cut(q.join(n, "query_id", "left").where(F.coalesce("__n", F.lit(0)) < least).select(*q.columns), "open")
+
+    first = F.get("variants", F.lit(0))["ord"]
+    for variant in range(1, 6):
+        open_ = q.where(first == 1) if variant == 1 else still_open(enough).unionByName(q.where((first == variant) & F.lit(variant > 1))).dropDuplicates(["query_id"])
+        open_ = open_.where(F.exists("variants", lambda v: v["ord"] == variant))
+        if open_.isEmpty():
+            continue
+        hits = cut(_full_text(index, open_, variant, slim), "hits")
+        told = index.chunks.select("chunk_id", "content").join(sized(hits, 32), "chunk_id").join(sized(ask.select("query_id", "terms"), 300, n_asked), "query_id")
+        act = with_activation(told, index.access, now)
+        parts.append(cut(act.select("query_id", "chunk_id", fts_score("bm25", "content", "terms", "activation").alias("score"), F.lit(variant).alias("stage")), "full"))
+    asked = still_open(few).select("query_id", "limit", F.explode("terms").alias("term"))
+    by_term = index.terms.join(sized(asked, 64, 8 * n_asked), "term")
+    by_term = slim.join(by_term, "lookup_path")
     by_term = top(by_term, F.greatest(F.lit(8), F.col("limit") * 2), ["query_id", "term"], [F.desc("weight"), F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")])
+    by_term = with_activation(by_term, index.access, now)
     term_score = F.round(0.3 + F.least(F.lit(0.5), 0.3 * F.col("weight")) + F.least(F.lit(0.5), 0.1 * F.col("activation")), 4)
     by_term = by_term.groupBy("query_id", "chunk_id").agg(F.max(term_score).alias("score")).withColumn("stage", F.lit(6))
-    stages = cut(fact.unionByName(full).unionByName(by_term), "stages")
+    stages = cut(_all([*parts, by_term]), "stages")
     stages = _ranked(gated(stages, q), ["query_id", "stage"], [F.desc("score"), F.col("chunk_id")])
     found = cut(fused(stages), "found")
     best = [F.desc("score"), F.col("seq"), F.col("chunk_id")]
@@ -221,12 +260,16 @@ def text_search(index: Index, queries: DataFrame, now: Column) -> DataFrame:
     found = _added(found, related.drop("via_relation"), 8).join(related.select("query_id", "chunk_id", "via_relation"), ["query_id", "chunk_id"], "left")
     found = found.withColumn("via_relation", F.when(F.col("stage") == 8, F.col("via_relation")))
     hits = top(found.join(sized(q.select("query_id", "query", "limit", "max_tokens", "terms"), 1_000, n_asked), "query_id"), F.col("limit"), ["query_id"], best)
-    hits = hits.join(meta.drop("activation"), "chunk_id")
-    hits = token_budget(hits, F.col("max_tokens"), ["query_id"], best)
-    hits = with_snippet(_ranked(hits, ["query_id"], best))
+    hits = meta.drop("parent_path").join(hits, "chunk_id")
+    hits = cut(_ranked(token_budget(hits, F.col("max_tokens"), ["query_id"], best), ["query_id"], best), "best")
+    hits = with_snippet(index.chunks.select("chunk_id", "content").join(sized(hits, 1_000), "chunk_id"))
     return hits.select("query_id", "query", "rank", "chunk_id", "lookup_path", "chunk_order", "token_count", "score", "stage", "via_relation", "snippet")
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _added(found: DataFrame, more: DataFrame, stage: int) -> DataFrame:
     """found with the hits of a later stage: new ones, and higher scores of known ones."""
     more = more.select("query_id", "chunk_id", "score", F.lit(stage).alias("stage"), F.struct(F.lit(stage).alias("stage"), F.lit(0).alias("rank")).alias("seq"))

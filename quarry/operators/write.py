@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quarry.functions.text import lookup_path, parent_path, slug, token_count
+from quarry.functions.text import lookup_path, nfkd, parent_path, slug, token_count
+from quarry.tables import cut, sized
 
 DUPLICATE_SECONDS = 60
 
@@ -85,19 +86,21 @@ def accepted_saves(saves: DataFrame, seconds: int = DUPLICATE_SECONDS, earlier:
     return hashed.join(kept, "save_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
-def save(chunks: DataFrame, saves: DataFrame, replace: bool = False, earlier: DataFrame | None = None) -> DataFrame:
-    """Chunks with the accepted saves (save_id, ts, content, path, heading) added: one chunk each, next in order on its path.
+def saved(chunks: DataFrame, saves: DataFrame, replace: bool = False, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """What the accepted saves (save_id, ts, content, path, heading) come to: new chunks, one each, next in order on its path, and the chunks that go.
 
     replace: each save takes the place of all that is on its path, whatever was saved before; of several on a path the last one stays.
+    Contents are kept in compatibility decomposition, as files are, so that a search finds accented words.
     """
     path = F.when(F.trim("path") != "", lookup_path("path")).otherwise(F.concat(F.lit("agent_writes.session."), slug(F.coalesce("heading", F.lit("Session snapshot")))))
-    told = saves.where(F.trim("content") != "")
+    told = plain_saves(saves).where(F.trim("content") != "")
     if replace:
         new = told.withColumn("lookup_path", path).withColumn("back", F.row_number().over(W.partitionBy("lookup_path").orderBy(F.desc("ts"), F.desc("save_id")))).where("back = 1")
-        chunks = chunks.join(new.select("lookup_path"), "lookup_path", "left_anti").select(*chunks.columns)
     else:
         new = accepted_saves(told, earlier=earlier).where("accepted").withColumn("lookup_path", path)
-    last = chunks.groupBy("lookup_path").agg(F.max("chunk_order").alias("last"))
+    new = cut(new, "saves")
+    there = chunks.join(sized(new.select("lookup_path").distinct(), 200, new.count()), "lookup_path", "left_semi")
+    last = (there.limit(0) if replace else there).groupBy("lookup_path").agg(F.max("chunk_order").alias("last"))
     order = F.row_number().over(W.partitionBy("lookup_path").orderBy("ts", "save_id"))
     new = new.withColumn("n", order).join(last, "lookup_path", "left").withColumn("chunk_order", (F.coalesce("last", F.lit(-1)) + F.col("n")).cast("int"))
     rows = new.select(
@@ -105,7 +108,20 @@ def save(chunks: DataFrame, saves: DataFrame, replace: bool = False, earlier: Da
         F.lit("agent").alias("source"), F.trim("content").alias("content"), token_count(F.trim("content")).alias("token_count"), F.lit("").alias("source_file"),
         F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
     )
-    return chunks.unionByName(rows.select(*chunks.columns))
+    return rows.select(*chunks.columns), there.select(*chunks.columns) if replace else None
+
+
+def plain_saves(saves: DataFrame) -> DataFrame:
+    """saves with their contents in the form in which they are kept and compared."""
+    return saves.withColumn("content", nfkd("content"))
+
+
+def save(chunks: DataFrame, saves: DataFrame, replace: bool = False, earlier: DataFrame | None = None) -> DataFrame:
+    """The chunks after these saves."""
+    new, gone = saved(chunks, saves, replace, earlier)
+    if gone is not None:
+        chunks = chunks.join(gone.select("lookup_path").distinct(), "lookup_path", "left_anti").select(*chunks.columns)
+    return chunks.unionByName(new)
 
 
 def relate(edges: DataFrame) -> DataFrame:

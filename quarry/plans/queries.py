@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.functions import markdown, text as T
-from quarry.operators import index as I, retrieve as R, write as Wr
+from quarry.operators import index as I, retrieve as R, segments as G, write as Wr
 from quarry.sources import files as S
-from quarry.tables import cut, sized
+from quarry.tables import cut, shared_folder, sized
 
 NOW = "2024-01-31 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,12 +253,17 @@ def path_lookup_exact(spark, sf):
 
 # ---- full text
 
+def _full_text(spark, sf, op: str) -> DataFrame:
+    """query_id, variant, chunk_id, bm25 of the benchmark queries: postings of their words only, each text cut into tokens once."""
+    c, asked = doc_chunks(spark, sf), benchmark_queries(spark, sf, op)
+    words = asked.select(F.explode("terms").alias("t")).select(F.explode(F.split("t", "_")).alias("term"))
+    tokens = I.wanted_tokens(c, words)
+    sizes = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return I.bm25(I.Index(c, None, None, None, I.postings(c, words, tokens), None, None), asked, sizes)
+
+
 def _bm25(spark, sf, op: str) -> DataFrame:
-    c = doc_chunks(spark, sf)
-    asked = benchmark_queries(spark, sf, op)
-    ix = I.Index(c, None, None, None, I.postings(c, asked.select(F.explode("terms").alias("term"))), None, None)
-    found = I.bm25(ix, asked)
-    return found.select("query_id", "chunk_id", F.round("bm25", 4).alias("score"))
+    return _full_text(spark, sf, op).select("query_id", "chunk_id", F.round("bm25", 4).alias("score"))
 
 
 _SQL_BM25 = f"""{SQL_CHUNKS}, tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS term FROM chunks),
@@ -283,11 +289,10 @@ def bm25_and(spark, sf):
 def _stage(spark, sf) -> DataFrame:
     """Full-text hits of the benchmark queries with their scores: query_id, query, chunk_id, lookup_path, token_count, content, score."""
     c = doc_chunks(spark, sf)
-    asked = benchmark_queries(spark, sf, "or")
-    ix = I.Index(c, None, None, None, I.postings(c, asked.select(F.explode("terms").alias("term"))), None, None)
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.slice(T.significant_terms("text"), 1, 8).alias("terms"))
     act = R.with_activation(c, Wr.access_stats(access_log(spark, sf)), F.lit(NOW).cast("timestamp"))
-    hits = I.bm25(ix, asked).join(act, "chunk_id").join(sized(q, 1_000), "query_id")
+    hits = cut(_full_text(spark, sf, "or"), "scored")
+    hits = act.join(sized(hits, 32), "chunk_id").join(sized(q, 1_000), "query_id")
     return hits.select("query_id", "query", "chunk_id", "lookup_path", "parent_path", "token_count", "content", R.fts_score(F.round("bm25", 9), "content", "terms", "activation").alias("score"))
 
 
@@ -562,3 +567,51 @@ def file_paths(spark, sf):
 @query("SELECT conv_id, turn FROM conversations WHERE coalesce(role, '') IN ('', 'user') AND length(trim(coalesce(text, ''))) >= 4")
 def prompt_gate(spark, sf):
     return table(spark, sf, "conversations").where(R.asks("text", "role")).select("conv_id", "turn")
+
+
+# ---- the index in segments
+
+def _store(spark) -> G.Store:
+    return G.Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+def _versions(spark, sf) -> tuple[G.Store, G.Version]:
+    """Documents as an index of two versions: files came, went, and changed between them (see `_manifest`)."""
+    c, i = doc_chunks(spark, sf), F.col("chunk_id") % 5
+    store = _store(spark)
+    first = store.change(None, c.where(i != 0))
+    then = c.where(i.isin(1, 2)).withColumn("content", F.when(i == 2, F.concat("content", F.lit(" walrus!"))).otherwise(F.col("content")))
+    second = store.change(first, then.withColumn("lookup_path", F.when(i == 1, F.concat(F.lit("late."), "lookup_path")).otherwise(F.col("lookup_path"))), store.alive(first, "chunks").where(i.isin(1, 2)))
+    return store, second
+
+
+_SQL_AFTER = """after AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 1 THEN 'late.' ELSE '' END || 'docs.' || source || '.' || lang || '.doc_' || doc_id AS lookup_path,
+  CASE WHEN doc_id % 5 = 2 THEN text || ' walrus!' ELSE text END AS content FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+@query(f"""WITH {_SQL_AFTER}, t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS term FROM after) SELECT term, count(DISTINCT chunk_id) AS df FROM t GROUP BY term""")
+def index_change_vocabulary(spark, sf):
+    """The chunks that each term has after a change that wrote its own rows only."""
+    store, version = _versions(spark, sf)
+    return store.index(version, None, None).vocab
+
+
+@query(f"""WITH RECURSIVE {_SQL_AFTER}, p AS (SELECT lookup_path AS path, 1 AS n FROM after UNION ALL SELECT regexp_replace(path, '[.][^.]*$', ''), 0 FROM p WHERE contains(path, '.')),
+  g AS (SELECT path, sum(n) AS chunk_count, CASE WHEN contains(path, '.') THEN regexp_replace(path, '[.][^.]*$', '') END AS parent FROM p GROUP BY path)
+  SELECT g.path AS lookup_path, g.parent AS parent_path, len(string_split(g.path, '.')) AS depth, CAST(g.chunk_count AS BIGINT) AS chunk_count, count(c.path) AS child_count
+  FROM g LEFT JOIN g c ON c.parent = g.path GROUP BY g.path, g.parent, g.chunk_count""")
+def index_change_paths(spark, sf):
+    """The path tree after that change: paths without chunks on or below them are gone."""
+    store, version = _versions(spark, sf)
+    return store.index(version, None, None).paths
+
+
+@query(f"""WITH {_SQL_BM25}, r AS (SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS rank FROM s)
+  SELECT query_id, chunk_id, rank, round(bm25, 4) AS score FROM r WHERE rank <= 10""")
+def bm25_top_ten(spark, sf):
+    """The ten best chunks of each benchmark query by blocks with bounds."""
+    store = _store(spark)
+    ix = store.index(store.change(None, doc_chunks(spark, sf)), None, None)
+    asked = benchmark_queries(spark, sf, "or").withColumn("k", F.lit(10))
+    best = R.top(I.bm25_top(ix, asked).withColumn("bm25_9", F.round("bm25", 9)), 10, ["query_id"], [F.desc("bm25_9"), F.col("chunk_id")])
+    return R._ranked(best, ["query_id"], [F.desc("bm25_9"), F.col("chunk_id")]).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("bm25", 4).alias("score"))

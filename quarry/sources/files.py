@@ -44,20 +44,35 @@ def normal_path(absolute: Column, root: str, home: str | None = None) -> Column:
     return F.when(below(home), F.concat(F.lit("home/"), rest(home))).when(below(root), rest(root)).otherwise(absolute)
 
 
-def scan(spark: SparkSession, root: str, include: list[str], exclude: list[str], home: str = "/nonexistent") -> DataFrame:
-    """path, text, file_hash, size_bytes, modified of the Markdown files below a root, each once.
+def listed(spark: SparkSession, root: str, include: list[str], exclude: list[str], home: str = "/nonexistent") -> DataFrame:
+    """location, path, size_bytes, modified of the Markdown files below a root, each once; no file is opened.
 
-    Spark lists the folders and reads the files; patterns apply to paths relative to the root.
+    Spark lists the folders; patterns apply to paths relative to the root.
     """
-    read = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[mM][dD]")
-    absolute = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/*", "/")
-    rows = read.select(
-        absolute.alias("absolute"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_modification_time").alias("modified")
-    )
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
+    absolute = F.regexp_replace("path", "^file:/*", "/")
+    rows = read.select(F.col("path").alias("location"), absolute.alias("absolute"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
     top = os.path.abspath(root)
     relative = F.substring("absolute", len(top.rstrip("/")) + 2, 1 << 20)
     rows = selected(rows.withColumn("relative", relative), include, exclude, "relative").dropDuplicates(["absolute"])
-    return rows.select(normal_path(F.col("absolute"), top, home).alias("path"), "text", F.sha2("text", 256).alias("file_hash"), "size_bytes", "modified")
+    return rows.select("location", normal_path(F.col("absolute"), top, home).alias("path"), "size_bytes", "modified")
+
+
+def contents(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """path, text, file_hash, size_bytes, modified of listed files (location, path, size_bytes, modified): these are opened, and no others.
+
+    Their places go through the driver, as those of all files do that Spark reads.
+    """
+    places = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r["location"]) for r in files.select("location").collect()]  # names, not patterns
+    if not places:
+        return spark.createDataFrame([], "path string, text string, file_hash string, size_bytes long, modified timestamp")
+    read = spark.read.format("binaryFile").load(places).select(F.col("path").alias("location"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return read.join(files, "location").select("path", "text", F.sha2("text", 256).alias("file_hash"), "size_bytes", "modified")
+
+
+def scan(spark: SparkSession, root: str, include: list[str], exclude: list[str], home: str = "/nonexistent") -> DataFrame:
+    """path, text, file_hash, size_bytes, modified of the Markdown files below a root, each once."""
+    return contents(spark, listed(spark, root, include, exclude, home))
 
 
 def line_range(files: DataFrame, wanted: DataFrame) -> DataFrame:

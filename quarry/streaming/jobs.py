@@ -16,35 +16,51 @@ class LastAccepted(StatefulProcessor):
     """Of each content hash the time of the last accepted save; a save sooner than `seconds` after it isn't accepted.
 
     Saves of one batch are taken by time; one that is older than the stored time is a duplicate if it
-    lies within the time span on either side.
+    lies within the time span on either side. A timer of event time drops the state once the watermark has passed that span:
+    whatever may still come is accepted then, so nothing is lost with it.
     """
 
     def __init__(self, seconds: int = 60) -> None:
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         saves = pd.concat(list(rows)).sort_values(["ts", "save_id"])
-        last = self.last.get()[0] if self.last.exists() else None
+        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
         keep = []
         for k, at in enumerate(saves["ts"]):
-            if last is None or abs((at - pd.Timestamp(last)).total_seconds()) >= self.seconds:
+            if last is None or abs((at - last).total_seconds()) >= self.seconds:
                 keep.append(k)
-                last = at if last is None else max(at, pd.Timestamp(last))
-        if last is not None:
-            self.last.update((pd.Timestamp(last).to_pydatetime(),))
+                last = at if last is None else max(at, last)
+        if keep:
+            self.last.update((last.to_pydatetime(),))
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(self._due(last))
         yield saves.iloc[keep][["save_id", "ts", "hash"]]
 
+    def _due(self, last: pd.Timestamp) -> int:
+        return int(last.tz_localize("UTC").timestamp() * 1000 if last.tzinfo is None else last.timestamp() * 1000) + self.seconds * 1000
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.last.exists() and self._due(pd.Timestamp(self.last.get()[0])) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def accepted(saves: DataFrame, seconds: int = 60) -> DataFrame:
-    """A stream of saves (save_id, ts, content) without duplicates of content within so many seconds."""
-    hashed = saves.select("save_id", "ts", F.sha2(F.trim("content"), 256).alias("hash"))
-    return hashed.groupBy("hash").transformWithStateInPandas(LastAccepted(seconds), "save_id long, ts timestamp, hash string", "append", "none")
+def accepted(saves: DataFrame, seconds: int = 60, late: str = "60 seconds") -> DataFrame:
+    """A stream of saves (save_id, ts, content) without duplicates of content within so many seconds.
+
+    Rows later than the watermark (`late` behind the latest time seen) aren't taken; Spark counts them in the query's progress.
+    """
+    hashed = saves.select("save_id", "ts", F.sha2(F.trim("content"), 256).alias("hash")).withWatermark("ts", late)
+    return hashed.groupBy("hash").transformWithStateInPandas(LastAccepted(seconds), "save_id long, ts timestamp, hash string", "append", "eventTime")
 
 
 def accesses(log: DataFrame) -> DataFrame:
@@ -56,3 +72,14 @@ def refresh(stream: DataFrame, checkpoint: str, rebuild: Callable[[DataFrame, in
     """Each micro-batch of new or changed files calls `rebuild` (which compares them with the manifest) once."""
     every = f"{max(0.5, seconds)} seconds"
     return stream.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def watch(engine, checkpoint: str, seconds: float = 1.5, name: str = "watch") -> StreamingQuery:
+    """Every so many seconds (half a one at least) a micro-batch looks at the engine's roots and refreshes the index by what changed.
+
+    Files aren't opened unless their size or time is another one. The index notes the number of the last batch with each version that a batch
+    wrote, so a batch that is run again after a kill finds its number and does nothing; a batch that was killed before its version was
+    written is done as if for the first time.
+    """
+    ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return refresh(ticks, checkpoint, lambda _, batch: engine.refresh(batch=(name, batch)), seconds)

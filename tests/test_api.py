@@ -152,3 +152,98 @@ def test_roots_that_are_missing_have_no_files(spark, tmp_path):
     (tmp_path / "MEMORY.md").write_text("# Memory\n\n## Part\n\n- A walrus: yes\n")
     own = Engine(spark, Settings(roots=[str(tmp_path / "none"), str(tmp_path)])).build()
     assert own.manifest.count() == 1 and own.index.chunks.count() == 1
+
+
+SAVE = "save_id long, ts timestamp, content string, path string, heading string"
+
+
+def at(s):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+
+
+def test_saved_accents_are_found(spark, engine):
+    """Composed and decomposed words, saved and asked for, one by one and in a batch."""
+    own = Engine(spark, Settings(), engine.index, engine.manifest, record=False)
+    own.save(spark.createDataFrame([(1, at(0), "Our pi\u00f1ata holds a xylophone", "notes.fete", None), (2, at(1), "A cre\u0300me bru\u0302le\u0301e", "notes.dessert", None)], SAVE))
+    for word, path in (("xylophone", "notes.fete"), ("pinata", "notes.fete"), ("pi\u00f1ata", "notes.fete"), ("pin\u0303ata", "notes.fete"), ("cr\u00e8me", "notes.dessert"), ("brulee", "notes.dessert")):
+        assert own.search(word, 3, now=now()).first()["lookup_path"] == path
+    asked = spark.createDataFrame([(1, "pi\u00f1ata", 5, 1200, None), (2, "brul\u00e9e", 5, 1200, "notes")], "query_id long, query string, limit int, max_tokens int, path_prefix string")
+    assert {(r["query_id"], r["lookup_path"]) for r in own.search_many(asked, now()).where("rank = 1").collect()} == {(1, "notes.fete"), (2, "notes.dessert")}
+
+
+def test_queued_saves_come_as_one_change(spark, engine):
+    own = Engine(spark, Settings(), engine.index, engine.manifest, record=False)
+    own.DEBOUNCE_MS = 60_000
+    before = own.version.number
+    for k in range(4):
+        own.save(spark.createDataFrame([(k, at(100 * k), f"kelp number {k}", "notes.kelp", None)], SAVE), wait=False)
+    assert own.store.latest() is None and own._timer is not None
+    assert [r["chunk_order"] for r in own.index.chunks.where("lookup_path = 'notes.kelp'").orderBy("chunk_order").collect()] == [0, 1, 2, 3]
+    assert own.version.number == before + 1
+    own.DEBOUNCE_MS = 500
+    own.save(spark.createDataFrame([(9, at(900), "late kelp", "notes.kelp", None)], SAVE), wait=False)
+    deadline = time.time() + 60
+    while own.store.latest().number == before + 1 and time.time() < deadline:
+        time.sleep(0.2)
+    assert own.store.latest().number == before + 2
+
+
+def test_an_engine_goes_on_from_its_folder(spark, tmp_path):
+    place = f"file://{tmp_path}/ix"
+    first = Engine.open(spark, Settings(), place)
+    assert first.search("oak", now=now()).collect() == []
+    first.build(spark.createDataFrame(list(NOTES.items()), "path string, text string")).relate("notes.zoo", "concerns", "memory.projects.oak.scope")
+    first.save(spark.createDataFrame([(1, at(0), "the zebra is kept", "notes.zoo", None)], SAVE))
+    hit = first.search("zebra", 1, now=now()).first()
+    again = Engine.open(spark, Settings(), place)
+    assert again.version == first.version and set(again.logs) == {"accesses", "saved", "relations", "index_runs"}
+    assert again.index.access.where(f"chunk_id = {hit['chunk_id']}").first()["access_count"] == 1
+    again.save(spark.createDataFrame([(2, at(30), "the zebra is kept", "notes.zoo", None)], SAVE))  # within 60 seconds of what the other one saved
+    assert again.index.chunks.where("lookup_path = 'notes.zoo'").count() == 1
+    assert ("memory.projects.oak.scope", "concerns") in {(r["lookup_path"], r["via_relation"]) for r in again.search("zebra", 5, now=now()).collect()}
+    # the first engine reads its own version until it is asked to look again
+    again.refresh(spark.createDataFrame([(k, v) for k, v in NOTES.items() if "oak" not in k], "path string, text string"))
+    assert first.index.chunks.where("source_file like '%oak%'").count() > 0 == first.reopen().index.chunks.where("source_file like '%oak%'").count()
+
+
+def test_unchanged_files_are_not_opened(spark, tmp_path):
+    import os
+
+    root = tmp_path / "notes"
+    names = ["MEMORY.md", "memory/a b.md", "memory/c+d%20.md", "memory/x/[1].md", "memory/x/n.md"]
+    for k, n in enumerate(names):
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text(f"# T{k}\n\n## Part\n\nA walrus of kind {k}.\n")
+    own = Engine(spark, Settings(roots=[str(root)]), record=False).build()
+    assert {r["path"] for r in own.manifest.collect()} == set(names) and own.index.chunks.count() == 5
+    from quarry.sources import files as S
+
+    plan = S.listed(spark, str(root), ["**"], [])._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    # what a look at size and time can't tell isn't seen: the file wasn't opened
+    stat = os.stat(root / "memory/x/n.md")
+    (root / "memory/x/n.md").write_text("# T4\n\n## Part\n\nA badger of kind 4.\n")
+    os.utime(root / "memory/x/n.md", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    version = own.version
+    assert own.refresh().version == version and "badger" not in " ".join(r["content"] for r in own.index.chunks.collect())
+    os.utime(root / "memory/x/n.md", ns=(stat.st_atime_ns, stat.st_mtime_ns + 5_000_000_000))  # now it is
+    os.utime(root / "MEMORY.md", ns=(stat.st_atime_ns, stat.st_mtime_ns + 5_000_000_000))  # another time, the same text: noted, not parsed
+    (root / "memory/a b.md").unlink()
+    own.refresh()
+    text = " ".join(r["content"] for r in own.index.chunks.collect())
+    assert "badger" in text and "kind 1" not in text and "kind 0" in text and {r["path"] for r in own.manifest.collect()} == set(names) - {"memory/a b.md"}
+    runs = own.logs["index_runs"].orderBy("started_at").collect()
+    assert [(r["scope"], r["files_scanned"], r["files_changed"], r["chunks_added"], r["chunks_deleted"]) for r in runs] == [("full", 5, 5, 5, 0), ("changed", 5, 0, 0, 0), ("changed", 4, 1, 1, 2)]
+
+
+def test_logs_stay_few_files(spark, tmp_path, monkeypatch):
+    from quarry.operators import logs
+
+    monkeypatch.setattr(logs, "TAIL", 4)
+    log = logs.Log(spark, f"file://{tmp_path}/log", "chunk_id long, n long", lambda rows: rows.groupBy("chunk_id").agg(F.sum("n").alias("n")))
+    reader = None
+    for k in range(11):
+        rows = log.append(spark.createDataFrame([(k % 2, 1), (7, 1)], log.schema))
+        reader = reader or rows
+        assert {r["chunk_id"]: r["n"] for r in rows.groupBy("chunk_id").agg(F.sum("n").alias("n")).collect()} == {c: n for c, n in ((0, k // 2 + 1), (1, (k + 1) // 2), (7, k + 1)) if n}
+    assert len(list((tmp_path / "log").iterdir())) <= 9 and log.rows().count() <= 3 + 2 * 3
