@@ -166,9 +166,10 @@ def subject_tokens(text: Column | str) -> Column:
 
 def overlap(content: Column | str, of: Column | str) -> Column:
     """Share of the terms that are substrings of the lower-cased content; 0 without terms."""
-    low = F.lower(_c(content))
-    hit = F.size(F.filter(_c(of), lambda t: F.contains(low, t)))
-    return F.when(F.size(_c(of)) > 0, hit / F.size(_c(of))).otherwise(0.0)
+    of = _c(of)
+    # the content is lower-cased once, as the element of an array, not once per term
+    hit = F.get(F.transform(F.array(F.lower(_c(content))), lambda low: F.size(F.filter(of, lambda t: F.contains(low, t)))), F.lit(0))
+    return F.when(F.size(of) > 0, hit / F.size(of)).otherwise(0.0)
 
 
 def activation(accesses: Column | str, last: Column | str, now: Column) -> Column:

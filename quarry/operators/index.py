@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.functions.text import LABEL, NAME, depth, fts_tokens, parent_path, predicate_name, safe_term, terms
-from quarry.tables import cut, sized
+from quarry.tables import cut, held, sized
 
 #: Content terms of a path that count, terms that a path keeps, characters of a fact's object.
 CONTENT_TERMS, PATH_TERMS, OBJECT_CHARS = 120, 140, 280
@@ -240,7 +240,7 @@ def bm25(index: Index, wanted: DataFrame, sizes: DataFrame | None = None) -> Dat
 
     A term with underscores is a phrase of adjacent words. A term that a query names twice counts twice. Document frequencies are those of all chunks.
     """
-    phrases = cut(_asked(wanted), "asked")
+    phrases, n_phrases = held(_asked(wanted), "asked")
     distinct = phrases.select("phrase", "words").distinct()
     each = distinct.select("phrase", F.size("words").alias("k"), F.posexplode("words").alias("slot", "term"))
     rows = index.postings if index.blocks is None else index.alive(unblocked(index.of(each, index.blocks.columns), "seq")).drop("seq")
@@ -252,11 +252,10 @@ def bm25(index: Index, wanted: DataFrame, sizes: DataFrame | None = None) -> Dat
     )
     common = F.aggregate(F.slice("starts", 2, 1_000), F.get("starts", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
     several = several.where(F.col("got") == F.col("k")).select("phrase", "chunk_id", "dl", F.size(common).alias("tf")).where("tf > 0")
-    found = cut(single.unionByName(several), "met")  # read twice: counted, and weighed
+    found, _ = held(single.unionByName(several), "met")  # read twice: counted, and weighed
     if sizes is None:
         sizes = index.sizes if index.sizes is not None else index.chunks.select(F.size(fts_tokens("content")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sizes))  # one row of totals
-    n_phrases = phrases.count()
     weighted = found.join(sized(df, 64, n_phrases), "phrase").select("phrase", "chunk_id", (idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("score"))
     scored = weighted.join(sized(phrases, 100, n_phrases), "phrase").groupBy("query_id", "variant", "op", "n_terms", "chunk_id").agg(F.sum("score").alias("bm25"), F.count(F.lit(1)).alias("got"))
     return scored.where((F.col("op") == "or") | (F.col("got") == F.col("n_terms"))).select("query_id", "variant", "chunk_id", "bm25")
@@ -269,14 +268,17 @@ def bm25_top(index: Index, wanted: DataFrame) -> DataFrame:
     k-th best is no less than the k-th of these; zones that can't come to that are left out before their blocks are taken apart.
     Of queries that ask for all terms, zones without one of them are left out. Queries with phrases are scored in full.
     """
-    plain = wanted.where(~F.exists("terms", lambda t: t.contains("_")))
-    phrased = bm25(index, wanted.where(F.exists("terms", lambda t: t.contains("_"))).drop("k"))
     by = ["query_id", "variant"]
+    wanted, _ = held(wanted, "asked")
+    several = F.exists("terms", lambda t: t.contains("_"))
+    phrased = wanted.where(several).drop("k")
+    plain = wanted.where(~several)
     asked = plain.select(*by, "op", "k", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy(*by, "op", "k", "n_terms", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = cut(asked, "asked")
-    n_asked = asked.count()
+    asked, n_asked = held(asked, "terms")
+    if not n_asked:
+        return bm25(index, phrased)
     weighed = sized(asked, 100, n_asked).join(index.vocab.where(_any_of(asked)), "term").crossJoin(F.broadcast(index.sizes))
-    weighed = cut(weighed.withColumn("weight", F.col("times") * idf(F.col("n"), F.col("df"))).drop("n"), "weighed")
+    weighed, _ = held(weighed.withColumn("weight", F.col("times") * idf(F.col("n"), F.col("df"))).drop("n"), "weighed")
     weighed_side = sized(weighed, 120, n_asked)
     # what each zone can come to; a bound is rounded up, so that no rounding of sums passes it
     heads = index.of(asked, ["term", "seq", "zone", "most_tf", "least_dl"]).join(weighed_side, "term")
@@ -286,16 +288,17 @@ def bm25_top(index: Index, wanted: DataFrame) -> DataFrame:
     rare = W.partitionBy(*by).orderBy("df", "term")
     seeds = weighed.where("op = 'or'").withColumn("before", F.coalesce(F.sum("df").over(rare.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < F.col("k"))
     score = F.col("weight") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    seeds = cut(seeds, "seeds")
+    seeds, _ = held(seeds, "seeds")
     rows = index.alive(unblocked(index.of(seeds, ["term", "seq", "chunk_ids", "tfs", "dls"]), "seq", positions=False))
     parts = rows.join(sized(seeds, 120, n_asked), "term").groupBy(*by, "k", "chunk_id").agg(F.sum(score).alias("part"))
     floor = parts.withColumn("at", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("part")))).where(F.col("at") == F.col("k")).select(*by, (F.col("part") * (1 - 1e-9)).alias("floor"))
-    floor = cut(floor, "floor")
+    floor, _ = held(floor, "floor")
     open_ = zones.join(sized(floor, 40, n_asked), by, "left").where(F.when(F.col("op") == "or", F.col("floor").isNull() | (F.col("most") >= F.col("floor"))).otherwise(F.col("got") == F.col("n_terms")))
-    open_ = cut(open_.select(*by, "op", "n_terms", "seq", "zone"), "zones")
-    wide = weighed.drop("op", "n_terms").join(sized(open_, 60), by)  # (query, term, zone): the blocks that are taken apart
-    blocks = index.of(asked, ["term", "seq", "zone", "chunk_ids", "tfs", "dls"]).join(sized(cut(wide, "open"), 140), ["term", "seq", "zone"])
+    open_, n_open = held(open_.select(*by, "op", "n_terms", "seq", "zone"), "zones")
+    wide = weighed.drop("op", "n_terms").join(sized(open_, 60, n_open), by)  # (query, term, zone): the blocks that are taken apart
+    wide, n_wide = held(wide, "open")
+    blocks = index.of(asked, ["term", "seq", "zone", "chunk_ids", "tfs", "dls"]).join(sized(wide, 140, n_wide), ["term", "seq", "zone"])
     rows = index.alive(unblocked(blocks, "seq", *by, "op", "n_terms", "times", "weight", "avgdl", positions=False))
     found = rows.groupBy(*by, "op", "n_terms", "chunk_id").agg(F.sum(score).alias("bm25"), F.sum("times").alias("got"))
     found = found.where((F.col("op") == "or") | (F.col("got") == F.col("n_terms"))).select(*by, "chunk_id", "bm25")
-    return found.unionByName(phrased)
+    return found if phrased.isEmpty() else found.unionByName(bm25(index, phrased))

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from quarry.functions.text import activation, asked_predicates, folded_text, overlap, query_tokens, query_variants, significant_terms, subject_tokens
 
-from quarry.tables import cut, sized
+from quarry.tables import held, sized
 
 from .index import Index, bm25, bm25_top
 
@@ -24,6 +24,8 @@ BOILERPLATE = r"(?i)^Profile note \d+:"
 MOST_GRAM = 4
 #: Columns that say where a hit's chunk stands; callers that only read don't see them.
 INTERNAL = ("path", "start_line", "end_line", "from", "lines", "parent_path", "source_file", "chunk_order")
+#: Postings of a batch's terms that are scored for all variants at once.
+ONE_PASS = 5_000_000
 REASONS = ["fact", *["full text"] * 5, "term", "sibling", "relation"]
 PATH_COLUMNS = ("file_path", "source_file", "path")
 
@@ -69,8 +71,7 @@ def path_lookup(index: Index, wanted: DataFrame, now: Column) -> DataFrame:
     """
     chunks = index.chunks.select("chunk_id", "lookup_path", "chunk_order", "token_count")  # contents are fetched for the rows that stay
     limit = F.greatest(F.lit(1), F.least(F.lit(200), F.coalesce("limit", F.lit(20))))
-    base = cut(wanted.withColumn("limit", limit), "wanted")
-    n = base.count()
+    base, n = held(wanted.withColumn("limit", limit), "wanted")
     side = sized(base, 200, n)
     exact = chunks.join(side, chunks.lookup_path == side.path).withColumn("tier", F.lit(0)).withColumn("weight", F.lit(0.0))
     # below a path: paths are met at each of their ancestors, so that this is an equality too
@@ -86,8 +87,8 @@ def path_lookup(index: Index, wanted: DataFrame, now: Column) -> DataFrame:
     all_ = exact.unionByName(below).unionByName(reverse)
     first = all_.withColumn("first", F.min("tier").over(W.partitionBy("query_id"))).where(F.col("tier") == F.col("first")).drop("first")
     order = [F.desc("weight"), F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")]
-    kept = cut(token_budget(top(first, F.col("limit"), ["query_id"], order), F.coalesce("max_tokens", F.lit(MAX_TOKENS)), ["query_id"], order), "kept")
-    kept = index.chunks.select("chunk_id", "content").join(sized(kept, 300), "chunk_id")
+    kept, n_kept = held(token_budget(top(first, F.col("limit"), ["query_id"], order), F.coalesce("max_tokens", F.lit(MAX_TOKENS)), ["query_id"], order), "kept")
+    kept = index.chunks.select("chunk_id", "content").join(sized(kept, 300, n_kept), "chunk_id")
     return with_activation(kept, index.access, now).select(
         "query_id", "tier", "chunk_id", "lookup_path", "chunk_order", "token_count", F.round("activation", 4).alias("score"), snippet(F.lit(None).cast("string"), "content").alias("snippet")
     )
@@ -187,82 +188,100 @@ def fused(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "chunk_id").agg(best.alias("b"), F.min(F.struct("stage", "rank")).alias("seq")).select("query_id", "chunk_id", "b.score", "b.stage", "seq")
 
 
-def _full_text(index: Index, q: DataFrame, variant: int, slim: DataFrame) -> DataFrame:
-    """query_id, chunk_id, bm25 of the hits of one variant that count: the best by bm25 below the query's path prefix, as many as its limit allows."""
+def _asked_variants(q: DataFrame) -> DataFrame:
+    """query_id, variant, op, terms, k (hits of it that count), prefix of all variants of the queries."""
     most = F.greatest(F.lit(1), F.least(F.col("limit") * 6, F.lit(400)))
-    asked = q.select("query_id", "path_prefix", most.alias("k"), F.inline("variants")).where(F.col("ord") == variant)
-    asked = cut(asked.select("query_id", F.col("ord").alias("variant"), "op", "terms", "k", F.coalesce("path_prefix", F.lit("")).alias("prefix")), "variant")
-    everywhere, below = asked.where("prefix = ''").drop("prefix"), asked.where("prefix <> ''").drop("prefix")
-    if index.blocks is None:
+    rows = q.select("query_id", most.alias("k"), F.coalesce("path_prefix", F.lit("")).alias("prefix"), F.inline("variants"))
+    return rows.select("query_id", F.col("ord").alias("variant"), "op", "terms", "k", "prefix")
+
+
+def _volume(index: Index, asked: DataFrame) -> int:
+    """The postings of all terms that the variants name."""
+    words = asked.select(F.explode("terms").alias("t")).select(F.explode(F.split("t", "_")).alias("term")).distinct()
+    return index.vocab.join(words, "term").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
+
+
+def _full_text(index: Index, asked: DataFrame, n_asked: int, bounded: bool) -> DataFrame:
+    """query_id, variant, chunk_id, bm25: of each variant the best hits below the query's path prefix, as many as count."""
+    if not bounded:
         hits = bm25(index, asked.drop("k", "prefix"))
-    elif below.isEmpty():
-        hits = bm25_top(index, everywhere)
     else:  # bounds are those of all chunks: below a path all hits are scored
-        hits = bm25_top(index, everywhere).unionByName(bm25(index, below.drop("k")))
-    side = sized(asked.select("query_id", "k", "prefix"), 200)
-    hits = slim.join(hits, "chunk_id").join(side, "query_id").where((F.col("prefix") == "") | F.col("lookup_path").startswith(F.col("prefix")))
+        below = asked.where("prefix <> ''")
+        hits = bm25_top(index, asked.where("prefix = ''").drop("prefix"))
+        hits = hits if below.isEmpty() else hits.unionByName(bm25(index, below.drop("k", "prefix")))
+    slim = index.chunks.select("chunk_id", "lookup_path", "chunk_order")
+    hits = slim.join(hits, "chunk_id").join(sized(asked.select("query_id", "variant", "k", "prefix"), 200, n_asked), ["query_id", "variant"])
     order = [F.desc(F.round("bm25", 9)), F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")]
-    return top(hits, F.col("k"), ["query_id"], order).select("query_id", "chunk_id", "bm25")
+    return top(hits.where((F.col("prefix") == "") | F.col("lookup_path").startswith(F.col("prefix"))), F.col("k"), ["query_id", "variant"], order).select("query_id", "variant", "chunk_id", "bm25")
 
 
-def text_search(index: Index, queries: DataFrame, now: Column) -> DataFrame:
+def text_search(index: Index, queries: DataFrame, now: Column, one_pass: int = ONE_PASS) -> DataFrame:
     """queries (query_id, query, limit, max_tokens, path_prefix) -> ranked hits within each query's token budget.
 
     Stages: facts; full text by variants; terms, if little was found; siblings of the best hits' parents; relations of the best hits.
-    A variant is asked only for the queries that are still open, so postings are read for these alone; contents are fetched for what ranking left.
-    What the stages found is small (a bounded number of rows per query) and written between them, as later ones read it several times.
+    Where the variants' terms have more than `one_pass` postings, each variant is asked only for the queries that are still open, by bounds;
+    fewer postings are scored for all variants at once, and what a loop that stops wouldn't have asked is dropped: the same hits in fewer jobs.
+    Contents are fetched for what ranking left. What the stages found is small (a bounded number of rows per query) and held between them.
     """
-    q = cut(analysed(queries), "asked")
-    n_asked = q.count()
+    q, n_asked = held(analysed(queries), "asked")
     slim = index.chunks.select("chunk_id", "lookup_path", "chunk_order")
     meta = index.chunks.select("chunk_id", "lookup_path", "parent_path", "chunk_order", "token_count")
     ask = q.select("query_id", "limit", "terms", "path_prefix")
-    parts = [cut(fact_hits(index, q), "facts")]
+    parts = [fact_hits(index, q)]
     enough, few = F.greatest(F.lit(8), F.col("limit") * 2), F.greatest(F.lit(2), F.floor(F.col("limit") / 2))
 
+    def full(asked: DataFrame, n: int, bounded: bool) -> DataFrame:
+        hits, n_hits = held(_full_text(index, asked, n, bounded), "hits")
+        told = index.chunks.select("chunk_id", "content").join(sized(hits, 32, n_hits), "chunk_id").join(sized(ask.select("query_id", "terms"), 300, n_asked), "query_id")
+        act = with_activation(told, index.access, now)
+        return act.select("query_id", "chunk_id", fts_score("bm25", "content", "terms", "activation").alias("score"), F.col("variant").alias("stage"))
+
     def still_open(least: Column) -> DataFrame:
         n = _all(parts).select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"))
-        return cut(q.join(n, "query_id", "left").where(F.coalesce("__n", F.lit(0)) < least).select(*q.columns), "open")
-
-    first = F.get("variants", F.lit(0))["ord"]
-    for variant in range(1, 6):
-        open_ = q.where(first == 1) if variant == 1 else still_open(enough).unionByName(q.where((first == variant) & F.lit(variant > 1))).dropDuplicates(["query_id"])
-        open_ = open_.where(F.exists("variants", lambda v: v["ord"] == variant))
-        if open_.isEmpty():
-            continue
-        hits = cut(_full_text(index, open_, variant, slim), "hits")
-        told = index.chunks.select("chunk_id", "content").join(sized(hits, 32), "chunk_id").join(sized(ask.select("query_id", "terms"), 300, n_asked), "query_id")
-        act = with_activation(told, index.access, now)
-        parts.append(cut(act.select("query_id", "chunk_id", fts_score("bm25", "content", "terms", "activation").alias("score"), F.lit(variant).alias("stage")), "full"))
-    asked = still_open(few).select("query_id", "limit", F.explode("terms").alias("term"))
+        return held(q.join(n, "query_id", "left").where(F.coalesce("__n", F.lit(0)) < least).select(*q.columns), "open")[0]
+
+    variants, n_variants = held(_asked_variants(q), "variants")
+    asked = ask
+    if index.blocks is None or _volume(index, variants) <= one_pass:
+        parts.append(full(variants, n_variants, False))
+    else:
+        parts = [held(parts[0], "facts")[0]]
+        first = q.select("query_id", F.get("variants", F.lit(0))["ord"].alias("first"))
+        for variant in range(1, 6):  # as many rounds as there are variants at most
+            open_ = still_open(enough).select("query_id").unionByName(first.where(F.col("first") == variant).select("query_id")).distinct()
+            now_asked, n = held(variants.where(F.col("variant") == variant).join(open_, "query_id", "left_semi"), "variant")
+            if n:
+                parts.append(held(full(now_asked, n, True), "full")[0])
+        asked = still_open(few)
+    asked = asked.select("query_id", "limit", F.explode("terms").alias("term"))
     by_term = index.terms.join(sized(asked, 64, 8 * n_asked), "term")
     by_term = slim.join(by_term, "lookup_path")
     by_term = top(by_term, F.greatest(F.lit(8), F.col("limit") * 2), ["query_id", "term"], [F.desc("weight"), F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")])
     by_term = with_activation(by_term, index.access, now)
     term_score = F.round(0.3 + F.least(F.lit(0.5), 0.3 * F.col("weight")) + F.least(F.lit(0.5), 0.1 * F.col("activation")), 4)
     by_term = by_term.groupBy("query_id", "chunk_id").agg(F.max(term_score).alias("score")).withColumn("stage", F.lit(6))
-    stages = cut(_all([*parts, by_term]), "stages")
+    stages, _ = held(_all([*parts, by_term]), "stages")
     stages = _ranked(gated(stages, q), ["query_id", "stage"], [F.desc("score"), F.col("chunk_id")])
-    found = cut(fused(stages), "found")
+    found, _ = held(fused(stages), "found")
     best = [F.desc("score"), F.col("seq"), F.col("chunk_id")]
     # siblings: chunks under the parents of the five best hits
     heads = top(found.join(meta.select("chunk_id", "parent_path"), "chunk_id").where(F.col("parent_path").isNotNull()), 5, ["query_id"], best)
     parents = heads.groupBy("query_id", "parent_path").agg(F.max("score").alias("anchor"))
     siblings = top(meta.select("chunk_id", "lookup_path", "chunk_order", "parent_path").join(parents, "parent_path"), 8, ["query_id", "parent_path"], [F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id")])
     siblings = siblings.groupBy("query_id", "chunk_id").agg(F.round(F.greatest(F.lit(0.3), 0.75 * F.max("anchor")), 4).alias("score"))
-    found = cut(_added(found, siblings, 7), "found")
+    found, _ = held(_added(found, siblings, 7), "found")
     # relations: chunks one edge away from the best hits, either way
     anchors = top(found.join(sized(ask.select("query_id", "limit"), 16, n_asked), "query_id"), F.greatest(F.lit(1), F.least(F.lit(12), F.col("limit") * 2)), ["query_id"], best)
     anchors = anchors.join(meta.select("chunk_id", "lookup_path"), "chunk_id").withColumn("most", F.max("score").over(W.partitionBy("query_id")))
     near = neighbours(index.relations).join(anchors.select("query_id", "most", "lookup_path").distinct(), F.col("src") == F.col("lookup_path")).select("query_id", "most", F.col("dst").alias("lookup_path"), "predicate")
     related = top(meta.select("chunk_id", "lookup_path", "chunk_order").join(near, "lookup_path"), 24, ["query_id"], [F.col("lookup_path"), F.col("chunk_order"), F.col("chunk_id"), F.col("predicate")])
-    related = cut(related.groupBy("query_id", "chunk_id").agg(F.round(F.greatest(F.lit(0.3), 0.7 * F.max("most")), 4).alias("score"), F.min("predicate").alias("via_relation")), "related")
+    related, _ = held(related.groupBy("query_id", "chunk_id").agg(F.round(F.greatest(F.lit(0.3), 0.7 * F.max("most")), 4).alias("score"), F.min("predicate").alias("via_relation")), "related")
     found = _added(found, related.drop("via_relation"), 8).join(related.select("query_id", "chunk_id", "via_relation"), ["query_id", "chunk_id"], "left")
     found = found.withColumn("via_relation", F.when(F.col("stage") == 8, F.col("via_relation")))
     hits = top(found.join(sized(q.select("query_id", "query", "limit", "max_tokens", "terms"), 1_000, n_asked), "query_id"), F.col("limit"), ["query_id"], best)
     hits = meta.drop("parent_path").join(hits, "chunk_id")
-    hits = cut(_ranked(token_budget(hits, F.col("max_tokens"), ["query_id"], best), ["query_id"], best), "best")
-    hits = with_snippet(index.chunks.select("chunk_id", "content").join(sized(hits, 1_000), "chunk_id"))
+    hits, n_hits = held(_ranked(token_budget(hits, F.col("max_tokens"), ["query_id"], best), ["query_id"], best), "best")
+    hits = with_snippet(index.chunks.select("chunk_id", "content").join(sized(hits, 1_000, n_hits), "chunk_id"))
     return hits.select("query_id", "query", "rank", "chunk_id", "lookup_path", "chunk_order", "token_count", "score", "stage", "via_relation", "snippet")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quarry.functions import markdown, text as T
 from quarry.operators import index as I, retrieve as R, segments as G, write as Wr
 from quarry.sources import files as S
-from quarry.tables import cut, shared_folder, sized
+from quarry.tables import cut, shared_folder, sized, spread
 
 NOW = "2024-01-31 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as chunks: one each, on the path docs.<source>.<lang>.doc_<id>."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     path = F.concat_ws(".", F.lit("docs"), "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id")))
     return d.select(
         F.col("doc_id").alias("chunk_id"), path.alias("lookup_path"), T.parent_path(path).alias("parent_path"), F.lit(0).alias("chunk_order"), F.lit("file").alias("source"),
@@ -291,8 +291,7 @@ def _stage(spark, sf) -> DataFrame:
     c = doc_chunks(spark, sf)
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.slice(T.significant_terms("text"), 1, 8).alias("terms"))
     act = R.with_activation(c, Wr.access_stats(access_log(spark, sf)), F.lit(NOW).cast("timestamp"))
-    hits = cut(_full_text(spark, sf, "or"), "scored")
-    hits = act.join(sized(hits, 32), "chunk_id").join(sized(q, 1_000), "query_id")
+    hits = _full_text(spark, sf, "or").join(act, "chunk_id").join(sized(q, 1_000), "query_id")
     return hits.select("query_id", "query", "chunk_id", "lookup_path", "parent_path", "token_count", "content", R.fts_score(F.round("bm25", 9), "content", "terms", "activation").alias("score"))
 
 

@@ -36,3 +36,22 @@ def sized(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """The side marked for broadcast if it is small, by its counted rows; else as it is, for a shuffled join."""
     rows = df.count() if rows is None else rows
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+#: Rows that are held as part of a plan: a side of queries and their few hits.
+HELD_ROWS = 5_000
+
+
+def held(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The rows, made once, and their number: as part of the plan if they are few, so that no table is written for them, else as a written table."""
+    few = df.limit(HELD_ROWS + 1).toArrow()
+    if few.num_rows <= HELD_ROWS:
+        return df.sparkSession.createDataFrame(few, schema=df.schema), few.num_rows
+    table = cut(df, name)
+    return table, table.count()
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A scan of few splits (one row group, say) dealt out to all cores by these columns; a scan of many splits as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
