@@ -23,10 +23,15 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat lose their bytes; a character that is cut in two goes whole. Every document stays."""
+    """Passages that repeat lose their bytes; a character that is cut in two goes whole. Every document stays.
+
+    Broken bytes become U+FFFD and go; a U+FFFD that the text has itself waits as a character that stands for nothing (U+10FFFE) meanwhile.
+    """
     removed, kept, spans = substrings.remove_repeats(docs)
     text, cut = F.col(kept).cast("string"), F.col(spans).isNotNull()
-    whole = F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
+    own, waiting = F.lit("\ufffd"), F.lit("\U0010fffe")
+    mended = F.replace(F.replace(F.make_valid_utf8(F.replace(text, own, waiting)), own, F.lit("")), waiting, own)
+    whole = F.when(F.is_valid_utf8(text), text).otherwise(mended)
     fresh = removed.withColumn("text", F.when(cut, whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         fresh = fresh.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
