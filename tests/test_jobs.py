@@ -86,3 +86,53 @@ def test_saves_of_one_content_are_folded_in_pieces(spark):
     df = W.accepted_saves(saves)
     assert {r["save_id"] for r in df.where("accepted").collect()} == want
     assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_state_of_saves_goes_with_the_watermark(spark, tmp_path):
+    """A batch per file; late rows aren't taken, and a content that comes again after its span has no state left to be held against."""
+    import json
+
+    batches = [[(0, 0, "same"), (1, 40, "same"), (2, 70, "same"), (9, 1, "other")], [(3, 100, "same"), (4, 131, "same")], [(5, 400, "far")], [(6, 401, "same"), (7, 100, "late")], [(8, 4000, "end")]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("save_id long, ts timestamp, content string").json(str(tmp_path / "in"))
+    q = jobs.accepted(stream).writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    held = []
+    for k, rows in enumerate(batches):
+        (tmp_path / "aside").write_text("".join(json.dumps({"save_id": i, "ts": at(s).isoformat(), "content": c}) + "\n" for i, s, c in rows))
+        (tmp_path / "aside").rename(tmp_path / "in" / f"{k}.json")
+        q.processAllAvailable()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    q.stop()
+    assert {r["save_id"] for r in spark.table("expiring").collect()} == {0, 2, 4, 5, 6, 8, 9}
+    assert held == [2, 1, 1, 2, 1]
+
+
+def test_the_watcher_refreshes_and_repeats_nothing(spark, tmp_path):
+    import time
+
+    from quarry.api import Engine
+    from quarry.sources.config import Settings
+
+    root, place = tmp_path / "notes", f"file://{tmp_path}/ix"
+    root.mkdir()
+    (root / "MEMORY.md").write_text("# Memory\n\n## Part\n\nA walrus came by.\n")
+    own = Engine(spark, Settings(roots=[str(root)]), record=False, path=place).build()
+    first = own.version.number
+
+    def until(change):
+        q = jobs.watch(Engine.open(spark, own.settings, place), str(tmp_path / "cp"), 0.5)
+        deadline = time.time() + 90
+        while own.store.latest().number < change and time.time() < deadline and q.isActive:
+            time.sleep(0.3)
+        q.stop()
+        return own.store.latest()
+
+    (root / "MEMORY.md").write_text("# Memory\n\n## Part\n\nA badger came by instead.\n")
+    then = until(first + 1)
+    assert then.number == first + 1 and "badger" in own.reopen().index.chunks.first()["content"]
+    # the batch that wrote is run again: its number is known, nothing is looked at
+    (root / "MEMORY.md").write_text("# Memory\n\n## Part\n\nA narwhal and a seal came by.\n")
+    assert own.refresh(batch=("watch", then.batches["watch"])).version.number == then.number
+    # a watcher that begins again goes on with the next batch
+    last = until(first + 2)
+    assert last.number == first + 2 and last.batches["watch"] > then.batches["watch"] and "narwhal" in own.reopen().index.chunks.first()["content"]
