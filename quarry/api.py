@@ -290,6 +290,9 @@ class Engine:
     def flush(self) -> None:
         """All queued saves go into the index, those of one kind that follow each other as one change."""
         with self._lock:
+            if self._queue and self._timer:
+                self._timer.cancel()
+                self._timer = None
             while self._queue:
                 replace_, together = self._queue[0][1], []
                 while self._queue and self._queue[0][1] == replace_:

@@ -99,3 +99,17 @@ def test_bounds_leave_no_hit_out(spark, none, tmp_path, op):
     assert best(top) == best(full)
     if op == "or":
         assert top.count() < full.count()
+
+
+def test_variants_asked_one_by_one_find_the_same(spark, none, tmp_path):
+    """Later variants for open queries only, by bounds, against all variants in one pass; some queries below a path."""
+    from quarry.operators import retrieve as R
+
+    draw = random.Random(8)
+    rows = [(i, draw.choice(("a", "a.b", "c.d")), i, content(draw), "f.md") for i in range(300)]
+    store = G.Store(spark, f"file://{tmp_path}/ix")
+    ix = store.index(store.change(None, chunk_rows(spark, rows)), *none)
+    asked = [(k, " ".join(draw.sample(WORDS, draw.randrange(1, 5))), 3, 2000, draw.choice((None, "", "a"))) for k in range(8)] + [(9, "Dana Whit walrus launch", 4, 2000, None), (10, "the", 3, 2000, None)]
+    q = spark.createDataFrame(asked, "query_id long, query string, limit int, max_tokens int, path_prefix string")
+    found = [sorted(tuple(r) for r in R.text_search(ix, q, F.lit("2024-01-01").cast("timestamp"), one_pass=n).select("query_id", "rank", "chunk_id", "score", "stage").collect()) for n in (-1, 1 << 40)]
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) >= 9
