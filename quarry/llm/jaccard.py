@@ -9,7 +9,7 @@ one that reaches the target recall; then only nodes count that hold texts of sev
 Texts that meet are compared within the node before they are grouped, by what their signatures say of their similarity: only those
 within six standard errors of the threshold are joined, so texts that merely share boilerplate aren't. Within a node a text
 is compared with those of other groups only, so a node of near copies costs one comparison a text. Nodes yield stars of groups,
-never pairs. The texts of a group are then compared exactly, in blocks of bounded size by products of incidence matrices; a
+never pairs. A node of any size is compared like that: a large one is dealt out as pairs of blocks of bounded size. The texts of a group are then compared exactly, in blocks of bounded size by products of incidence matrices; a
 block yields counts of links and a spanning forest, never pairs. Very large groups are dealt out as pairs of blocks.
 
 Defined cases: a null text counts as empty; texts without words have no links; a text of one to four words has one
@@ -37,8 +37,8 @@ TREES = 32
 DEPTH, RECALL = 8, 1 - 1e-6
 #: Bytes of a text's sketch, one of every other minimum hash, by which texts in a node are compared.
 SKETCH = TREES * DEPTH // 2
-#: A node of more rows is joined as a whole, without a look at its texts: the exact comparison decides.
-MOST_NODE = 4096
+#: Rows of a node that are compared in one piece; a larger node is dealt out as pairs of blocks of half as many.
+NODE_ROWS = 4096
 #: Texts and shingles of a block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
 
@@ -69,7 +69,7 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """id, node, size (distinct shingles), sig (TREES * DEPTH minimum hashes of 2 bytes; null for a text without words). rows: id, node, text."""
+    """id, node, size (distinct shingles), sig (TREES * DEPTH minimum hashes of 2 bytes) and sketch (both null for a text without words). rows: id, node, text."""
     seeds = _seeds(TREES * DEPTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +77,7 @@ def signatures(rows: DataFrame) -> DataFrame:
             for part in textnp.slices(batch, most=1 << 20):
                 h, row = textnp.word_shingles(part.column(2), SHINGLE_WORDS)
                 n = part.num_rows
-                size, sig = np.zeros(n, np.int64), np.full(n, None, object)
+                size, sig, sketch = np.zeros(n, np.int64), np.full(n, None, object), np.full(n, None, object)
                 if len(h):
                     order = np.lexsort((h, row))
                     new = np.ones(len(h), bool)
@@ -90,9 +90,12 @@ def signatures(rows: DataFrame) -> DataFrame:
                         least[:, k] = textnp.mix(np.minimum.reduceat(h * seed, edge)) & np.uint64(0xFFFF)
                     raw = least.tobytes()
                     sig[row[edge]] = [raw[k : k + 2 * len(seeds)] for k in range(0, len(raw), 2 * len(seeds))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sig.tolist(), pa.binary())], ["id", "node", "size", "sig"])
+                    low = least[:, ::2].astype(np.uint8).tobytes()  # the low byte of every other minimum
+                    sketch[row[edge]] = [low[k : k + SKETCH] for k in range(0, len(low), SKETCH)]
+                columns = [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sig.tolist(), pa.binary()), pa.array(sketch.tolist(), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "node", "size", "sig", "sketch"])
 
-    return rows.mapInArrow(run, "id long, node binary, size long, sig binary")
+    return rows.mapInArrow(run, "id long, node binary, size long, sig binary, sketch binary")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -191,14 +194,13 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
 
 def _met_in_nodes(members: DataFrame, least: int) -> DataFrame:
     """label, to: groups of texts that met in a node and are near by their sketches, to the smallest one there; and met, n: how often
-    texts of so many equal bytes met (label is null). members: key, label, sig; sorted by them."""
-    take = np.arange(SKETCH) * 4 + 1  # the low byte of every other minimum
+    texts of so many equal bytes met (label is null; between groups, so of near copies each counts about once). members: block, label, sketch; sorted by them."""
 
     def join(rows: list, met: np.ndarray) -> list[tuple[bytes, bytes]]:
         names = sorted({r[1] for r in rows})
         place = {x: k for k, x in enumerate(names)}
         label = np.array([place[r[1]] for r in rows])
-        sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)[:, take]
+        sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
         root = np.arange(len(names))
         for k in range(len(rows) - 1):
             other = k + 1 + np.flatnonzero(root[label[k + 1 :]] != root[label[k]])
@@ -237,34 +239,41 @@ def _met_in_nodes(members: DataFrame, least: int) -> DataFrame:
     return members.mapInArrow(run, "label binary, to binary, met int, n long")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """block, label, sketch: the rows of every node, of a large one as pairs of blocks, so that any two of its rows stand together in one. members: key, node, label, sketch, n."""
+    parts = F.when(F.col("n") <= NODE_ROWS, 1).otherwise(F.ceil(F.col("n") * 2 / NODE_ROWS)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("mine"))
+    pairs = F.transform(others, lambda k: F.xxhash64("key", F.least("mine", k), F.greatest("mine", k)))
+    dealt = members.withColumn("parts", parts).withColumn("mine", mine)
+    return dealt.select(F.explode(F.when(F.col("parts") == 1, F.array("key")).otherwise(pairs)).alias("block"), "label", "sketch")
+
+
 def meetings(labelled: DataFrame, depth: int, threshold: float) -> tuple[DataFrame, np.ndarray]:
-    """Edges (node, to) between groups of texts that meet at that depth and are near, and how often texts met, by equal bytes of their sketches. labelled: node, label, sig."""
+    """Edges (node, to) between groups of texts that meet at that depth and are near, and how often texts met, by equal bytes of their sketches. labelled: node, label, sig, sketch."""
     n = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = F.array(*(F.xxhash64(F.lit(t), F.substring("sig", 2 * DEPTH * t + 1, 2 * depth)) for t in range(TREES)))
     in_tries = labelled.select(F.explode(keys).alias("key"), F.xxhash64("label").alias("l")).groupBy("key").agg(F.min("l").alias("a"), F.max("l").alias("b"), F.count(F.lit(1)).alias("n"))
     tries = cut(in_tries.where("a < b").select("key", "n"), "tries")
     n_tries = tries.count()
-    members = labelled.select(F.explode(keys).alias("key"), "label", "sig").join(sized(tries, 24, n_tries), "key")
-    some = members.where(F.col("n") <= MOST_NODE).select("key", "label", "sig").repartition(n, "key").sortWithinPartitions("key", "label")
-    found = cut(_met_in_nodes(some, loose(threshold)), "met")
+    members = labelled.select(F.explode(keys).alias("key"), "node", "label", "sketch").join(sized(tries, 24, n_tries), "key")
+    found = cut(_met_in_nodes(_blocks(members).repartition(n, "block").sortWithinPartitions("block", "label"), loose(threshold)), "met")
     edges = found.where("label is not null").select(F.col("label").alias("node"), "to")
-    whole = members.where(F.col("n") > MOST_NODE).select("key", "label").distinct()
-    stars = whole.join(whole.groupBy("key").agg(F.min("label").alias("to")), "key").where("label != to").select(F.col("label").alias("node"), "to")
     met = np.zeros(SKETCH + 1, np.int64)
     for r in found.where("met is not null").groupBy("met").agg(F.sum("n").alias("n")).collect():  # at most SKETCH + 1 rows
         met[r["met"]] = r["n"]
-    return edges.unionByName(stars).distinct(), met
+    return edges.distinct(), met
 
 
 def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, int]:
-    """node, root: groups of texts that may be linked; and the length that prefixes were shortened to. texts: node, sig."""
+    """node, root: groups of texts that may be linked; and the length that prefixes were shortened to. texts: node, sig, sketch."""
     texts = texts.where("sig is not null")
-    edges, met = meetings(texts.select("node", F.col("node").alias("label"), "sig"), DEPTH, threshold)
+    edges, met = meetings(texts.select("node", F.col("node").alias("label"), "sig", "sketch"), DEPTH, threshold)
     groups = components(edges, "groups")
     depth = prefix_length(met, threshold)
     if depth < DEPTH:
         known = groups.select(F.col("node").alias("k_node"), "root")
-        labelled = texts.join(sized(known, 64), F.col("node") == F.col("k_node"), "left").select("node", F.coalesce("root", "node").alias("label"), "sig")
+        labelled = texts.join(sized(known, 64), F.col("node") == F.col("k_node"), "left").select("node", F.coalesce("root", "node").alias("label"), "sig", "sketch")
         further = components(meetings(labelled, depth, threshold)[0], "groups")
         beyond = further.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
         joined = groups.join(sized(beyond, 64), "root", "left").select("node", F.coalesce("beyond", "root").alias("root"))
@@ -295,9 +304,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("node"), F.col(text_col).alias("text"))
     signed = cut(signatures(rows), "signed")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = cut(signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.min("sig").alias("sig")), "texts")
+    texts = cut(signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "texts")
     groups, _ = candidates(texts, threshold)
-    texts = texts.drop("sig")
+    texts = texts.drop("sig", "sketch")
     # groups in blocks: a bounded number of texts and shingles each
     sizes = groups.join(texts, "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")

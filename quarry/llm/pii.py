@@ -3,7 +3,8 @@
 Four kinds with a fixed form (email, ip, card, phone) are found by their patterns and always reported.
 Candidates of further kinds (secrets, account and identity numbers, names) are proposed loosely;
 labelers vote on each: strict patterns, gazetteers, and words in the context. Expectation-maximisation over all
-candidates estimates how reliable the labelers are, and its posteriors train the final span classifier, a naive
+candidates estimates freely which share of each labeler's votes is right, and the share of personal data among the candidates;
+its posteriors train the final span classifier, a naive
 Bayes over the votes and the shape and surroundings of a span, which decides.
 
 Positions are code points, ends exclusive. They come from the texts between the matches, so no Python runs.
@@ -49,6 +50,8 @@ CONTEXT = {
     "account": r"(?i)(?:iban|ssn|social security|account|passport|insurance|tax id)\W{0,6}(?:no|number|nr)?\W{0,4}$",
     "name": r"(?i)(?:name is|contact|signed|dear|regards|sincerely|by|from)\W{0,3}$",
 }
+#: A name and a sign that stand in the candidate itself, as loose patterns take both.
+KEYED = r"(?i)^[a-z0-9_-]*(?:token|secret|passwo?r?d|pwd|api_?-?key|access_?-?key|private_?-?key|credential)[a-z0-9_-]*="
 _COUNTRIES = """AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV
     LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SD SE SI SK SM ST SV TL TN TR UA VA VG XK"""
 _PREFIXES = "sk pk rk ghp gho ghu ghs ghr github_pat glpat xoxa xoxb xoxp xoxr xoxs AKIA ASIA AIza ya29 eyJ npm_ pypi- SG dop_v1 hf_ sq0 shpat EAAC whsec_ AGE-SECRET-KEY"
@@ -64,7 +67,7 @@ GAZETTEER = {
     "account": rf"^(?:{'|'.join(_COUNTRIES.split())})[0-9]{{2}}",
     "name": rf"(?:{'|'.join(_NAMES.split())})\b",
 }
-#: Labelers' shares of right votes, where the estimate starts.
+#: Labelers' shares of right votes, and the share of personal data among candidates, where the estimate starts.
 START = Voters(0.5, {"v_strict": 0.85, "v_context": 0.9, "v_gazetteer": 0.8, "v_shape": 0.75, "v_frame": 0.7})
 FEATURES = ("kind", *START.accuracy, "f_length", "f_before", "f_after")
 
@@ -158,15 +161,16 @@ def _candidate(x: Column, text: Column, kind: str) -> Column:
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0).cast("tinyint")
     mixed = value.rlike("[0-9]") & value.rlike(r"\p{L}")
     plain = value.rlike(r"^[\p{L}_/+=.-]*[0-9]{0,2}$|^[0-9_/+=.-]+$")
+    keyed = value.rlike(KEYED) if kind == "secret" else F.lit(False)
     quoted = before.rlike("[\"'`]$") & after.isin('"', "'", "`")
     side = lambda c: F.when(c.rlike(r"[\"'`]$"), "quote").when(c.rlike("[=:]$"), "sign").when(c.rlike(r"\s$"), "space").when(c == "", "end").otherwise("other")
     return F.struct(
         F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
         vote(value.rlike(STRICT[kind]), plain if kind == "secret" else F.lit(False)).alias("v_strict"),
-        vote(before.rlike(CONTEXT[kind]), F.lit(False)).alias("v_context"),
+        vote(before.rlike(CONTEXT[kind]) | keyed, F.lit(False)).alias("v_context"),
         vote(value.rlike(GAZETTEER[kind]), F.lit(False)).alias("v_gazetteer"),
         (vote(mixed, plain) if kind != "name" else vote(F.lit(False), F.lit(False))).alias("v_shape"),
-        vote(quoted | before.rlike(r"[=:]\s*$"), before.rlike(r"[./\\]$") | after.isin("/", "\\")).alias("v_frame"),
+        vote(quoted | keyed | before.rlike(r"[=:]\s*$"), before.rlike(r"[./\\]$") | after.isin("/", "\\")).alias("v_frame"),
         F.when(size < 24, "short").when(size < 33, "middle").when(size < 65, "long").otherwise("very long").alias("f_length"),
         side(before).alias("f_before"), side(after).alias("f_after"),
     )
@@ -194,14 +198,14 @@ def train(candidates: DataFrame, smooth: float = 2.0) -> Classifier:
 
     Both fits see counts by pattern only; the driver gets a row per feature value.
     """
-    voters = fit(candidates.select(*START.accuracy), START, slack=0.15)
+    voters = fit(candidates.select(*START.accuracy), START)
     known = candidates.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n")).withColumn("p", voters.posterior())
     values = F.explode(F.array(*(F.struct(F.lit(f).alias("name"), F.col(f).cast("string").alias("value")) for f in FEATURES)))
     rows = known.select("n", "p", values.alias("f")).groupBy("f.name", "f.value").agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no")).collect()
-    yes, no = (sum(r[k] for r in rows if r["name"] == "kind") for k in ("yes", "no"))
     if not rows:  # nothing seen: the labelers as they start
         odds = {(r, str(v)): v * math.log(a / (1 - a)) for r, a in START.accuracy.items() for v in (-1, 1)}
         return Classifier(0.0, odds)
+    yes, no = (sum(r[k] for r in rows if r["name"] == "kind") for k in ("yes", "no"))
     n = {f: sum(r["name"] == f for r in rows) for f in FEATURES}
     odds = {
         (r["name"], r["value"]): math.log((r["yes"] + smooth) / (yes + smooth * n[r["name"]])) - math.log((r["no"] + smooth) / (no + smooth * n[r["name"]]))

@@ -4,18 +4,16 @@ A vote is 1, -1 or 0 (abstains). Rows with the same votes are alike, so the vote
 counted by pattern (at most 3 ** rules rows, whatever the input); every round is then one
 aggregate over that small table, and the driver gets one row of sums per round.
 
-`Rates` has the shares of a rule's votes in either class, estimated freely, with the classes' own shares.
-`Voters` has one accuracy per rule, where it votes; a vote weighs the log-odds of that accuracy. A rule's starting accuracy is what it was written for; the estimate may differ
-from it by `slack` at most, so that where the corpus has several unlike kinds of bad rows, the
-most frequent kind doesn't declare the rules for the others wrong, and so that a rule that votes
-1 on nearly every row isn't taken to be accurate only because most rows are good.
+`Rates` has the shares of a rule's votes in either class, estimated freely, with the classes' own shares: not to vote says something as well.
+`Voters` has one accuracy per rule, of the votes that it casts, and the share of the class 1 among rows with votes. A vote weighs the log-odds of that accuracy
+and abstaining says nothing, so that rows of a kind that only some rules know aren't taken for the other class.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,39 +22,36 @@ from .session import cut
 
 @dataclass(frozen=True)
 class Voters:
-    """prior: assumed share of the class 1. accuracy: of each rule, the share of its votes that are right."""
+    """prior: share of the class 1. accuracy: of each rule, the share of its votes that are right."""
 
     prior: float
-    accuracy: dict[str, float] = field(default_factory=dict)
-
-    def log_odds(self) -> Column:
-        start = F.lit(math.log(self.prior / (1 - self.prior)))
-        return sum((F.col(r) * F.lit(math.log(a / (1 - a))) for r, a in self.accuracy.items()), start)
+    accuracy: dict[str, float]
 
     def posterior(self) -> Column:
-        return 1.0 / (1.0 + F.exp(-self.log_odds()))
+        start = F.lit(math.log(self.prior / (1 - self.prior)))
+        return 1.0 / (1.0 + F.exp(-sum((F.col(r) * F.lit(math.log(a / (1 - a))) for r, a in self.accuracy.items()), start)))
 
 
-def fit(votes: DataFrame, start: Voters, rounds: int = 10, strength: float = 20.0, slack: float = 0.05, most: float = 0.98) -> Voters:
-    """Accuracies after so many rounds at most; the prior stays, as rows without votes say nothing of it. Each starting value counts as `strength` rows. Without rows: the start."""
+def fit(votes: DataFrame, start: Voters, rounds: int = 60, strength: float = 20.0, most: float = 0.98, least_move: float = 1e-3) -> Voters:
+    """Accuracies and prior by expectation-maximisation. Each starting value counts as `strength` rows; no rule is worse than chance or surer than `most`. Without rows: the start."""
     rules = list(start.accuracy)
-    patterns = cut(votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")), "votes")
+    voted = F.exists(F.array(*rules), lambda v: v != 0)
+    patterns = cut(votes.where(voted).groupBy(*rules).agg(F.count(F.lit(1)).cast("double").alias("n")).coalesce(1), "votes")  # 3 ** rules rows at most
     now = start
     for _ in range(rounds):
         p, n = now.posterior(), F.col("n")
         total = lambda w: F.coalesce(F.sum(n * w), F.lit(0.0))
         sums = patterns.agg(
+            total(p).alias("yes"), total(F.lit(1.0)).alias("rows"),
             *(total(F.when(F.col(r) > 0, p).when(F.col(r) < 0, 1 - p)).alias(f"right_{r}") for r in rules),
             *(total(F.abs(F.col(r)).cast("double")).alias(f"voted_{r}") for r in rules),
-        ).first()
-        accuracy = {}
-        for r, a in start.accuracy.items():
-            found = (sums[f"right_{r}"] + strength * a) / (sums[f"voted_{r}"] + strength)
-            accuracy[r] = min(max(found, a - slack, 0.5), a + slack, most)
-        new = Voters(start.prior, accuracy)
-        moved = max(abs(new.accuracy[r] - now.accuracy[r]) for r in rules)
+        ).first()
+        found = {r: (sums[f"right_{r}"] + strength * a) / (sums[f"voted_{r}"] + strength) for r, a in start.accuracy.items()}
+        prior = (sums["yes"] + strength * start.prior) / (sums["rows"] + strength)
+        new = Voters(min(max(prior, 1 - most), most), {r: min(max(a, 0.5), most) for r, a in found.items()})
+        moved = max(abs(new.prior - now.prior), *(abs(new.accuracy[r] - now.accuracy[r]) for r in rules))
         now = new
-        if moved < 1e-3:
+        if moved < least_move:
             break
     return now
 
