@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def glob_regex(pattern: str) -> str:
@@ -92,9 +92,17 @@ def workspace_path(path: str, root: str) -> str:
 
 
 def session_logs(spark: SparkSession, path: str) -> DataFrame:
-    """conv_id (file), turn, role, content of JSON-lines logs; malformed lines are skipped."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("conv_id"), F.monotonically_increasing_id().alias("turn"), F.from_json("value", "role string, content string").alias("m"))
-    return lines.where(F.col("m.role").isNotNull() | F.col("m.content").isNotNull()).select("conv_id", "turn", "m.role", "m.content")
+    """conv_id (file), turn (line, from 1), role, content of JSON-lines logs; content that is no string is its JSON; malformed lines are skipped.
+
+    Lines are numbered within the blocks that Spark splits files into, and go on from the lines of the blocks before, so no file is one task.
+    """
+    block = ["conv_id", "at"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("conv_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"), "value")
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy(*block).orderBy("k"))).join(sizes, block)
+    told = numbered.select("conv_id", (F.col("before") + F.col("line")).alias("turn"), F.from_json("value", "role string, content string").alias("m"))
+    return told.where(F.col("m.role").isNotNull() | F.col("m.content").isNotNull()).select("conv_id", "turn", "m.role", "m.content")
 
 
 def transcripts(messages: DataFrame, least_chars: int = 100) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -136,3 +137,19 @@ def test_the_watcher_refreshes_and_repeats_nothing(spark, tmp_path):
     # a watcher that begins again goes on with the next batch
     last = until(first + 2)
     assert last.number == first + 2 and last.batches["watch"] > then.batches["watch"] and "narwhal" in own.reopen().index.chunks.first()["content"]
+
+
+def test_session_logs_have_true_lines_and_all_content(spark, tmp_path):
+    """Also where Spark splits a file into blocks; a malformed line counts as a line, and content that is no string is its JSON."""
+    said = [json.dumps({"role": "user", "content": f"line {k}"}) for k in range(1, 400)]
+    said[6], said[9] = "not json", '{"role":"tool","content":[{"type":"text","text":"x"}]}'
+    (tmp_path / "a.jsonl").write_text("\n".join(said) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in (old, "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            got = {r["turn"]: r["content"] for r in S.session_logs(spark, str(tmp_path)).collect()}
+            assert 7 not in got and got[10] == '[{"type":"text","text":"x"}]' and len(got) == 398
+            assert all(got[k] == f"line {k}" for k in got if k != 10)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
