@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import hashlib
 import re
 import threading
 import time
@@ -46,6 +47,8 @@ class Engine:
 
     #: Milliseconds that a save which doesn't wait stays in the queue, for others to join it.
     DEBOUNCE_MS = 500
+    #: Bytes of a file that is read whole for a range of its lines.
+    WHOLE_BYTES = 1 << 20
 
     def __init__(self, spark: SparkSession, settings: Settings, index: I.Index | None = None, manifest: DataFrame | None = None, record: bool = True, path: str | None = None) -> None:
         self.spark, self.settings, self.record = spark, settings, record  # record: searches, lookups and fetches count as accesses of what they return
@@ -231,14 +234,19 @@ class Engine:
         return fallback(query) if fallback is not None and best.isEmpty() else best
 
     def search_many(self, queries: DataFrame, now: Column | None = None) -> DataFrame:
-        return R.text_search(self.index, queries, F.current_timestamp() if now is None else now)
+        return R.text_search(self.index, queries, F.current_timestamp() if now is None else now, chars=self.settings.snippet_chars)
+
+    def trace(self, query: str, limit: int = 8, path_prefix: str | None = None, now: Column | None = None) -> DataFrame:
+        """ord, stage and hits of the stages that a search of this query runs and that find something; nothing counts as accessed."""
+        found = R.traced_search(self.index, self._one(query, limit, path_prefix), F.current_timestamp() if now is None else now)
+        return found[1].drop("query_id").orderBy("ord")
 
     def lookup(self, query: str, limit: int = 5, path_prefix: str | None = None, now: Column | None = None) -> tuple[str, DataFrame]:
         """("path", chunks) for what looks like a path, else ("search", hits)."""
         if not re.fullmatch(r"[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+", query.strip()):
             return "search", self.search(query, limit, path_prefix, now)
         wanted = self.spark.createDataFrame([(1, query.strip().lower(), limit, self.settings.max_tokens_per_query)], "query_id long, path string, limit int, max_tokens int")
-        return "path", self._seen(R.path_lookup(self.index, wanted, F.current_timestamp() if now is None else now), now)
+        return "path", self._seen(R.path_lookup(self.index, wanted, F.current_timestamp() if now is None else now, self.settings.snippet_chars), now)
 
     def path_root(self) -> DataFrame:
         return R.path_root(self.index.paths)
@@ -250,13 +258,28 @@ class Engine:
         return self._seen(R.chunk_fetch(self.index.chunks, self.spark.createDataFrame([(chunk_id,)], "chunk_id long")), now)
 
     def get(self, path: str, from_line: int | None = None, n_lines: int | None = None, root: str = ".") -> DataFrame:
-        """A range of lines of a file inside the root."""
+        """A range of lines of a file inside the root.
+
+        Of a file of over WHOLE_BYTES the places of its lines are found once for each of its states and kept beside the index; then only the bytes around the range are read.
+        """
         try:
             full = S.workspace_path(path, root)
         except ValueError as e:
             raise EngineError("INVALID_OPERATION", str(e)) from e
-        file = self.spark.read.text(f"file://{full}", wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text"))
-        return S.line_range(file, self.spark.createDataFrame([(path, from_line, n_lines)], "path string, from_line int, n_lines int"))
+        location, form = f"file://{full}", "path string, from_line int, n_lines int"
+        size, modified = S.file_status(self.spark, location)
+        if size > self.WHOLE_BYTES:
+            found = S.line_slice(self.spark, location, self._line_places(location, size, modified), from_line, n_lines)
+            return self.spark.createDataFrame([(path, *found)], f"{form}, text string")
+        file = self.spark.read.text(location, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text"))
+        return S.line_range(file, self.spark.createDataFrame([(path, from_line, n_lines)], form))
+
+    def _line_places(self, location: str, size: int, modified: int) -> DataFrame:
+        state = hashlib.sha256(f"{location}:{size}:{modified}".encode()).hexdigest()
+        kept = f"{self.store.root}/lines/{state}"
+        if not self.store.exists(f"{kept}/_SUCCESS"):
+            S.line_places(self.spark, location).write.mode("overwrite").parquet(kept)
+        return self.spark.read.schema("line long, at long, lines long").parquet(kept)
 
     def prompt_context(self, query: str, now: Column | None = None, trigger: str | None = None) -> str:
         """The context of a prompt; none for a short one, or one that no user gave."""
@@ -332,6 +355,19 @@ class Engine:
         said = S.transcripts(messages)
         return self.save(said.select(F.col("conv_id").cast("long").alias("save_id"), now.alias("ts"), F.col("text").alias("content"), F.concat(F.lit("session_log."), "conv_id").alias("path"), F.lit(None).cast("string").alias("heading")))
 
+    def flush_sessions(self, sessions: DataFrame) -> "Engine":
+        """Sessions (conv_id, began, ended, text, n_turns; `sources.files.sessions`), each saved below session_log at its own time; nothing if the settings don't flush by themselves.
+
+        A session that is flushed again, as a batch run anew does, replaces itself.
+        """
+        if not self.settings.auto_flush_on_compaction:
+            return self
+        began = F.date_format(F.to_utc_timestamp("began", F.current_timezone()), "yyyyMMddHHmmssSSS")
+        conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("unknown"))
+        path = F.concat(F.lit("session_log."), T.slug(conv), F.lit(".at_"), began, F.lit("_"), F.lower(F.hex(F.xxhash64(conv))))  # slugs of different names may be equal
+        rows = sessions.select(F.xxhash64(path).alias("save_id"), F.col("ended").alias("ts"), F.col("text").alias("content"), path.alias("path"), F.lit("Session snapshot").alias("heading"))
+        return self.save(rows, replace=True)
+
     def savings(self, hits: DataFrame) -> DataFrame:
         """tokens_saved and cost_avoided: the files behind the hits against what the hits take."""
         there = hits.select("chunk_id", "snippet").join(self.index.chunks.select("chunk_id", "source_file"), "chunk_id")

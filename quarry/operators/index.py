@@ -104,6 +104,31 @@ def facts(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of the runs by which facts are met; a shorter word is met by all of its letters.
+RUN = 3
+
+
+def runs(word: Column, n: int = RUN) -> Column:
+    """All runs of n characters; a shorter word is its own only run."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))), lambda i: word.substr(i, F.lit(n))))
+
+
+def fact_text(subject: Column | str = "subject", object_: Column | str = "object") -> Column:
+    """What the words of a person's name are looked for in."""
+    return F.lower(F.concat_ws("\n", F.coalesce(subject, F.lit("")), object_))
+
+
+def gram_index(facts: DataFrame) -> DataFrame:
+    """gram, chunk_id: the runs of two and three letters or digits in a chunk's facts, each once; in ranges of runs, so that a scan reads those it wants.
+
+    Both columns give the ranges: a run that most chunks have lies in several.
+    """
+    low = fact_text()
+    both = F.concat(*(runs(low, n) for n in range(2, RUN + 1)))
+    found = facts.select("chunk_id", F.explode(F.filter(both, lambda g: g.rlike("^[a-z0-9]{2,}$"))).alias("gram"))
+    return found.select("gram", "chunk_id").distinct().repartitionByRange("gram", "chunk_id").sortWithinPartitions("gram", "chunk_id")
+
+
 #: Chunks that a block's zone has, about; terms of a batch of queries that are pushed to the scan, in groups that a scan takes as equalities.
 ZONE_CHUNKS, PUSHED_TERMS, PUSHED_TOGETHER = 128, 500, 10
 BLOCK = "term string, zone int, n int, most_tf int, least_dl int, chunk_ids array<long>, tfs array<int>, dls array<int>, positions array<array<int>>"
@@ -172,7 +197,10 @@ def in_use(rows: DataFrame, dead: DataFrame, key: str, n_dead: int) -> DataFrame
 
 @dataclass
 class Index:
-    """All tables that queries need; blocks, vocab (term, df), sizes (n, avgdl) and dead (chunk_id, seq, with their number) where the index is kept in segments."""
+    """All tables that queries need; blocks, vocab (term, df), sizes (n, avgdl) and dead (chunk_id, seq, with their number) where the index is kept in segments.
+
+    grams (gram, chunk_id) tells where facts may be; it may name chunks that are out of use or have other facts by now, as what it finds is compared.
+    """
 
     chunks: DataFrame
     paths: DataFrame
@@ -186,6 +214,7 @@ class Index:
     sizes: DataFrame | None = None
     dead: tuple[DataFrame, int] | None = None
     version: object = None
+    grams: DataFrame | None = None
 
     def of(self, wanted: DataFrame, columns: list[str]) -> DataFrame:
         """Blocks of the wanted terms (term): a scan of the files and row groups that have them, if the terms are few."""
@@ -195,15 +224,26 @@ class Index:
         return in_use(rows, self.dead[0], "chunk_id", self.dead[1]) if self.dead else rows
 
 
-def _any_of(wanted: DataFrame) -> Column:
+def _any_of(wanted: DataFrame, column: str = "term") -> Column:
     """A condition on the term that scans can use; all terms pass where too many are wanted for one."""
-    terms = sorted(r["term"] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect())
+    terms = sorted(r[column] for r in wanted.select(column).distinct().limit(PUSHED_TERMS + 1).collect())
     if len(terms) > PUSHED_TERMS:
         return F.lit(True)
-    groups = [F.col("term").isin(terms[k : k + PUSHED_TOGETHER]) for k in range(0, len(terms), PUSHED_TOGETHER)]
+    groups = [F.col(column).isin(terms[k : k + PUSHED_TOGETHER]) for k in range(0, len(terms), PUSHED_TOGETHER)]
     return functools.reduce(Column.__or__, groups, F.lit(False))
 
 
+def chunks_with(grams: DataFrame, asked: DataFrame, words: str = "subjects") -> DataFrame:
+    """asked (query_id, words) -> query_id, chunk_id: chunks that have every run of every word, each once; they may still not have the words.
+
+    Runs that are wanted are told to the scan; of each chunk those that it has are counted, before and after the shuffle.
+    """
+    wanted = asked.select("query_id", F.array_distinct(F.flatten(F.transform(words, lambda t: runs(t)))).alias("__runs"))
+    wanted, n = held(wanted.select("query_id", F.size("__runs").alias("__n"), F.explode("__runs").alias("gram")), "runs")
+    met = grams.where(_any_of(wanted, "gram")).join(sized(wanted, 60, n), "gram").groupBy("query_id", "__n", "chunk_id")
+    return met.agg(F.count_distinct("gram").alias("__got")).where(F.col("__got") == F.col("__n")).select("query_id", "chunk_id")
+
+
 def build(chunks: DataFrame, access: DataFrame, relations: DataFrame) -> Index:
     """access: chunk_id, access_count, last_accessed. relations: subject, predicate, object (paths).
 
@@ -214,6 +254,7 @@ def build(chunks: DataFrame, access: DataFrame, relations: DataFrame) -> Index:
     n = sizes.first()["n"]
     made = {"paths": path_tree(chunks), "terms": term_index(chunks), "facts": facts(chunks), "blocks": blocked(chunks, n).withColumn("seq", F.lit(1).cast("long")), "access": access, "relations": relations}
     made = {k: cut(v, k) for k, v in made.items()}
+    made["grams"] = cut(gram_index(made["facts"]), "grams")
     vocab = made["blocks"].groupBy("term").agg(F.sum("n").alias("df"))
     return Index(chunks.drop("dl"), postings=unblocked(made["blocks"]), vocab=vocab, sizes=sizes, **made)
 

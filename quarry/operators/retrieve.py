@@ -15,17 +15,17 @@ from quarry.functions.text import activation, asked_predicates, folded_text, ove
 
 from quarry.tables import held, sized
 
-from .index import Index, bm25, bm25_top
+from .index import Index, bm25, bm25_top, chunks_with, fact_text, gram_index
 
 SNIPPET_CHARS = 200
 MAX_TOKENS = 1200
 BOILERPLATE = r"(?i)^Profile note \d+:"
-#: First letters of a subject's longest word by which facts are met; a word has two at least.
-MOST_GRAM = 4
 #: Columns that say where a hit's chunk stands; callers that only read don't see them.
 INTERNAL = ("path", "start_line", "end_line", "from", "lines", "parent_path", "source_file", "chunk_order")
 #: Postings of a batch's terms that are scored for all variants at once.
 ONE_PASS = 5_000_000
+#: What a search's record calls its stages.
+STAGES = ["fact_index", "fts_exact", "fts_keywords", "fts_or", "fts_name", "fts_name", "term_index", "siblings", "relations"]
 REASONS = ["fact", *["full text"] * 5, "term", "sibling", "relation"]
 PATH_COLUMNS = ("file_path", "source_file", "path")
 
@@ -64,7 +64,7 @@ def with_activation(chunks: DataFrame, access: DataFrame, now: Column) -> DataFr
     return joined.withColumn("activation", activation("access_count", "last_accessed", now)).drop("access_count", "last_accessed")
 
 
-def path_lookup(index: Index, wanted: DataFrame, now: Column) -> DataFrame:
+def path_lookup(index: Index, wanted: DataFrame, now: Column, chars: int = SNIPPET_CHARS) -> DataFrame:
     """wanted (query_id, path, limit, max_tokens) -> chunks of the exact path, else below it, else of the paths that the path's letters stand for.
 
     The tiers are all found, and of each query the first that has rows stays.
@@ -90,7 +90,7 @@ def path_lookup(index: Index, wanted: DataFrame, now: Column) -> DataFrame:
     kept, n_kept = held(token_budget(top(first, F.col("limit"), ["query_id"], order), F.coalesce("max_tokens", F.lit(MAX_TOKENS)), ["query_id"], order), "kept")
     kept = index.chunks.select("chunk_id", "content").join(sized(kept, 300, n_kept), "chunk_id")
     return with_activation(kept, index.access, now).select(
-        "query_id", "tier", "chunk_id", "lookup_path", "chunk_order", "token_count", F.round("activation", 4).alias("score"), snippet(F.lit(None).cast("string"), "content").alias("snippet")
+        "query_id", "tier", "chunk_id", "lookup_path", "chunk_order", "token_count", F.round("activation", 4).alias("score"), snippet(F.lit(None).cast("string"), "content", chars).alias("snippet")
     )
 
 
@@ -123,21 +123,21 @@ def with_snippet(hits: DataFrame, words: int = 64, chars: int = SNIPPET_CHARS) -
     return df.withColumn("snippet", snippet(found, "content", chars)).drop("__w", "__hit", "__at")
 
 
-def _grams(text: Column, n: int) -> Column:
-    """All runs of n characters; a shorter text is its own."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: text.substr(i, F.lit(n)))
-
-
 def fact_hits(index: Index, q: DataFrame) -> DataFrame:
-    """Chunks with facts of an asked predicate (if any is asked) and of all subject words (if any)."""
+    """Chunks with facts of an asked predicate (if any is asked) and of all subject words (if any).
+
+    Queries that name only a person meet the chunks that have all runs of letters of all words, by the index's table of runs; without one, it is made
+    of the facts. What is met is compared: a fact must hold each word.
+    """
     facts = index.facts.select("chunk_id", F.col("lookup_path").alias("f_path"), "subject", "predicate", F.col("object").alias("f_object"), "weight")
     asked = q.where((F.size("predicates") > 0) | (F.size("subjects") > 0)).select("query_id", "limit", "subjects", F.explode_outer("predicates").alias("wanted"))
     by_name = facts.join(asked.where("wanted is not null"), facts.predicate == F.col("wanted")).drop("wanted")
-    low = F.lower(F.concat_ws("\n", F.coalesce("subject", F.lit("")), "f_object"))
-    # queries that name only a person: a fact that holds a word holds its first letters, so that substrings are met by an equality too
-    longest = F.array_max(F.transform("subjects", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    person = asked.where("wanted is null").drop("wanted").withColumn("gram", F.substring(longest, 1, MOST_GRAM))
-    by_subject = facts.withColumn("gram", F.explode(F.array_distinct(F.concat(*(_grams(low, n) for n in range(2, MOST_GRAM + 1)))))).join(sized(person, 200), "gram").drop("gram")
+    low = fact_text("subject", "f_object")
+    person = asked.where("wanted is null").drop("wanted")
+    grams = getattr(index, "grams", None)
+    person, n_person = held(person, "persons")
+    met = chunks_with(gram_index(index.facts) if grams is None else grams, person)
+    by_subject = facts.join(met.join(sized(person, 200, n_person), "query_id"), "chunk_id").select(*by_name.columns)
     fits = F.forall("subjects", lambda t: F.contains(low, t))
     found = by_name.unionByName(by_subject).where(fits)
     order = index.chunks.select("chunk_id", "lookup_path", "chunk_order")
@@ -215,8 +215,14 @@ def _full_text(index: Index, asked: DataFrame, n_asked: int, bounded: bool) -> D
     return top(hits.where((F.col("prefix") == "") | F.col("lookup_path").startswith(F.col("prefix"))), F.col("k"), ["query_id", "variant"], order).select("query_id", "variant", "chunk_id", "bm25")
 
 
-def text_search(index: Index, queries: DataFrame, now: Column, one_pass: int = ONE_PASS) -> DataFrame:
-    """queries (query_id, query, limit, max_tokens, path_prefix) -> ranked hits within each query's token budget.
+def text_search(index: Index, queries: DataFrame, now: Column, one_pass: int = ONE_PASS, chars: int = SNIPPET_CHARS) -> DataFrame:
+    """queries (query_id, query, limit, max_tokens, path_prefix) -> ranked hits within each query's token budget; see `traced_search`."""
+    return traced_search(index, queries, now, one_pass, chars)[0]
+
+
+def traced_search(index: Index, queries: DataFrame, now: Column, one_pass: int = ONE_PASS, chars: int = SNIPPET_CHARS) -> tuple[DataFrame, DataFrame]:
+    """queries (query_id, query, limit, max_tokens, path_prefix) -> ranked hits within each query's token budget, and the search's record:
+    query_id, ord, stage, hits of each stage that ran and found something, in the order in which they ran.
 
     Stages: facts; full text by variants; terms, if little was found; siblings of the best hits' parents; relations of the best hits.
     Where the variants' terms have more than `one_pass` postings, each variant is asked only for the queries that are still open, by bounds;
@@ -281,8 +287,11 @@ def text_search(index: Index, queries: DataFrame, now: Column, one_pass: int = O
     hits = top(found.join(sized(q.select("query_id", "query", "limit", "max_tokens", "terms"), 1_000, n_asked), "query_id"), F.col("limit"), ["query_id"], best)
     hits = meta.drop("parent_path").join(hits, "chunk_id")
     hits, n_hits = held(_ranked(token_budget(hits, F.col("max_tokens"), ["query_id"], best), ["query_id"], best), "best")
-    hits = with_snippet(index.chunks.select("chunk_id", "content").join(sized(hits, 1_000, n_hits), "chunk_id"))
-    return hits.select("query_id", "query", "rank", "chunk_id", "lookup_path", "chunk_order", "token_count", "score", "stage", "via_relation", "snippet")
+    hits = with_snippet(index.chunks.select("chunk_id", "content").join(sized(hits, 1_000, n_hits), "chunk_id"), chars=chars)
+    each = _all([stages.select("query_id", "stage"), siblings.select("query_id", F.lit(7).alias("stage")), related.select("query_id", F.lit(8).alias("stage"))])
+    trace = each.groupBy("query_id", F.col("stage").alias("ord")).agg(F.count(F.lit(1)).alias("hits"))
+    trace = trace.select("query_id", "ord", F.get(F.array(*map(F.lit, STAGES)), F.col("ord")).alias("stage"), "hits")
+    return hits.select("query_id", "query", "rank", "chunk_id", "lookup_path", "chunk_order", "token_count", "score", "stage", "via_relation", "snippet"), trace
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -174,6 +174,21 @@ def fact_extract(spark, sf):
     return I.facts(cards(spark, sf))
 
 
+@query(f"""WITH {SQL_CARDS}, f AS (SELECT chunk_id, lookup_path, unnest(['name', 'market_segment', 'nation']) AS predicate, lower(c_name) || chr(10) || lower(unnest([c_name, c_mktsegment, n_name])) AS low FROM cards),
+  q AS (SELECT s_suppkey AS query_id, lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS w, lower(left(n_name, 2)) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY lookup_path, chunk_id, predicate) AS rank FROM q JOIN f ON contains(low, w) AND contains(low, v))
+  SELECT DISTINCT query_id, chunk_id FROM r WHERE rank <= 60""")
+def fact_search(spark, sf):
+    """Facts of persons by parts of their names, a query for each supplier: its number's last four digits, and two letters of its nation."""
+    c = cut(cards(spark, sf), "cards")
+    facts = cut(I.facts(c), "facts")
+    ix = I.Index(c, None, None, facts, None, None, None, grams=cut(I.gram_index(facts), "grams"))
+    s = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # nations are a fixed table
+    words = F.array(F.lpad(F.col("s_suppkey").cast("string"), 4, "0"), F.lower(F.substring("n_name", 1, 2)))
+    q = s.select(F.col("s_suppkey").alias("query_id"), F.lit(20).alias("limit"), F.array().cast("array<string>").alias("predicates"), words.alias("subjects"))
+    return R.fact_hits(ix, q).select("query_id", "chunk_id")
+
+
 _W = "round(sum(w), 4)"
 
 
@@ -410,6 +425,15 @@ def session_flush(spark, sf):
     return S.transcripts(table(spark, sf, "conversations"))
 
 
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type || ': ' || coalesce(props, '') AS line, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 8 HOURS THEN 0 ELSE 1 END AS first FROM events),
+  s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e)
+  SELECT user_id AS conv_id, min(ts) AS began, max(ts) AS ended, string_agg(line, chr(10) ORDER BY ts, event_id) AS text, count(*) AS n_turns FROM s GROUP BY user_id, k HAVING length(string_agg(line, chr(10) ORDER BY ts, event_id)) >= 40""")
+def session_windows(spark, sf):
+    """Events as messages of their users, in sessions that over eight hours without a message end."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("conv_id"), "ts", F.col("event_id").alias("turn"), F.col("event_type").alias("role"), F.col("props").alias("text"))
+    return S.sessions(e, "8 hours", least_chars=40)
+
+
 @query("SELECT user_id AS chunk_id, count(*) AS access_count, max(ts) AS last_accessed FROM events GROUP BY user_id")
 def access_stats(spark, sf):
     return Wr.access_stats(access_log(spark, sf))

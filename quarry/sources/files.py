@@ -111,3 +111,76 @@ def transcripts(messages: DataFrame, least_chars: int = 100) -> DataFrame:
     said = messages.select("conv_id", "turn", line.alias("line"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
     return said.groupBy("conv_id").agg(joined.alias("text"), F.count(F.lit(1)).alias("n_turns")).where(F.length("text") >= least_chars)
+
+
+def sessions(messages: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", least_chars: int = 100) -> DataFrame:
+    """conv_id, began, ended, text, n_turns: the transcripts of messages (conv_id, ts, turn, role, text) in sessions, which a gap longer than `gap` ends.
+
+    Of a stream, a session comes once the watermark (`late` behind the latest message) has passed its end, and its state goes with it; messages
+    later than that aren't taken. Messages without a time are in no session. A transcript is one row, as it is one text.
+    """
+    seen = messages.withWatermark("ts", late) if messages.isStreaming else messages
+    line = F.concat_ws(": ", F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit("")))
+    said = seen.where("ts IS NOT NULL").select("conv_id", "ts", F.struct("ts", "turn", line.alias("line")).alias("said"))
+    every = F.sort_array(F.collect_list("said"))
+    rows = said.groupBy("conv_id", F.session_window("ts", gap).alias("session")).agg(every.alias("lines"), F.count(F.lit(1)).alias("n_turns"))
+    text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    rows = rows.select("conv_id", F.col("session.start").alias("began"), F.element_at("lines", -1)["ts"].alias("ended"), text.alias("text"), "n_turns")
+    return rows.where(F.length("text") >= least_chars)
+
+
+#: Lines between those whose place is kept.
+EVERY = 256
+
+
+def line_places(spark: SparkSession, location: str, every: int = EVERY) -> DataFrame:
+    """line (from 1), at: the byte at which every so many-th line of a file begins, and `lines`, the number of all of them; of an empty file none.
+
+    A byte feed ends a line, so a file that ends with one has an empty line after it. Lines are measured within the blocks that Spark splits a
+    file into and moved by the blocks before, so no file is one task. A byte order mark, which the reader leaves out, is told by the file's size.
+    """
+    read = spark.read.option("lineSep", "\n").text(location)
+    rows = read.select(F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("k"), (F.octet_length("value") + 1).cast("long").alias("n"))
+    own = Window.partitionBy("block").orderBy("k")
+    placed = rows.withColumn("i", F.row_number().over(own)).withColumn("to", F.sum("n").over(own))
+    before, whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # over a row per block
+    blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("b"), F.max("size").alias("of"))
+    told = {f"{x}_before": F.coalesce(F.sum(x).over(before), F.lit(0)) for x in "cb"} | {f"{x}_all": F.sum(x).over(whole) for x in "cb"}
+    blocks = blocks.withColumns(told).drop("c", "b")
+    mark = F.when(F.col("b_all") <= F.col("of") - 2, 3).otherwise(0)
+    line, at = F.col("c_before") + F.col("i"), F.col("b_before") + F.col("to") - F.col("n") + mark
+    lines = F.col("c_all") + F.when(F.col("b_all") + mark == F.col("of"), 1).otherwise(0)
+    found = placed.join(F.broadcast(blocks), "block").select(line.alias("line"), F.when(line == 1, 0).otherwise(at).alias("at"), lines.alias("lines"))
+    return found.where((F.col("line") - 1) % every == 0)
+
+
+def file_status(spark: SparkSession, location: str) -> tuple[int, int]:
+    """Bytes of a file, and the millisecond of its last change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return status.getLen(), status.getModificationTime()
+
+
+def read_bytes(spark: SparkSession, location: str, at: int, n: int) -> bytes:
+    """n bytes of a file from a place on; what lies before and behind isn't read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        stream.seek(at)
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def line_slice(spark: SparkSession, location: str, places: DataFrame, from_line: int | None, n_lines: int | None) -> tuple[int, int, str]:
+    """from_line, n_lines and text of a range as `line_range` clamps it, read between the two known places around it."""
+    first, n = max(1, from_line or 1), max(1, 20 if n_lines is None else n_lines)
+    start = F.max(F.when(F.col("line") <= first, F.struct("line", "at"))).alias("start")
+    around = places.agg(start, F.min(F.when(F.col("line") >= first + n, F.col("at"))).alias("end"), F.max("lines").alias("lines")).first()
+    line, at = around["start"] or (1, 0)
+    lines = around["lines"] or 1
+    end = file_status(spark, location)[0] if around["end"] is None else around["end"]
+    first = min(first, lines)
+    n = min(n, lines - first + 1)
+    text = re.split(r"\r?\n", read_bytes(spark, location, at, end - at).decode("utf-8", "replace"))
+    return first, n, "\n".join(text[first - line : first - line + n])

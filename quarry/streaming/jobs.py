@@ -1,4 +1,4 @@
-"""Continuous jobs: accepted saves, access statistics and index refresh, by Structured Streaming."""
+"""Continuous jobs: accepted saves, access statistics, sessions of messages and index refresh, by Structured Streaming."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from quarry.sources.files import sessions
+
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
@@ -68,6 +70,12 @@ def accesses(log: DataFrame) -> DataFrame:
     return log.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("access_count"), F.max("ts").alias("last_accessed"))
 
 
+def flush_sessions(engine, messages: DataFrame, checkpoint: str, gap: str = "30 minutes", late: str = "10 minutes") -> StreamingQuery:
+    """A stream of messages (conv_id, ts, turn, role, text): each session that is over is saved in the engine's index, if its settings flush by themselves."""
+    over = sessions(messages, gap, late)
+    return over.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: None if rows.isEmpty() else engine.flush_sessions(rows)).start()
+
+
 def refresh(stream: DataFrame, checkpoint: str, rebuild: Callable[[DataFrame, int], None], seconds: float = 1.5) -> StreamingQuery:
     """Each micro-batch of new or changed files calls `rebuild` (which compares them with the manifest) once."""
     every = f"{max(0.5, seconds)} seconds"

@@ -247,3 +247,29 @@ def test_logs_stay_few_files(spark, tmp_path, monkeypatch):
         reader = reader or rows
         assert {r["chunk_id"]: r["n"] for r in rows.groupBy("chunk_id").agg(F.sum("n").alias("n")).collect()} == {c: n for c, n in ((0, k // 2 + 1), (1, (k + 1) // 2), (7, k + 1)) if n}
     assert len(list((tmp_path / "log").iterdir())) <= 9 and log.rows().count() <= 3 + 2 * 3
+
+
+def test_ranges_of_large_files_read_little(spark, tmp_path, monkeypatch):
+    from quarry.sources import files as S
+
+    lines = [f"line {k} " + "w" * (k % 90) for k in range(40_000)]
+    (tmp_path / "big.md").write_text("\n".join(lines))
+    own = Engine(spark, Settings(), path=f"file://{tmp_path}/ix")
+    read, plain = [], S.read_bytes
+    monkeypatch.setattr(S, "read_bytes", lambda spark, location, at, n: (read.append(n), plain(spark, location, at, n))[1])
+    for first, n in ((20_000, 3), (40_000, 9), (1, 1)):
+        row = own.get("big.md", first, n, root=str(tmp_path)).first()
+        assert row["text"] == "\n".join(lines[first - 1 : first - 1 + n]) and (row["from_line"], row["n_lines"]) == (first, min(n, 40_001 - first))
+    assert max(read) < 60_000
+    made = []
+    monkeypatch.setattr(S, "line_places", lambda *a: made.append(a))
+    assert own.get("big.md", 7, 1, root=str(tmp_path)).first()["text"] == lines[6] and not made  # the places are kept
+
+
+def test_trace_and_snippet_length(spark, engine):
+    own = Engine(spark, Settings(snippet_chars=40), engine.index, engine.manifest, record=False)
+    told = own.trace("What is Dana Whit email", now=now()).collect()
+    assert told[0]["stage"] == "fact_index" and all(r["hits"] > 0 for r in told) and [r["ord"] for r in told] == sorted(r["ord"] for r in told)
+    assert {"fts_or", "fts_name"} & {r["stage"] for r in told}
+    _, rows = own.lookup("memory.projects.oak.milestones", now=now())
+    assert {len(r["snippet"]) for r in rows.collect()} == {40}

@@ -153,3 +153,81 @@ def test_session_logs_have_true_lines_and_all_content(spark, tmp_path):
             assert all(got[k] == f"line {k}" for k in got if k != 10)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def _messages(n, seed):
+    draw, out, t = random.Random(seed), [], {}
+    for k in range(n):
+        who = draw.choice(("a b", "a_b", "c", None))
+        t[who] = t.get(who, 0) + draw.choice((1, 30, 600, 1799, 1800, 1801, 5000))
+        out.append((who, at(t[who]), k, draw.choice(("user", None)), draw.choice(("hello there", "", None, "x" * 50))))
+    return out
+
+
+MESSAGE = "conv_id string, ts timestamp, turn long, role string, text string"
+
+
+def test_sessions_are_those_of_a_loop(spark):
+    rows = _messages(300, 3)
+    want, last = {}, {}
+    for who, when, turn, role, text in sorted(rows, key=lambda r: (r[1], r[2])):
+        if who not in last or (when - last[who]).total_seconds() > 1800:
+            want[(who, when)] = []
+            start = when
+        else:
+            start = max(b for w, b in want if w == who)
+        last[who] = when
+        want[(who, start)].append((when, f"{role or 'unknown'}: {text or ''}"))
+    want = {(w, b, x[-1][0], "\n".join(t for _, t in x), len(x)) for (w, b), x in want.items() if len("\n".join(t for _, t in x)) >= 100}
+    given = spark.createDataFrame(rows + [("c", None, 999, "user", "no time")], MESSAGE)
+    assert {tuple(r) for r in S.sessions(given).collect()} == want and len(want) > 5
+    assert S.sessions(given.limit(0)).count() == 0
+
+
+def test_streamed_sessions_are_saved_as_those_of_a_batch(spark, tmp_path):
+    from quarry.api import Engine
+    from quarry.sources.config import Settings
+
+    rows = _messages(60, 8)
+    given = spark.createDataFrame(rows + [("end", at(10_000_000), 1, "user", "z" * 120)], MESSAGE)
+    given.write.parquet(str(tmp_path / "in" / "1"))
+    stream = spark.readStream.schema(MESSAGE).parquet(str(tmp_path / "in" / "*"))
+    own = Engine.open(spark, Settings(auto_flush_on_compaction=True), f"file://{tmp_path}/ix")
+    for _ in range(2):  # the second run has its number from the checkpoint, and nothing to add
+        q = jobs.flush_sessions(own, stream, str(tmp_path / "cp"))
+        q.processAllAvailable()
+        q.stop()
+    want = {r["text"].strip(" ") for r in S.sessions(spark.createDataFrame(rows, MESSAGE)).collect()}  # saves are kept without blanks around them
+    kept = own.index.chunks.collect()
+    assert {r["content"] for r in kept} == want and all(r["lookup_path"].startswith("session_log.") for r in kept) and len(want) > 2
+    before = own.version
+    own.flush_sessions(S.sessions(spark.createDataFrame(rows, MESSAGE)))  # flushed again: each replaces itself
+    assert sorted(r["content"] for r in own.index.chunks.collect()) == sorted(r["content"] for r in kept)
+    quiet = Engine.open(spark, Settings(), f"file://{tmp_path}/ix")
+    assert quiet.flush_sessions(S.sessions(given)).version.number == before.number + 1
+
+
+def test_ranges_by_line_places_are_those_of_the_whole_file(spark, tmp_path, monkeypatch):
+    draw = random.Random(6)
+    body = lambda n, end: end.join("x\u00e9" * draw.randrange(9) for _ in range(n))
+    texts = {"a": body(900, "\n"), "b": body(700, "\r\n") + "\r\n", "c": "\ufeff" + body(600, "\n"), "d": "\ufeff" + body(600, "\n") + "\n", "e": "", "f": "\n", "g": "one", "h": "\n" * 700}
+    read = []
+    plain = S.read_bytes
+    monkeypatch.setattr(S, "read_bytes", lambda spark, location, at, n: (read.append(n), plain(spark, location, at, n))[1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for name, text in texts.items():
+            (tmp_path / name).write_bytes(text.encode())
+            places = S.line_places(spark, f"file://{tmp_path}/{name}", 64).cache()
+            lines = text.replace("\r\n", "\n").split("\n")
+            for first, n in ((None, None), (1, 1), (64, 2), (65, 3), (200, 100), (599, 2), (600, 1), (601, 5), (10_000, 5), (-3, 0)):
+                f = min(max(first or 1, 1), len(lines))
+                m = min(max(20 if n is None else n, 1), len(lines) - f + 1)
+                assert S.line_slice(spark, f"file://{tmp_path}/{name}", places, first, n) == (f, m, "\n".join(lines[f - 1 : f - 1 + m])), (name, first, n)
+            places.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = len(texts["a"].encode())
+    read.clear()
+    S.line_slice(spark, f"file://{tmp_path}/a", S.line_places(spark, f"file://{tmp_path}/a", 64), 400, 3)
+    assert read[0] < whole / 5

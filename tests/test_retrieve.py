@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from types import SimpleNamespace
 
-from quarry.operators import retrieve as R
+from quarry.operators import index as I, retrieve as R
 
 
 def test_snippet_is_the_best_of_all_windows(spark):
@@ -40,3 +40,32 @@ def test_facts_by_person_are_those_of_a_loop(spark):
             if (names or words) and (not names or name in names) and all(w in low for w in words):
                 want.add((i, k))
     assert got == want
+
+
+def test_facts_by_the_kept_runs_are_those_of_a_loop(spark):
+    """Random names and words; runs of chunks that are gone or have other facts by now find nothing more."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abn") for _ in range(draw.randrange(2, 6)))
+    rows = [(k // 3, "p", None if k % 7 == 0 else f"{word().title()} {word()}é", f"k{k % 3}", " ".join(word() for _ in range(k % 4)) + ("" if k % 5 else "x" * 280), 1.0) for k in range(120)]
+    schema = "chunk_id int, lookup_path string, subject string, predicate string, object string, weight double"
+    facts = spark.createDataFrame(rows, schema)
+    stale = spark.createDataFrame([(99, "p", "Abnab Nabba", "k", "banana", 1.0), (3, "p", "bannn", "k", "nnn", 1.0)], schema)
+    chunks = spark.createDataFrame([(k, "p", k) for k in range(40)], "chunk_id int, lookup_path string, chunk_order int")
+    ix = SimpleNamespace(facts=facts, chunks=chunks, grams=I.gram_index(facts).unionByName(I.gram_index(stale)))
+    asked = [(i, 200, [], [word() for _ in range(1 + i % 3)]) for i in range(60)]
+    q = spark.createDataFrame(asked, "query_id int, limit int, predicates array<string>, subjects array<string>")
+    got = {(r["query_id"], r["chunk_id"]) for r in R.fact_hits(ix, q).collect()}
+    want = {(i, r[0]) for i, _, _, words in asked for r in rows if all(w in f"{r[2] or ''}\n{r[4]}".lower() for w in words)}
+    assert got == want and len(want) > 50
+    none = facts.limit(0)
+    empty = SimpleNamespace(facts=none, chunks=chunks, grams=I.gram_index(none))
+    assert R.fact_hits(empty, q).count() == 0
+
+
+def test_the_scan_of_runs_reads_what_is_wanted(spark, tmp_path):
+    facts = spark.createDataFrame([(1, "p", "Dana Whit", "k", "x", 1.0)], "chunk_id int, lookup_path string, subject string, predicate string, object string, weight double")
+    I.gram_index(facts).write.parquet(str(tmp_path / "grams"))
+    asked = spark.createDataFrame([(1, ["dana", "wh"])], "query_id int, subjects array<string>")
+    found = I.chunks_with(spark.read.parquet(str(tmp_path / "grams")), asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram, [ana,dan,wh])" in plan and [tuple(r) for r in found.collect()] == [(1, 1)]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import parent_path, token_count
-from quarry.operators import index as I, segments as G
+from quarry.operators import index as I, retrieve as R, segments as G
 
 WORDS = "oak elm ash walrus seal crab launch email phone Dana Whit billing hosts garden river stone".split()
 
@@ -22,11 +22,17 @@ def content(draw):
     return "\n".join(lines + [f"- {draw.choice(['Name', 'Email', 'Review'])}: {draw.choice(WORDS)} {draw.randrange(9)}" for _ in range(draw.randrange(3))])
 
 
+def _asked(ix):
+    asked = [(k, 200, [], w) for k, w in enumerate((["oak"], ["da", "whit"], ["is", "hi"], ["email"], ["st", "ton"]))]
+    return ix.chunks.sparkSession.createDataFrame(asked, "query_id int, limit int, predicates array<string>, subjects array<string>")
+
+
 def tables(ix):
     told = lambda df, *cols: sorted((tuple(round(v, 4) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v for v in r) for r in df.select(*cols).collect()), key=str)
     return {
         "chunks": told(ix.chunks, "chunk_id", "lookup_path", "chunk_order", "content"), "paths": told(ix.paths, "lookup_path", "parent_path", "depth", "chunk_count", "child_count"),
         "terms": told(ix.terms, "term", "lookup_path", "weight"), "facts": told(ix.facts, "chunk_id", "subject", "predicate", "object"),
+        "persons": told(R.fact_hits(ix, _asked(ix)), "query_id", "chunk_id"),
         "postings": told(ix.postings, "term", "chunk_id", "tf", "dl", "positions"), "vocab": told(ix.vocab, "term", "df"), "sizes": told(ix.sizes, "n", "avgdl"),
     }
 
