@@ -233,14 +233,23 @@ def _any_of(wanted: DataFrame, column: str = "term") -> Column:
     return functools.reduce(Column.__or__, groups, F.lit(False))
 
 
+#: Runs of a query that are met, its rarest ones; the words themselves are compared afterwards.
+RAREST = 2
+
+
 def chunks_with(grams: DataFrame, asked: DataFrame, words: str = "subjects") -> DataFrame:
-    """asked (query_id, words) -> query_id, chunk_id: chunks that have every run of every word, each once; they may still not have the words.
+    """asked (query_id, words) -> query_id, chunk_id: chunks that have the rarest runs of the words, each once; they may still not have the words.
 
-    Runs that are wanted are told to the scan; of each chunk those that it has are counted, before and after the shuffle.
+    Runs that are wanted are told to the scan. They are counted first, so that a run that most chunks have is met by no query that has rarer ones.
     """
-    wanted = asked.select("query_id", F.array_distinct(F.flatten(F.transform(words, lambda t: runs(t)))).alias("__runs"))
-    wanted, n = held(wanted.select("query_id", F.size("__runs").alias("__n"), F.explode("__runs").alias("gram")), "runs")
-    met = grams.where(_any_of(wanted, "gram")).join(sized(wanted, 60, n), "gram").groupBy("query_id", "__n", "chunk_id")
+    wanted = asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(words, lambda t: runs(t))))).alias("gram"))
+    wanted, n = held(wanted, "runs")
+    there = grams.where(_any_of(wanted, "gram"))
+    often = there.join(sized(wanted.select("gram").distinct(), 40, n), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("__often"))
+    by = W.partitionBy("query_id")
+    ranked = wanted.join(often, "gram", "left").withColumn("__k", F.row_number().over(by.orderBy(F.coalesce("__often", F.lit(0)), "gram")))
+    rare, n = held(ranked.where(F.col("__k") <= RAREST).select("query_id", "gram", F.count(F.lit(1)).over(by).alias("__n")), "rare")
+    met = there.join(sized(rare, 60, n), "gram").groupBy("query_id", "__n", "chunk_id")
     return met.agg(F.count_distinct("gram").alias("__got")).where(F.col("__got") == F.col("__n")).select("query_id", "chunk_id")
 
 

@@ -126,8 +126,8 @@ def with_snippet(hits: DataFrame, words: int = 64, chars: int = SNIPPET_CHARS) -
 def fact_hits(index: Index, q: DataFrame) -> DataFrame:
     """Chunks with facts of an asked predicate (if any is asked) and of all subject words (if any).
 
-    Queries that name only a person meet the chunks that have all runs of letters of all words, by the index's table of runs; without one, it is made
-    of the facts. What is met is compared: a fact must hold each word.
+    Queries that name only a person meet the chunks that have the rarest runs of letters of the words, by the index's table of runs; without one, it is
+    made of the facts. What is met is compared: a fact must hold each word.
     """
     facts = index.facts.select("chunk_id", F.col("lookup_path").alias("f_path"), "subject", "predicate", F.col("object").alias("f_object"), "weight")
     asked = q.where((F.size("predicates") > 0) | (F.size("subjects") > 0)).select("query_id", "limit", "subjects", F.explode_outer("predicates").alias("wanted"))

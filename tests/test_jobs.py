@@ -188,7 +188,7 @@ def test_streamed_sessions_are_saved_as_those_of_a_batch(spark, tmp_path):
     from quarry.api import Engine
     from quarry.sources.config import Settings
 
-    rows = _messages(60, 8)
+    rows = _messages(200, 8)
     given = spark.createDataFrame(rows + [("end", at(10_000_000), 1, "user", "z" * 120)], MESSAGE)
     given.write.parquet(str(tmp_path / "in" / "1"))
     stream = spark.readStream.schema(MESSAGE).parquet(str(tmp_path / "in" / "*"))
