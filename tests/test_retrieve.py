@@ -69,3 +69,15 @@ def test_the_scan_of_runs_reads_what_is_wanted(spark, tmp_path):
     found = I.chunks_with(spark.read.parquet(str(tmp_path / "grams")), asked)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(gram, [ana,dan,wh])" in plan and [tuple(r) for r in found.collect()] == [(1, 1)]
+
+
+def test_hits_are_ranked_without_their_texts(spark, sf):
+    from quarry.plans import queries as Q
+
+    stage = Q._stage(spark, sf)
+    assert "content" not in stage.columns
+    assert "content" not in stage._jdf.queryExecution().optimizedPlan().toString()
+    best = Q._best_hits(spark, sf, 3)
+    assert {r["rank"] for r in best.collect()} <= {1, 2, 3}
+    texts = {r["doc_id"]: r["text"] for r in Q.table(spark, sf, "documents").collect()}
+    assert all(texts[r["chunk_id"]] == r["content"] for r in best.collect())

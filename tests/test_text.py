@@ -67,3 +67,12 @@ def test_budget_stops_at_the_first_overflow(spark):
     hits = spark.createDataFrame([(1, 1, 500), (1, 2, 600), (1, 3, 200), (2, 1, 1500)], "query_id int, rank int, token_count long")
     rows = {(r["query_id"], r["rank"]) for r in R.token_budget(hits, 1200, ["query_id"], [F.col("rank")]).collect()}
     assert rows == {(1, 1), (1, 2)}
+
+
+def test_words_within_are_those_of_a_loop(spark):
+    words = sorted({"war", "warm", "foo_bar", "bar", "r_b", "2024", "o_ba"})
+    texts = ["Warmth of foo_bar2024", "İ waŕm", "xWARMx", "foo bar", "", None, "ab" * 50 + "war" + "z" * 50, "war-m foo_\nbar"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.words_within("t", words).alias("at"), F.lower("t").alias("low")).collect()
+    for r in rows:
+        assert r["at"] == (None if r["low"] is None else [i for i, w in enumerate(words) if w in r["low"]])
+    assert one(spark, T.words_within(F.lit("war"), [])) == []
