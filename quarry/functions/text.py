@@ -135,9 +135,18 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def runs_of_letters(text: Column | str) -> Column:
+    return _all(F.lower(_c(text)), r"[a-z0-9]+")
+
+
+def is_term(t: Column) -> Column:
+    """Whether a word has three letters or digits at least and is no stopword."""
+    return (F.length(t) >= 3) & ~t.isin(STOPWORDS)
+
+
 def terms(text: Column | str) -> Column:
     """Lower-case words of three letters or digits at least that aren't stopwords; repeats stay."""
-    return F.filter(_all(F.lower(_c(text)), r"[a-z0-9]+"), lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS))
+    return F.filter(runs_of_letters(text), is_term)
 
 
 def significant_terms(text: Column | str) -> Column:

@@ -11,11 +11,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quarry.functions.text import LABEL, NAME, depth, fts_tokens, parent_path, predicate_name, safe_term, terms
+from quarry.functions.text import LABEL, NAME, depth, fts_tokens, is_term, parent_path, predicate_name, runs_of_letters, safe_term
 from quarry.tables import cut, held, sized
 
 #: Content terms of a path that count, terms that a path keeps, characters of a fact's object.
 CONTENT_TERMS, PATH_TERMS, OBJECT_CHARS = 120, 140, 280
+#: Chunks whose terms one task counts, about.
+TASK_CHUNKS = 10_000
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -38,10 +40,20 @@ def _top(df: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("__rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__rank") <= n).drop("__rank")
 
 
+def by_path(chunks: DataFrame) -> DataFrame:
+    """Chunks dealt by their paths to tasks of about TASK_CHUNKS, so that a task's tables of terms don't grow with the input and no grouping by path moves rows again."""
+    n = -(-chunks.count() // TASK_CHUNKS)
+    return chunks.repartition(max(n, chunks.sparkSession.sparkContext.defaultParallelism), "lookup_path")
+
+
 def term_frequencies(chunks: DataFrame, top: int = CONTENT_TERMS) -> DataFrame:
     """lookup_path, term, n: the most frequent terms of each path's contents (ties by term)."""
-    counted = chunks.select("lookup_path", F.explode(terms("content")).alias("term")).groupBy("lookup_path", "term").agg(F.count(F.lit(1)).alias("n"))
-    return _top(counted, top, ["lookup_path"], [F.desc("n"), F.col("term")])
+    return _frequencies(by_path(chunks.select("lookup_path", "content")), top)
+
+
+def _frequencies(dealt: DataFrame, top: int) -> DataFrame:
+    words = dealt.select("lookup_path", F.explode(runs_of_letters("content")).alias("term")).where(is_term(F.col("term")))
+    return _top(words.groupBy("lookup_path", "term").agg(F.count(F.lit(1)).alias("n")), top, ["lookup_path"], [F.desc("n"), F.col("term")])
 
 
 def labels(content: Column | str) -> Column:
@@ -56,6 +68,7 @@ def term_index(chunks: DataFrame) -> DataFrame:
     level, the path in one word 0.8; a content term 0.2 + 0.07 per time, 0.65 at most; a bullet's label 1.1; a name in one word
     0.9 and each of its words 0.5. Each contribution is summed per chunk before the shuffle.
     """
+    chunks = by_path(chunks.select("lookup_path", "content"))
     parts = F.split("lookup_path", r"\.")
     size = F.size(parts)
     entry = lambda t, w: F.struct(t.alias("term"), w.alias("weight"))
@@ -75,7 +88,7 @@ def term_index(chunks: DataFrame) -> DataFrame:
         F.flatten(F.transform(names, lambda p: F.transform(phrase(p), lambda w: entry(safe_term(w), F.lit(0.5))))),
     )
     from_content = chunks.select("lookup_path", F.inline(told))
-    counted = term_frequencies(chunks).select("lookup_path", "term", F.least(F.lit(0.65), 0.2 + F.col("n") * 0.07).alias("weight"))
+    counted = _frequencies(chunks, CONTENT_TERMS).select("lookup_path", "term", F.least(F.lit(0.65), 0.2 + F.col("n") * 0.07).alias("weight"))
     summed = from_path.unionByName(from_content).unionByName(counted).where(F.col("term").isNotNull()).groupBy("lookup_path", "term").agg(F.sum("weight").alias("weight"))
     # sums of doubles differ by order in their last bits: rank by what is kept
     rounded = summed.select("term", "lookup_path", F.round("weight", 4).alias("weight"))

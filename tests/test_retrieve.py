@@ -81,3 +81,31 @@ def test_hits_are_ranked_without_their_texts(spark, sf):
     assert {r["rank"] for r in best.collect()} <= {1, 2, 3}
     texts = {r["doc_id"]: r["text"] for r in Q.table(spark, sf, "documents").collect()}
     assert all(texts[r["chunk_id"]] == r["content"] for r in best.collect())
+
+
+def test_lookups_that_ask_alike_are_answered_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    chunk = "chunk_id long, lookup_path string, chunk_order int, token_count int, content string"
+    chunks = spark.createDataFrame([(k, f"geo.a.c_{k:03d}", 0, 5, f"text {k}") for k in range(120)], chunk)
+    ix = SimpleNamespace(
+        chunks=chunks, paths=None, terms=spark.createDataFrame([], "term string, lookup_path string, weight double"),
+        access=spark.createDataFrame([], "chunk_id long, access_count long, last_accessed timestamp"),
+    )
+    wanted = spark.createDataFrame([(q, "geo.a", 3, None) for q in range(50)] + [(50, "geo.a", 2, None), (51, None, 3, None), (52, "geo.a.c_007", 3, 4), (53, "geo.a.c_007", 3, 5)], "query_id int, path string, limit int, max_tokens int")
+    ranked = []
+    plain = R.top
+    monkeypatch.setattr(R, "top", lambda df, n, by, *more: ranked.append(df.count()) or plain(df, n, by, *more))
+    got = {}
+    for r in R.path_lookup(ix, wanted, F.lit("2024-01-31").cast("timestamp")).collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert {q: sorted(v) for q, v in got.items()} == {q: [0, 1, 2] for q in range(50)} | {50: [0, 1], 53: [7]}
+    assert ranked[0] == 240  # 120 chunks for each of two different asks, not for each of 51 queries
+
+
+def test_terms_are_counted_in_tasks_of_bounded_chunks(spark, monkeypatch):
+    monkeypatch.setattr(I, "TASK_CHUNKS", 10)
+    chunks = spark.range(200).selectExpr("concat('a.b_', id) lookup_path", "concat('Word ', id, ' word') content")
+    assert I.by_path(chunks).rdd.getNumPartitions() == 20
+    rows = {(r["lookup_path"], r["term"]): r["n"] for r in I.term_frequencies(chunks).collect()}
+    assert rows["a.b_7", "word"] == 2 and len(rows) == 200 + 100
