@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp
 from .lexicon import Statistics, cells, counted, statistics
-from .session import documents
+from .session import cut, documents
 
 #: Tokens of a sequence, and the id that ends a document.
 MOST, END = 2048, 1
 #: A shard is closed when it has so many tokens or documents.
 SHARD_TOKENS, SHARD_DOCS = 1_500_000, 1024
-#: A topic is a word of at least one in so many documents. Rows that tell how large topics are, about.
-COMMON, SIZING_ROWS = 8, 1 << 16
+#: A topic is a word of at least one in so many documents.
+COMMON = 8
 #: Distinct pre-tokens that a worker remembers; when full, it begins anew.
 MEMORY = 500_000
 
@@ -181,7 +181,7 @@ def tokenizer(path: str, ranks_path: str | None = None) -> Tokenizer:
     return Tokenizer(path, ranks_path)
 
 
-def keys(known: Statistics, word: np.ndarray, row: np.ndarray, n_rows: int, topics_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def keys(known: Statistics, word: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every text the topic and the key that it is dealt by, or -1."""
     length = np.bincount(row, minlength=n_rows)
     row, word, tf = counted(word, row)
@@ -198,45 +198,37 @@ def keys(known: Statistics, word: np.ndarray, row: np.ndarray, n_rows: int, topi
             out[r[edge]] = np.maximum.reduceat(np.where(weight == most, w, -1), edge)
         return out
 
-    topic = best(df * COMMON >= known.n, weight)
-    return topic, topic if topics_only else best(df > 1, np.where(df <= SHARD_DOCS, weight, -df))
+    return best(df * COMMON >= known.n, weight), best(df > 1, np.where(df <= SHARD_DOCS, weight, -df))
 
 
 def dealt(rows: DataFrame, known: Statistics) -> DataFrame:
-    """Rows (group, key, h, id, text) dealt and sorted by the group and the key of each."""
+    """Rows (group, key, h, id, text) dealt and sorted by the group and the key of each.
+
+    Topics and keys are found once and written with the rows, so that all rows of a topic are counted before any is dealt.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(known)
     rows = rows.withColumn("h", F.xxhash64("text"))
 
-    def topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textnp.slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(keys(shared.value, *cells(part.column(0)), part.num_rows, True)[0])], ["topic"])
-
-    # how many groups a topic needs is told by some of the rows, the same ones however rows are laid out
-    every = max(1, known.n // SIZING_ROWS)
-    some = rows.where(F.pmod(F.xxhash64("h", "id"), F.lit(every)) == 0).select("text")
-    sizes = {r["topic"]: r["count"] * every for r in some.mapInArrow(topics, "topic long").groupBy("topic").count().collect()}
-    place, n = {}, 1  # group 0 is for topics that weren't met
-    for t, size in sorted(sizes.items()):
-        place[t] = (n, -(-4 * size // (3 * SHARD_DOCS)))
-        n += place[t][1]
-    if known.n <= SHARD_DOCS:
-        place = {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textnp.slices(batch):
                 topic, key = keys(shared.value, *cells(part.column(1)), part.num_rows)
                 many = np.where(key < 0, shared.value.n, shared.value.df[key])
-                at = [place.get(t, (0, 1)) for t in topic.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(key), pa.array(np.where(many > SHARD_DOCS, -(-2 * many // SHARD_DOCS), 1)), pa.array([a for a, _ in at], pa.int64()), pa.array([b for _, b in at], pa.int64())],
-                    ["id", "text", "h", "key", "many", "first", "parts"],
-                )
-
-    keyed = rows.mapInArrow(run, "id long, text string, h long, key long, many long, first long, parts long")
+                many = np.where(many > SHARD_DOCS, -(-2 * many // SHARD_DOCS), 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(topic), pa.array(key), pa.array(many)], ["id", "text", "h", "topic", "key", "many"])
+
+    keyed = rows.mapInArrow(run, "id long, text string, h long, topic long, key long, many long")
+    place, n = [], 1  # group 0 is for tables that one shard can hold
+    if known.n > SHARD_DOCS:
+        keyed = cut(keyed, "keyed")
+        # topics are few: a text of so many words is in at most COMMON times as many
+        for topic, size in sorted(keyed.groupBy("topic").count().collect()):
+            place.append((topic, n, -(-4 * size // (3 * SHARD_DOCS))))
+            n += place[-1][2]
+    told = rows.sparkSession.createDataFrame(place, "topic long, first long, parts long")
     share = F.pmod(F.xxhash64("id", "h"), F.col("many"))
-    group = F.col("first") + F.pmod(F.xxhash64("key", share), F.col("parts"))
+    group = F.coalesce("first", F.lit(0)) + F.pmod(F.xxhash64("key", share), F.coalesce("parts", F.lit(1)))
+    keyed = keyed.join(F.broadcast(told), "topic", "left")
     return keyed.select(group.alias("group"), "key", "h", "id", "text").repartition("group").sortWithinPartitions("group", "key", "h", "id")
 
 

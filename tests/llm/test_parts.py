@@ -601,3 +601,19 @@ def test_witnesses_grow_with_the_tree(spark, n):
             want.append((k % 2 == 1 and True, nodes[k ^ 1] if k ^ 1 < len(nodes) else None))
             k //= 2
         assert [(s["left"] if s["digest"] else False, s["digest"]) for s in r["siblings"]] == [(left if d else False, d) for left, d in want] and r["root"] == levels[-1][0]
+
+
+def test_topics_are_counted_over_all_rows(spark, monkeypatch):
+    """The groups of a topic are as many as all of its rows ask for; none is told by some of them."""
+    monkeypatch.setattr(packing, "SIZING_ROWS", 64, raising=False)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 4)
+    texts = [(k, f"{'alpha' if k < 100 else 'beta'} own{k} own{k} pair{k // 2}") for k in range(300)]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    got = packing.dealt(rows, packing.statistics(rows)).select("group", "id").collect()
+    assert len(got) == 300
+    alpha, beta = ({r["group"] for r in got if (r["id"] < 100) == first} for first in (True, False))
+    n = {"alpha": -(-4 * 100 // 12), "beta": -(-4 * 200 // 12)}
+    first = min(alpha) < min(beta)
+    low, high, size = (alpha, beta, n["alpha"]) if first else (beta, alpha, n["beta"])
+    assert 1 <= min(low) and max(low) <= size < min(high) and max(high) <= sum(n.values())
+    assert min(high) - size <= 5 and size - max(low) <= 5
