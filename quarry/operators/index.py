@@ -250,7 +250,27 @@ def _any_of(wanted: DataFrame, column: str = "term") -> Column:
 RAREST = 2
 
 
-def chunks_with(grams: DataFrame, asked: DataFrame, words: str = "subjects") -> DataFrame:
+def counts_of(grams: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """gram, __often: the chunks that have each of the n wanted runs (gram)."""
+    there = grams.where(_any_of(wanted, "gram"))
+    return there.join(sized(wanted.select("gram").distinct(), 40, n), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("__often"))
+
+
+def words_met(grams: DataFrame, asked: DataFrame, words: str = "subjects") -> tuple[DataFrame, DataFrame]:
+    """asked (query_id, words) -> query_id, word: of each query the word with the rarest run; and word, chunk_id: the chunks that have the rarest runs of these words.
+
+    A word that many queries have is met once, not once for each of them.
+    """
+    each, _ = held(asked.select("query_id", F.explode(F.array_distinct(words)).alias("word")), "words")
+    wanted, n = held(each.select("word").distinct().select("word", F.explode(runs(F.col("word"))).alias("gram")), "runs")
+    often, _ = held(counts_of(grams, wanted, n), "often")
+    least = wanted.join(often, "gram", "left").groupBy("word").agg(F.min(F.coalesce("__often", F.lit(0))).alias("__least"))
+    chosen, _ = held(each.join(least, "word").groupBy("query_id").agg(F.min_by("word", F.struct("__least", "word")).alias("word")), "chosen")
+    one = chosen.select("word").distinct().select(F.col("word").alias("query_id"), F.array("word").alias(words))
+    return chosen, chunks_with(grams, one, words, often).withColumnRenamed("query_id", "word")
+
+
+def chunks_with(grams: DataFrame, asked: DataFrame, words: str = "subjects", often: DataFrame | None = None) -> DataFrame:
     """asked (query_id, words) -> query_id, chunk_id: chunks that have the rarest runs of the words, each once; they may still not have the words.
 
     Runs that are wanted are told to the scan. They are counted first, so that a run that most chunks have is met by no query that has rarer ones.
@@ -258,7 +278,7 @@ def chunks_with(grams: DataFrame, asked: DataFrame, words: str = "subjects") ->
     wanted = asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(words, lambda t: runs(t))))).alias("gram"))
     wanted, n = held(wanted, "runs")
     there = grams.where(_any_of(wanted, "gram"))
-    often = there.join(sized(wanted.select("gram").distinct(), 40, n), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("__often"))
+    often = counts_of(grams, wanted, n) if often is None else often
     by = W.partitionBy("query_id")
     ranked = wanted.join(often, "gram", "left").withColumn("__k", F.row_number().over(by.orderBy(F.coalesce("__often", F.lit(0)), "gram")))
     rare, n = held(ranked.where(F.col("__k") <= RAREST).select("query_id", "gram", F.count(F.lit(1)).over(by).alias("__n")), "rare")

@@ -109,3 +109,14 @@ def test_terms_are_counted_in_tasks_of_bounded_chunks(spark, monkeypatch):
     assert I.by_path(chunks).rdd.getNumPartitions() == 20
     rows = {(r["lookup_path"], r["term"]): r["n"] for r in I.term_frequencies(chunks).collect()}
     assert rows["a.b_7", "word"] == 2 and len(rows) == 200 + 100
+
+
+def test_a_word_of_many_queries_is_met_once(spark):
+    facts = spark.createDataFrame([(k, f"p.{k}", f"customer {k:04d}", "name", "france" if k % 2 else "peru", 1.0) for k in range(60)], "chunk_id long, lookup_path string, subject string, predicate string, object string, weight double")
+    asked = spark.createDataFrame([(q, ["customer", "0042", "pe" if q % 2 else "fr"]) for q in range(30)], "query_id int, subjects array<string>")
+    chosen, met = I.words_met(I.gram_index(facts), asked)
+    assert {(r["query_id"], r["word"]) for r in chosen.collect()} == {(q, "0042") for q in range(30)}
+    assert [(r["word"], r["chunk_id"]) for r in met.collect()] == [("0042", 42)]  # one row, not one for each query
+    q = asked.selectExpr("query_id", "20 AS limit", "CAST(array() AS array<string>) AS predicates", "subjects")
+    ix = SimpleNamespace(facts=facts, chunks=facts.selectExpr("chunk_id", "lookup_path", "0 AS chunk_order"), grams=None)
+    assert {(r["query_id"], r["chunk_id"]) for r in R.fact_hits(ix, q).collect()} == {(q, 42) for q in range(1, 30, 2)}
