@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers end together, and how often each pair does so in the corpus.
 
 Whitespace-token anchors: a text is encoded in full by both tokenizers. Ends that both share, each before a token that
-begins with a space, cut it into windows of token ids; as token ids tell their bytes, a window's alignment is a function of
-its two tuples of ids, and is made once per worker and remembered. A window's groups are bounded by the ends that both share.
+begins with a space, cut it into windows of token ids. A window of one token on either side is one group; the others are cut into
+groups by the further ends that both share. All windows of a text are worked on together, by column.
 
 A is the byte-level BPE of `bpe`, by the rank file of its vocabulary, over a space and the text; B a sentencepiece model, which puts that space there
 itself. No piece of B holds a space behind another character (looked at when it is loaded), so that text between such places is encoded by
@@ -28,14 +28,20 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from . import bpe
 from .session import cut, documents, fresh, sized
 
-#: Windows that a worker remembers (half of them since it last began anew, half from before), of so many tokens of both sides together at most.
-WINDOWS, WINDOW_TOKENS = 800_000, 64
 #: What counts as a space for B, and stretches that begin with spaces.
 SPACE = "▁"
 STRETCH = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 LINK = "array<struct<a:int,b:int,n:int>>"
 
 
+def _both(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of two ascending lists of byte offsets has those that both have."""
+    n = max(a.max(initial=0), b.max(initial=0)) + 1
+    in_a, in_b = np.zeros(n, bool), np.zeros(n, bool)
+    in_a[a] = in_b[b] = True
+    return np.flatnonzero(in_b[a]), np.flatnonzero(in_a[b])
+
+
 class Bytes:
     """The bytes of each id in one table, its length, and whether it begins with a space."""
 
@@ -87,28 +93,21 @@ class Pieces(dict):
         return np.frombuffer(b"".join(found), np.int32)
 
 
-class Aligner(dict):
-    """A worker's tokenizers, and alignments of windows: (ids of A, ids of B), as bytes -> (text of the groups, links as pairs of 32-bit integers)."""
+class Aligner:
+    """A worker's tokenizers, and alignments of texts by both: (text of the groups, links as pairs of 32-bit integers)."""
 
     def __init__(self, a_path: str, pattern: str, b_path: str) -> None:
         self.a = bpe.codec(a_path, pattern)
         self.b = Pieces(b_path)
         self.a_bytes, self.b_bytes = Bytes(self.a.raw.tolist()), Bytes(self.b.raw)
         self.a_size, self.b_size = self.a_bytes.size.tolist(), self.b_bytes.size.tolist()
-        self.old: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
         self.names = [*map(str, range(max(len(self.a_size), len(self.b_size))))]
-
-    def __missing__(self, window: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        found = self.old.pop(window, None) or self.aligned(memoryview(window[0]).cast("i").tolist(), memoryview(window[1]).cast("i").tolist())
-        if len(self) >= WINDOWS // 2:
-            self.old = dict(self)
-            self.clear()
-        if len(window[0]) + len(window[1]) <= 4 * WINDOW_TOKENS:
-            self[window] = found
-        return found
+        # each id with what follows it, filled up with zero bytes: a token of its group, the last one of A, the last one of B
+        wide = len(self.names[-1]) + 1
+        self.told = np.array([[n + x for n in self.names] for x in ",|;"], f"S{-(-wide // 8) * 8}")
 
     def aligned(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
-        """The side that is behind goes on to its next end; where both ends meet, a group is closed. Both sides begin and end together."""
+        """The same token by token, which `align` is held against: the side that is behind goes on to its next end; where both ends meet, a group is closed."""
         names, size_a, size_b = self.names, self.a_size, self.b_size
         groups, links = [], []
         i = j = from_a = from_b = 0
@@ -131,15 +130,33 @@ class Aligner(dict):
                 from_a, from_b = i, j
                 end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        """The ids of both sides between verified anchors: ends that both have, each before a token with a space."""
-        ends_a, ends_b = np.cumsum(self.a_bytes.size[a]), np.cumsum(self.b_bytes.size[b])
+    def windows(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last token of each window on either side: verified anchors are ends that both have, each before a token with a space."""
         before_a, before_b = np.flatnonzero(self.a_bytes.spaced[a[1:]]), np.flatnonzero(self.b_bytes.spaced[b[1:]])
-        _, at_a, at_b = np.intersect1d(ends_a[before_a], ends_b[before_b], assume_unique=True, return_indices=True)
-        cuts_a = [0, *((before_a[at_a] + 1) * 4).tolist(), 4 * len(a)]
-        cuts_b = [0, *((before_b[at_b] + 1) * 4).tolist(), 4 * len(b)]
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        return zip([raw_a[i:j] for i, j in zip(cuts_a, cuts_a[1:])], [raw_b[i:j] for i, j in zip(cuts_b, cuts_b[1:])])
+        at_a, at_b = _both(ends_a[before_a], ends_b[before_b])
+        return np.append(before_a[at_a], len(a) - 1), np.append(before_b[at_b], len(b) - 1)
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last token of each group on either side: those of the windows, and the further ends that both have in windows of several tokens on both."""
+        ends_a, ends_b = np.cumsum(self.a_bytes.size[a]), np.cumsum(self.b_bytes.size[b])
+        last_a, last_b = self.windows(a, b, ends_a, ends_b)
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        several = (n_a > 1) & (n_b > 1)
+        inner_a, inner_b = np.repeat(several, n_a), np.repeat(several, n_b)
+        inner_a[last_a] = inner_b[last_b] = False
+        inner_a, inner_b = np.flatnonzero(inner_a), np.flatnonzero(inner_b)
+        at_a, at_b = _both(ends_a[inner_a], ends_b[inner_b])
+        return np.sort(np.append(last_a, inner_a[at_a])), np.sort(np.append(last_b, inner_b[at_b]))
+
+    def tell(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
+        """The text of the groups: A's ids of a group stand before B's."""
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        kind_a, kind_b = np.zeros(len(a), np.int8), np.zeros(len(b), np.int8)
+        kind_a[last_a], kind_b[last_b] = 1, 2
+        out = np.empty(len(a) + len(b), self.told.dtype)
+        out[np.arange(len(a)) + np.repeat(np.cumsum(n_b) - n_b, n_a)] = self.told[kind_a, a]
+        out[np.arange(len(b)) + np.repeat(np.cumsum(n_a), n_b)] = self.told[kind_b, b]
+        return out.tobytes().translate(None, b"\0")[:-1]
 
     def align(self, text: str | None) -> tuple[int, int, bytes, np.ndarray]:
         """Tokens of A, of B, the text of the groups, and links as rows (a, b)."""
@@ -153,8 +170,8 @@ class Aligner(dict):
         a = self.a.encode([told]).astype(np.int32)
         if self.a_bytes.join(a) != raw:
             return none
-        groups, links = zip(*map(self.__getitem__, self.windows(a, b)))
-        return len(a), len(b), b";".join(groups), np.frombuffer(b"".join(links), np.int32).reshape(-1, 2)
+        last_a, last_b = self.groups(a, b)
+        return len(a), len(b), self.tell(a, b, last_a, last_b), np.stack([a[last_a], b[last_b]], 1)
 
 
 @functools.cache

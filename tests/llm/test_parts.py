@@ -585,6 +585,20 @@ def test_windows_are_cut_at_verified_anchors_only():
     assert own.align("a\u2581b")[0] == 0 and own.align("")[0] == own.align(None)[0] == 0
 
 
+def test_windows_are_aligned_by_column(monkeypatch):
+    """No window is walked token by token, and groups inside windows are found all the same."""
+    own = alignment.Aligner(bpe.tables(), public_tokenizers.PATTERN, bpe.tables("piece_bpe_32k.model"))
+    texts = ["Unbelievably long interdisciplinary words, and (nested) ones.", "a", " ", "12345678901234567890 x'y\n\n\tz", "日本語 😀😀 é" * 20]
+    want = []
+    for text in texts:
+        a, b = own.a.encode([" " + text]).astype(np.int32), own.b.encode(" " + text)
+        want.append(own.aligned(a.tolist(), b.tolist()))
+    assert any(b"," in told for told, _ in want) and any(told.count(b";") > 20 for told, _ in want)
+    monkeypatch.delattr(alignment.Aligner, "aligned")
+    got = [own.align(text) for text in texts]
+    assert [(told, links.tobytes()) for _, _, told, links in got] == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 8, 9, 17, 31, 32, 33, 70])
 def test_witnesses_grow_with_the_tree(spark, n):
     """Blocks of four leaves, so that there are several rounds of roots."""
