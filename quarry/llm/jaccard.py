@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp
-from .session import cut, documents, fresh, sized
+from .session import cut, documents, fresh, lean, sized
 
 THRESHOLD = 0.8
 SHINGLE_WORDS = 5
@@ -95,7 +95,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                 columns = [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sig.tolist(), pa.binary()), pa.array(sketch.tolist(), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "node", "size", "sig", "sketch"])
 
-    return rows.mapInArrow(run, "id long, node binary, size long, sig binary, sketch binary")
+    return rows.mapInArrow(lean(run), "id long, node binary, size long, sig binary, sketch binary")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -189,7 +189,7 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield finish(held)
 
-    return blocks.mapInArrow(run, "node binary, links long, to binary")
+    return blocks.mapInArrow(lean(run), "node binary, links long, to binary")
 
 
 def _met_in_nodes(members: DataFrame, least: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _met_in_nodes(members: DataFrame, least: int) -> DataFrame:
         at = np.flatnonzero(met)
         yield pa.RecordBatch.from_arrays([pa.array([None] * len(at), pa.binary()), pa.array([None] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(met[at])], ["label", "to", "met", "n"])
 
-    return members.mapInArrow(run, "label binary, to binary, met int, n long")
+    return members.mapInArrow(lean(run), "label binary, to binary, met int, n long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 sets = [np.unique(h[a:b]).astype("<u8").tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["id", "node", "shingles"])
 
-    return rows.mapInArrow(run, "id long, node binary, shingles binary")
+    return rows.mapInArrow(lean(run), "id long, node binary, shingles binary")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textnp
+from .session import lean
 
 #: Cells, as a power of two, in which document frequencies are counted.
 BUCKETS = 21
@@ -65,7 +66,7 @@ def statistics(rows: DataFrame) -> Statistics:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total[at], [n, length]))], ["word", "n"])
 
-    found = rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("text").mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     word, n = (found.column(k).to_numpy() for k in (0, 1))
     df = np.zeros(1 << BUCKETS, np.int64)
     df[word[word >= 0]] = n[word >= 0]

@@ -33,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp
 from .lexicon import Statistics, cells, counted, statistics
-from .session import cut, documents
+from .session import cut, documents, lean
 
 #: Tokens of a sequence, and the id that ends a document.
 MOST, END = 2048, 1
@@ -201,12 +202,12 @@ def keys(known: Statistics, word: np.ndarray, row: np.ndarray, n_rows: int) -> t
     return best(df * COMMON >= known.n, weight), best(df > 1, np.where(df <= SHARD_DOCS, weight, -df))
 
 
-def dealt(rows: DataFrame, known: Statistics) -> DataFrame:
-    """Rows (group, key, h, id, text) dealt and sorted by the group and the key of each.
+def dealt(rows: DataFrame, known: Statistics, shared: Broadcast | None = None) -> DataFrame:
+    """Rows (group, key, h, id, text) dealt and sorted by the group and the key of each. shared: the statistics, where they are broadcast already.
 
     Topics and keys are found once and written with the rows, so that all rows of a topic are counted before any is dealt.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(known)
+    shared = shared or rows.sparkSession.sparkContext.broadcast(known)
     rows = rows.withColumn("h", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +218,7 @@ def dealt(rows: DataFrame, known: Statistics) -> DataFrame:
                 many = np.where(many > SHARD_DOCS, -(-2 * many // SHARD_DOCS), 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(topic), pa.array(key), pa.array(many)], ["id", "text", "h", "topic", "key", "many"])
 
-    keyed = rows.mapInArrow(run, "id long, text string, h long, topic long, key long, many long")
+    keyed = rows.mapInArrow(lean(run), "id long, text string, h long, topic long, key long, many long")
     place, n = [], 1  # group 0 is for tables that one shard can hold
     if known.n > SHARD_DOCS:
         keyed = cut(keyed, "keyed")
@@ -356,7 +357,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pat
         if held:
             yield from close(held, base)[0]
 
-    return dealt(rows, known).select("group", "id", "text").mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt(rows, known, shared).select("group", "id", "text").mapInArrow(lean(run), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

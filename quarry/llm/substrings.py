@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp
-from .session import cut, documents, fresh, sized
+from .session import cut, documents, fresh, lean, sized
 
 WINDOW = 200
 #: Bytes that an anchor's hash covers.
@@ -79,7 +79,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 for k in range(0, len(a), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000].view(np.int64))], ["a"])
 
-    return docs.mapInArrow(run, "a long")
+    return docs.mapInArrow(lean(run), "a long")
 
 
 def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -104,7 +104,7 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
                 for k in range(0, len(row), 100_000):
                     yield pa.RecordBatch.from_arrays([x.slice(k, 100_000) for x in columns], ["a", "s", "t", "id", "h", "lo", "n", "q"])
 
-    return docs.mapInArrow(run, "a long, s long, t long, id long, h long, lo int, n short, q short")
+    return docs.mapInArrow(lean(run), "a long, s long, t long, id long, h long, lo int, n short, q short")
 
 
 def common(prefix: np.ndarray, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
@@ -232,7 +232,7 @@ def _sorted_kinds(kinds: DataFrame, window: int) -> DataFrame:
 
     n = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = kinds.select(*_KIND, "bytes").repartition(n, "a").sortWithinPartitions("a", "s", "t")
-    return dealt.mapInArrow(run, f"a long, s long, t long, runs {_RUNS}")
+    return dealt.mapInArrow(lean(run), f"a long, s long, t long, runs {_RUNS}")
 
 
 def _grouped_kinds(kinds: DataFrame, window: int) -> DataFrame:
@@ -244,7 +244,7 @@ def _grouped_kinds(kinds: DataFrame, window: int) -> DataFrame:
                 same = [pa.array([x] * n, pa.int64()) for x in (a, s, t, c)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(range(n), pa.int32()), pa.array([raw[i : i + window] for i in range(n)], pa.binary())], ["a", "s", "t", "c", "i", "w"])
 
-    windows = kinds.select(*_KIND, "bytes").mapInArrow(run, "a long, s long, t long, c long, i int, w binary")
+    windows = kinds.select(*_KIND, "bytes").mapInArrow(lean(run), "a long, s long, t long, c long, i int, w binary")
     twice = windows.groupBy("a", "w").agg(F.sum("c").alias("times")).where("times > 1").select("a", "w")
     found = windows.join(twice, ["a", "w"]).groupBy("a", "s", "t").agg(F.collect_set("i").alias("at"))
     return found.select("a", "s", "t", F.transform("at", lambda i: F.struct(i.alias("lo"), i.alias("hi"))).alias("runs"))
@@ -273,7 +273,7 @@ def _fetched(rows: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(kinds_, [*_KIND, "bytes"])
 
     # a repeated row fetches its segments once more: one of each kind is enough
-    return texts.dropDuplicates(["id", "h"]).select("text", "want").mapInArrow(fetch, "a long, s long, t long, c long, n int, q int, bytes binary")
+    return texts.dropDuplicates(["id", "h"]).select("text", "want").mapInArrow(lean(fetch), "a long, s long, t long, c long, n int, q int, bytes binary")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most_kinds: int = MOST_KINDS) -> DataFrame:
@@ -311,7 +311,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 out.append([{"lo": int(x), "hi": int(y)} for x, y in zip(lo[first], reach[last])])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _RUNS_T)], ["id", "h", "spans"])
 
-    return spans.mapInArrow(merge, f"id long, h long, spans {_RUNS}")
+    return spans.mapInArrow(lean(merge), f"id long, h long, spans {_RUNS}")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, str, str]:

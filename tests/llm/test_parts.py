@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import regex
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quarry.llm import alignment, backtrack, bpe, fingerprints, jaccard, lexicon, licenses, manifest, packing, pii, quality, substrings, textnp, toxicity
+from quarry.llm import alignment, backtrack, bpe, fingerprints, jaccard, lexicon, licenses, manifest, packing, pii, quality, session, substrings, textnp, toxicity
 from quarry.llm.weak import Voters, fit
 
 
@@ -631,3 +632,22 @@ def test_topics_are_counted_over_all_rows(spark, monkeypatch):
     low, high, size = (alpha, beta, n["alpha"]) if first else (beta, alpha, n["beta"])
     assert 1 <= min(low) and max(low) <= size < min(high) and max(high) <= sum(n.values())
     assert min(high) - size <= 5 and size - max(low) <= 5
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    """Of what a task took, little is held once it has ended; packing sends its statistics to the workers once."""
+    held = lambda: sum(int(x) for x in re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())) / 1024  # noqa: E731, SIM115
+
+    def run(batches):
+        for n in batches:
+            kept = [pa.array(np.arange(1000 * n)).cast(pa.string()) for _ in range(200)]
+            yield sum(map(len, kept))
+
+    session.release()
+    before = held()
+    assert list(session.lean(run)([10, 20])) == [2_000_000, 4_000_000]
+    assert held() < before + 10
+    sent, of = [], type(spark.sparkContext)
+    monkeypatch.setattr(of, "broadcast", lambda self, value, f=of.broadcast: sent.append(value) or f(self, value))
+    packing.pack(spark.createDataFrame([(k, f"alpha beta {k}") for k in range(5)], "doc_id long, text string"))
+    assert len(sent) == 1
