@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
 
 from quarry.functions.text import STOPWORDS
-from quarry.operators import counting, index as I
+from quarry.operators import counting, index as I, segments as G
 from tests.test_segments import WORDS, chunk_rows, content
 
 
@@ -63,3 +64,71 @@ def test_no_token_is_moved_by_itself_and_no_unwanted_block_taken_apart(spark, mo
     many = spark.createDataFrame([(f"w{k}",) for k in range(30)], "term string")
     ix.blocks.where(I._any_of(many)).explain()
     assert "INSET" in capsys.readouterr().out
+
+
+def test_texts_of_words_give_the_blocks_of_their_lists(monkeypatch):
+    draw = random.Random(9)
+    rows = [(k // 9, k, [draw.choice(["é", "straße", "数", *WORDS]) for _ in range(draw.randrange(6))] if k % 5 else None) for k in range(60)]
+    names = {"zone": pa.int32(), "chunk_id": pa.int64()}
+    lists = [b.to_pylist() for b in counting.blocks(iter(batches(rows, names | {"tokens": pa.list_(pa.string())}, 60)))]
+    texts = [(z, c, None if t is None else " ".join(t)) for z, c, t in rows]
+    for size, run in ((60, 4 << 20), (7, 4 << 20), (7, 1), (1, 100)):
+        monkeypatch.setattr(counting, "RUN_BYTES", run)
+        found = [b.to_pylist() for b in counting.blocks(iter(batches(texts, names | {"tokens": pa.string()}, size)))]
+        assert sorted(sum(found, []), key=lambda r: (r["term"], r["zone"])) == sum(lists, [])
+        for each in found:  # a run is in order of terms and zones
+            keys = [(r["term"].encode(), r["zone"]) for r in each]
+            assert keys == sorted(keys)
+        assert (len(found) == 1) == (run > 100)
+
+
+def test_heaviest_terms_of_paths_that_go_over_batches():
+    draw = random.Random(7)
+    entry = pa.list_(pa.struct([("term", pa.string()), ("hundredths", pa.int32())]))
+    names = {"path": pa.string(), "text": pa.string(), "named": entry, "told": entry}
+    some = lambda n: [{"term": draw.choice([None, "zz", *WORDS[:5]]), "hundredths": draw.choice((50, 90, 110))} for _ in range(draw.randrange(n))]
+    named = {p: some(4) for p in "abcdefg"}
+    rows = []
+    for p in sorted(draw.choices("abcdefg", weights=[20, 1, 9, 1, 1, 7, 1], k=50)):
+        words = [w.lower() for w in draw.choices(["the", "is", "naïve", *WORDS, *"abc"], k=draw.randrange(14))]
+        rows.append((p, draw.choice([" ", "-", ", ", "é"]).join(words) if draw.random() > 0.1 else None, named[p], some(5) if draw.random() > 0.1 else None))
+    want = {}
+    for path in {r[0] for r in rows}:
+        counts, weight = Counter(), Counter()
+        for _, text, _, told in (r for r in rows if r[0] == path):
+            counts.update(w for w in re.findall("[a-z0-9]+", text or "") if len(w) >= 3 and w not in STOPWORDS)
+            for x in told or ():
+                weight[x["term"]] += x["hundredths"]
+        for x in named[path]:
+            weight[x["term"]] += x["hundredths"]
+        for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:6]:
+            weight[w] += min(65, 20 + 7 * n)
+        weight.pop(None, None)
+        want |= {(w, path): c / 100 for w, c in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:8]}
+    for size in (1, 3, 7, 50):
+        found = [tuple(r.values()) for b in counting.Weighed(6, 8, 3, list(STOPWORDS))(iter(batches(rows, names, size))) for r in b.to_pylist()]
+        assert {r[:2]: r[2] for r in found} == want and len(found) == len(want)
+
+
+ODD = ["", None, " ", "a", "Ab-1_c\n\n2", "É e\u0301cole \u212aelvin \u0130x", "\u0301", "x\u0301\u0302y z", "数字 ٣٤ ½ ²", "𝒳𝟗 😀a", "-- a", "ß ŉ ǅ", "a\x00b\u00a0c"]
+
+
+def test_words_between_spaces_are_the_tokens(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD)), "chunk_id long, content string")
+    for r in I.with_words(rows).withColumn("want", I.fts_tokens("content")).collect():
+        assert (r["tokens"].split(" ") if r["tokens"] else [] if r["tokens"] == "" else None) == r["want"]
+        assert r["dl"] == (None if r["want"] is None else len(r["want"]))
+    told = {r["term"]: r["n"] for r in I.chunks_per_term(I.with_words(rows)).collect()}
+    assert told == Counter(t for r in rows.select(I.fts_tokens("content").alias("t")).collect() for t in set(r["t"] or ()))
+
+
+def test_blocks_are_written_once_and_terms_moved_once(spark, tmp_path, capsys, monkeypatch):
+    draw = random.Random(3)
+    chunks = chunk_rows(spark, [(i, f"a.b{i % 3}", i, content(draw), "f.md") for i in range(40)])
+    I.term_index(chunks).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    ranged, frame = [], type(chunks)
+    by_range = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: ranged.append(a) or by_range(self, *a))
+    G.Store(spark, f"file://{tmp_path}/ix").change(None, chunks)
+    assert all("term" not in a for a in ranged)
