@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from types import SimpleNamespace
 
+from quarry import tables
 from quarry.operators import index as I, retrieve as R
 
 
@@ -120,3 +121,20 @@ def test_a_word_of_many_queries_is_met_once(spark):
     q = asked.selectExpr("query_id", "20 AS limit", "CAST(array() AS array<string>) AS predicates", "subjects")
     ix = SimpleNamespace(facts=facts, chunks=facts.selectExpr("chunk_id", "lookup_path", "0 AS chunk_order"), grams=None)
     assert {(r["query_id"], r["chunk_id"]) for r in R.fact_hits(ix, q).collect()} == {(q, 42) for q in range(1, 30, 2)}
+
+
+def test_rows_that_cannot_be_held_are_made_once(spark, monkeypatch):
+    """Of a table that may have too many rows to be held, no first rows are asked for before it is written."""
+    monkeypatch.setattr(tables, "HELD_ROWS", 10)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 100, 1, 2).repartition(2).mapInArrow(counted, "id long")
+    table, n = tables.held(rows, "many", 1_000)
+    assert (n, made.value) == (100, 100) and table.count() == 100
+    few, n = tables.held(rows.where("id < 5"), "few")
+    assert n == 5 and sorted(r["id"] for r in few.collect()) == [0, 1, 2, 3, 4]
