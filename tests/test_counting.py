@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quarry.functions.text import STOPWORDS
 from quarry.operators import counting, index as I, segments as G
@@ -132,3 +133,43 @@ def test_blocks_are_written_once_and_terms_moved_once(spark, tmp_path, capsys, m
     monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: ranged.append(a) or by_range(self, *a))
     G.Store(spark, f"file://{tmp_path}/ix").change(None, chunks)
     assert all("term" not in a for a in ranged)
+
+
+def test_every_character_is_told_as_by_the_patterns(spark):
+    """All code points between letters, at the ends of texts and in rows of one class or mixed."""
+    character = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    points = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343").select("id", character.alias("c"))
+    rows = points.groupBy((F.col("id") % 3_001).alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("id", "c"))).alias("x")).select("chunk_id", F.transform("x", lambda e: e["c"]).alias("x"))
+    texts = rows.select("chunk_id", F.explode(F.array(F.array_join("x", ""), F.array_join("x", "b"), F.array_join("x", " "))).alias("content"))
+    told = I.with_words(texts.repartition(4)).select("tokens", "dl", I.fts_tokens("content").alias("want"))
+    assert told.where((F.col("tokens") != F.array_join("want", " ")) | (F.col("dl") != F.size("want"))).count() == 0
+
+
+def test_texts_are_worked_on_in_slices(monkeypatch):
+    """However many texts a batch has, only some of them are taken into words together."""
+    monkeypatch.setattr(counting, "RUN_BYTES", 100)
+    taken, whole = [], counting.words_of
+    monkeypatch.setattr(counting, "words_of", lambda texts, inside: taken.append(sum(len(t or "") for t in texts.to_pylist())) or whole(texts, inside))
+    draw, entry = random.Random(5), pa.list_(pa.struct([("term", pa.string()), ("hundredths", pa.int32())]))
+    rows = [(f"p{k // 3:02d}", " ".join(draw.choices(WORDS, k=5)) if k % 8 else None, [], []) for k in range(60)]
+    names = {"path": pa.string(), "text": pa.string(), "named": entry, "told": entry}
+    found = [r["lookup_path"] for b in counting.Weighed(9, 9, 3, [])(iter(batches(rows, names, 60))) for r in b.to_pylist()]
+    assert len(set(found)) == 20 and max(taken) < 200
+    taken.clear()
+    texts = [(t,) for _, t, *_ in rows]
+    n = Counter()
+    for b in counting.chunks_per_word(iter(batches(texts, {"tokens": pa.string()}, 60))):
+        n.update({r["term"]: r["n"] for r in b.to_pylist()})
+    assert n == Counter(w for (t,) in texts for w in set((t or "").split())) and max(taken) < 200
+
+
+def test_chunks_are_written_once_and_their_tokens_never(spark, tmp_path, monkeypatch):
+    draw, cuts = random.Random(8), []
+    chunks = chunk_rows(spark, [(i, f"a.b{i % 3}", i, content(draw), "f.md") for i in range(20)])
+    cut = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name: cuts.append((name, df.columns)) or cut(df, name))
+    store = G.Store(spark, f"file://{tmp_path}/ix")
+    version = store.change(None, chunks)
+    assert not [name for name, columns in cuts if "content" in columns or "tokens" in columns]
+    have = store.table(version, "chunks").select("chunk_id", "dl", F.size(I.fts_tokens("content")).alias("n")).collect()
+    assert len(have) == 20 and all(r["dl"] == r["n"] for r in have)
