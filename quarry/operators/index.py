@@ -92,7 +92,7 @@ def term_index(chunks: DataFrame) -> DataFrame:
 def facts(chunks: DataFrame) -> DataFrame:
     """chunk_id, lookup_path, subject, predicate, object, weight of bullets `- key: value`; the first value of a key counts.
 
-    A chunk's lines stay in one row, so that nothing is moved. A text without a colon isn't taken into lines, also where Spark moves these steps into a filter.
+    A chunk's lines stay in one row, so that nothing is moved. A text without a colon isn't taken into lines.
     """
     content = F.when(F.col("content").contains(":"), F.col("content"))
     line = r"^[-*]\s*([^:\n]{2,48})\s*:\s*(.+)$"
@@ -107,7 +107,8 @@ def facts(chunks: DataFrame) -> DataFrame:
     first = F.filter(kv, lambda x, i: F.array_position(F.transform(kv, lambda y: y["predicate"]), x["predicate"]) == i + 1)
     value = lambda key: F.get(F.filter(kv, lambda x: x["predicate"] == key), F.lit(0))["object"]
     df = df.withColumn("__first", first).withColumn("subject", F.coalesce(value("name"), value("person"), value("contact")))
-    return df.select("chunk_id", "lookup_path", "subject", F.explode("__first").alias("x")).select(
+    # of an outer explode no filter is inferred, which would take the lines apart twice
+    return df.select("chunk_id", "lookup_path", "subject", F.explode_outer("__first").alias("x")).where("x IS NOT NULL").select(
         "chunk_id", "lookup_path", "subject", "x.predicate", F.substring("x.object", 1, OBJECT_CHARS).alias("object"), F.lit(1.0).alias("weight")
     )
 
@@ -295,6 +296,27 @@ def words_met(grams: DataFrame, asked: DataFrame, words: str = "subjects") -> tu
     return chosen, chunks_with(grams, one, words, often).withColumnRenamed("query_id", "word")
 
 
+def words_scanned(texts: DataFrame, asked: DataFrame, words: str = "subjects") -> tuple[DataFrame, DataFrame]:
+    """asked (query_id, words) -> query_id, word: of each query the word that the fewest texts (`low`) have; and the texts with each of these words that they have, a row for each.
+
+    For batches of so many words that a table of runs would be read whole: each text is cut into its parts of the words' lengths, which meet all words at once.
+    """
+    each, _ = held(asked.select("query_id", F.explode(F.array_distinct(words)).alias("word")), "words")
+    wanted, n = held(each.select("word").distinct(), "wanted")
+    often = cut(_holding(texts, wanted, n).groupBy("word").agg(F.count(F.lit(1)).alias("__often")), "often")
+    there = each.join(sized(often, 48, n), "word", "left")
+    chosen = cut(there.groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("__often", F.lit(0)), "word")).alias("word")), "chosen")
+    keys, n = held(chosen.select("word").distinct(), "keys")
+    return chosen, _holding(texts, keys, n)
+
+
+def _holding(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The texts (`low`) with each of the n wanted words (word) that they have. No filter is inferred from an outer explode, which would make the parts twice."""
+    lengths = sorted(r["n"] for r in wanted.select(F.length("word").alias("n")).distinct().collect())
+    parts = F.array_distinct(F.concat(F.array().cast("array<string>"), *(runs(F.col("low"), k) for k in lengths)))
+    return texts.withColumn("word", F.explode_outer(parts)).join(sized(wanted, 40, n), "word", "left_semi")
+
+
 def chunks_with(grams: DataFrame, asked: DataFrame, words: str = "subjects", often: DataFrame | None = None) -> DataFrame:
     """asked (query_id, words) -> query_id, chunk_id: chunks that have the rarest runs of the words, each once; they may still not have the words.
 

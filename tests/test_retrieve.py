@@ -138,3 +138,32 @@ def test_rows_that_cannot_be_held_are_made_once(spark, monkeypatch):
     assert (n, made.value) == (100, 100) and table.count() == 100
     few, n = tables.held(rows.where("id < 5"), "few")
     assert n == 5 and sorted(r["id"] for r in few.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_persons_of_many_words_are_those_of_a_loop(spark, monkeypatch):
+    """Random words in random facts, asked in any order and several times: as by the table of runs, and as a loop has it, with and without a limit that cuts."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abné") for _ in range(draw.randrange(1, 5)))
+    rows = [(k // 3, f"p.{k // 6:02d}", None if k % 7 == 0 else f"{word().title()} {word()}", f"k{k % 3}", word() if k % 4 else "", 1.0 + k % 2) for k in range(150)]
+    facts = spark.createDataFrame(rows, "chunk_id int, lookup_path string, subject string, predicate string, object string, weight double")
+    chunks = spark.createDataFrame([(k, f"p.{k // 2:02d}", 9 - k % 10) for k in range(48)], "chunk_id int, lookup_path string, chunk_order int")
+    asked = [(i, 4 if i % 2 else 200, [], draw.choice([[word() for _ in range(1 + i % 4)], ["a", "n"], ["n", "a", "n"]])) for i in range(80)]
+    q = spark.createDataFrame(asked, "query_id int, limit int, predicates array<string>, subjects array<string>")
+    monkeypatch.setattr(R, "PUSHED_TERMS", 3)
+    monkeypatch.setattr(I, "gram_index", None)  # no run of letters is asked for
+    found = R.fact_hits(SimpleNamespace(facts=facts, chunks=chunks, grams=None), q).select("query_id", "chunk_id").collect()
+    want, at = set(), {k: (f"p.{k // 2:02d}", 9 - k % 10) for k in range(48)}
+    for i, limit, _, words in asked:
+        fit = [r for r in rows if r[0] in at and all(w in f"{r[2] or ''}\n{r[4]}".lower() for w in words)]
+        fit.sort(key=lambda r: (-r[5], *at[r[0]], r[0], r[3]))
+        want |= {(i, r[0]) for r in fit[: max(12, 3 * limit)]}
+    assert {tuple(r) for r in found} == want and len(found) == len(want) > 200
+
+
+def test_queries_that_ask_for_the_same_person_meet_facts_once(spark, monkeypatch):
+    facts = spark.createDataFrame([(k, f"p.{k}", f"customer {k:04d}", "name", "france" if k % 2 else "peru", 1.0) for k in range(60)], "chunk_id long, lookup_path string, subject string, predicate string, object string, weight double")
+    q = spark.createDataFrame([(k, 20, [], ["0042", "pe"] if k % 2 else ["pe", "0042"]) for k in range(40)], "query_id int, limit int, predicates array<string>, subjects array<string>")
+    met, by_person = [], R._facts_by_person
+    monkeypatch.setattr(R, "_facts_by_person", lambda *a: met.append(a[-1]) or by_person(*a))
+    ix = SimpleNamespace(facts=facts, chunks=facts.selectExpr("chunk_id", "lookup_path", "0 AS chunk_order"), grams=None)
+    assert {(r["query_id"], r["chunk_id"]) for r in R.fact_hits(ix, q).collect()} == {(k, 42) for k in range(40)} and met == [1]
