@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from quarry import tables
 from quarry.operators import index as I, retrieve as R
 
@@ -167,3 +169,13 @@ def test_queries_that_ask_for_the_same_person_meet_facts_once(spark, monkeypatch
     monkeypatch.setattr(R, "_facts_by_person", lambda *a: met.append(a[-1]) or by_person(*a))
     ix = SimpleNamespace(facts=facts, chunks=facts.selectExpr("chunk_id", "lookup_path", "0 AS chunk_order"), grams=None)
     assert {(r["query_id"], r["chunk_id"]) for r in R.fact_hits(ix, q).collect()} == {(k, 42) for k in range(40)} and met == [1]
+
+
+def test_many_rows_in_small_files_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files of equal rows are small however many rows they have; it is their number that counts."""
+    spark.range(200_000).selectExpr("id", "'the same' AS path").write.option("compression", "zstd").parquet(str(tmp_path / "many"))
+    many, few = spark.read.parquet(str(tmp_path / "many")).select("id"), spark.range(50_000).withColumn("x", F.rand(1))
+    plan = lambda side: few.join(side, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(tables.sized(many, 100))
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 1 << 20)
+    assert "BroadcastHashJoin" in plan(many) and "BroadcastHashJoin" not in plan(tables.sized(many, 100))
